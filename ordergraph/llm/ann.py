@@ -73,8 +73,8 @@ def search(
     k: int = 10,
     lists: int = 128,
     parts: int = 16,
-    probe: int = 24,
-    rerank: int = 400,
+    probe: int = 80,
+    rerank: int = 100,
     sample: int = 16384,
     vec_id: str = "vec_id",
     vector: str = "embedding",
@@ -137,7 +137,7 @@ def search(
     sizes = spark.createDataFrame([(j, blocks[j], groups.get(j, 0)) for j in held], "list int, blocks int, groups int")  # at most ``lists`` rows
     dealt = lambda df, own, other: df.join(F.broadcast(sizes), "list").withColumn(own[0], F.pmod(F.xxhash64("id", "list"), F.col(own[1]))).withColumn(other[0], F.explode(F.sequence(F.lit(0), F.col(other[1]) - 1)))
     there = dealt(index.filter(F.col("list").isin([j for j in asking])) if asking else index.limit(0), ("b", "blocks"), ("g", "groups")).select("list", "b", F.col("g").cast("long").alias("g"), "id", "v", "codes")
-    here = dealt(asked, ("g", "groups"), ("b", "blocks")).select("list", F.col("b").cast("long").alias("b"), "g", "id", "v")
+    here = dealt(asked, ("g", "groups"), ("b", "blocks")).select(F.col("list").alias("q_list"), F.col("b").cast("long").alias("q_b"), F.col("g").alias("q_g"), F.col("id").alias("q_id"), F.col("v").alias("q_v"))
 
     def compare(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -147,7 +147,7 @@ def search(
             ids, x = rows["id"].to_numpy(), np.stack([np.asarray(v, dtype=float) for v in rows["v"]])
             codes = np.frombuffer(b"".join(rows["codes"]), dtype=np.uint8).reshape(len(rows), -1)
             part = np.arange(codes.shape[1])[None, :]
-            for q, v in zip(queries["id"], queries["v"]):
+            for q, v in zip(queries["q_id"], queries["q_v"]):
                 v = np.asarray(v, dtype=float)
                 rough = m.tables(v, at)[part, codes].sum(axis=1)
                 rough[ids == q] = np.inf
@@ -158,6 +158,6 @@ def search(
                 out += [(q, int(ids[best[t]]), float(exact[t])) for t in top]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
-    found = here.groupBy("list", "b", "g").cogroup(there.groupBy("list", "b", "g")).applyInPandas(compare, "query_id long, vec_id long, score double")
+    found = here.groupBy("q_list", "q_b", "q_g").cogroup(there.groupBy("list", "b", "g")).applyInPandas(compare, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.select("query_id", rank.cast("int").alias("rank"), "vec_id", "score").filter(F.col("rank") <= k)

@@ -18,14 +18,14 @@ from pyspark.sql import functions as F
 
 from .common import hash_share, packed
 
-LETTER = regex.compile(r"\p{L}")
+LETTER, OTHER = regex.compile(r"\p{L}"), regex.compile(r"[^\p{L}\p{M}]+")
 UNKNOWN = "und"
 MAX_LANGUAGES = 64
 
 
 def grams(text: str, dims: int) -> np.ndarray:
-    """Counts of hashed character 1- to 3-grams, lower case, words apart."""
-    points = np.frombuffer((" " + " ".join(text.lower().split()) + " ").encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    """Counts of hashed character 1- to 3-grams of the letters, lower case, words apart."""
+    points = np.frombuffer((" " + OTHER.sub(" ", text.lower()).strip() + " ").encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
     out = np.zeros(dims)
     key = np.zeros(len(points), dtype=np.uint64)
     for n in range(min(3, len(points))):
