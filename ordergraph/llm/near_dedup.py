@@ -127,20 +127,20 @@ def _tester(percent: int):
 def components(links: DataFrame) -> DataFrame:
     """node, comp: the smallest node that each node of ``links`` (a, b) reaches.
 
-    Each round takes the least label among neighbours, then the label of that
-    label.  Rounds follow the logarithm of the longest path.
+    Each round takes the least label among a node and its neighbours, then the
+    label of that label.  Rounds follow the logarithm of the longest path.
     """
-    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = checkpoint(both.withColumn("again", F.xxhash64("b")))
-    at = checkpoint(both.select(F.col("a").alias("node")).distinct().withColumn("comp", F.col("node")))
+    a, b = links.select("a", "b"), links.select(F.col("b").alias("a"), F.col("a").alias("b"))
+    own = a.unionByName(b).select("a", F.col("a").alias("b"))
+    both = checkpoint(a.unionByName(b).unionByName(own).distinct().withColumn("again", F.xxhash64("b")))
+    at = both.filter("a = b").select(F.col("a").alias("node"), F.col("a").alias("comp"))
     while True:
-        near = both.join(at.select(F.col("node").alias("b"), "comp", _again("node")), ["b", "again"]).groupBy("a").agg(F.min("comp").alias("near"))
-        step = at.join(near, F.col("node") == F.col("a")).select("node", F.col("comp").alias("old"), F.least("comp", "near").alias("comp"))
-        step = checkpoint(step)
+        near = both.join(at.select(F.col("node").alias("b"), "comp", _again("node")).hint("merge"), ["b", "again"])
+        step = checkpoint(near.groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("comp"), F.max(F.when(F.col("a") == F.col("b"), F.col("comp"))).alias("old")))
+        if step.filter("comp < old").limit(1).count() == 0:
+            return step.select("node", "comp")
         jump = step.select(F.col("node").alias("comp"), F.col("comp").alias("next"), _again("node"))
-        at = checkpoint(step.withColumn("again", F.xxhash64("comp")).join(jump, ["comp", "again"]).select("node", F.least("comp", "next").alias("comp"), (F.least("comp", "next") != F.col("old")).alias("moved")))
-        if at.filter("moved").limit(1).count() == 0:
-            return at.select("node", "comp")
+        at = step.withColumn("again", F.xxhash64("comp")).join(jump.hint("merge"), ["comp", "again"]).select("node", F.col("next").alias("comp"))
 
 
 def _again(key: str):
@@ -149,7 +149,7 @@ def _again(key: str):
     return F.xxhash64(key).alias("again")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75, star_rounds: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 75, star_rounds: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Columns row, n_shingles, component_id, kept.
 
     Documents are linked when 100 * |A n B| >= ``percent`` * |A u B| for their
@@ -177,31 +177,31 @@ def near_duplicates(docs: DataFrame, percent: int = 75, star_rounds: int = 3, do
 
     linked, tried, links, at = _tester(percent), None, None, None
     for turn in range(star_rounds + 1):
-        m = members if at is None else members.join(at, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        m = m.withColumn("comp", F.col("node")) if at is None else m
-        apart = m.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("c0"), F.max("comp").alias("c1"), *([_leader(turn)] if turn < star_rounds else [])).filter("c0 < c1")
-        apart = checkpoint(apart)
-        if apart.limit(1).count() == 0:
-            break
-        open_m = join_counted(m, apart.drop("c0", "c1"), ["key"], "n", F.xxhash64("key", "node")).drop("n")
-        if turn < star_rounds:
+        star = turn < star_rounds
+        m = members.withColumn("comp", F.col("node")) if at is None else members.join(at.hint("merge"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        apart = m.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), *([_leader(turn)] if star else [])).filter("c0 < c1")
+        apart = apart.select("key", *(["leader"] if star else []), _again("key"))
+        open_m = m.withColumn("again", F.xxhash64("key")).join(apart.hint("merge"), ["key", "again"]).drop("again")
+        if star:
             lead = F.col("leader")
             pairs = open_m.filter(F.col("comp") != lead["comp"]).select("node", "size", lead["node"].alias("other"), lead["size"].alias("other_size"))
         else:  # what still lies apart: across components only
-            open_m = checkpoint(open_m)
             right = open_m.select("key", F.col("node").alias("other"), F.col("size").alias("other_size"), F.col("comp").alias("other_comp"))
-            pairs = open_m.join(right, "key").filter(F.col("comp") < F.col("other_comp"))
+            pairs = open_m.join(right.hint("merge"), "key").filter(F.col("comp") < F.col("other_comp"))
         fits = 100 * F.least("size", "other_size") >= percent * F.greatest("size", "other_size")
         pairs = pairs.filter(fits).select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).filter("a != b").distinct()
         if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+            pairs = pairs.join(tried.hint("merge"), ["a", "b"], "left_anti")
         pairs = checkpoint(pairs)
-        left = pairs.join(texts.select(F.col("node").alias("a"), F.col("x").alias("xa"), F.col("registers").alias("ra")), "a")
-        both = left.join(texts.select(F.col("node").alias("b"), F.col("x").alias("xb"), F.col("registers").alias("rb")), "b")
+        if pairs.isEmpty():
+            break
+        left = pairs.join(texts.select(F.col("node").alias("a"), F.col("x").alias("xa"), F.col("registers").alias("ra")).hint("merge"), "a")
+        both = left.join(texts.select(F.col("node").alias("b"), F.col("x").alias("xb"), F.col("registers").alias("rb")).hint("merge"), "b")
         new = checkpoint(both.filter(linked("xa", "xb", "ra", "rb")).select("a", "b"))
-        tried = pairs if tried is None else checkpoint(tried.unionByName(pairs))
-        links = new if links is None else checkpoint(links.unionByName(new))
-        at = components(links)
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        if not new.isEmpty():
+            links = new if links is None else links.unionByName(new)
+            at = components(links)
 
     grouped = classes.select("s1", "s2", "d", "n")
     if at is not None:
