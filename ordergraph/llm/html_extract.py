@@ -189,7 +189,7 @@ def extract_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", h
     paired = dealt.withColumn("prev", F.lag(near).over(own)).withColumn("next", F.lead(near).over(own)).join(F.broadcast(ends), F.col("part") == F.col("at"))
 
     @F.pandas_udf("array<int>")
-    def compare(batches: Iterator[tuple]) -> Iterator[pd.Series]:
+    def compare(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         for host, path, keys, *others in batches:
             out = []
             for k in range(len(host)):
