@@ -2,8 +2,8 @@
 
 One pass sketches each document's shingle set; documents with one set are one
 class.  Classes that share a band of register values are candidates: each is
-compared with its bucket's leader, and only what stays apart within a bucket
-is compared further.  A pair's registers are weighed by their joint
+compared with its bucket's leader, and what stays apart within a bucket is
+compared further, block by block, without a row for each pair.  A pair's registers are weighed by their joint
 likelihood, then the full sets decide.  Components come from label
 propagation over the confirmed links.
 """
@@ -99,6 +99,140 @@ def sketched(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(F.col(f"`{doc_id}`").cast("long").alias("d"), F.xxhash64(x).alias("th"), x.alias("x")).mapInPandas(run, schema)
 
 
+def _slope(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, j: float) -> np.ndarray:
+    """Slope at similarity ``j`` of the log-likelihood of all pairs of rows of a and b.
+
+    The log-likelihood is concave, so its peak (see likely_jaccard) lies at
+    ``j`` or above exactly where the slope is not negative.
+    """
+    more = np.empty((len(a), len(b)), dtype=np.float64)
+    less = np.empty_like(more)
+    for k in range(0, len(a), 32):
+        more[k : k + 32] = (a[k : k + 32, None, :] > b[None, :, :]).sum(axis=2)
+        less[k : k + 32] = (a[k : k + 32, None, :] < b[None, :, :]).sum(axis=2)
+    u = n_a[:, None] / (n_a[:, None] + n_b[None, :])
+    v, c, tiny = 1 - u, (BASE - 1) / BASE, 1e-12
+    x, y = 1 - np.clip(u - v * j, 0, 1) * c, 1 - np.clip(v - u * j, 0, 1) * c
+    up, down = -np.log(x) / np.log(BASE), -np.log(y) / np.log(BASE)
+    d_up, d_down = -c * v / x / np.log(BASE), -c * u / y / np.log(BASE)
+    equal = a.shape[1] - more - less
+    return more * d_up / (up + tiny) + less * d_down / (down + tiny) - equal * (d_up + d_down) / np.maximum(1 - up - down, tiny)
+
+
+def _cell_pairs(cell: pd.DataFrame, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the pairs of a cell that could be links.
+
+    A pair counts if its components differ, its sizes and registers allow the
+    similarity (within seven standard errors) and this bucket is of the first
+    band that the two share, so that it is judged in one bucket only.
+    """
+    registers = np.stack([np.frombuffer(r, np.int16) for r in cell["registers"]])
+    size, comp, block = (cell[c].to_numpy() for c in ("size", "comp", "block"))
+    low, high = np.flatnonzero(block == cell["i"].iat[0]), np.flatnonzero(block == cell["j"].iat[0])
+    if not len(low) or not len(high):
+        return low[:0], low[:0]
+    na, nb = size[low].astype(np.float64), size[high].astype(np.float64)
+    ok = (comp[low][:, None] != comp[high][None, :]) & (100 * np.minimum(na[:, None], nb[None, :]) >= percent * np.maximum(na[:, None], nb[None, :]))
+    if cell["i"].iat[0] == cell["j"].iat[0]:
+        ok = np.triu(ok, 1)
+    if not ok.any():
+        return low[:0], low[:0]
+    ok &= _slope(registers[low], registers[high], na, nb, percent / 100 - 7 * 0.45 / REGISTERS**0.5) >= 0
+    p, q = (x[k] for x, k in zip((low, high), np.nonzero(ok)))
+    first = np.empty(len(p), dtype=np.int64)
+    for k in range(0, len(p), 50_000):
+        same = (registers[p[k : k + 50_000]] == registers[q[k : k + 50_000]]).reshape(-1, REGISTERS // BAND, BAND)
+        first[k : k + 50_000] = same.all(axis=2).argmax(axis=1)
+    here = first == cell["band"].iat[0]
+    return p[here], q[here]
+
+
+def _cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rows of each cell (key, i, j), which come one after another."""
+    rest = None
+    for batch in batches:
+        batch = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+        at = batch[["key", "i", "j"]].to_numpy()
+        ends = np.flatnonzero((at[1:] != at[:-1]).any(axis=1)) + 1
+        cuts = np.r_[0, ends]
+        for k in range(len(ends)):
+            yield batch.iloc[cuts[k] : cuts[k + 1]]
+        rest = batch.iloc[cuts[-1] :]
+    if rest is not None and len(rest):
+        yield rest
+
+
+def _possible(percent: int):
+    """Of each cell, the members of any pair that could be a link."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for cell in _cells(batches):
+            p, q = _cell_pairs(cell, percent)
+            if len(p):
+                yield cell.iloc[np.unique(np.concatenate([p, q]))].drop(columns="registers")
+
+    return run
+
+
+def _forest(percent: int):
+    """Of each cell, links (a, b) that join all that its links join: at most one less than its members."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes = WordHashes()
+        for cell in _cells(batches):
+            p, q = _cell_pairs(cell, percent)
+            if not len(p):
+                continue
+            sets = [shingles(x, hashes) for x in cell["x"]]
+            sizes = np.array([len(s) for s in sets])
+            names, codes = np.unique(np.concatenate(sets), return_inverse=True)
+            starts, mine = np.r_[0, np.cumsum(sizes)], np.zeros(len(names), dtype=bool)
+            node, label, links = cell["node"].to_numpy(), cell["comp"].to_numpy().copy(), []
+            order = np.argsort(p, kind="stable")
+            heads, begins = np.unique(p[order], return_index=True)
+            for one, others in zip(heads, np.split(q[order], begins[1:])):
+                others = others[label[others] != label[one]]
+                if not len(others):
+                    continue
+                own = codes[starts[one] : starts[one + 1]]
+                mine[own] = True
+                for k in range(0, len(others), 256):
+                    some = others[k : k + 256]
+                    ends = np.r_[0, np.cumsum(sizes[some])[:-1]]
+                    both = np.add.reduceat(mine[np.concatenate([codes[starts[o] : starts[o + 1]] for o in some])].astype(np.int64), ends)
+                    for o in some[100 * both >= percent * (sizes[one] + sizes[some] - both)]:
+                        if label[o] != label[one]:
+                            label[label == label[o]] = label[one]
+                            links.append((max(node[one], node[o]), min(node[one], node[o])))
+                mine[own] = False
+            if links:
+                yield pd.DataFrame(links, columns=["a", "b"])
+
+    return run
+
+
+#: Members of a bucket that are compared with as many others in one cell.
+BLOCK = 512
+
+
+def _across(open_m: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) across components of ``open_m`` (key, n, band, node, size, comp).
+
+    A bucket's members are dealt to blocks, and each two blocks meet in a
+    cell of bounded size.  Pairs exist only inside of cells; a text goes only
+    to cells where its registers allow a link.
+    """
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    dealt = open_m.withColumn("block", F.pmod(F.xxhash64("node", F.lit(17)), blocks).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.select("key", "band", "node", "size", "comp", "block", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"))
+    near = dealt.join(texts.select("node", "registers").hint("merge"), "node")
+    near = near.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
+    schema = "key long, band int, node long, size long, comp long, block int, i int, j int"
+    kept = checkpoint(near.select("key", "band", "node", "size", "comp", "block", "i", "j", "registers").mapInPandas(_possible(percent), schema))
+    full = kept.join(texts.hint("merge"), "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
+    return full.mapInPandas(_forest(percent), "a long, b long")
+
+
 def _tester(percent: int):
     @F.pandas_udf("boolean")
     def linked(ta: pd.Series, tb: pd.Series, ra: pd.Series, rb: pd.Series) -> pd.Series:
@@ -166,7 +300,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, star_rounds: int = 2, do
     classes = checkpoint(
         own.groupBy("s1", "s2").agg(F.min(F.struct("d", "th")).alias("rep"), F.first("n_shingles").alias("size"), F.first("registers").alias("registers"), F.first("bands").alias("bands"), F.count("*").alias("n")).select("s1", "s2", "rep.*", "size", "registers", "bands", "n")
     )
-    keys = classes.select(F.explode("bands").alias("key"), F.col("d").alias("node"), "size")
+    keys = classes.select(F.posexplode("bands").alias("band", "key"), F.col("d").alias("node"), "size")
     buckets = checkpoint(keys.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("key", "n"))
     members = checkpoint(join_counted(keys, buckets, ["key"], "n", F.xxhash64("key", "node")).drop("n"))
     nodes = members.select("node").distinct()
@@ -179,26 +313,23 @@ def near_duplicates(docs: DataFrame, percent: int = 75, star_rounds: int = 2, do
     for turn in range(star_rounds + 1):
         star = turn < star_rounds
         m = members.withColumn("comp", F.col("node")) if at is None else members.join(at.hint("merge"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        apart = m.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), *([_leader(turn)] if star else [])).filter("c0 < c1")
-        apart = apart.select("key", *(["leader"] if star else []), _again("key"))
+        apart = m.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), _leader(turn) if star else F.count("*").alias("n")).filter("c0 < c1")
+        apart = apart.select("key", "leader" if star else "n", _again("key"))
         open_m = m.withColumn("again", F.xxhash64("key")).join(apart.hint("merge"), ["key", "again"]).drop("again")
         if star:
             lead = F.col("leader")
             pairs = open_m.filter(F.col("comp") != lead["comp"]).select("node", "size", lead["node"].alias("other"), lead["size"].alias("other_size"))
-        else:  # what still lies apart: across components only
-            right = open_m.select("key", F.col("node").alias("other"), F.col("size").alias("other_size"), F.col("comp").alias("other_comp"))
-            pairs = open_m.join(right.hint("merge"), "key").filter(F.col("comp") < F.col("other_comp"))
-        fits = 100 * F.least("size", "other_size") >= percent * F.greatest("size", "other_size")
-        pairs = pairs.filter(fits).select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).filter("a != b").distinct()
-        if tried is not None:
-            pairs = pairs.join(tried.hint("merge"), ["a", "b"], "left_anti")
-        pairs = checkpoint(pairs)
-        if pairs.isEmpty():
-            break
-        left = pairs.join(texts.select(F.col("node").alias("a"), F.col("x").alias("xa"), F.col("registers").alias("ra")).hint("merge"), "a")
-        both = left.join(texts.select(F.col("node").alias("b"), F.col("x").alias("xb"), F.col("registers").alias("rb")).hint("merge"), "b")
-        new = checkpoint(both.filter(linked("xa", "xb", "ra", "rb")).select("a", "b"))
-        tried = pairs if tried is None else tried.unionByName(pairs)
+            fits = 100 * F.least("size", "other_size") >= percent * F.greatest("size", "other_size")
+            pairs = pairs.filter(fits).select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).filter("a != b").distinct()
+            if tried is not None:
+                pairs = pairs.join(tried.hint("merge"), ["a", "b"], "left_anti")
+            pairs = checkpoint(pairs)
+            left = pairs.join(texts.select(F.col("node").alias("a"), F.col("x").alias("xa"), F.col("registers").alias("ra")).hint("merge"), "a")
+            both = left.join(texts.select(F.col("node").alias("b"), F.col("x").alias("xb"), F.col("registers").alias("rb")).hint("merge"), "b")
+            new = checkpoint(both.filter(linked("xa", "xb", "ra", "rb")).select("a", "b"))
+            tried = pairs if tried is None else tried.unionByName(pairs)
+        else:
+            new = checkpoint(_across(open_m, texts, percent))
         if not new.isEmpty():
             links = new if links is None else links.unionByName(new)
             at = components(links)

@@ -152,6 +152,43 @@ def test_packing(docs, none):
     assert packing.pack(none).count() == 0
 
 
+def test_near_duplicates_of_a_drifting_group(spark, monkeypatch):
+    """Copies of one text with few to many changed words: candidates that are links or not, over several blocks."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 7)
+    rng = np.random.default_rng(5)
+    base = [f"w{k}" for k in range(120)]
+    texts = {}
+    for d in range(1, 121):
+        words = list(base)
+        for k in rng.choice(120, rng.integers(1, 9), replace=False):
+            words[k] = f"x{d}_{k}"
+        texts[d] = " ".join(words)
+    sets = {d: {tuple(x.split()[k : k + 5]) for k in range(116)} for d, x in texts.items()}
+    comp = {d: d for d in sets}
+    for a in sets:
+        for b in range(1, a):
+            if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]) and comp[a] != comp[b]:
+                low, high = sorted((comp[a], comp[b]))
+                comp = {d: low if c == high else c for d, c in comp.items()}
+    assert 1 < len(set(comp.values())) < 120
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for rounds in (0, 2):
+        got = {r.row.doc_id: r.component_id for r in near_dedup.near_duplicates(docs, star_rounds=rounds).collect()}
+        assert got == comp
+
+
+def test_slope_tells_the_side_of_the_likeliest_similarity():
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 2**63, 300, dtype=np.uint64)
+    sets = [np.concatenate([base[: 300 - k], rng.integers(0, 2**63, k, dtype=np.uint64)]) for k in (0, 10, 40, 60, 90)]
+    r, n = near_dedup.sketch(sets), np.array([300.0] * 5)
+    slope = near_dedup._slope(r, r, n, n, 0.6)
+    for a in range(5):
+        for b in range(5):
+            best = near_dedup.likely_jaccard(r[a], r[b], 300, 300)
+            assert abs(best - 0.6) < 0.01 or (slope[a, b] >= 0) == (best >= 0.6)
+
+
 def test_column_generation_is_near_its_bound():
     rng = np.random.default_rng(2)
     demand = {int(w): int(n) for w, n in zip(rng.permutation(64)[:30] + 1, rng.integers(1, 900, 30))}
