@@ -211,8 +211,9 @@ def _forest(percent: int):
     return run
 
 
-#: Members of a bucket that are compared with as many others in one cell.
-BLOCK = 512
+#: Members of a bucket that are compared with as many others in one cell.  A
+#: cell holds a few MB of registers; a bucket of n sends each row n / BLOCK times.
+BLOCK = 1024
 
 
 def _across(open_m: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -223,12 +224,12 @@ def _across(open_m: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     to cells where its registers allow a link.
     """
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = open_m.withColumn("block", F.pmod(F.xxhash64("node", F.lit(17)), blocks).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select("key", "band", "node", "size", "comp", "block", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"))
-    near = dealt.join(texts.select("node", "registers").hint("merge"), "node")
-    near = near.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
+    whole = open_m.join(texts.select("node", "registers").hint("merge"), "node")
+    dealt = whole.withColumn("block", F.pmod(F.xxhash64("node", F.lit(17)), blocks).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.select("key", "band", "node", "size", "comp", "block", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "registers")
+    near = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
     schema = "key long, band int, node long, size long, comp long, block int, i int, j int"
-    kept = checkpoint(near.select("key", "band", "node", "size", "comp", "block", "i", "j", "registers").mapInPandas(_possible(percent), schema))
+    kept = checkpoint(near.mapInPandas(_possible(percent), schema))
     full = kept.join(texts.hint("merge"), "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
     return full.mapInPandas(_forest(percent), "a long, b long")
 
