@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpoint, join_counted, packed
@@ -48,13 +48,10 @@ def sketch(sets: list[np.ndarray]) -> np.ndarray:
 MULTIPLY = np.uint64(0xD6E8FEB86659FD93)
 
 
-def bands(registers: np.ndarray) -> np.ndarray:
-    """A 64-bit key for each band of each row; bands have different keys."""
-    cells = (registers.astype(np.int64) + 2**15).astype(np.uint64).reshape(len(registers), -1, BAND)
-    key = np.arange(cells.shape[1], dtype=np.uint64)[None, :] + np.uint64(7)
-    for i in range(BAND):
-        key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + cells[:, :, i])
-    return key.view(np.int64)
+def band_keys(registers: str) -> Column:
+    """band, key of each band of a row's registers (two bytes each); bands have different keys."""
+    width = 2 * BAND
+    return F.posexplode(F.array(*[F.xxhash64(F.lit(k), F.substring(registers, 1 + k * width, width)) for k in range(REGISTERS // BAND)])).alias("band", "key")
 
 
 def likely_jaccard(a: np.ndarray, b: np.ndarray, n_a: int, n_b: int) -> float:
@@ -71,8 +68,8 @@ def likely_jaccard(a: np.ndarray, b: np.ndarray, n_a: int, n_b: int) -> float:
 
 
 def sketched(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """d, th (hash of the text), n_shingles, s1, s2 (hash of the set), registers, bands."""
-    schema = "d long, th long, n_shingles long, s1 long, s2 long, registers binary, bands array<long>"
+    """d, th (hash of the text), n_shingles, s1, s2 (hash of the set), registers."""
+    schema = "d long, th long, n_shingles long, s1 long, s2 long, registers binary"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
@@ -85,12 +82,12 @@ def sketched(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
                 out = []
                 for s in sets:
                     if not len(s):
-                        out.append((0, 0, 0, None, None))
+                        out.append((0, 0, 0, None))
                         continue
                     r = next(rows)
                     sums = [int(mixed(s + np.uint64(c)).sum(dtype=np.uint64).view(np.int64)) for c in (1, 2)]
-                    out.append((len(s), *sums, r.tobytes(), bands(r[None, :])[0].tolist()))
-                frame = pd.DataFrame(out, columns=["n_shingles", "s1", "s2", "registers", "bands"])
+                    out.append((len(s), *sums, r.tobytes()))
+                frame = pd.DataFrame(out, columns=["n_shingles", "s1", "s2", "registers"])
                 frame.insert(0, "d", batch["d"].astype("Int64").to_numpy(dtype=object, na_value=None))
                 frame.insert(1, "th", batch["th"].to_numpy())
                 yield frame
@@ -299,9 +296,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75, star_rounds: int = 2, do
     seen = checkpoint(sketched(docs, doc_id, text))
     own = seen.filter("d is not null and n_shingles > 0")
     classes = checkpoint(
-        own.groupBy("s1", "s2").agg(F.min(F.struct("d", "th")).alias("rep"), F.first("n_shingles").alias("size"), F.first("registers").alias("registers"), F.first("bands").alias("bands"), F.count("*").alias("n")).select("s1", "s2", "rep.*", "size", "registers", "bands", "n")
+        own.groupBy("s1", "s2").agg(F.min(F.struct("d", "th")).alias("rep"), F.first("n_shingles").alias("size"), F.first("registers").alias("registers"), F.count("*").alias("n")).select("s1", "s2", "rep.*", "size", "registers", "n")
     )
-    keys = classes.select(F.posexplode("bands").alias("band", "key"), F.col("d").alias("node"), "size")
+    keys = classes.select(band_keys("registers"), F.col("d").alias("node"), "size")
     buckets = checkpoint(keys.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("key", "n"))
     members = checkpoint(join_counted(keys, buckets, ["key"], "n", F.xxhash64("key", "node")).drop("n"))
     nodes = members.select("node").distinct()
@@ -321,7 +318,10 @@ def near_duplicates(docs: DataFrame, percent: int = 75, star_rounds: int = 2, do
             lead = F.col("leader")
             pairs = open_m.filter(F.col("comp") != lead["comp"]).select("node", "size", lead["node"].alias("other"), lead["size"].alias("other_size"))
             fits = 100 * F.least("size", "other_size") >= percent * F.greatest("size", "other_size")
-            pairs = pairs.filter(fits).select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).filter("a != b").distinct()
+            # of a node's leaders the one that shares most bands; the last round has what this leaves
+            pairs = pairs.filter(fits).groupBy("node", "other").agg(F.count("*").alias("shared"))
+            pairs = pairs.groupBy("node").agg(F.max_by("other", F.struct("shared", -F.col("other"))).alias("other"))
+            pairs = pairs.select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct()
             if tried is not None:
                 pairs = pairs.join(tried.hint("merge"), ["a", "b"], "left_anti")
             pairs = checkpoint(pairs)
