@@ -266,3 +266,27 @@ def test_pipeline(spark, tmp_path):
     assert {2, 4, 10} <= set(out.doc_id.dropna()) and not {5, 40, 44} & set(out.doc_id.dropna())
     assert set(out[out.doc_id == 3].doc_tokens) == {1}  # a copy: its lines went, and its empty text stays
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "lines", "near", "mix", "pack"]
+
+
+def test_lm_counts_every_bigram_by_itself(spark, monkeypatch):
+    """More n-grams than a part holds, over several chunks, against counts in a dictionary."""
+    monkeypatch.setattr(lm_score, "CHUNK", 4000)
+    rng = random.Random(11)
+    texts = {d: " ".join(f"w{int(rng.paretovariate(0.4)) % 5000}" for _ in range(rng.randrange(1, 200))) for d in range(60)} | {60: "", 61: None}
+    n = [{}, {}]
+    for d, x in texts.items():
+        words = (x or "").split()
+        for model in (0, 1) if d % 3 == 0 else (1,):
+            for a, b in zip(["<s>", *words], words):
+                for key in ((b,), (a, "*"), (a, b)):
+                    n[model][key] = n[model].get(key, 0) + 1
+    total, size = [sum(v for k, v in m.items() if len(k) == 1) for m in n], sum(len(k) == 1 for k in n[1])
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = by_id(lm_score.score_documents(docs, spark.createDataFrame([(d,) for d in range(0, 60, 3)], "t long"), bits=10), "n_tokens", "target_loss", "background_loss", "score")
+    for d, x in texts.items():
+        words, losses = (x or "").split(), []
+        for m, all_n in zip(n, total):
+            p = [(m.get((b,), 0) + 0.1) / (all_n + 0.1 * size) for b in words]
+            p2 = [m.get((a, b), 0) / m[a, "*"] if (a, "*") in m else q for a, b, q in zip(["<s>", *words], words, p)]
+            losses.append(-np.log(0.5 * np.array(p2) + 0.5 * np.array(p)).mean() if words else None)
+        assert got[d][0] == len(words) and (got[d][1:] == (None, None, None) if not words else got[d][1:] == pytest.approx((*losses, losses[0] - losses[1])))
