@@ -46,9 +46,9 @@ def quality_rules(
     base_failed, removed_chars, line_chars, kept.
 
     A line is removed when more than ``max_docs`` distinct documents of its
-    host hold it.  A document counts by the lines before and after the line,
-    so copies of a whole document count once and cannot make its lines
-    frequent.  The smallest doc_id of the host keeps the line.  A document is
+    host hold it.  Documents are told apart by a hash of the whole normalised
+    text, so copies of a whole document count once and cannot make its lines
+    frequent, and a line counts once for a document however often it has it.  The smallest doc_id of the host keeps the line.  A document is
     rejected when base_failed, or when the removed lines hold more than
     ``max_removed`` of its line characters.
 
@@ -59,21 +59,23 @@ def quality_rules(
     rows = packed(docs, d=F.col(f"`{doc_id}`"), x=F.coalesce(F.col(f"`{text}`"), F.lit("")), host=F.col(f"`{host}`")).withColumn("th", F.xxhash64("x"))
     keys = once(
         F.filter(F.transform(F.split("x", "\n", -1), line_key), lambda k: k != ""),
-        lambda ks: F.transform(
-            ks,
-            lambda k, i: F.struct(
-                F.xxhash64("host", k).alias("h1"),
-                F.xxhash64(F.lit(1), "host", k).alias("h2"),
-                F.xxhash64(F.coalesce(F.get(ks, i - 1), F.lit("")), F.coalesce(F.get(ks, i + 1), F.lit(""))).alias("around"),
-                F.length(k).alias("chars"),
-                i.alias("pos"),
-            ),
+        lambda ks: F.struct(
+            F.xxhash64(ks).alias("whole"),
+            F.transform(
+                ks,
+                lambda k, i: F.struct(
+                    F.xxhash64("host", k).alias("h1"),
+                    F.xxhash64(F.lit(1), "host", k).alias("h2"),
+                    F.length(k).alias("chars"),
+                    i.alias("pos"),
+                ),
+            ).alias("ks"),
         ),
     )
-    lines = rows.filter(F.col("d").isNotNull()).select("d", "th", F.explode(keys).alias("k")).select("d", "th", "k.*")
-    held = lines.groupBy("h1", "h2", "around").agg(F.min("d").alias("first_d"), F.count("*").alias("n"))
+    lines = rows.filter(F.col("d").isNotNull()).select("d", "th", keys.alias("l")).select("d", "th", "l.whole", F.explode("l.ks").alias("k")).select("d", "th", "whole", "k.*")
+    held = lines.groupBy("h1", "h2", "whole").agg(F.min("d").alias("first_d"), F.count("*").alias("n"))
     frequent = held.groupBy("h1", "h2").agg(F.min("first_d").alias("first_d"), F.sum("n").alias("n"), F.count("*").alias("n_docs")).filter(F.col("n_docs") > max_docs).drop("n_docs")
-    hits = join_counted(lines, checkpoint(frequent), ["h1", "h2"], "n", F.xxhash64("d", "pos"))
+    hits = join_counted(lines.drop("whole"), checkpoint(frequent), ["h1", "h2"], "n", F.xxhash64("d", "pos"))
     removed = hits.filter("d > first_d").groupBy(F.col("d").alias("cut_d"), F.col("th").alias("cut_th")).agg(F.sum("chars").alias("removed"))
 
     words = F.array_remove(F.split(F.translate("x", WS, " " * len(WS)), " ", -1), "")

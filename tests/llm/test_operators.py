@@ -290,3 +290,16 @@ def test_lm_counts_every_bigram_by_itself(spark, monkeypatch):
             p2 = [m.get((a, b), 0) / m[a, "*"] if (a, "*") in m else q for a, b, q in zip(["<s>", *words], words, p)]
             losses.append(-np.log(0.5 * np.array(p2) + 0.5 * np.array(p)).mean() if words else None)
         assert got[d][0] == len(words) and (got[d][1:] == (None, None, None) if not words else got[d][1:] == pytest.approx((*losses, losses[0] - losses[1])))
+
+
+def test_boilerplate_blocks_and_repeats_within_a_document(spark):
+    """A block of lines counts for every document that has it, a line repeated in one document once."""
+    body = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    block = "\n".join(" ".join(f"licence{i}x{j}" for j in range(25)) for i in range(4))
+    rows = [(k, block + "\n" + body(k), "h") for k in range(12)]
+    rows += [(100 + k, "\n".join(f"again and again \n{body(100 * k + i)}" for i in range(9)), "h") for k in range(2)]
+    out = quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string"), max_docs=5, max_removed=0.4)
+    got = by_id(out, "removed_chars", "kept")
+    size = sum(len(x.strip()) for x in block.split("\n"))
+    assert got[0] == (0, True) and all(got[k] == (size, False) for k in range(1, 12))
+    assert got[100] == got[101] == (0, True)
