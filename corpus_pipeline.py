@@ -35,7 +35,9 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs)
+    """Packed in the order in which the mixing stage wrote its files."""
+    file = F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1).cast("long")
+    return packing.pack(docs, place=F.shiftleft(F.coalesce(file, F.lit(0)), 40) + F.col("_metadata.row_index"))
 
 
 STAGES = [("quality", quality), ("lines", lines), ("near", near), ("mix", mix), ("pack", pack)]

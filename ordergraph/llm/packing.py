@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import public_tokenizers
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -25,6 +25,8 @@ from .common import checkpoint
 
 BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
 EOD = 1
+#: In an ordered packing, each pattern is dealt over so many rounds.
+ROUNDS = 64
 
 
 def load_encoder(path: str):
@@ -45,23 +47,23 @@ def cut(ids: list[int], size: int) -> list[tuple[int, int, int]]:
     return [(k, len(p), zlib.crc32(p.tobytes())) for k in range(0, len(raw), size) for p in [raw[k : k + size]]]
 
 
-def pieces_of(docs: DataFrame, size: int = 2048, tokenizer: str = BPE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    schema = "doc_id long, row_hash long, start long, length long, ids_crc32 long, doc_tokens long"
+def pieces_of(docs: DataFrame, size: int = 2048, tokenizer: str = BPE, doc_id: str = "doc_id", text: str = "text", place: Column | None = None) -> DataFrame:
+    schema = "place long, doc_id long, row_hash long, start long, length long, ids_crc32 long, doc_tokens long"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = load_encoder(tokenizer)
         for batch in batches:
             out = []
-            for d, h, x in zip(batch["d"], batch["h"], batch["x"]):
+            for p, d, h, x in zip(batch["p"], batch["d"], batch["h"], batch["x"]):
                 ids = encoder.encode_ordinary(x) if isinstance(x, str) else []
                 ids.append(EOD)
-                out += [(None if pd.isna(d) else int(d), h, s, n, c, len(ids)) for s, n, c in cut(ids, size)]
-            frame = pd.DataFrame(out, columns=["doc_id", "row_hash", "start", "length", "ids_crc32", "doc_tokens"])
+                out += [(p, None if pd.isna(d) else int(d), h, s, n, c, len(ids)) for s, n, c in cut(ids, size)]
+            frame = pd.DataFrame(out, columns=["place", "doc_id", "row_hash", "start", "length", "ids_crc32", "doc_tokens"])
             frame["doc_id"] = frame["doc_id"].astype("Int64")
             yield frame
 
     d = F.col(f"`{doc_id}`").cast("long")
-    return docs.select(d.alias("d"), F.xxhash64(d, F.col(f"`{text}`")).alias("h"), F.col(f"`{text}`").alias("x")).mapInPandas(run, schema)
+    return docs.select((F.lit(0) if place is None else place).cast("long").alias("p"), d.alias("d"), F.xxhash64(d, F.col(f"`{text}`")).alias("h"), F.col(f"`{text}`").alias("x")).mapInPandas(run, schema)
 
 
 def _knapsack(values: np.ndarray, capacity: int) -> tuple[float, dict[int, int]]:
@@ -150,6 +152,12 @@ def round_patterns(fractions: list[tuple[dict[int, int], float]], demand: dict[i
     return out + [(dict(p), n) for p, n in rest.items()]
 
 
+def in_rounds(patterns: list[tuple[dict[int, int], int]], rounds: int) -> list[tuple[dict[int, int], int]]:
+    """The same patterns as often, each dealt evenly over the rounds."""
+    due = lambda k, n, g: (n * g + k * 37 % rounds) // rounds  # noqa: E731  rare patterns fall in different rounds
+    return [(p, each) for g in range(rounds) for k, (p, n) in enumerate(patterns) if (each := due(k, n, g + 1) - due(k, n, g))]
+
+
 def pack(
     docs: DataFrame,
     size: int = 2048,
@@ -157,22 +165,30 @@ def pack(
     tokenizer: str = BPE,
     doc_id: str = "doc_id",
     text: str = "text",
+    place: Column | None = None,
 ) -> DataFrame:
     """Columns doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     ``grain``: widths are in units of so many tokens, so the histogram has at
     most size/grain classes, which bounds the program on the driver.
 
+    ``place``: a whole number for each row, 0 or more, in whose order documents
+    go to sequences: a class's pieces by rank, and all patterns side by side,
+    so that a sequence holds what stands at about its own share of the order
+    (to 1/ROUNDS of all).  Without it the order is that of a hash.
+
     Null or empty text: one piece, the end mark.  Null doc_id: packed as any
     other document, with a null id.  Repeated rows are packed each.  Ties in
     rank are of equal rows.  An empty table gives none.
     """
     units = size // grain
-    pieces = checkpoint(pieces_of(docs, size, tokenizer, doc_id, text).withColumn("width", F.ceil(F.col("length") / grain).cast("int")))
+    pieces = checkpoint(pieces_of(docs, size, tokenizer, doc_id, text, place).withColumn("width", F.ceil(F.col("length") / grain).cast("int")))
     demand = {r["width"]: r["n"] for r in pieces.groupBy("width").agg(F.count("*").alias("n")).collect()}  # at most ``units`` rows
     if not demand:
         return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     patterns = round_patterns(column_generation(demand, units)[0], demand, units)
+    if place is not None:
+        patterns = in_rounds(patterns, ROUNDS)
 
     # a class's ranks, run by run: the first rank, pieces a sequence, the first sequence
     runs: dict[int, list[tuple[int, int, int]]] = {w: [] for w in demand}
@@ -198,10 +214,10 @@ def pack(
     # rank in the class: offsets of hashed parts of about 4096 pieces, then rows
     # within the part, so no class however large is sorted in one task
     parts = max(1, sum(demand.values()) // 4096)
-    dealt = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "row_hash", "start"), F.lit(parts)))
+    dealt = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "row_hash", "start"), F.lit(parts)) if place is None else F.shiftright("place", 12))
     counts = dealt.groupBy("width", "part").agg(F.count("*").alias("n"))
     starts = counts.select(F.col("width").alias("at_width"), F.col("part").alias("at_part"), (F.sum("n").over(Window.partitionBy("width").orderBy("part")) - F.col("n")).alias("before"))
-    own = Window.partitionBy("width", "part").orderBy("doc_id", "start", "row_hash")
+    own = Window.partitionBy("width", "part").orderBy("place", "doc_id", "start", "row_hash")
     ranked = dealt.withColumn("nth", F.row_number().over(own) - 1).join(starts, (F.col("width") == F.col("at_width")) & (F.col("part") == F.col("at_part")))
     placed = ranked.withColumn("sequence_id", sequence_of("width", F.col("before") + F.col("nth")))
     inside = Window.partitionBy("sequence_id").orderBy(F.desc("length"), "doc_id", "start", "row_hash").rowsBetween(Window.unboundedPreceding, -1)

@@ -303,3 +303,25 @@ def test_boilerplate_blocks_and_repeats_within_a_document(spark):
     size = sum(len(x.strip()) for x in block.split("\n"))
     assert got[0] == (0, True) and all(got[k] == (size, False) for k in range(1, 12))
     assert got[100] == got[101] == (0, True)
+
+
+def test_patterns_in_rounds_are_as_often():
+    patterns = [({3: 1}, 1000), ({5: 2}, 7), ({2: 4}, 1)]
+    dealt = packing.in_rounds(patterns, 64)
+    for p, n in patterns:
+        assert sum(k for q, k in dealt if q == p) == n
+
+
+def test_sequences_follow_the_mix(spark, tmp_path):
+    """A source of a tenth of the text is due every fourth block, so it ends in the first half of the sequences."""
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    rows = [(k, " ".join(rng.choice(WORDS) + str(rng.randrange(40)) for _ in range(rng.randrange(200, 700))), "en", "small" if k % 10 == 0 else "large", 0) for k in range(1300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    corpus_pipeline.mix(spark, docs, "").write.parquet(str(tmp_path / "mixed"))
+    out = corpus_pipeline.pack(spark, spark.read.parquet(str(tmp_path / "mixed")), "").toPandas()
+    assert out.groupby("doc_id").length.sum().sum() == out.drop_duplicates("doc_id").doc_tokens.sum() and out.doc_id.nunique() == 1300
+    at, small = out.sequence_id / (out.sequence_id.max() + 1), out.doc_id % 10 == 0
+    share = lambda a, b: out.length[small & (at >= a) & (at < b)].sum() / out.length[(at >= a) & (at < b)].sum()
+    assert all(0.15 < share(k / 10, (k + 1) / 10) < 0.36 for k in range(3)) and share(0.5, 1) < 0.02
