@@ -325,3 +325,17 @@ def test_sequences_follow_the_mix(spark, tmp_path):
     at, small = out.sequence_id / (out.sequence_id.max() + 1), out.doc_id % 10 == 0
     share = lambda a, b: out.length[small & (at >= a) & (at < b)].sum() / out.length[(at >= a) & (at < b)].sum()
     assert all(0.15 < share(k / 10, (k + 1) / 10) < 0.36 for k in range(3)) and share(0.5, 1) < 0.02
+
+
+def test_packing_knows_the_added_token():
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    encoder = packing.load_encoder(packing.BPE, packing.added_tokens())
+    for x in ("a<|endoftext|>b", " <|endoftext|> <|endoftext|><|endoftext|>\n", "<|endoftext|", "<|EndOfText|> x"):
+        assert encoder.encode(x, allowed_special="all") == t.encode(x, add_special_tokens=False).ids
+
+
+def test_pieces_hold_the_added_token(spark):
+    x = "a<|endoftext|>b"
+    ids = np.array([*Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode(x, add_special_tokens=False).ids, 1], dtype="<u4")
+    (got,) = packing.pack(spark.createDataFrame([(1, x)], "doc_id long, text string")).collect()
+    assert 50256 in ids and (got.doc_tokens, got.ids_crc32) == (len(ids), zlib.crc32(ids.tobytes()))
