@@ -258,6 +258,11 @@ def b8_average_by_bin(spark, sf):
     return out.agg(F.countDistinct("bin_key").alias("n"))
 
 
+@query()
+def b8_averages_by_bin(spark, sf):
+    return H.average_vectors(B.equal_width(S.vectors(spark, sf), "scalar", 10), ["bin_key"])
+
+
 @query("SELECT cls, bin, round(sum(p) / n, 6) AS mean FROM (SELECT cls, bin, weight / sum(weight) OVER (PARTITION BY sample_id) AS p FROM hist) JOIN (SELECT cls, count(DISTINCT sample_id) AS n FROM hist GROUP BY 1) USING (cls) GROUP BY 1, 2, n")
 def b9_average_by_series(spark, sf):
     return rounded(H.average(H.normalize(S.histograms(spark, sf)), ["cls"]).drop("std"), "mean")
@@ -273,6 +278,13 @@ def m1_moments(spark, sf):
     return rounded(M.moments(S.histograms(spark, sf)).filter("std > 0"), "mean", "std", "skewness", "kurtosis")
 
 
+@query()
+def m1_moments_of_all(spark, sf):
+    """Samples without weight or variance too; what is undefined is null."""
+    m = M.moments(S.histograms(spark, sf))
+    return m.select("sample_id", *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in ("mean", "std", "skewness", "kurtosis")])
+
+
 @query(MOM + "SELECT cls, round(avg(mean), 6) AS mean, round(stddev_pop(mean), 6) AS std, round(quantile_cont(mean, 0.16), 6) AS q16, round(quantile_cont(mean, 0.5), 6) AS q50, round(quantile_cont(mean, 0.84), 6) AS q84, round(quantile_cont(mean, 0.5) - quantile_cont(mean, 0.16), 6) AS std_lo, round(quantile_cont(mean, 0.84) - quantile_cont(mean, 0.5), 6) AS std_hi FROM (SELECT *, CASE WHEN sample_id % 2 = 0 THEN 'a' ELSE 'b' END AS cls FROM m) GROUP BY 1")
 def m5_aggregate_moment(spark, sf):
     out = M.aggregate_moment(M.moments(S.histograms(spark, sf), ["sample_id", "cls"]), "mean", ["cls"])
@@ -317,6 +329,11 @@ def f4_line_fit(spark, sf):
     return rounded(T.line_fit(_series(spark, sf)).select("series", "slope", "intercept"), "slope", "intercept")
 
 
+@query()
+def f4_line_fit_errors(spark, sf):
+    return T.line_fit(_series(spark, sf))
+
+
 @query("SELECT event_type AS series, (hour(ts) + 1)::DOUBLE AS x, round(stddev_samp(value), 6) AS std FROM events GROUP BY 1, 2 HAVING count(*) > 1", "")
 def f6_std_floor(spark, sf):
     return rounded(T.std_floor(_series(spark, sf).filter("std is not null")).select("series", "x", "std"), "std")

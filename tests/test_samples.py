@@ -90,3 +90,23 @@ def test_same_spectrum_has_no_peak(spark):
     pairs = spark.createDataFrame([("s", b, 5.0, 5.0) for b in range(1, 20)], "series string, bin int, reference double, candidate double")
     s = M.spectrum(pairs)
     assert s.agg(F.max("amplitude")).first()[0] == 0 and M.peaks(s, 0.0).count() == 0
+
+
+def test_whole_results_beside_those_of_the_sql(spark, tmp_path):
+    """Averages by bin, errors of a line, moments of samples without variance."""
+    import datetime
+
+    from ordergraph import catalogue
+
+    spark.createDataFrame([(k, k % 10, [float(k), 1.0]) for k in range(20)], "vec_id long, label int, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    spark.createDataFrame([(1, 2), (2, 1), (2, 3)], "l_suppkey long, l_linenumber int").write.parquet(str(tmp_path / "lineitem.parquet"))
+    ys = [1.0, 3.5, 4.0, 8.0]
+    spark.createDataFrame([("e", datetime.datetime(2020, 1, 1, h), y) for h, y in enumerate(ys)], "event_type string, ts timestamp, value double").write.parquet(str(tmp_path / "events.parquet"))
+    run = lambda name: catalogue.queries()[name](spark, str(tmp_path)).collect()
+    means = sorted((r["bin_key"], r["mean"]) for r in run("b8_averages_by_bin") if r["pos"] == 1)
+    assert [m for _, m in means] == [k + 5.0 for k in range(10)]
+    got = {r["sample_id"]: r for r in run("m1_moments_of_all")}
+    assert (got[1]["mean"], got[1]["std"], got[1]["skewness"], got[1]["kurtosis"]) == (2, 0, None, None) and got[2]["std"] == 1
+    (line,) = run("f4_line_fit_errors")
+    rss = sum((y - line["intercept"] - line["slope"] * x) ** 2 for x, y in enumerate(ys, 1))
+    assert line["slope_err"] == pytest.approx(math.sqrt(rss / 2 / 5)) and line["intercept_err"] == pytest.approx(math.sqrt(rss / 2 * 30 / 20))
