@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,15 +20,61 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a temporary one only where all run on this machine."""
+    sc = spark.sparkContext
+    shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if shared is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        shared = tempfile.mkdtemp(prefix="spark-checkpoint-")
+        sc.setCheckpointDir(shared)
+    return shared
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and cut its lineage."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
+class Scratch:
+    """Tables that one run writes to the shared folder, compressed, and removes
+    as soon as it has read them for the last time."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.folder = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        self.tables, self.names = 0, []
+
+    def save(self, df: DataFrame, name: str | None = None) -> DataFrame:
+        self.tables += 1
+        path = f"{self.folder}/{name or f'step-{self.tables}'}"
+        df.write.option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def save_dealt(self, df: DataFrame, key: str, buckets: int) -> DataFrame:
+        """Dealt by ``key`` once and for all: joins on it do not shuffle the table again."""
+        self.tables += 1
+        name = f"dealt_{uuid.uuid4().hex}"
+        dealt = df.repartition(buckets, key).write.option("compression", "zstd").option("path", f"{self.folder}/step-{self.tables}")
+        dealt.bucketBy(buckets, key).saveAsTable(name)
+        self.names.append(name)
+        return self.spark.table(name)
+
+    def clear(self, keep: tuple[str, ...] = ()) -> None:
+        """Remove the run's tables but those named in ``keep``."""
+        while self.names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.names.pop()}")
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        root = jvm.org.apache.hadoop.fs.Path(self.folder)
+        fs = root.getFileSystem(conf)
+        for each in fs.listStatus(root) if fs.exists(root) else ():
+            if each.getPath().getName() not in keep:
+                fs.delete(each.getPath(), True)
+
+
 def packed(df: DataFrame, **named: Column) -> DataFrame:
     """The whole input row as struct ``row``, beside the named columns.
 

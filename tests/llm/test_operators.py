@@ -172,8 +172,8 @@ def test_near_duplicates_of_a_drifting_group(spark, monkeypatch):
                 comp = {d: low if c == high else c for d, c in comp.items()}
     assert 1 < len(set(comp.values())) < 120
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    for rounds in (0, 2):
-        got = {r.row.doc_id: r.component_id for r in near_dedup.near_duplicates(docs, star_rounds=rounds).collect()}
+    for shrink in (0.01, 1.0):
+        got = {r.row.doc_id: r.component_id for r in near_dedup.near_duplicates(docs, shrink=shrink).collect()}
         assert got == comp
 
 
@@ -182,13 +182,25 @@ def test_slope_tells_the_side_of_the_likeliest_similarity():
     base = rng.integers(0, 2**63, 300, dtype=np.uint64)
     sets = [np.concatenate([base[: 300 - k], rng.integers(0, 2**63, k, dtype=np.uint64)]) for k in (0, 10, 40, 60, 90)]
     r, n = near_dedup.sketch(sets), np.array([300.0] * 5)
-    slope = near_dedup._slope(r, r, n, n, 0.6)
+    more, less = ((x(r[:, None, :], r[None, :, :])).sum(axis=2) for x in (np.greater, np.less))
+    slope = near_dedup.slope(more, less, n[:, None], n[None, :], 0.6)
     for a in range(5):
         for b in range(5):
             best = near_dedup.likely_jaccard(r[a], r[b], 300, 300)
             assert abs(best - 0.6) < 0.01 or (slope[a, b] >= 0) == (best >= 0.6)
 
 
+def test_sketches_merge(monkeypatch):
+    """A union's registers are the larger ones, and a set may be sketched in pieces."""
+    rng = np.random.default_rng(7)
+    a, b = (rng.integers(0, 2**63, n, dtype=np.uint64) for n in (900, 40))
+    both = near_dedup.sketch([a, b])
+    union = near_dedup.sketch([np.concatenate([a, b])])
+    assert (near_dedup.merge(both, np.array([0])) == union).all() and both.min() > 0 and both.max() < near_dedup.TOP
+    monkeypatch.setattr(near_dedup, "PIECE", 100)
+    assert (near_dedup.sketch([a, b]) == both).all()
+
+
 def test_column_generation_is_near_its_bound():
     rng = np.random.default_rng(2)
     demand = {int(w): int(n) for w, n in zip(rng.permutation(64)[:30] + 1, rng.integers(1, 900, 30))}
