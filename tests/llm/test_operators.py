@@ -297,13 +297,28 @@ def test_lm_counts_every_bigram_by_itself(spark, monkeypatch):
     got = by_id(lm_score.score_documents(docs, spark.createDataFrame([(d,) for d in range(0, 60, 3)], "t long"), bits=10), "n_tokens", "target_loss", "background_loss", "score")
     for d, x in texts.items():
         words, losses = (x or "").split(), []
-        for m, all_n in zip(n, total):
-            p = [(m.get((b,), 0) + 0.1) / (all_n + 0.1 * size) for b in words]
-            p2 = [m.get((a, b), 0) / m[a, "*"] if (a, "*") in m else q for a, b, q in zip(["<s>", *words], words, p)]
+        for model, (m, all_n) in enumerate(zip(n, total)):
+            own = {}
+            for a, b in zip(["<s>", *words], words) if model == 1 or d % 3 == 0 else ():
+                for key in ((b,), (a, "*"), (a, b)):
+                    own[key] = own.get(key, 0) + 1
+            left = lambda *key: m.get(key, 0) - own.get(key, 0)  # noqa: B023, E731
+            all_n -= len(words) if own else 0
+            p = [(left(b) + 0.1) / (all_n + 0.1 * size) for b in words]
+            p2 = [left(a, b) / left(a, "*") if left(a, "*") else q for a, b, q in zip(["<s>", *words], words, p)]
             losses.append(-np.log(0.5 * np.array(p2) + 0.5 * np.array(p)).mean() if words else None)
         assert got[d][0] == len(words) and (got[d][1:] == (None, None, None) if not words else got[d][1:] == pytest.approx((*losses, losses[0] - losses[1])))
 
 
+def test_lm_score_tells_documents_that_occur_twice(spark):
+    rng = random.Random(13)
+    texts = [" ".join(f"w{int(rng.paretovariate(0.6)) % 3000}" for _ in range(80)) for _ in range(40)]
+    rows = list(enumerate(texts)) + [(100 + k, texts[k]) for k in range(5)]
+    out = lm_score.score_documents(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1,)], "t long"))
+    loss = {r[0]: r[1] for r in out.select("row.doc_id", "background_loss").collect()}
+    assert max(loss[k] for k in range(5)) < np.median([loss[k] for k in range(5, 40)])
+
+
 def test_boilerplate_blocks_and_repeats_within_a_document(spark):
     """A block of lines counts for every document that has it, a line repeated in one document once."""
     body = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
