@@ -63,7 +63,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_extract.extract_text(table(spark, sf_dir, "pages")).select("row.page_id", "row.url", "text", "n_chars", "n_shared")
+    return html_extract.extract_text(table(spark, sf_dir, "pages")).select("row.page_id", "row.url", "text", "n_chars", "n_deleted", "n_compared")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -1,3 +1,4 @@
+import os
 import random
 import zlib
 
@@ -258,15 +259,70 @@ def test_html(spark):
     assert out[20] == "Site of things\n\ntext 7 here\n\nRead our rules"
 
 
+def lcs_length(a, b):
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+    return best[-1][-1]
+
+
 def test_shared_lines_is_a_longest_common_subsequence():
     rng = random.Random(8)
-    for _ in range(50):
-        a, b = ([rng.randrange(4) for _ in range(rng.randrange(9))] for _ in range(2))
-        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-        for i, x in enumerate(a):
-            for j, y in enumerate(b):
-                best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
-        assert len(html_extract.shared_lines(a, b)) == best[-1][-1]
+    for _ in range(300):
+        a, b = ([rng.randrange(rng.choice((2, 4, 30))) for _ in range(rng.randrange(40))] for _ in range(2))
+        found = sorted(html_extract.shared_lines(a, b))
+        rest = iter(b)
+        assert len(found) == lcs_length(a, b) and all(a[k] in rest for k in found)
+
+
+def test_shared_lines_of_very_long_pages():
+    """Space and time do not follow the product of 100,000 and 90,000 lines cell by cell."""
+    rng = random.Random(9)
+    a = [rng.choice((1, 2, k + 10)) for k in range(100_000)]
+    b = [x for x in a if rng.random() < 0.9]
+    assert len(html_extract.shared_lines(a, b)) == len(b)
+
+
+def test_attributes_and_recovery():
+    text = lambda page: [t for t, _, never in html_extract.lines_of(page) if not never]
+    assert text("<p title=it's>Hello</p><p>world's end</p><p>bye</p>") == ["Hello", "world's end", "bye"]
+    assert text('<p class="x>Hello</p><p>a</p>') == ["Hello", "a"] and text('<p title="a > b">c</p>') == ["c"]
+    assert text('<p class="x>Hello</p><p class="y">b</p>') == ["Hello", "b"]
+    assert text('<a href="/hidden/style">x</a> y<div hidden>no</div><p class=ad>no</p>') == ["x y"]
+    assert text("a < b <p") == ["a < b"] and text("<p/>x<br/>y<div data-x='<p>'>z</div>") == ["x y", "z"]
+
+
+def test_html_against_brute_force(spark):
+    """The whole extraction, over blocks of 16 rows, against all pages in one list."""
+    rng = random.Random(10)
+    furniture = ["About us", "Rules", "Write to us", "Share this page"]
+    rows = []
+    for k in range(150):
+        own = [f"p{rng.randrange(60) if rng.random() < 0.1 else k}x{i}" for i in range(rng.randrange(1, 6))]
+        inner = furniture[3:] if rng.random() < 0.8 else []
+        body = "".join(f"<p>{x}</p>" for x in (*own, *inner))
+        body = f"<article>{body}</article>" if k % 3 else f"<div>{body}</div>"
+        rows.append((k // 2 if k % 40 == 1 else k, f"http://h{rng.randrange(3)}.com/{rng.choice('ab')}/{rng.randrange(500)}", "".join(f"<div>{x}</div>" for x in rng.sample(furniture[:3], 2)) + body, "c"))
+    rows += [rows[4], rows[4], (None, "http://h1.com/a/3", rows[7][2], "c"), (200, None, None, "c"), (201, "http://h1.com/a/4", rows[8][2], "c")]
+    out = html_extract.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string, text string"), block=16)
+    got = {(r.row.page_id, r.row.url): (r.text, r.n_deleted, r.n_compared) for r in out.collect()}
+    keyed = spark.createDataFrame(sorted({r[:3] for r in rows}, key=str), "d long, url string, html string").select("*", F.xxhash64("d", "url", "html").alias("k1"))
+    every = sorted((*url_filter.split_url(r.url), -1 if r.d is None else r.d, r.k1, r) for r in keyed.collect())
+    pages = [[(t, i) for t, i, never in html_extract.lines_of(e[-1].html) if not never] for e in every]
+    as_keys = [([hash(t) for t, _ in p], [i for _, i in p]) for p in pages]
+    for k, (host, path, *_, r) in enumerate(every):
+        near = [o for o in range(max(0, k - 4), min(len(every), k + 5)) if o != k and host and every[o][0] == host]
+        near.sort(key=lambda o: (-len(os.path.commonprefix([every[o][1], path])), abs(o - k), o))
+        near = [o for o in near if not html_extract.is_copy(as_keys[k], as_keys[o])][:3]
+        held = [set(html_extract.shared_lines(as_keys[k][0], as_keys[o][0])) for o in near]
+        article, keep = any(i for _, i in pages[k]), []
+        for n, (t, i) in enumerate(pages[k]):
+            gone = len(held) == 3 and all(n in h for h in held) if i else n in held[0] if held else article
+            keep += [] if gone else [t]
+        assert got[r.d, r.url] == ("\n\n".join(keep), len(pages[k]) - len(keep), len(near))
+    assert out.count() == len(rows) and sum(n for _, n, _ in got.values()) > 150
+    assert html_extract.extract_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
 def test_pipeline(spark, tmp_path):
