@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,7 +43,7 @@ MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)|<[!?][^>]*(?:>|\
 NAME = re.compile(r"[\s/]*([^\s/>=]+)(?:\s*(=)\s*)?")
 BARE = re.compile(r"[^\s>]*")
 #: Pages before and after one that are looked at, pages that it is compared with, and rows of a block.
-AROUND, COMPARED, BLOCK = 4, 3, 4096
+AROUND, COMPARED, BLOCK = 6, 6, 4096
 
 
 def attributes(page: str, at: int) -> tuple[dict[str, str], bool, int]:
@@ -141,6 +142,11 @@ def lines_of(page: str | None) -> list[tuple[str, bool, bool]]:
     return out
 
 
+def page_lines(page: object) -> list[tuple[str, bool]]:
+    """(text, in the article element) of each line that may be article text; none of a page that is null."""
+    return [(t, i) for t, i, never in lines_of(page if isinstance(page, str) else None) if not never]
+
+
 def _lengths(a: list[int], b: list[int]) -> np.ndarray:
     """Length of the longest common subsequence of ``a`` and each beginning of ``b``.
 
@@ -242,18 +248,18 @@ def extract_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", h
     named = {"d": F.col(f"`{page_id}`").cast("long"), "url": F.col(f"`{url}`"), "html": F.col(f"`{html}`")}
     identity = {"k1": F.xxhash64(*named.values()), "k2": F.xxhash64(F.lit(1), *named.values())}
 
-    @F.pandas_udf("host string, path string, keys array<long>, inside array<boolean>, lines string")
+    @F.pandas_udf("host string, path string, keys array<long>, inside array<boolean>")
     def parse(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for urls, bodies in batches:
             out = []
             for u, b in zip(urls, bodies):
-                found = [(t, i) for t, i, never in lines_of(b if isinstance(b, str) else None) if not never]
+                found = page_lines(b)
                 keys = [xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) - 2**63 for t, _ in found]
-                out.append((*split_url(u if isinstance(u, str) else None), keys, [i for _, i in found], "\n".join(t for t, _ in found)))
-            yield pd.DataFrame(out, columns=["host", "path", "keys", "inside", "lines"])
+                out.append((*split_url(u if isinstance(u, str) else None), keys, [i for _, i in found]))
+            yield pd.DataFrame(out, columns=["host", "path", "keys", "inside"])
 
     fields = pages.select(*[c.alias(k) for k, c in {**identity, **named}.items()])
-    parsed = scratch.save(fields.select("k1", "k2", "d", parse("url", "html").alias("p")).select("k1", "k2", "d", "p.*"), "parsed")
+    parsed = scratch.save(fields.select("k1", "k2", "d", parse("url", "html").alias("p")).select("k1", "k2", "d", "p.*"))
     # repeated rows once; then keys only are put in order: a range has no hot host
     once = parsed.groupBy("k1", "k2").agg(F.first(F.struct("d", "host", "path", "keys", "inside")).alias("p")).select("k1", "k2", "p.*")
     order = ["host", "path", "d", "k1", "k2"]
@@ -270,19 +276,23 @@ def extract_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", h
     blocks = ranked.withColumn("block", F.explode(to)).withColumn("own", F.floor(F.col("rank") / block) == F.col("block"))
     kinds = "k1 long, k2 long, deleted array<int>, n_compared int"
     decided = scratch.save(blocks.groupBy("block").applyInPandas(_compared, kinds), "decided")
-    scratch.clear(keep=("parsed", "decided"))
+    scratch.clear(keep=("decided",))
+
+    # pages are read again rather than kept: only the lines are dealt, compressed
+    @F.pandas_udf("size int, lines binary")
+    def pressed(bodies: pd.Series) -> pd.DataFrame:
+        texts = ["\n".join(t for t, _ in page_lines(b)).encode("utf-8", "surrogatepass") for b in bodies]
+        return pd.DataFrame({"size": [len(x) for x in texts], "lines": [pa.compress(x, codec="zstd", asbytes=True) for x in texts]})
 
     @F.pandas_udf("string")
-    def kept(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for lines, deleted in batches:
-            out = []
-            for x, d in zip(lines, deleted):
-                gone = set() if d is None else {int(k) for k in d}
-                out.append("\n\n".join(t for k, t in enumerate(x.split("\n")) if k not in gone))
-            yield pd.Series(out, dtype=object)
-
-    texts = parsed.groupBy("k1", "k2").agg(F.first("lines").alias("lines")).join(decided.hint("merge"), ["k1", "k2"])
-    texts = texts.select(F.col("k1").alias("at_1"), F.col("k2").alias("at_2"), kept("lines", "deleted").alias("text"), F.size("deleted").cast("long").alias("n_deleted"), F.col("n_compared").cast("long").alias("n_compared"))
-    rows = packed(pages, **identity)
-    both = rows.join(texts.hint("merge"), (F.col("k1") == F.col("at_1")) & (F.col("k2") == F.col("at_2")))
-    return both.select("row", "text", F.length("text").cast("long").alias("n_chars"), "n_deleted", "n_compared")
+    def kept(size: pd.Series, lines: pd.Series, deleted: pd.Series) -> pd.Series:
+        out = []
+        for n, x, d in zip(size, lines, deleted):
+            gone = {int(k) for k in d}
+            text = pa.decompress(x, decompressed_size=n, codec="zstd", asbytes=True).decode("utf-8", "surrogatepass") if n else ""
+            out.append("\n\n".join(t for k, t in enumerate(text.split("\n")) if k not in gone))
+        return pd.Series(out, dtype=object)
+
+    rows = packed(pages, **identity, p=pressed(named["html"]))
+    both = rows.join(decided.hint("merge"), ["k1", "k2"]).select("row", "deleted", "n_compared", kept("p.size", "p.lines", "deleted").alias("text"))
+    return both.select("row", "text", F.length("text").cast("long").alias("n_chars"), F.size("deleted").cast("long").alias("n_deleted"), F.col("n_compared").cast("long").alias("n_compared"))

@@ -300,7 +300,7 @@ def test_html_against_brute_force(spark):
     rows = []
     for k in range(150):
         own = [f"p{rng.randrange(60) if rng.random() < 0.1 else k}x{i}" for i in range(rng.randrange(1, 6))]
-        inner = furniture[3:] if rng.random() < 0.8 else []
+        inner = furniture[3:] if rng.random() < 0.95 else []
         body = "".join(f"<p>{x}</p>" for x in (*own, *inner))
         body = f"<article>{body}</article>" if k % 3 else f"<div>{body}</div>"
         rows.append((k // 2 if k % 40 == 1 else k, f"http://h{rng.randrange(3)}.com/{rng.choice('ab')}/{rng.randrange(500)}", "".join(f"<div>{x}</div>" for x in rng.sample(furniture[:3], 2)) + body, "c"))
@@ -312,13 +312,13 @@ def test_html_against_brute_force(spark):
     pages = [[(t, i) for t, i, never in html_extract.lines_of(e[-1].html) if not never] for e in every]
     as_keys = [([hash(t) for t, _ in p], [i for _, i in p]) for p in pages]
     for k, (host, path, *_, r) in enumerate(every):
-        near = [o for o in range(max(0, k - 4), min(len(every), k + 5)) if o != k and host and every[o][0] == host]
+        near = [o for o in range(max(0, k - 6), min(len(every), k + 7)) if o != k and host and every[o][0] == host]
         near.sort(key=lambda o: (-len(os.path.commonprefix([every[o][1], path])), abs(o - k), o))
-        near = [o for o in near if not html_extract.is_copy(as_keys[k], as_keys[o])][:3]
+        near = [o for o in near if not html_extract.is_copy(as_keys[k], as_keys[o])][:6]
         held = [set(html_extract.shared_lines(as_keys[k][0], as_keys[o][0])) for o in near]
         article, keep = any(i for _, i in pages[k]), []
         for n, (t, i) in enumerate(pages[k]):
-            gone = len(held) == 3 and all(n in h for h in held) if i else n in held[0] if held else article
+            gone = len(held) == 6 and all(n in h for h in held) if i else n in held[0] if held else article
             keep += [] if gone else [t]
         assert got[r.d, r.url] == ("\n\n".join(keep), len(pages[k]) - len(keep), len(near))
     assert out.count() == len(rows) and sum(n for _, n, _ in got.values()) > 150
