@@ -89,10 +89,10 @@ def search(
 
     Null, zero and non-finite vectors take no part, nor do those with a null
     id or of another length than the first sampled one.  Rows with one id
-    and one vector count once.  No usable rows: no result.
+    count once, with the least of their vectors.  No usable rows: no result.
     """
     every = vectors.select(F.col(f"`{vec_id}`").cast("long").alias("id"), F.col(f"`{vector}`").cast("array<double>").alias("v"), is_query.alias("q"))
-    every = every.filter(F.col("id").isNotNull() & usable(F.col("v")))
+    every = every.filter(F.col("id").isNotNull() & usable(F.col("v"))).groupBy("id").agg(F.min("v").alias("v"), F.max("q").alias("q"))
     total = every.count()
     drawn = every.filter(hash_share(F.xxhash64("id"), sample, total)).select("v", "id").collect()  # about ``sample`` rows
     drawn.sort(key=lambda r: (r["id"], r["v"]))
@@ -143,7 +143,7 @@ def search(
         out = []
         if len(queries) and len(rows):
             m, at = shared.value, int(rows["list"].iloc[0])
-            rows = rows.sort_values("id", kind="stable").drop_duplicates("id")
+            rows = rows.sort_values("id", kind="stable")
             ids, x = rows["id"].to_numpy(), np.stack([np.asarray(v, dtype=float) for v in rows["v"]])
             codes = np.frombuffer(b"".join(rows["codes"]), dtype=np.uint8).reshape(len(rows), -1)
             part = np.arange(codes.shape[1])[None, :]

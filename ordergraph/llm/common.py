@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: The white space that the text contracts name: \x20 and \x09-\x0D.
 WS = " \t\n\x0b\x0c\r"
@@ -121,6 +122,20 @@ def join_counted(left: DataFrame, agg: DataFrame, keys: list[str], count: str, s
     return out.filter(F.col("v").isNotNull()).select(*[F.col(c) for c in left.columns], *[F.col("v")[c].alias(c) for c in values])
 
 
+def before(sums: DataFrame, key: str, place: str, value: str, width: int = 1024) -> DataFrame:
+    """The rows with column ``before``: the sum of ``value`` over the key's rows of smaller ``place``.
+
+    In two levels of ``width`` places, so that a task orders a part of a key's
+    rows, or one row for each part.
+    """
+    dealt = sums.withColumn("level", F.floor(F.col(place) / width))
+    tops = dealt.groupBy(key, "level").agg(F.sum(value).alias("all"))
+    tops = tops.select(F.col(key).alias("at_key"), F.col("level").alias("at_level"), (F.sum("all").over(Window.partitionBy(key).orderBy("level")) - F.col("all")).alias("above"))
+    inside = F.sum(value).over(Window.partitionBy(key, "level").orderBy(place)) - F.col(value)
+    both = dealt.withColumn("inside", inside).join(tops, F.col(key).eqNullSafe(F.col("at_key")) & (F.col("level") == F.col("at_level")))
+    return both.select(*sums.columns, (F.col("above") + F.col("inside")).alias("before"))
+
+
 def hash_share(h: Column | str, wanted: int, total: int) -> Column:
     """About ``wanted`` of ``total`` rows, by a uniform 64-bit hash; all if there are no more.
 

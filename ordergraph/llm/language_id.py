@@ -108,7 +108,7 @@ def identify(
     low = F.lit(False)
     for name, n in sizes.items():
         low |= (F.col("l") == name) & hash_share("h", per_language, n)
-    drawn = labelled.filter(low).collect() if sizes else []  # about ``per_language`` rows of each
+    drawn = sorted(labelled.filter(low).dropDuplicates(["h", "l"]).collect(), key=lambda r: (r["h"], r["l"])) if sizes else []  # about ``per_language`` rows of each
     model = fit([r["x"] for r in drawn], [r["l"] for r in drawn], dims, centroids, reject) if drawn else None
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

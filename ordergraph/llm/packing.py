@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import checkpoint
+from .common import before, checkpoint
 
 BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
 EOD = 1
@@ -224,7 +224,7 @@ def pack(
     parts = max(1, sum(demand.values()) // 4096)
     dealt = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "row_hash", "start"), F.lit(parts)) if place is None else F.shiftright("place", 12))
     counts = dealt.groupBy("width", "part").agg(F.count("*").alias("n"))
-    starts = counts.select(F.col("width").alias("at_width"), F.col("part").alias("at_part"), (F.sum("n").over(Window.partitionBy("width").orderBy("part")) - F.col("n")).alias("before"))
+    starts = before(counts, "width", "part", "n").select(F.col("width").alias("at_width"), F.col("part").alias("at_part"), "before")
     own = Window.partitionBy("width", "part").orderBy("place", "doc_id", "start", "row_hash")
     ranked = dealt.withColumn("nth", F.row_number().over(own) - 1).join(starts, (F.col("width") == F.col("at_width")) & (F.col("part") == F.col("at_part")))
     placed = ranked.withColumn("sequence_id", sequence_of("width", F.col("before") + F.col("nth")))

@@ -48,8 +48,8 @@ def quality_rules(
     A line is removed when more than ``max_docs`` distinct documents of its
     host hold it.  Documents are told apart by a hash of the whole normalised
     text, so copies of a whole document count once and cannot make its lines
-    frequent, and a line counts once for a document however often it has it.  The smallest doc_id of the host keeps the line.  A document is
-    rejected when base_failed, or when the removed lines hold more than
+    frequent, and a line counts once for a document however often it has it.
+    The smallest doc_id of the host keeps the line.  A document is rejected when base_failed, or when the removed lines hold more than
     ``max_removed`` of its line characters.
 
     Null text: no words, base_failed.  Null host: a host of its own.  Null
@@ -76,7 +76,8 @@ def quality_rules(
     held = lines.groupBy("h1", "h2", "whole").agg(F.min("d").alias("first_d"), F.count("*").alias("n"))
     frequent = held.groupBy("h1", "h2").agg(F.min("first_d").alias("first_d"), F.sum("n").alias("n"), F.count("*").alias("n_docs")).filter(F.col("n_docs") > max_docs).drop("n_docs")
     hits = join_counted(lines.drop("whole"), checkpoint(frequent), ["h1", "h2"], "n", F.xxhash64("d", "pos"))
-    removed = hits.filter("d > first_d").groupBy(F.col("d").alias("cut_d"), F.col("th").alias("cut_th")).agg(F.sum("chars").alias("removed"))
+    # repeated rows have each position once
+    removed = hits.filter("d > first_d").dropDuplicates(["d", "th", "pos"]).groupBy(F.col("d").alias("cut_d"), F.col("th").alias("cut_th")).agg(F.sum("chars").alias("removed"))
 
     words = F.array_remove(F.split(F.translate("x", WS, " " * len(WS)), " ", -1), "")
     lines_with_words = F.filter(F.split("x", "\n", -1), lambda l: F.btrim(l, F.lit(WS)) != "")

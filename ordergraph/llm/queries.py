@@ -106,9 +106,9 @@ rw AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM r, (VALUES (0
 l AS (SELECT doc_id, source, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM (SELECT doc_id, source, string_split(text, chr(10)) AS ls FROM d)),
 dl AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
 k AS (SELECT doc_id, source, i, translate(trim(line, {_STRIP}), {_ABC}) AS key FROM l),
-a AS (SELECT *, lag(key) OVER p AS pre, lead(key) OVER p AS post FROM k WHERE key <> '' WINDOW p AS (PARTITION BY doc_id ORDER BY i)),
-f AS (SELECT source, key, min(doc_id) AS first_d FROM a GROUP BY source, key
-      HAVING count(DISTINCT (coalesce(pre, ''), coalesce(post, ''))) > 100),
+h AS (SELECT doc_id, string_agg(key, chr(10) ORDER BY i) AS whole FROM k WHERE key <> '' GROUP BY doc_id),
+a AS (SELECT k.*, whole FROM k JOIN h ON k.doc_id = h.doc_id WHERE key <> ''),
+f AS (SELECT source, key, min(doc_id) AS first_d FROM a GROUP BY source, key HAVING count(DISTINCT whole) > 100),
 x AS (SELECT a.doc_id, sum(length(a.key)) AS removed FROM a JOIN f ON a.key = f.key AND a.source IS NOT DISTINCT FROM f.source
       WHERE a.doc_id > f.first_d GROUP BY a.doc_id),
 c AS (SELECT doc_id, sum(length(key)) AS chars FROM k GROUP BY doc_id),

@@ -133,13 +133,73 @@ def test_schedule_deviates_less_than_a_block():
 
 
 def test_mixing_keeps_every_row_once(docs, none):
-    out = mixing.mix_sources(docs, block_chars=500, slots=64)
+    out = mixing.mix_sources(docs, block_chars=500)
     assert sorted(map(str, (r[0] for r in out.select("row.doc_id").collect()))) == sorted(str(r[0]) for r in make())
     slots = out.select("source_key", "block", "slot").distinct().collect()
     assert len({r.slot for r in slots}) == len(slots)
     assert mixing.mix_sources(none).count() == 0
 
 
+def test_mixing_against_brute_force(spark, monkeypatch):
+    """Slot by slot over all blocks, with the sources beyond the third in one class."""
+    monkeypatch.setattr(mixing, "CLASSES", 3)
+    rng = random.Random(14)
+    rows = [(k, "x" * rng.randrange(1, 300), rng.choice("aaaaabbbccdef"), "c") for k in range(400)] + [(None, None, None, "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, slot string")
+    got = [(r.row.doc_id, r.source_key, r.block, r.slot, r.block_offset) for r in mixing.mix_sources(docs, block_chars=500, slots=16).collect()]
+    size = {}
+    for r in rows:
+        size[r[2] or ""] = size.get(r[2] or "", 0) + max(1, len(r[1] or ""))
+    class_of = {s: min(k, 3) for k, s in enumerate(sorted(size, key=lambda s: (-size[s], s)))}
+    weight, chars = {}, {}
+    for s, n in size.items():
+        weight[class_of[s]] = weight.get(class_of[s], 0) + n**0.5
+        chars[class_of[s]] = chars.get(class_of[s], 0) + n
+    hashes = {r.doc_id: r.h for r in docs.select("doc_id", F.xxhash64("doc_id", "text").alias("h")).collect()}
+    want, left = {}, {c: -(-n // 500) for c, n in chars.items()}
+    slot_of, done, base = {}, dict.fromkeys(left, 0), 0
+    while any(left.values()):
+        quotas, end = mixing._quotas({c: weight[c] for c in left if left[c]}, 16), False
+        while not end:  # rounds until a class runs out
+            end = any(left[c] < q for c, q in quotas.items())
+            jobs = [(j * 16 // q, -(-(j + 1) * 16 // q), c, j) for c, q in quotas.items() for j in range(q)]
+            for now in range(16):
+                job = min((x for x in jobs if x[0] <= now), key=lambda x: x[1:])
+                jobs.remove(job)
+                if left[c := job[2]]:
+                    slot_of[c, done[c]] = base + now
+                    done[c], left[c] = done[c] + 1, left[c] - 1
+            base += 16
+    for c in chars:
+        at = 0
+        for r in sorted((r for r in rows if class_of[r[2] or ""] == c), key=lambda r: hashes[r[0]]):
+            want[r[0]] = (r[2] or "", at // 500, slot_of[c, at // 500], at % 500)
+            at += max(1, len(r[1] or ""))
+    assert {d: tuple(rest) for d, *rest in got} == want and len(got) == len(rows)
+
+
+def test_language_id_against_brute_force(spark):
+    """Every text against every centroid, in one list."""
+    rng = random.Random(15)
+    letters = {"de": "aeiouäöüßnrst", "fr": "aeiouéèçlmnst", "xx": "qwzkjyvbpg"}
+    make_text = lambda l: " ".join("".join(rng.choice(letters[l]) for _ in range(rng.randrange(2, 8))) for _ in range(rng.randrange(1, 40)))
+    rows = [(k, make_text(l := "de fr xx".split()[k % 3]), l) for k in range(120)] + [(200, "", "de"), (201, None, "fr"), (202, "12!", None), (5, rows5 := "aaa eee", "fr"), (5, rows5, "fr")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = language_id.identify(df, F.col("doc_id") < 90, dims=512).select("row.doc_id", "row.text", "lang_pred", "score", "rejected").collect()
+    hashes = {(r.doc_id, r.text): r.h for r in df.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("h")).collect()}
+    fitted = sorted({r for r in rows if r[0] < 90 and r[1] and any(c.isalpha() for c in r[1])}, key=lambda r: hashes[r[:2]])
+    model = language_id.fit([r[1] for r in fitted], [r[2] for r in fitted], 512, 3, 0.001)
+    for r in got:
+        if r.text is None or not any(c.isalpha() for c in r.text):
+            assert (r.lang_pred, r.score, r.rejected) == ("und", 0.0, True)
+            continue
+        v = np.log1p(language_id.grams(r.text, 512)) * model.idf
+        cosines = [float(c @ v) / float(np.sqrt(v @ v)) for c in model.rows]
+        best = int(np.argmax(cosines))
+        assert r.lang_pred == model.names[best] and r.score == pytest.approx(cosines[best], abs=1e-9) and r.rejected == (cosines[best] < model.limits[best])
+    assert len(got) == len(rows)
+
+
 def test_packing(docs, none):
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     out = packing.pack(docs).toPandas()
@@ -336,6 +396,27 @@ def test_pipeline(spark, tmp_path):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "lines", "near", "mix", "pack"]
 
 
+def test_pipeline_stages_of_odd_tables(spark, tmp_path):
+    """No rows; repeated rows, null ids and columns with the names of results."""
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, kept string, row string, slot string"
+    rng = random.Random(17)
+    texts = [" ".join(rng.choice(WORDS) + str(rng.randrange(99)) for _ in range(70)) for _ in range(6)]
+    rows = [(k, x, None, None, None, "k", "r", "s") for k, x in enumerate(texts)] + [(9, texts[0], "en", "s", 1, "k", "r", "s"), (None, texts[1], "en", "s", 1, "k", "r", "s"), (7, None, None, None, None, None, None, None)]
+    rows += rows[2:4] * 2
+    for n, table in enumerate((rows, [])):
+        docs = spark.createDataFrame(table, schema)
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, "")
+            out.write.parquet(str(tmp_path / f"{n}-{name}"))
+            docs = spark.read.parquet(str(tmp_path / f"{n}-{name}"))
+            assert name == "pack" or docs.columns == [f.split()[0] for f in schema.split(", ")]
+        got = [r.doc_id for r in docs.collect()]
+        want = [] if n else [0, 1, 2, 2, 2, 3, 3, 3, 4, 5, 9, None]  # 9: its line is in 0, its text is empty
+        assert sorted(map(str, got)) == sorted(map(str, want))
+
+
 def test_lm_counts_every_bigram_by_itself(spark, monkeypatch):
     """More n-grams than a part holds, over several chunks, against counts in a dictionary."""
     monkeypatch.setattr(lm_score, "CHUNK", 4000)
@@ -388,6 +469,40 @@ def test_boilerplate_blocks_and_repeats_within_a_document(spark):
     assert got[100] == got[101] == (0, True)
 
 
+def test_quality_rules_of_repeated_rows(spark):
+    rows = [(k, "a line that all of them have\n" + " ".join(f"w{k}x{i}" for i in range(60)), "h", "x") for k in range(8)]
+    schema = "doc_id long, text string, source string, kept string"
+    once, often = (by_id(quality_rules.quality_rules(spark.createDataFrame(r, schema), max_docs=5), "removed_chars", "line_chars", "kept") for r in (rows, rows + rows[3:5] * 3))
+    assert once == often and once[3] == (28, once[3][1], True)
+
+
+def test_ann_of_repeated_ids_and_clashing_names(spark):
+    rows = [(k, [float(k), float(k % 7)], "s") for k in range(1, 60)] + [(5, [5.0, 5.0], "s"), (9, [-1.0, 0.0], "s")]
+    out = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string"), F.col("vec_id") == 8).collect()
+    assert sorted(r.rank for r in out) == list(range(1, 11)) and len({r.vec_id for r in out}) == 10
+    at = {k: min(v for d, v, _ in rows if d == k) for k in range(1, 60)}
+    want = sorted((sum((a - b) ** 2 for a, b in zip(at[k], at[8])) ** 0.5, k) for k in at if k != 8)[:10]
+    assert [(r.score, r.vec_id) for r in sorted(out, key=lambda r: r.rank)] == want
+
+
+def test_url_filter_of_odd_tables(spark):
+    rules = [("block", "a.com", "/")]
+    rows = [("http://a.com/" + "x/" * 50_000, "r"), ("http://a.com/", "r"), ("http://a.com/", "r"), ("", "r")]
+    got = [r.verdict for r in url_filter.judge_urls(spark.createDataFrame(rows, "url string, rule string"), rules).collect()]
+    assert got == ["block", "block", "block", "allow"]
+    assert url_filter.judge_urls(spark.createDataFrame([], "url string"), rules).count() == 0
+
+
+def test_tokenizer_agrees_on_any_text():
+    rng = random.Random(16)
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    encoder = packing.load_encoder(packing.BPE, packing.added_tokens())
+    pools = ["abc XYZ '\"`", "  \t\r\n\u00a0\u2003", "0123456789.,-", "éüßñçøå", "привет мир", "你好世界", "مرحبا", "हिन्दी", "😀👩‍👩‍👧🏳️‍🌈", "e\u0301\u200d\ufeff\x00\x7f", "<|endoftext|>"]
+    for _ in range(1500):
+        x = "".join(rng.choice(rng.choice(pools)) if rng.random() < 0.9 else chr(rng.choice((rng.randrange(0xD800), rng.randrange(0xE000, 0x110000)))) for _ in range(rng.randrange(40)))
+        assert encoder.encode(x, allowed_special="all") == t.encode(x, add_special_tokens=False).ids
+
+
 def test_patterns_in_rounds_are_as_often():
     patterns = [({3: 1}, 1000), ({5: 2}, 7), ({2: 4}, 1)]
     dealt = packing.in_rounds(patterns, 64)
