@@ -6,8 +6,6 @@ last return the columns of documents.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +13,7 @@ from ordergraph.llm import common, line_dedup, mixing, near_dedup, packing, qual
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep; null texts go, null ids are judged as any."""
     return quality_rules.quality_rules(docs).filter("kept").select("row.*")
 
 
@@ -25,6 +24,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The smallest doc_id of each group of near copies; repeated rows of it stay each."""
     return near_dedup.near_duplicates(docs).filter("kept").select("row.*")
 
 
@@ -35,7 +35,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packed in the order in which the mixing stage wrote its files."""
+    """Pieces of sequences, in the order in which the mixing stage wrote its files."""
     file = F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1).cast("long")
     return packing.pack(docs, place=F.shiftleft(F.coalesce(file, F.lit(0)), 40) + F.col("_metadata.row_index"))
 
@@ -47,12 +47,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in turn; what each returns is written to the shared folder and read again."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    folder = f"{shared}/pipeline-{uuid.uuid4().hex}"
+    """All stages in turn; what each returns is written to the shared folder,
+    read by the next, and removed once that has written its own."""
+    scratch = common.Scratch(spark, "pipeline")
     docs = common.table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        docs.write.parquet(f"{folder}/{k}-{name}")
-        docs = spark.read.parquet(f"{folder}/{k}-{name}")
+        docs = scratch.save(stage(spark, docs, sf_dir), f"{k}-{name}")
+        scratch.clear(keep=(f"{k}-{name}",))
     return docs
