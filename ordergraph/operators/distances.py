@@ -1,157 +1,298 @@
-"""Distances of vectors and two-sample statistics of classes a and b.
+"""Distances of vectors of classes, by matrix blocks.
 
-Pairs are made in blocks by an equi join on block numbers, so a class of many
-samples is spread over tasks; sums leave each task already added up.
+Vectors (sample_id, vec, k) are dealt by a hash to blocks of one class, each
+packed as one matrix.  Every two blocks meet in a cell, by an equi join on their
+numbers; a cell is one matrix product and gives off sums, counts or smallest
+values, never its pairs, unless pairs are the result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-Distance = Callable[[Column, Column], Column]
+from .graphs import cut_lineage
 
+BLOCK = 1024
 
-def _sum(v: Column) -> Column:
-    return F.aggregate(v, F.lit(0.0), lambda a, x: a + x)
 
+def hellinger(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    h = (p.sum(axis=1)[:, None] + q.sum(axis=1)[None, :] - 2 * np.sqrt(p) @ np.sqrt(q).T) / 2
+    if len(h) and h.shape[1] and h.min() < -1e-9 * max(1.0, float(np.abs(p).sum(axis=1).max())):
+        raise ValueError("negative under the root")
+    return np.sqrt(np.maximum(h, 0.0))
 
-def hellinger(p: Column, q: Column) -> Column:
-    h = (_sum(p) + _sum(q) - 2 * _sum(F.zip_with(p, q, lambda a, b: F.sqrt(a) * F.sqrt(b)))) / 2
-    return F.when(h < -1e-12, F.raise_error(F.lit("negative under the root"))).otherwise(F.sqrt(F.greatest(h, F.lit(0.0))))
 
+def total_variation(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    return np.stack([0.5 * np.abs(row - q).sum(axis=1) for row in p]) if len(p) else np.empty((0, len(q)))
 
-def total_variation(p: Column, q: Column) -> Column:
-    return 0.5 * _sum(F.zip_with(p, q, lambda a, b: F.abs(a - b)))
+
+def squared(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Squared Euclidean distances; equal rows have exactly 0."""
+    d = np.maximum((p * p).sum(axis=1)[:, None] + (q * q).sum(axis=1)[None, :] - 2 * p @ q.T, 0.0)
+    for i, j in zip(*np.nonzero(d < 1e-9 * (1e-30 + (p * p).sum(axis=1)[:, None]))):
+        d[i, j] = ((p[i] - q[j]) ** 2).sum()
+    return d
 
 
 def unit(v: Column) -> Column:
-    return F.transform(v, lambda x: x / _sum(v))
+    """The vector over its sum, which is added up once."""
+    total = lambda x: F.aggregate(x, F.lit(0.0), lambda a, e: a + e)
+    return F.transform(F.array(F.struct(v.alias("v"), total(v).alias("s"))), lambda x: F.transform(x["v"], lambda e: e / x["s"]))[0]
+
+
+def keyed(vectors: DataFrame, key: str) -> DataFrame:
+    return vectors.select("sample_id", "vec", F.col(key).alias("k"))
+
 
+class Cell(NamedTuple):
+    """Two blocks: classes, ids, places in their classes, values beside the vectors, and distances."""
 
-def pairs(left: DataFrame, right: DataFrame, distance: Distance, blocks: int = 16) -> DataFrame:
-    """id1, id2, keys k1, k2, d of every row of one table with every one of the other.
+    k1: object
+    k2: object
+    ids1: np.ndarray
+    ids2: np.ndarray
+    at1: np.ndarray
+    at2: np.ndarray
+    x1: np.ndarray
+    x2: np.ndarray
+    d: np.ndarray
+    same: bool
 
-    A two-sample statistic is over all pairs by definition; right rows go once
-    to each block of left rows.
+
+def blocks(vectors: DataFrame, size: int = BLOCK, seed: int = 0) -> tuple[DataFrame, dict]:
+    """no, k, start (place in the class of its first row), n, ids, data; and the classes' sizes.
+
+    Places in a class are those of a hash of sample_id, so the first m are a random draw.
+    """
+    parts = max(1, vectors.count() // size)
+    kind = vectors.schema["k"].dataType.simpleString()
+
+    def pack(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("sample_id")
+        data = np.stack([np.asarray(v, dtype=np.float64) for v in rows["vec"]])
+        return pd.DataFrame([(rows["k"].iat[0], rows["part"].iat[0], len(rows), rows["sample_id"].to_numpy(np.int64).tobytes(), data.tobytes())], columns=["k", "part", "n", "ids", "data"])
+
+    dealt = vectors.select(F.col("sample_id").cast("long").alias("sample_id"), "vec", "k", F.pmod(F.xxhash64("sample_id", F.lit(seed)), F.lit(parts)).alias("part"))
+    packed = cut_lineage(dealt.groupBy("k", "part").applyInPandas(pack, f"k {kind}, part long, n int, ids binary, data binary"))
+    names, sizes = [], {}
+    for no, r in enumerate(packed.select("k", "part", "n").orderBy("k", "part").collect()):  # one row a block
+        names.append((no, r["k"], r["part"], sizes.get(r["k"], 0)))
+        sizes[r["k"]] = sizes.get(r["k"], 0) + r["n"]
+    if not names:
+        return packed.select(F.lit(0).alias("no"), "k", F.lit(0).cast("long").alias("start"), "n", "ids", "data"), sizes
+    named = vectors.sparkSession.createDataFrame(names, f"no int, name {kind}, at long, start long")
+    return packed.join(F.broadcast(named), (F.col("k") == F.col("name")) & (F.col("part") == F.col("at"))).select("no", "k", "start", "n", "ids", "data"), sizes
+
+
+def cells(vectors: DataFrame, metric: Callable, reduce: Callable[[Cell], pd.DataFrame | None], schema: str, pairs: str = "all", beside: int = 0, packed: tuple | None = None) -> DataFrame:
+    """What ``reduce`` gives for each cell.  ``pairs``: "all", "within" a class or "cross".
+
+    The last ``beside`` components of vectors are values beside them, which the metric does not see.
     """
-    a = left.select(F.col("sample_id").alias("id1"), F.col("vec").alias("v1"), F.col("k").alias("k1"), F.pmod(F.xxhash64("sample_id"), F.lit(blocks)).alias("block"))
-    b = right.select(F.col("sample_id").alias("id2"), F.col("vec").alias("v2"), F.col("k").alias("k2"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
-    return a.join(b, "block").select("id1", "id2", "k1", "k2", distance(F.col("v1"), F.col("v2")).alias("d"))
+    table, sizes = packed or blocks(vectors)
+    number = table.agg(F.max("no")).first()[0]
+    last = -1 if number is None else number
+    ends = table.groupBy("k").agg(F.min("no").alias("first_no"), F.max("no").alias("last_no")).withColumnRenamed("k", "end_k")
+    known = table.join(F.broadcast(ends), F.col("k") == F.col("end_k"))  # one row a class
+    spans = {"all": ("no", F.lit(last)), "within": ("no", F.col("last_no")), "cross": (F.col("last_no") + 1, F.lit(last))}[pairs]
+    low = F.col("no") if isinstance(spans[0], str) else spans[0]
+    one = known.filter(low <= spans[1]).select(F.col("no").alias("i"), F.explode(F.sequence(low, spans[1])).alias("j"), *[F.col(c).alias(f"{c}1") for c in ("k", "start", "n", "ids", "data")])
+    back = {"all": (F.lit(0), F.col("no")), "within": (F.col("first_no"), F.col("no")), "cross": (F.lit(0), F.col("first_no") - 1)}[pairs]
+    two = known.filter(back[0] <= back[1]).select(F.col("no").alias("j"), F.explode(F.sequence(*back)).alias("i"), *[F.col(c).alias(f"{c}2") for c in ("k", "start", "n", "ids", "data")])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for r in batch.itertuples():
+                x1, x2 = (np.frombuffer(d, dtype=np.float64).reshape(n, -1) for d, n in ((r.data1, r.n1), (r.data2, r.n2)))
+                width = x1.shape[1] - beside
+                ids1, ids2 = (np.frombuffer(i, dtype=np.int64) for i in (r.ids1, r.ids2))
+                cell = Cell(r.k1, r.k2, ids1, ids2, r.start1 + np.arange(r.n1), r.start2 + np.arange(r.n2), x1[:, width:], x2[:, width:], metric(x1[:, :width], x2[:, :width]), r.i == r.j)
+                out = reduce(cell)
+                if out is not None and len(out):
+                    yield out
+
+    return one.join(two.hint("merge"), ["i", "j"]).mapInPandas(run, schema)
+
+
+def _of_pairs(c: Cell) -> np.ndarray:
+    """Distances of the cell's unordered pairs of two samples."""
+    return c.d[np.triu_indices(len(c.d), 1)] if c.same else c.d.ravel()
+
+
+def kind_of(vectors: DataFrame) -> str:
+    return vectors.schema["k"].dataType.simpleString()
+
+
+def within(vectors: DataFrame, metric: Callable, key: str = "cls") -> DataFrame:
+    """k, id1 < id2, d: the unordered pairs of each class."""
+    v = keyed(vectors, key)
 
+    def reduce(c: Cell) -> pd.DataFrame:
+        i, j = np.triu_indices(len(c.d), 1) if c.same else (a.ravel() for a in np.indices(c.d.shape))
+        a, b = c.ids1[i], c.ids2[j]
+        return pd.DataFrame({"k": [c.k1] * len(i), "id1": np.minimum(a, b), "id2": np.maximum(a, b), "d": c.d[i, j]})
 
-def keyed(vectors: DataFrame, key: str) -> DataFrame:
-    return vectors.select("sample_id", "vec", F.col(key).alias("k"))
+    return cells(v, metric, reduce, f"k {kind_of(v)}, id1 long, id2 long, d double", "within")
 
 
-def within(vectors: DataFrame, distance: Distance, key: str = "cls") -> DataFrame:
-    """Distances of unordered pairs i < j of one class."""
+def pair_sums(vectors: DataFrame, metric: Callable, key: str = "cls", pairs: str = "all") -> DataFrame:
+    """k1, k2, n, s, ss, top: number, sums, sums of squares and largest of the distances of unordered pairs of two samples."""
     v = keyed(vectors, key)
-    return pairs(v, v, distance).filter("id1 < id2 and k1 = k2")
 
+    def reduce(c: Cell) -> pd.DataFrame | None:
+        d = _of_pairs(c)
+        return pd.DataFrame({"k1": [c.k1], "k2": [c.k2], "n": [d.size], "s": [d.sum()], "ss": [(d * d).sum()], "top": [d.max()]}) if d.size else None
 
-def energy(vectors: DataFrame, distance: Distance, key: str = "cls") -> DataFrame:
-    """k1, k2, energy, distinguishability for each pair of classes.
+    each = cells(v, metric, reduce, f"k1 {kind_of(v)}, k2 {kind_of(v)}, n long, s double, ss double, top double", pairs)
+    return each.groupBy("k1", "k2").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss"), F.max("top").alias("top"))
+
+
+def energy(vectors: DataFrame, metric: Callable, key: str = "cls", reference=None) -> DataFrame:
+    """k1, k2, energy, distinguishability of each pair of classes, or of each class with the reference.
 
     Means include each sample with itself (V-statistic); no distance: 0.
     """
-    v = keyed(vectors, key)
-    mean = pairs(v, v, distance).groupBy("k1", "k2").agg(F.avg("d").alias("m"))
-    own = mean.filter("k1 = k2")
-    out = mean.filter("k1 < k2").join(own.select("k1", F.col("m").alias("m1")), "k1").join(own.select("k2", F.col("m").alias("m2")), "k2")
+    n = vectors.groupBy(F.col(key).alias("k")).agg(F.count("*").alias("size"))
+    s = cut_lineage(pair_sums(vectors, metric, key))
+    own = n.join(s.filter("k1 = k2").select(F.col("k1").alias("k"), "s"), "k", "left").select("k", "size", (2 * F.coalesce("s", F.lit(0.0)) / (F.col("size") * F.col("size"))).alias("m"))
+    x = s.filter("k1 < k2").select("k1", "k2", (F.col("s") / F.col("n")).alias("m"))
+    if reference is not None:
+        x = x.filter((F.col("k1") == reference) | (F.col("k2") == reference))
+    out = x.join(own.select(F.col("k").alias("k1"), F.col("m").alias("m1")), "k1").join(own.select(F.col("k").alias("k2"), F.col("m").alias("m2")), "k2")
     e = 2 * F.col("m") - F.col("m1") - F.col("m2")
     return out.select("k1", "k2", e.alias("energy"), F.when(F.col("m") == 0, 0.0).otherwise(e / (2 * F.col("m"))).alias("distinguishability"))
 
 
-def states(vectors: DataFrame, digits: int, key: str = "cls") -> DataFrame:
-    """Counts of the classes' rounded unit vectors."""
-    scale = float(10**digits)
-    q = vectors.withColumn("unit", unit(F.col("vec"))).withColumn("state", F.transform("unit", lambda x: F.rint(x * scale).cast("long")))
-    return q.groupBy(F.col(key).alias("k"), "state").agg(F.count("*").alias("n"))
+#: Bins of one round of the search for quantiles, and values that may be collected at its end.
+BINS, FEW = 512, 20_000
 
 
-def state_variation(vectors: DataFrame, digits: int, key: str = "cls") -> DataFrame:
-    """Total variation between the classes' distributions of whole states, and
-    the accuracy of the best guess."""
-    n = states(vectors, digits, key)
-    total = n.groupBy("k").agg(F.sum("n").alias("total"))
-    p = n.join(total, "k").select("k", "state", (F.col("n") / F.col("total")).alias("p"))
-    a, b = (p.filter(F.col("k") == c).select("state", F.col("p").alias(f"p_{c}")) for c in ("a", "b"))
-    d = a.join(b, "state", "full").agg((0.5 * F.sum(F.abs(F.coalesce("p_a", F.lit(0.0)) - F.coalesce("p_b", F.lit(0.0))))).alias("distinguishability"))
-    return d.withColumn("accuracy", (1 + F.col("distinguishability")) / 2)
+def quantiles(vectors: DataFrame, metric: Callable, shares: list[float], key: str = "cls", pairs: str = "within") -> dict[tuple, dict]:
+    """By pair of classes: n, mean, std and the quantiles of the distances, linear between order statistics.
 
+    Exact without sorting pairs: each round counts distances in BINS bins and
+    goes on in those that hold the wanted ranks, until few values are left.
+    """
+    v = keyed(vectors, key)
+    packed = blocks(v)
+    kinds = f"k1 {kind_of(v)}, k2 {kind_of(v)}"
+    out, todo = {}, {}
+    for r in pair_sums(vectors, metric, key, pairs).collect():  # one row a pair of classes
+        mean = r["s"] / r["n"]
+        var = max(r["ss"] - r["s"] * mean, 0.0) / (r["n"] - 1) if r["n"] > 1 else float("nan")
+        out[r["k1"], r["k2"]] = {"n": r["n"], "mean": mean, "std": var**0.5, "values": {}}
+        ranks = {int(np.floor(q * (r["n"] - 1) + e)) for q in shares for e in (0, 1)}
+        todo[r["k1"], r["k2"]] = {rank: (0.0, float(np.nextafter(r["top"], np.inf)), 0, r["n"]) for rank in ranks if rank < r["n"]}
+
+    def spans() -> dict[tuple, list[tuple[float, float]]]:
+        return {p: sorted({(lo, hi) for lo, hi, _, n in t.values() if n > FEW and hi - lo > 1e-15}) for p, t in todo.items()}
+
+    while any(wanted := spans().values()):
+        wanted = spans()
+
+        def count(c: Cell, wanted: dict = wanted) -> pd.DataFrame | None:
+            d, rows = _of_pairs(c), []
+            for s, (lo, hi) in enumerate(wanted.get((c.k1, c.k2), ())):
+                x = d[(d >= lo) & (d < hi)]
+                n = np.bincount(np.minimum(((x - lo) / (hi - lo) * BINS).astype(int), BINS - 1), minlength=BINS)
+                rows += [(c.k1, c.k2, lo, hi, int(b), int(n[b])) for b in np.flatnonzero(n)]
+            return pd.DataFrame(rows, columns=["k1", "k2", "lo", "hi", "bin", "n"])
+
+        got: dict[tuple, np.ndarray] = {}
+        for r in cells(v, metric, count, f"{kinds}, lo double, hi double, bin int, n long", pairs, packed=packed).groupBy("k1", "k2", "lo", "hi", "bin").agg(F.sum("n").alias("n")).collect():
+            got.setdefault((r["k1"], r["k2"], r["lo"], r["hi"]), np.zeros(BINS, dtype=np.int64))[r["bin"]] = r["n"]
+        for p, t in todo.items():
+            for rank, (lo, hi, below, n) in t.items():
+                if (lo, hi) in wanted[p]:
+                    counts = got[(*p, lo, hi)]
+                    b = int(np.searchsorted(np.cumsum(counts) + below, rank, side="right"))
+                    edge = lambda x, lo=lo, hi=hi: lo + (hi - lo) * x / BINS
+                    # one more bin at either side: a value at an edge may be counted in either
+                    first, last = max(b - 1, 0), min(b + 1, BINS - 1)
+                    inside = int(counts[first : last + 1].sum())
+                    t[rank] = (edge(first) if first else lo, edge(last + 1) if last < BINS - 1 else hi, None, inside)
+        # exact numbers below the new spans
+        for p, t in todo.items():
+            for rank, (lo, hi, below, n) in list(t.items()):
+                if below is None:
+                    t[rank] = (lo, hi, -1, n)
+        below_of = _below(v, metric, {p: sorted({x for lo, hi, b, _ in t.values() if b == -1 for x in (lo, hi)}) for p, t in todo.items()}, kinds, pairs, packed)
+        for p, t in todo.items():
+            for rank, (lo, hi, b, n) in list(t.items()):
+                if b == -1:
+                    t[rank] = (lo, hi, below_of[p, lo], below_of[p, hi] - below_of[p, lo])
+    wanted = {p: sorted({(lo, hi) for lo, hi, _, _ in t.values()}) for p, t in todo.items()}
+
+    def values(c: Cell) -> pd.DataFrame | None:
+        d, rows = _of_pairs(c), []
+        for lo, hi in wanted.get((c.k1, c.k2), ()):
+            x, n = np.unique(d[(d >= lo) & (d < hi)], return_counts=True)
+            rows.append(pd.DataFrame({"k1": [c.k1] * len(x), "k2": [c.k2] * len(x), "lo": lo, "hi": hi, "d": x, "n": n}))
+        return pd.concat(rows) if rows else None
+
+    held: dict[tuple, list] = {}
+    for r in cells(v, metric, values, f"{kinds}, lo double, hi double, d double, n long", pairs, packed=packed).groupBy("k1", "k2", "lo", "hi", "d").agg(F.sum("n").alias("n")).orderBy("d").collect():
+        held.setdefault((r["k1"], r["k2"], r["lo"], r["hi"]), []).append((r["d"], r["n"]))
+    for p, t in todo.items():
+        at = {}
+        for rank, (lo, hi, below, _) in t.items():
+            seen = below
+            for d, n in held[(*p, lo, hi)]:
+                seen += n
+                if rank < seen:
+                    at[rank] = d
+                    break
+        for q in shares:
+            place = q * (out[p]["n"] - 1)
+            low = int(np.floor(place))
+            out[p]["values"][q] = at[low] + (place - low) * (at.get(low + 1, at[low]) - at[low])
+    return out
+
+
+def _below(v: DataFrame, metric: Callable, edges: dict[tuple, list[float]], kinds: str, pairs: str, packed: tuple) -> dict:
+    """By pair of classes and edge: how many distances are smaller."""
+
+    def count(c: Cell) -> pd.DataFrame | None:
+        d = np.sort(_of_pairs(c))
+        e = edges.get((c.k1, c.k2), [])
+        return pd.DataFrame({"k1": [c.k1] * len(e), "k2": [c.k2] * len(e), "edge": e, "n": np.searchsorted(d, e, side="left")}) if e else None
+
+    rows = cells(v, metric, count, f"{kinds}, edge double, n long", pairs, packed=packed).groupBy("k1", "k2", "edge").agg(F.sum("n").alias("n")).collect()
+    return {((r["k1"], r["k2"]), r["edge"]): r["n"] for r in rows}
+
+
+def within_percentile(vectors: DataFrame, metric: Callable, q: float, key: str = "cls") -> DataFrame:
+    """k, threshold: the percentile of the distances of each class's pairs."""
+    found = quantiles(vectors, metric, [q], key)
+    return vectors.sparkSession.createDataFrame([(k, r["values"][q]) for (k, _), r in found.items()], f"k {kind_of(keyed(vectors, key))}, threshold double")
+
+
+def exceedance(vectors: DataFrame, metric: Callable, q: float = 0.95, key: str = "cls", reference=None) -> DataFrame:
+    """k1, k2, distinguishability (share of cross pairs farther than k1's own percentile), mean, std, low, high.
+
+    All pairs of classes k1 < k2, or those with the reference, whose percentile counts then.
+    """
+    v = keyed(vectors, key)
+    limits = {k: r["values"][q] for (k, _), r in quantiles(vectors, metric, [q], key).items()}
+    of = lambda k1, k2: limits.get(k1 if reference is None else reference, float("inf"))
 
-def within_percentile(vectors: DataFrame, distance: Distance, q: float, key: str = "cls") -> DataFrame:
-    return within(vectors, distance, key).groupBy(F.col("k1").alias("k")).agg(F.percentile("d", F.lit(q)).alias("threshold"))
-
+    def farther(c: Cell) -> pd.DataFrame:
+        return pd.DataFrame({"k1": [c.k1], "k2": [c.k2], "far": [int((c.d > of(c.k1, c.k2)).sum())]})
 
-def exceedance(vectors: DataFrame, distance: Distance, q: float = 0.95, key: str = "cls") -> DataFrame:
-    """D = share of cross pairs farther than class a's own percentile."""
-    t = within_percentile(vectors.filter(F.col(key) == "a"), distance, q, key).select("threshold")
-    v = keyed(vectors, key)
-    cross = pairs(v.filter("k = 'a'"), v.filter("k = 'b'"), distance).join(F.broadcast(t))
-    out = cross.agg(F.avg(F.when(F.col("d") > F.col("threshold"), 1.0).otherwise(0.0)).alias("distinguishability"), F.avg("d").alias("mean"), F.stddev_samp("d").alias("std"), F.percentile("d", F.lit(0.16)).alias("q16"), F.percentile("d", F.lit(0.84)).alias("q84"))
-    return out.select("distinguishability", "mean", "std", (F.col("mean") - F.col("q16")).alias("low"), (F.col("q84") - F.col("mean")).alias("high"))
-
-
-def permutation_test(vectors: DataFrame, distance: Distance, permutations: int = 50, seed: int = 1) -> DataFrame:
-    """observed, p: energy with U-statistic means against relabelled samples."""
-    size = vectors.groupBy("cls").count().agg(F.min("count").alias("m"))
-    row = F.row_number().over(Window.partitionBy("cls").orderBy("sample_id"))
-    v = vectors.withColumn("row", row).join(F.broadcast(size)).filter("row <= m").select("sample_id", "vec", F.col("cls").alias("k"))
-    d = pairs(v, v, distance).filter("id1 < id2").select("id1", "id2", "d")
-    labels = v.select("sample_id", "k").withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(permutations))))
-    order = F.when(F.col("perm") == 0, F.when(F.col("k") == "a", -(2**63)).otherwise(2**63 - 1)).otherwise(F.xxhash64("sample_id", "perm", F.lit(seed)))
-    labels = labels.withColumn("nth", F.row_number().over(Window.partitionBy("perm").orderBy(order, "sample_id"))).withColumn("half", F.count("*").over(Window.partitionBy("perm")) / 2)
-    labels = labels.select("perm", "sample_id", F.when(F.col("nth") <= F.col("half"), 0).otherwise(1).alias("side"))
-    one = labels.select("perm", F.col("sample_id").alias("id1"), F.col("side").alias("s1"))
-    two = labels.select("perm", F.col("sample_id").alias("id2"), F.col("side").alias("s2"))
-    kind = F.col("s1") + F.col("s2")
-    mean = lambda k: F.avg(F.when(kind == k, F.col("d")))
-    e = d.join(one, "id1").join(two, ["perm", "id2"]).groupBy("perm").agg(mean(1).alias("x"), mean(0).alias("a"), mean(2).alias("b"))
-    stat = e.select("perm", ((2 * F.col("x") - F.col("a") - F.col("b")) / (2 * F.col("x"))).alias("D"))
-    seen = stat.filter("perm = 0").select(F.col("D").alias("observed"))
-    null = stat.filter("perm > 0").join(F.broadcast(seen))
-    return null.groupBy("observed").agg(((F.sum(F.when(F.col("D") >= F.col("observed"), 1).otherwise(0)) + 1) / (F.count("*") + 1)).alias("p"), F.avg("D").alias("null_mean"), F.stddev_samp("D").alias("null_std"))
+    far = cells(v, metric, farther, f"k1 {kind_of(v)}, k2 {kind_of(v)}, far long", "cross").groupBy("k1", "k2").agg(F.sum("far").alias("far"))
+    if reference is not None:
+        far = far.filter((F.col("k1") == reference) | (F.col("k2") == reference))
+    rest = quantiles(vectors, metric, [0.16, 0.84], key, "cross")
+    rows = [(*p, r["n"], r["mean"], r["std"], r["mean"] - r["values"][0.16], r["values"][0.84] - r["mean"]) for p, r in rest.items()]
+    named = vectors.sparkSession.createDataFrame(rows, f"k1 {kind_of(v)}, k2 {kind_of(v)}, n long, mean double, std double, low double, high double")
+    return far.join(F.broadcast(named), ["k1", "k2"]).select("k1", "k2", (F.col("far") / F.col("n")).alias("distinguishability"), "mean", "std", "low", "high")
 
 
 def relative_change(a: Column, b: Column) -> Column:
     return F.when((a <= 0) | (b <= 0), F.raise_error(F.lit("not positive"))).otherwise(F.abs(a - b) / (a + b))
-
-
-def mahalanobis_sigmas(vectors: DataFrame, key: str = "cls") -> DataFrame:
-    """Distance of each class a sample from class b in b's own deviations, by
-    component; the gap is the smallest."""
-    flat = vectors.select("sample_id", key, F.posexplode("vec").alias("pos", "x"))
-    b = flat.filter(F.col(key) == "b").groupBy("pos").agg(F.avg("x").alias("mu"), F.var_samp("x").alias("var"))
-    z = flat.filter(F.col(key) == "a").join(F.broadcast(b), "pos").filter("var > 0")
-    return z.groupBy("sample_id").agg(F.sqrt(F.sum((F.col("x") - F.col("mu")) * (F.col("x") - F.col("mu")) / F.col("var"))).alias("sigma"))
-
-
-def mc_apply(vectors: DataFrame, distance: Distance, draws: int, seed: int = 1) -> DataFrame:
-    """draw, d: a user function on pairs drawn with replacement, one of each class."""
-    n = vectors.groupBy("cls").agg(F.count("*").alias("n"))
-    rows = vectors.withColumn("nth", F.row_number().over(Window.partitionBy("cls").orderBy("sample_id")) - 1)
-    size = {r["cls"]: r["n"] for r in n.collect()}  # two rows
-    drawn = vectors.sparkSession.range(draws).select(F.col("id").alias("draw"), *[F.pmod(F.xxhash64("id", F.lit(seed), F.lit(c)), F.lit(size[c])).cast("int").alias(f"i_{c}") for c in ("a", "b")])
-    side = lambda c: rows.filter(F.col("cls") == c).select(F.col("nth").alias(f"i_{c}"), F.col("vec").alias(f"v_{c}"))
-    return drawn.join(side("a"), "i_a").join(side("b"), "i_b").select("draw", distance(F.col("v_a"), F.col("v_b")).alias("d"))
-
-
-def neighbour_information(vectors: DataFrame, distance: Distance, k: int = 3) -> DataFrame:
-    """Mutual information of vector and label from k-th neighbours, over the
-    label's entropy, in [0, 1]."""
-    v = keyed(vectors, "cls")
-    d = pairs(v, v, distance).filter("id1 <> id2")
-    own = d.filter("k1 = k2").withColumn("nth", F.row_number().over(Window.partitionBy("id1").orderBy("d", "id2"))).filter(F.col("nth") == k).select("id1", (F.col("d") + 1e-14).alias("radius"))
-    near = d.join(own, "id1").groupBy("id1", "k1").agg(F.sum(F.when(F.col("d") <= F.col("radius"), 1).otherwise(0)).alias("m"))
-    n = v.groupBy("k").agg(F.count("*").alias("n_k"))
-    top = v.agg(F.count("*").alias("n"))
-    psi = lambda x: -0.5772156649015329 + F.aggregate(F.sequence(F.lit(1), F.greatest(x.cast("int"), F.lit(1))), F.lit(0.0), lambda a, i: a + F.when(i < x, 1.0 / i).otherwise(0.0))
-    each = near.join(F.broadcast(n), near["k1"] == n["k"]).join(F.broadcast(top))
-    mi = each.agg(F.avg(psi(F.col("n")) + psi(F.lit(k)) - psi(F.col("n_k")) - psi(F.col("m") + 1)).alias("mi"))
-    p = n.join(F.broadcast(top)).agg((-F.sum(F.col("n_k") / F.col("n") * F.log(F.col("n_k") / F.col("n")))).alias("h"))
-    return mi.join(F.broadcast(p)).select(F.least(F.greatest(F.col("mi") / F.col("h"), F.lit(0.0)), F.lit(1.0)).alias("information"))

@@ -12,6 +12,7 @@ from ordergraph.operators import distances as D
 from ordergraph.operators import fitting as T
 from ordergraph.operators import histograms as H
 from ordergraph.operators import moments as M
+from ordergraph.operators import twosample as W
 from ordergraph.sources import ensembles as S
 from ordergraph.streaming import moments as R
 
@@ -353,46 +354,108 @@ def d3_pairwise_hellinger(spark, sf):
     return rounded(D.within(units(spark, sf), D.hellinger, "scalar").select("id1", "id2", "d"), "d")
 
 
-@query(f"SELECT a.scalar AS k, round(sum({TV}), 6) AS total FROM unit a JOIN unit b ON a.sample_id < b.sample_id AND a.scalar = b.scalar GROUP BY 1", VEC)
+@query(f"SELECT least(a.scalar, b.scalar) AS k1, greatest(a.scalar, b.scalar) AS k2, count(*) AS n, round(sum({TV}), 5) AS total FROM unit a JOIN unit b ON a.sample_id < b.sample_id GROUP BY 1, 2", VEC)
 def d4_total_variation_sums(spark, sf):
-    return rounded(D.within(units(spark, sf), D.total_variation, "scalar").groupBy(F.col("k1").alias("k")).agg(F.sum("d").alias("total")), "total")
+    """Within and across classes."""
+    return rounded(D.pair_sums(units(spark, sf), D.total_variation, "scalar").select("k1", "k2", "n", F.col("s").alias("total")), "total", digits=5)
 
 
-@query(f""", m AS (SELECT a.cls AS k1, b.cls AS k2, avg({HELL}) AS m FROM unit a, unit b GROUP BY 1, 2)
-SELECT x.k1, x.k2, round(2 * x.m - p.m - q.m, 6) AS energy, round((2 * x.m - p.m - q.m) / (2 * x.m), 6) AS distinguishability FROM m x, m p, m q
-WHERE x.k1 = 'a' AND x.k2 = 'b' AND p.k1 = 'a' AND p.k2 = 'a' AND q.k1 = 'b' AND q.k2 = 'b'""", VEC)
+@query()
+def d5_pooled_projection(spark, sf):
+    return W.project(S.vectors(spark, sf)).select("sample_id", F.posexplode("vec").alias("axis", "x"))
+
+
+ENERGY = """, m AS (SELECT a.{k} AS k1, b.{k} AS k2, avg({d}) AS m FROM {t} a, {t} b GROUP BY 1, 2)
+SELECT x.k1, x.k2, round(2 * x.m - p.m - q.m, 6) AS energy, round((2 * x.m - p.m - q.m) / (2 * x.m), 6) AS distinguishability{more} FROM m x
+JOIN m p ON p.k1 = x.k1 AND p.k2 = x.k1 JOIN m q ON q.k1 = x.k2 AND q.k2 = x.k2 WHERE x.k1 < x.k2"""
+
+
+@query(ENERGY.format(k="cls", d=HELL, t="unit", more=""), VEC)
 def d6_energy(spark, sf):
     return rounded(D.energy(units(spark, sf), D.hellinger), "energy", "distinguishability")
 
 
-@query(f""", m AS (SELECT a.scalar AS k1, b.scalar AS k2, avg({TV}) AS m FROM unit a, unit b GROUP BY 1, 2)
-SELECT x.k1, x.k2, round(2 * x.m - p.m - q.m, 6) AS energy, round((2 * x.m - p.m - q.m) / (2 * x.m), 6) AS distinguishability FROM m x
-JOIN m p ON p.k1 = x.k1 AND p.k2 = x.k1 JOIN m q ON q.k1 = x.k2 AND q.k2 = x.k2 WHERE x.k1 < x.k2""", VEC)
-def d23_energy_by_scalar(spark, sf):
-    return rounded(D.energy(units(spark, sf), D.total_variation, "scalar"), "energy", "distinguishability")
+@query()
+def d6_energy_projected(spark, sf):
+    return W.projected_energy(S.vectors(spark, sf))
+
+
+@query()
+def d7_mc_energy(spark, sf):
+    return W.mc_energy(units(spark, sf), D.hellinger, 20 * S.table(spark, sf, "embeddings").count())
+
+
+BOTH = VEC + ", two AS (SELECT sample_id, cls, list_concat(vec, list_reverse(list_sort(vec))) AS vec FROM unit)\n"
+
+
+def _total(spark, sf):
+    """Two observables of each sample: its unit vector, and the same in descending order."""
+    u = units(spark, sf)
+    return W.total(u, u.withColumn("vec", F.sort_array("vec", asc=False)))
+
+
+@query(ENERGY.format(k="cls", d=HELL, t="two", more=""), BOTH)
+def d8_total_energy(spark, sf):
+    return rounded(D.energy(_total(spark, sf), D.hellinger), "energy", "distinguishability")
 
 
 @query()
 def d9_neighbour_information(spark, sf):
-    return D.neighbour_information(units(spark, sf), D.hellinger)
+    return W.neighbour_information(units(spark, sf))
+
+
+@query()
+def d10_bootstrap_information(spark, sf):
+    return W.bootstrap_information(units(spark, sf), 3)
+
+
+@query()
+def d11_information_of_principal_axes(spark, sf):
+    return W.neighbour_information(W.principal(W.project(units(spark, sf)), "variance", share=0.9), projected=False)
+
+
+@query("SELECT cls, least(count(*), 100) AS n FROM vec GROUP BY 1", VEC)
+def d12_subsample(spark, sf):
+    return W.subsample(S.vectors(spark, sf), 100).groupBy("cls").agg(F.count("*").alias("n"))
+
+
+@query()
+def d13_total_information(spark, sf):
+    return W.neighbour_information(_total(spark, sf))
 
 
 @query("""SELECT round(0.5 * sum(abs(coalesce(p, 0) - coalesce(q, 0))), 6) AS distinguishability, round((1 + 0.5 * sum(abs(coalesce(p, 0) - coalesce(q, 0)))) / 2, 6) AS accuracy FROM
 (SELECT s, count(*) / (SELECT count(*) FROM unit WHERE cls = 'a') AS p FROM (SELECT list_transform(vec, lambda x: round_even(x * 10, 0)::BIGINT) AS s FROM unit WHERE cls = 'a') GROUP BY 1) FULL JOIN
 (SELECT s, count(*) / (SELECT count(*) FROM unit WHERE cls = 'b') AS q FROM (SELECT list_transform(vec, lambda x: round_even(x * 10, 0)::BIGINT) AS s FROM unit WHERE cls = 'b') GROUP BY 1) USING (s)""", VEC)
 def d14_state_variation(spark, sf):
-    return rounded(D.state_variation(S.vectors(spark, sf), 1), "distinguishability", "accuracy")
+    return rounded(W.state_variation(S.vectors(spark, sf), 1), "distinguishability", "accuracy")
+
+
+@query()
+def d15_debiased_variation(spark, sf):
+    return W.state_bias(S.vectors(spark, sf), 1)
+
+
+@query("""SELECT round(0.5 * sum(abs(coalesce(p, 0) - coalesce(q, 0))), 6) AS distinguishability, round((1 + 0.5 * sum(abs(coalesce(p, 0) - coalesce(q, 0)))) / 2, 6) AS accuracy FROM
+(SELECT s, count(*) / (SELECT count(*) FROM two WHERE cls = 'a') AS p FROM (SELECT list_transform(vec, lambda x: round_even(x / list_sum(vec) * 10, 0)::BIGINT) AS s FROM two WHERE cls = 'a') GROUP BY 1) FULL JOIN
+(SELECT s, count(*) / (SELECT count(*) FROM two WHERE cls = 'b') AS q FROM (SELECT list_transform(vec, lambda x: round_even(x / list_sum(vec) * 10, 0)::BIGINT) AS s FROM two WHERE cls = 'b') GROUP BY 1) USING (s)""", BOTH)
+def d16_total_variation_of_both(spark, sf):
+    return rounded(W.state_variation(_total(spark, sf), 1), "distinguishability", "accuracy")
 
 
 @query()
 def d17_permutation_test(spark, sf):
-    return D.permutation_test(units(spark, sf), D.hellinger)
+    return W.permutation_test(units(spark, sf), D.hellinger)
+
+
+@query()
+def d18_mc_permutation_test(spark, sf):
+    return W.mc_permutation_test(units(spark, sf), D.hellinger, 10 * S.table(spark, sf, "embeddings").count())
 
 
 @query()
 def d19_mahalanobis_gap(spark, sf):
-    s = D.mahalanobis_sigmas(units(spark, sf))
-    return s.agg(F.min("sigma").alias("gap"), F.percentile("sigma", F.lit(0.5)).alias("median"))
+    return W.mahalanobis_gap(units(spark, sf), symmetric=True)
 
 
 @query(f"SELECT a.cls AS k, round(quantile_cont({HELL}, 0.95), 6) AS threshold FROM unit a JOIN unit b ON a.sample_id < b.sample_id AND a.cls = b.cls GROUP BY 1", VEC)
@@ -400,12 +463,60 @@ def d20_within_percentile(spark, sf):
     return rounded(D.within_percentile(units(spark, sf), D.hellinger, 0.95), "threshold")
 
 
-@query(f""", x AS (SELECT {HELL} AS d FROM unit a, unit b WHERE a.cls = 'a' AND b.cls = 'b'),
-t AS (SELECT quantile_cont({HELL}, 0.95) AS threshold FROM unit a JOIN unit b ON a.sample_id < b.sample_id AND a.cls = 'a' AND b.cls = 'a')
-SELECT round(avg(CASE WHEN d > threshold THEN 1.0 ELSE 0.0 END), 6) AS distinguishability, round(avg(d), 6) AS mean, round(stddev_samp(d), 6) AS std,
-round(avg(d) - quantile_cont(d, 0.16), 6) AS low, round(quantile_cont(d, 0.84) - avg(d), 6) AS high FROM x, t""", VEC)
+EXCEED = """, x AS (SELECT a.{k} AS k1, b.{k} AS k2, {d} AS d FROM unit a JOIN unit b ON a.{k} < b.{k}),
+t AS (SELECT a.{k} AS k, quantile_cont({d}, 0.95) AS threshold FROM unit a JOIN unit b ON a.sample_id < b.sample_id AND a.{k} = b.{k} GROUP BY 1)
+SELECT k1, k2, round(avg(CASE WHEN d > threshold THEN 1.0 ELSE 0.0 END), 6) AS distinguishability, round(avg(d), 6) AS mean, round(stddev_samp(d), 6) AS std,
+round(avg(d) - quantile_cont(d, 0.16), 6) AS low, round(quantile_cont(d, 0.84) - avg(d), 6) AS high FROM x JOIN t ON {on} {where} GROUP BY 1, 2"""
+MEASURES = ("distinguishability", "mean", "std", "low", "high")
+
+
+@query(EXCEED.format(k="cls", d=HELL, on="k1 = t.k", where=""), VEC)
 def d21_exceedance(spark, sf):
-    return rounded(D.exceedance(units(spark, sf), D.hellinger), "distinguishability", "mean", "std", "low", "high")
+    return rounded(D.exceedance(units(spark, sf), D.hellinger), *MEASURES)
+
+
+@query(EXCEED.format(k="scalar", d=TV, on="k1 = t.k", where=""), VEC)
+def d22_exceedance_by_scalar(spark, sf):
+    return rounded(D.exceedance(units(spark, sf), D.total_variation, key="scalar"), *MEASURES)
+
+
+@query(EXCEED.format(k="scalar", d=HELL, on="t.k = 0", where="WHERE k1 = 0 OR k2 = 0"), VEC)
+def d22_exceedance_of_reference(spark, sf):
+    return rounded(D.exceedance(units(spark, sf), D.hellinger, key="scalar", reference=0.0), *MEASURES)
+
+
+@query(ENERGY.format(k="scalar", d=TV, t="unit", more=", round(abs(x.k1 - x.k2) / (x.k1 + x.k2 + 2), 6) AS rel_change"), VEC)
+def d23_energy_by_scalar(spark, sf):
+    e = D.energy(units(spark, sf), D.total_variation, "scalar").withColumn("rel_change", D.relative_change(F.col("k1") + 1, F.col("k2") + 1))
+    return rounded(e, "energy", "distinguishability", "rel_change")
+
+
+@query(ENERGY.format(k="scalar", d=HELL, t="unit", more="") + " AND x.k1 = 0", VEC)
+def d23_energy_of_reference(spark, sf):
+    return rounded(D.energy(units(spark, sf), D.hellinger, "scalar", reference=0.0), "energy", "distinguishability")
+
+
+def _few(spark, sf):
+    return units(spark, sf).filter("scalar < 3")
+
+
+@query()
+def d24_permutation_by_scalar(spark, sf):
+    return W.by_reference(_few(spark, sf), lambda v: W.permutation_test(v, D.hellinger, 200), "scalar", 0.0)
+
+
+@query()
+def d25_mahalanobis_by_scalar(spark, sf):
+    return W.by_reference(_few(spark, sf), lambda v: W.mahalanobis_gap(v, 200).drop("D"), "scalar", 0.0)
+
+
+@query()
+def d26_series_against_reference(spark, sf):
+    """Information and total variation of logarithmic bins of the label against the first."""
+    v = B.equal_width(S.vectors(spark, sf).withColumn("size", F.col("scalar") + 1), "size", 3, log=True)
+    first = v.agg(F.min("bin_key")).first()[0]
+    both = lambda x: W.neighbour_information(x).join(F.broadcast(W.state_variation(x, 1)))
+    return W.by_reference(v, both, "bin_key", first)
 
 
 @query("SELECT o_orderkey, round(abs(o_totalprice - o_custkey - 1) / (o_totalprice + o_custkey + 1), 6) AS change FROM orders", "")
@@ -415,7 +526,13 @@ def d27_relative_change(spark, sf):
 
 @query()
 def d28_mc_pairwise(spark, sf):
-    return D.mc_apply(units(spark, sf), D.hellinger, 10 * S.table(spark, sf, "embeddings").count())
+    return W.mc_apply(units(spark, sf), D.hellinger, 10 * S.table(spark, sf, "embeddings").count()).filter("kind = 'ab'").select("draw", "d")
+
+
+@query()
+def d29_report(spark, sf):
+    v = units(spark, sf)
+    return W.report({"vector": v, "sorted": v.withColumn("vec", F.sort_array("vec", asc=False)), "total": _total(spark, sf)}, splits=100)
 
 
 @query("SELECT sample_id, vec[2] AS second, vec[-1] AS last FROM vec", VEC)
