@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .binning import equal_width
+from .ordered import ranked_within
+
 
 def normalize(hist: DataFrame, mode: str | float = "probability", key: str = "sample_id", size: str | None = None) -> DataFrame:
     """Weights over their sum ("probability"), their largest ("max") or a
@@ -109,3 +112,23 @@ def spectrum_series(df: DataFrame, values: str, key: str) -> DataFrame:
     """Entries after the first, with their index and its share of the length."""
     rest = df.select(key, F.slice(values, F.lit(2), F.greatest(F.size(values) - 1, F.lit(0))).alias("r")).filter(F.size("r") > 0)
     return rest.select(key, F.size("r").alias("n"), F.posexplode("r").alias("p", "y")).select(key, (F.col("p") + 1).alias("x"), ((F.col("p") + 1) / F.col("n")).alias("share"), "y")
+
+
+def rekeyed(hist: DataFrame, scalar: str, bins: int, key: str = "sample_id") -> DataFrame:
+    """Normalised histograms whose scalar is that of its bin's middle.
+
+    As many labels as bins are taken as binned before and pass; fewer are an error.
+    """
+    labels = hist.agg(F.countDistinct(scalar).alias("_labels"))
+    known = normalize(hist, key=key).join(F.broadcast(labels)).filter(F.when(F.col("_labels") < bins, F.raise_error(F.lit("finer than the bins that there are"))).otherwise(F.lit(True)))
+    return equal_width(known.drop("_labels"), scalar, bins).drop(scalar).withColumnRenamed("bin_key", scalar)
+
+
+def long_frame(frames: dict[str, DataFrame], order: str, share: float) -> DataFrame:
+    """kind, id and the frames' columns: of each kind every round(1 / share)-th row from the first, numbered."""
+    step, out = max(1, round(1 / share)), None
+    for kind, df in frames.items():
+        one = df.withColumn("kind", F.lit(kind))
+        out = one if out is None else out.unionByName(one)
+    nth = ranked_within(out, ["kind"], [order], "_nth").filter((F.col("_nth") - 1) % step == 0)
+    return nth.withColumn("id", F.floor((F.col("_nth") - 1) / step) + 1).drop("_nth")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ordergraph.operators import graphs as G
+from ordergraph.operators import histograms as H
 from ordergraph.sources import ensembles as S
 
 QUERIES, SQL = {}, {}
@@ -195,8 +198,8 @@ def g15_largest_laplacian_eigenvalue(spark, sf):
     return G.largest_laplacian_eigenvalue(links, graphs)
 
 
-ENTRIES = """SELECT graph_id, src, dst, round({s} / d, 6) AS w FROM (SELECT l.graph_id, l.src, l.dst, {deg} AS d FROM lnk l JOIN deg ON deg.graph_id = l.graph_id AND deg.atom = l.dst) WHERE d > 0
-UNION ALL SELECT graph_id, dst, src, round(-({s}) / d, 6) FROM (SELECT l.graph_id, l.src, l.dst, {deg} AS d FROM lnk l JOIN deg ON deg.graph_id = l.graph_id AND deg.atom = l.dst) WHERE d > 0"""
+ENTRIES = """SELECT graph_id, src, dst, CASE WHEN d > 0 THEN round({s} / d, 6) ELSE 0 END AS w FROM (SELECT l.graph_id, l.src, l.dst, {deg} AS d FROM lnk l JOIN deg ON deg.graph_id = l.graph_id AND deg.atom = l.dst)
+UNION ALL SELECT graph_id, dst, src, CASE WHEN d > 0 THEN round(-({s}) / d, 6) ELSE 0 END FROM (SELECT l.graph_id, l.src, l.dst, {deg} AS d FROM lnk l JOIN deg ON deg.graph_id = l.graph_id AND deg.atom = l.dst)"""
 
 
 @query(ENTRIES.format(s="0.5::DOUBLE", deg="in_degree"))
@@ -208,7 +211,7 @@ def g16_antisymmetric_in(spark, sf):
 @query(ENTRIES.format(s="-0.5::DOUBLE", deg="out_degree"))
 def g16_antisymmetric_out(spark, sf):
     _, links, graphs = tables(spark, sf)
-    return rounded(longs(G.antisymmetric_entries(links, graphs, "out"), "src", "dst"), "w").filter("w <> 0")
+    return rounded(longs(G.antisymmetric_entries(links, graphs, "out"), "src", "dst"), "w").withColumn("w", F.col("w") + 0.0)
 
 
 @query()
@@ -241,7 +244,65 @@ def g20_record(spark, sf):
     return rounded(G.record(relations, graphs), "connectivity", "link_degree_mean")
 
 
-@query("SELECT graph_id, src, dst FROM rel WHERE src >= dst")
+@query("SELECT graph_id + 10000000 AS graph_id, src, dst FROM rel WHERE graph_id % 10 = 0 UNION ALL SELECT graph_id, dst, src FROM rel WHERE graph_id % 10 = 1 UNION ALL SELECT graph_id, src, dst + 1000 FROM rel WHERE graph_id % 10 = 2")
 def s13_inconsistent_edges(spark, sf):
+    """Of whole relations and broken ones (no such graph, turned round, no such atom), the broken ones."""
+    r, _, graphs = tables(spark, sf)
+    wrong = r.filter("graph_id % 10 = 0").withColumn("graph_id", F.col("graph_id") + 10_000_000)
+    wrong = wrong.unionByName(G.reverse(r.filter("graph_id % 10 = 1"))).unionByName(r.filter("graph_id % 10 = 2").withColumn("dst", F.col("dst") + 1000))
+    return edges(G.inconsistent(r.unionByName(wrong), graphs))
+
+
+@query("SELECT graph_id, n, c_mktsegment AS cls, c_nationkey::DOUBLE AS scalar, n::DOUBLE AS size FROM g JOIN customer ON c_custkey = graph_id")
+def s9_sizes(spark, sf):
+    return S.with_size(S.graph_table(spark, sf))
+
+
+@query("SELECT g.graph_id, g.n, c_mktsegment AS cls, c_nationkey::DOUBLE AS scalar, round(CASE WHEN n >= 2 THEN coalesce(r.c, 0) / (n * (n - 1) / 2) END, 6) AS connectivity FROM g JOIN customer ON c_custkey = g.graph_id LEFT JOIN (SELECT graph_id, count(*) AS c FROM rel GROUP BY 1) r USING (graph_id)")
+def s11_pruned_record(spark, sf):
+    """Only the requested group is computed and returned."""
     relations, _, graphs = tables(spark, sf)
-    return edges(G.inconsistent(relations, graphs))
+    return rounded(G.record(relations, graphs, ("connectivity",)), "connectivity")
+
+
+KINDS = {"BUILDING": ["scalar"], "MACHINERY": [], "FURNITURE": ["scalar", "cls"]}
+
+
+@query("SELECT graph_id, n, c_nationkey::DOUBLE AS scalar FROM g JOIN customer ON c_custkey = graph_id WHERE c_mktsegment = 'BUILDING'")
+def s12_kind_columns(spark, sf):
+    return S.of_kind(S.graph_table(spark, sf), "BUILDING", KINDS)
+
+
+def _folder(spark, name):
+    return f"{G.shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("SELECT graph_id, n, c_mktsegment AS kind, 100.0::DOUBLE AS batchsize FROM g JOIN customer ON c_custkey = graph_id")
+def s10_statistics_sink(spark, sf):
+    path = _folder(spark, "statistics")
+    S.write_statistics(S.graph_table(spark, sf).select("graph_id", "n", F.col("cls").alias("kind")), path, "kind", {"batchsize": 100})
+    return S.read_statistics(spark, path).select("graph_id", "n", "kind", "batchsize")
+
+
+@query("SELECT n, count(*) AS graphs FROM g GROUP BY 1")
+def s14_csv_sink(spark, sf):
+    path = _folder(spark, "rows")
+    S.write_rows(S.graph_table(spark, sf).groupBy("n").agg(F.count("*").alias("graphs")), path)
+    return spark.read.option("header", True).schema("n long, graphs long").csv(path)
+
+
+@query("SELECT graph_id, n, 8 AS size, 100 AS count FROM g WHERE n <= 8 UNION ALL SELECT graph_id, n, 16, 200 FROM g WHERE n <= 16")
+def s15_size_scan(spark, sf):
+    root, graphs = _folder(spark, "sizes"), S.graph_table(spark, sf).select("graph_id", "n")
+    for kind, size, count in (("sprinkled", 8, 100), ("sprinkled", 16, 200), ("layered", 8, 100)):
+        graphs.filter(F.col("n") <= size).write.parquet(f"{root}/{kind}_{size}_{count}")
+    return S.size_scan(spark, root, "sprinkled")
+
+
+@query("SELECT graph_id, bin, round(weight / sum(weight) OVER (PARTITION BY graph_id), 6) AS weight FROM (SELECT graph_id, degree AS bin, count(*) AS weight FROM deg GROUP BY 1, 2)")
+def s16_named_observable(spark, sf):
+    """The histogram that the catalogue names for link degrees."""
+    _, links, graphs = tables(spark, sf)
+    field, _, mode = S.observable("link_degree")
+    hist = G.countmap(G.degrees(links, graphs), field).withColumn("weight", F.col("weight").cast("double"))
+    return rounded(longs(H.normalize(hist, mode, "graph_id"), "bin"), "weight")

@@ -107,18 +107,29 @@ def h4_densify(spark, sf):
     return H.densify(S.histograms(spark, sf))
 
 
-@query("SELECT sample_id, cls, len(v) AS n, round(list_sum(v), 6) AS total FROM (SELECT sample_id, cls, list_concat(vec, [0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE]) AS v FROM vec)", VEC)
+@query("SELECT sample_id, cls, pos, x FROM (SELECT sample_id, cls, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM (SELECT sample_id, cls, list_concat(vec, [0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE]) AS v FROM vec))", VEC)
 def h5_pad(spark, sf):
     v = S.vectors(spark, sf)
     one = v.select(F.lit(-1).cast("long").alias("sample_id"), F.lit("a").alias("cls"), F.lit(0.0).alias("scalar"), F.array_repeat(F.lit(0.0), 67).alias("vec")).limit(1)
     out = H.pad(v.unionByName(one)).filter("sample_id >= 0")
-    return out.select("sample_id", "cls", F.size("vec").cast("long").alias("n"), F.round(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+    return out.select("sample_id", "cls", F.posexplode("vec").alias("p", "x")).select("sample_id", "cls", (F.col("p") + 1).cast("long").alias("pos"), "x")
 
 
-@query("SELECT sample_id, len(vec) AS n FROM vec", VEC)
+@query("SELECT sample_id, unnest(vec) AS x, generate_subscripts(vec, 1) AS pos FROM vec", VEC)
 def h6_trim(spark, sf):
     v = S.vectors(spark, sf).withColumn("vec", F.concat("vec", F.array_repeat(F.lit(0.0), 5)))
-    return H.trim(v).select("sample_id", F.size("vec").cast("long").alias("n"))
+    return H.trim(v).select("sample_id", F.posexplode("vec").alias("p", "x")).select("sample_id", "x", (F.col("p") + 1).cast("long").alias("pos"))
+
+
+@query("SELECT sample_id, cls, bin, lo + (least(floor((scalar - lo) / ((hi - lo) / 4)), 3) + 0.5) * (hi - lo) / 4 AS scalar, round(weight / sum(weight) OVER (PARTITION BY sample_id), 6) AS weight FROM hist, (SELECT min(scalar) AS lo, max(scalar) AS hi FROM hist)")
+def h3_rekeyed(spark, sf):
+    return rounded(H.rekeyed(S.histograms(spark, sf), "scalar", 4), "weight")
+
+
+@query("SELECT kind, o_orderkey, (i - 1) // 4 + 1 AS id FROM (SELECT o_orderstatus AS kind, o_orderkey, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) AS i FROM orders WHERE o_orderstatus IN ('F', 'O')) WHERE (i - 1) % 4 = 0", "")
+def h17_long_frame(spark, sf):
+    o = S.table(spark, sf, "orders")
+    return H.long_frame({k: o.filter(F.col("o_orderstatus") == k).select("o_orderkey") for k in ("F", "O")}, "o_orderkey", 0.25)
 
 
 @query("SELECT sample_id, pos, round(x, 6) AS x FROM (SELECT sample_id, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM (SELECT sample_id, list_concat(vec, vec) AS v FROM unit))", VEC)
@@ -205,14 +216,44 @@ def c3_bin_average(spark, sf):
     return rounded(longs(M.bin_average(H.densify(S.histograms(spark, sf)), 2), "bin"), "weight")
 
 
+@query(RUN + "SELECT -1 AS bin, n, round(avg(std), 6) AS std FROM evo GROUP BY n UNION ALL SELECT bin, n, round(std, 6) FROM evo")
+def c6_bins_and_mean(spark, sf):
+    return rounded(M.with_bin_mean(_runs(spark, sf), "std"), "std")
+
+
+def _runs(spark, sf):
+    return M.running(H.densify(S.histograms(spark, sf)), 5)
+
+
 @query()
 def c4_fit_std_decay(spark, sf):
-    return M.fit_decay(M.running(H.densify(S.histograms(spark, sf)), 5), "std")
+    return M.fit_decay(_runs(spark, sf), "std")
+
+
+@query()
+def c4_fit_std_decay_free(spark, sf):
+    return M.fit_decay(_runs(spark, sf), "std", free="half")
 
 
 @query()
 def c5_fit_mean_decay(spark, sf):
-    return M.fit_decay(M.running(H.densify(S.histograms(spark, sf)), 5), "mean")
+    return M.fit_decay(_runs(spark, sf), "mean")
+
+
+@query()
+def c5_fit_mean_decay_free(spark, sf):
+    return M.fit_decay(_runs(spark, sf), "mean", free="whole")
+
+
+@query()
+def c6_fit_with_mean(spark, sf):
+    return M.fit_decay(M.with_bin_mean(_runs(spark, sf), "std"), "std")
+
+
+@query()
+def c7_fit_diagnostics(spark, sf):
+    run = _runs(spark, sf)
+    return M.decay_diagnostics(run, M.fit_decay(run, "std"), "std", 20)
 
 
 BINS = "(SELECT min({x})::DOUBLE AS lo, max({x})::DOUBLE AS hi FROM {t})"
@@ -253,14 +294,14 @@ def b7_key_pairs(spark, sf):
     return B.key_pairs(S.histograms(spark, sf), "scalar")
 
 
-@query(", m AS (SELECT scalar, avg(x) AS m FROM (SELECT scalar, unnest(vec) AS x FROM vec) GROUP BY 1) SELECT (SELECT count(*) FROM m) AS n", VEC)
+@query("SELECT scalar AS bin_key, pos, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS std FROM (SELECT scalar, unnest(vec) AS x, generate_subscripts(vec, 1) AS pos FROM vec) GROUP BY 1, 2", VEC)
 def b8_average_by_bin(spark, sf):
-    out = H.average_vectors(B.equal_width(S.vectors(spark, sf), "scalar", 10), ["bin_key"])
-    return out.agg(F.countDistinct("bin_key").alias("n"))
+    return rounded(longs(H.average_vectors(B.equal_width(S.vectors(spark, sf), "scalar", 10), ["bin_key"]), "pos"), "mean", "std")
 
 
 @query()
 def b8_averages_by_bin(spark, sf):
+    """The averages, not rounded."""
     return H.average_vectors(B.equal_width(S.vectors(spark, sf), "scalar", 10), ["bin_key"])
 
 
@@ -274,18 +315,27 @@ m AS (SELECT sample_id, mean, sum(weight * (bin - mean) ** 2) / w AS m2, sum(wei
 """
 
 
-@query(MOM + "SELECT sample_id, round(mean, 6) AS mean, round(sqrt(m2), 6) AS std, round(m3 / m2 ** 1.5, 6) AS skewness, round(m4 / (m2 * m2) - 3, 6) AS kurtosis FROM m WHERE m2 > 0")
+@query(MOM + "SELECT sample_id, round(mean, 6) AS mean, round(sqrt(m2), 6) AS std, CASE WHEN m2 > 0 THEN round(m3 / m2 ** 1.5, 6) END AS skewness, CASE WHEN m2 > 0 THEN round(m4 / (m2 * m2) - 3, 6) END AS kurtosis FROM m")
 def m1_moments(spark, sf):
-    return rounded(M.moments(S.histograms(spark, sf)).filter("std > 0"), "mean", "std", "skewness", "kurtosis")
+    """What is undefined is null."""
+    m = M.moments(S.histograms(spark, sf))
+    return rounded(m.select("sample_id", *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in ("mean", "std", "skewness", "kurtosis")]), "mean", "std", "skewness", "kurtosis")
 
 
 @query()
 def m1_moments_of_all(spark, sf):
-    """Samples without weight or variance too; what is undefined is null."""
+    """The moments, not rounded."""
     m = M.moments(S.histograms(spark, sf))
     return m.select("sample_id", *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in ("mean", "std", "skewness", "kurtosis")])
 
 
+@query(MOM + "SELECT cls, round(avg(mean), 6) AS mean, round(stddev_pop(mean), 6) AS std FROM (SELECT *, CASE WHEN sample_id % 2 = 0 THEN 'a' ELSE 'b' END AS cls FROM m) GROUP BY 1")
+def u3_user_moment(spark, sf):
+    """A user's function from histograms to one value a sample."""
+    own = lambda h: h.groupBy("sample_id").agg((F.sum(F.col("weight") * F.col("bin")) / F.sum("weight")).alias("value"))
+    return rounded(M.user_moment(S.histograms(spark, sf), own, ["cls"]).select("cls", "mean", "std"), "mean", "std")
+
+
 @query(MOM + "SELECT cls, round(avg(mean), 6) AS mean, round(stddev_pop(mean), 6) AS std, round(quantile_cont(mean, 0.16), 6) AS q16, round(quantile_cont(mean, 0.5), 6) AS q50, round(quantile_cont(mean, 0.84), 6) AS q84, round(quantile_cont(mean, 0.5) - quantile_cont(mean, 0.16), 6) AS std_lo, round(quantile_cont(mean, 0.84) - quantile_cont(mean, 0.5), 6) AS std_hi FROM (SELECT *, CASE WHEN sample_id % 2 = 0 THEN 'a' ELSE 'b' END AS cls FROM m) GROUP BY 1")
 def m5_aggregate_moment(spark, sf):
     out = M.aggregate_moment(M.moments(S.histograms(spark, sf), ["sample_id", "cls"]), "mean", ["cls"])
@@ -314,35 +364,85 @@ def _line(x, p):
     return p["a"] + p["b"] * x
 
 
-@query()
+LINE = {"a": (-1000.0, 1000.0), "b": (-50.0, 50.0)}
+SERIES = "(SELECT event_type AS series, (hour(ts) + 1)::DOUBLE AS x, avg(value) AS y, stddev_samp(value) AS std, count(value) AS c FROM events GROUP BY 1, 2)"
+
+
+@query(f"SELECT series, round(regr_intercept(y, x), 5) AS a, round(regr_slope(y, x), 5) AS b FROM {SERIES} GROUP BY 1", "")
 def f1_fit_curve(spark, sf):
-    return T.fit_curve(_series(spark, sf), _line, {"a": (-1000.0, 1000.0), "b": (-50.0, 50.0)})
+    return rounded(T.fit_curve(_series(spark, sf), _line, LINE).select("series", "a", "b"), "a", "b", digits=5)
 
 
-@query()
+@query(f"SELECT series, round(sqrt(avg(((y - a - b * x) / y) ** 2)), 5) AS score FROM {SERIES} JOIN (SELECT series, regr_intercept(y, x) AS a, regr_slope(y, x) AS b FROM {SERIES} GROUP BY 1) USING (series) GROUP BY 1", "")
+def f2_relative_score(spark, sf):
+    s = _series(spark, sf)
+    return rounded(T.score(T.residuals(s, T.fit_curve(s, _line, LINE), _line, ["a", "b"]), 2), "score", digits=5)
+
+
+@query(f"SELECT series, round(regr_syy(y, x) / s / s / (count(*) - 2) * (1 - corr(y, x) ** 2), 5) AS score FROM {SERIES}, (SELECT 2.0::DOUBLE AS s) GROUP BY 1, s", "")
+def f2_chi_score(spark, sf):
+    """Reduced chi squared with a deviation of 2 at every point."""
+    s = _series(spark, sf).withColumn("std", F.lit(2.0))
+    rest = T.residuals(s, T.fit_curve(s, _line, LINE, stds=True), _line, ["a", "b"]).withColumn("std", F.lit(2.0))
+    return rounded(T.score(rest, 2, std="std"), "score", digits=5)
+
+
+@query(f"SELECT series, x, y, round(y - a - b * x, 5) AS residual, round((y - a - b * x) / y, 5) AS relative FROM {SERIES} JOIN (SELECT series, regr_intercept(y, x) AS a, regr_slope(y, x) AS b FROM {SERIES} GROUP BY 1) USING (series)".replace("x, y, round", "x, round(y, 6) AS y, round"), "")
 def f3_fit_residuals(spark, sf):
     s = _series(spark, sf)
-    return T.residuals(s, T.fit_curve(s, _line, {"a": (-1000.0, 1000.0), "b": (-50.0, 50.0)}), _line, ["a", "b"])
+    r = T.residuals(s, T.fit_curve(s, _line, LINE), _line, ["a", "b"])
+    return rounded(rounded(r, "residual", "relative", digits=5), "y")
+
+
+ERRORS = f"""SELECT series, round(b, 5) AS slope, round(a, 5) AS intercept, round(sqrt(v / sxx), 5) AS slope_err, round(sqrt(v * (1.0 / n + mx * mx / sxx)), 5) AS intercept_err FROM
+(SELECT series, regr_slope(y, x) AS b, regr_intercept(y, x) AS a, count(*) AS n, avg(x) AS mx, regr_sxx(y, x) AS sxx, (regr_syy(y, x) - regr_sxy(y, x) ** 2 / regr_sxx(y, x)) / (count(*) - 2) AS v FROM {SERIES} GROUP BY 1)"""
 
 
-@query("SELECT event_type AS series, round(regr_slope(y, x), 6) AS slope, round(regr_intercept(y, x), 6) AS intercept FROM (SELECT event_type, (hour(ts) + 1)::DOUBLE AS x, avg(value) AS y FROM events GROUP BY 1, 2) GROUP BY 1", "")
+@query(ERRORS, "")
 def f4_line_fit(spark, sf):
-    return rounded(T.line_fit(_series(spark, sf)).select("series", "slope", "intercept"), "slope", "intercept")
+    return rounded(T.line_fit(_series(spark, sf)), "slope", "intercept", "slope_err", "intercept_err", digits=5)
 
 
 @query()
 def f4_line_fit_errors(spark, sf):
+    """The line and its errors, not rounded."""
     return T.line_fit(_series(spark, sf))
 
 
-@query("SELECT event_type AS series, (hour(ts) + 1)::DOUBLE AS x, round(stddev_samp(value), 6) AS std FROM events GROUP BY 1, 2 HAVING count(*) > 1", "")
-def f6_std_floor(spark, sf):
-    return rounded(T.std_floor(_series(spark, sf).filter("std is not null")).select("series", "x", "std"), "std")
+@query(ERRORS, "")
+def f4_curve_errors(spark, sf):
+    """The errors of any curve, here a line."""
+    s = _series(spark, sf)
+    e = T.errors(s, T.fit_curve(s, _line, LINE), _line, ["a", "b"])
+    return rounded(e.select("series", F.col("b").alias("slope"), F.col("a").alias("intercept"), F.col("b_err").alias("slope_err"), F.col("a_err").alias("intercept_err")), "slope", "intercept", "slope_err", "intercept_err", digits=5)
 
 
 @query()
+def f5_bootstrap_errors(spark, sf):
+    s = _series(spark, sf).withColumn("std", F.lit(2.0))
+    return T.bootstrap_errors(s, T.fit_curve(s, _line, LINE, stds=True), _line, LINE, 50)
+
+
+@query(f"SELECT series, x, round(CASE WHEN x < 3 THEN 1e-3 * min(CASE WHEN x >= 3 THEN std END) OVER (PARTITION BY series) ELSE std END, 9) AS std FROM {SERIES} WHERE c > 1", "")
+def f6_std_floor(spark, sf):
+    """Deviations of 0 in the first two hours are raised."""
+    s = _series(spark, sf).filter("std is not null").withColumn("std", F.when(F.col("x") < 3, 0.0).otherwise(F.col("std")))
+    return rounded(T.std_floor(s).select("series", "x", "std"), "std", digits=9)
+
+
+@query(f"SELECT series, round(regr_intercept(y, x), 5) AS a, round(regr_slope(y, x), 5) AS b FROM {SERIES} WHERE x BETWEEN 3 AND 12 GROUP BY 1", "")
 def f7_fit_window(spark, sf):
-    return T.fit_curve(_series(spark, sf).filter("x between 3 and 12"), _line, {"a": (-1000.0, 1000.0), "b": (-50.0, 50.0)})
+    return rounded(T.fit_curve(_series(spark, sf).filter("x between 3 and 12"), _line, LINE).select("series", "a", "b"), "a", "b", digits=5)
+
+
+@query()
+def f8_growing_window(spark, sf):
+    return T.growing_window(_series(spark, sf).withColumn("std", F.lit(2.0)), _line, LINE, 2.0)
+
+
+@query()
+def f9_power_trend(spark, sf):
+    return T.power_trend(_series(spark, sf))
 
 
 HELL = "sqrt(greatest((list_sum(a.vec) + list_sum(b.vec) - 2 * list_sum(list_transform(list_zip(a.vec, b.vec), lambda z: sqrt(z[1]) * sqrt(z[2])))) / 2, 0))"
@@ -560,6 +660,25 @@ def x2_deviation_spectrum(spark, sf):
     return rounded(longs(M.spectrum(_pairs(spark, sf)), "k"), "frequency", "amplitude")
 
 
+@query("""WITH e AS (SELECT event_type, dayofyear(ts) AS day, count(*)::DOUBLE AS c FROM events GROUP BY 1, 2),
+p AS (SELECT event_type AS series, c, avg(c) OVER (PARTITION BY day) AS r, row_number() OVER (PARTITION BY event_type ORDER BY day) AS bin FROM e)
+SELECT series, bin - 2 AS j, 19 AS "end", round(c / r - 1, 6) AS d FROM p WHERE bin BETWEEN 2 AND 19""", "")
+def x1_truncated_deviations(spark, sf):
+    """The reference has its first zero in bin 20."""
+    p = _pairs(spark, sf).withColumn("reference", F.when(F.col("bin") == 20, 0.0).otherwise(F.col("reference")))
+    return rounded(longs(M.deviations(p), "j", "end"), "d")
+
+
+@query()
+def x3_peak_list(spark, sf):
+    return M.peak_list(M.spectrum(_pairs(spark, sf)))
+
+
+@query()
+def x4_deviation_report(spark, sf):
+    return M.deviation_report(_pairs(spark, sf))
+
+
 @query()
 def x3_spectrum_peaks(spark, sf):
     return M.peaks(M.spectrum(_pairs(spark, sf)), 1 / 13)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ordergraph.operators.ordered import ranked_within
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -54,13 +56,62 @@ def scan_stats(spark: SparkSession, paths: list[str], columns: list[str], filter
 
 
 def thin(df: DataFrame, by: list[str], order: str, thinning: float | int) -> DataFrame:
-    from pyspark.sql.window import Window
-
     step, first = (thinning, 0) if isinstance(thinning, int) and not isinstance(thinning, bool) else (max(1, round(1 / thinning)), 1)
     if step == 1:
         return df
-    seen = F.row_number().over(Window.partitionBy(*by).orderBy(order))
-    return df.withColumn("_seen", seen).filter((F.col("_seen") - first) % step == 0).drop("_seen")
+    return ranked_within(df, by, [order], "_seen").filter((F.col("_seen") - first) % step == 0).drop("_seen")
+
+
+def with_size(graphs: DataFrame, name: str = "size") -> DataFrame:
+    """Records with the number of atoms as DOUBLE."""
+    return graphs.withColumn(name, numeric(graphs, "n"))
+
+
+def of_kind(graphs: DataFrame, kind: str, kinds: dict[str, list[str]]) -> DataFrame:
+    """graph_id, n and the columns that this kind of graphs has; an unknown kind is an error."""
+    if kind not in kinds:
+        raise ValueError(f"not a kind: {kind}; known are {sorted(kinds)}")
+    return graphs.filter(F.col("cls") == kind).select("graph_id", "n", *kinds[kind])
+
+
+def write_statistics(records: DataFrame, path: str, kind: str, meta: dict[str, float]) -> None:
+    """Records in a folder for each kind, and a table of one row about the run."""
+    records.write.mode("overwrite").partitionBy(kind).parquet(f"{path}/records")
+    records.sparkSession.createDataFrame([tuple(map(float, meta.values()))], [*meta]).write.mode("overwrite").parquet(f"{path}/run")
+
+
+def read_statistics(spark: SparkSession, path: str) -> DataFrame:
+    """Records with the run's numbers beside them."""
+    return spark.read.parquet(f"{path}/records").join(F.broadcast(spark.read.parquet(f"{path}/run")))
+
+
+def write_rows(rows: DataFrame, path: str) -> None:
+    """A small result as one CSV file with a header."""
+    rows.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+
+
+def size_scan(spark: SparkSession, root: str, kind: str) -> DataFrame:
+    """Records of the ensembles in folders named kind_size_count, with size and count."""
+    found = F.regexp_extract("_metadata.file_path", r"([^/]+)_(\d+)_(\d+)/[^/]+$", 0)
+    part = lambda k: F.regexp_extract("_folder", r"([^/]+)_(\d+)_(\d+)/", k)
+    rows = spark.read.parquet(f"{root}/{kind}_*").select("*", found.alias("_folder"))
+    return rows.withColumn("size", part(2).cast("int")).withColumn("count", part(3).cast("int")).drop("_folder")
+
+
+#: What an observable's name stands for: its field, whether it is a histogram, and how it is normalised.
+OBSERVABLES = {
+    "connectivity": ("connectivity", False, None),
+    "link_degree": ("degree", True, "probability"),
+    "relation_degree": ("degree", True, "probability"),
+    "height": ("height", True, "max"),
+    "cardinality": ("weight", True, "probability"),
+}
+
+
+def observable(name: str) -> tuple[str, bool, str | None]:
+    if name not in OBSERVABLES:
+        raise ValueError(f"not an observable: {name}; known are {sorted(OBSERVABLES)}")
+    return OBSERVABLES[name]
 
 
 def numeric(df: DataFrame, name: str) -> Column:

@@ -1,6 +1,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,6 +10,9 @@ from ordergraph.operators import distances as D
 from ordergraph.operators import fitting as T
 from ordergraph.operators import histograms as H
 from ordergraph.operators import moments as M
+from ordergraph.operators import ordered as O
+from ordergraph.operators import twosample as W
+from ordergraph.sources import ensembles as S
 
 
 def hist(spark, rows):
@@ -55,14 +59,60 @@ def test_bins(spark):
     assert [r.bin_key for r in B.equal_width(df, "s", 3).orderBy("s").collect()] == [1, 2, 3]
 
 
-def test_distances(spark):
-    a, b = F.array(F.lit(1.0), F.lit(0.0)), F.array(F.lit(0.0), F.lit(1.0))
-    r = spark.range(1).select(D.hellinger(a, a).alias("x"), D.hellinger(a, b).alias("y"), D.total_variation(a, b).alias("z")).first()
-    assert tuple(r) == (0, 1, 1)
+def test_distances_of_states_apart(spark):
+    one, two = np.array([[1.0, 0.0]]), np.array([[0.0, 1.0]])
+    assert (D.hellinger(one, one)[0, 0], D.hellinger(one, two)[0, 0], D.total_variation(one, two)[0, 0]) == (0, 1, 1)
     v = spark.createDataFrame([(k, "a", [1.0, 0.0]) for k in range(4)] + [(k + 4, "b", [0.0, 1.0]) for k in range(4)], "sample_id long, cls string, vec array<double>")
-    assert tuple(D.state_variation(v, 0).first()) == (1.0, 1.0)
+    assert tuple(W.state_variation(v, 0).first()) == (1.0, 1.0)
     assert D.energy(v, D.hellinger).first()["distinguishability"] == 1.0
-    assert D.permutation_test(v, D.hellinger, 20).first()["p"] < 0.2
+    assert W.permutation_test(v, D.hellinger, 200).first()["p"] < 0.2
+
+
+def test_ranks_and_sums_over_ranges(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice("abc"), rng.randrange(10_000), k) for k in range(500)]
+    df = spark.createDataFrame(rows, "g string, x long, k long").repartition(7)
+    got = {r.k: (r.place, r.within) for r in O.ranked_within(O.ranked(df, ["x", "k"], "place"), ["g"], ["x", "k"], "within").collect()}
+    order = sorted(rows, key=lambda r: (r[1], r[2]))
+    want = {k: (i, sum(h == g and (y, m) <= (x, k) for h, y, m in rows)) for i, (g, x, k) in enumerate(order, 1)}
+    assert got == want
+    sums = O.sums_before(df.groupBy("x").agg(F.count("*").alias("n")), "x", "n", "below").collect()
+    assert all(r.below == sum(y < r.x for _, y, _ in rows) for r in sums)
+
+
+def test_curves_that_are_not_lines(spark):
+    """Gauss-Newton reaches the optimum; errors, bootstrap, windows and trends agree with closed forms."""
+    x = np.arange(1, 25, dtype=float)
+    noise = np.random.default_rng(5).normal(size=24)
+    rows = [("p", float(a), float(b)) for a, b in zip(x, 3 * x**0.5 + 0.1 * noise)] + [("q", float(a), float(b)) for a, b in zip(x, 0.5 * x**-1.5)]
+    s = spark.createDataFrame(rows, "series string, x double, y double").withColumn("std", F.lit(0.1))
+    model = lambda x, p: p["a"] * F.pow(x, p["b"])
+    bounds = {"a": (0.0, 10.0), "b": (-3.0, 3.0)}
+    fitted = T.fit_curve(s, model, bounds).cache()
+    got = {r.series: r for r in fitted.collect()}
+    assert (got["q"].a, got["q"].b) == pytest.approx((0.5, -1.5), abs=1e-6) and (got["p"].a, got["p"].b) == pytest.approx((3, 0.5), abs=0.1)
+    j = np.stack([x ** got["p"].b, got["p"].a * x ** got["p"].b * np.log(x)], axis=1)
+    r = 3 * x**0.5 + 0.1 * noise - got["p"].a * x ** got["p"].b
+    assert np.abs(j.T @ r).max() < 1e-4  # the gradient is 0
+    cov = np.linalg.inv(j.T @ j) * (r @ r) / 22
+    e = {z.series: z for z in T.errors(s, fitted, model, ["a", "b"]).collect()}
+    assert (e["p"].a_err, e["p"].b_err) == pytest.approx(np.sqrt(np.diag(cov)), rel=1e-3)
+    boot = {z.series: z for z in T.bootstrap_errors(s, fitted, model, bounds, 60).collect()}
+    assert boot["p"].a_err == pytest.approx(np.sqrt(np.linalg.inv(j.T @ j)[0, 0]) * 0.1, rel=0.5)
+    band = T.power_trend(s).filter("series = 'p' and x = 9").first()
+    assert band.trend == pytest.approx(got["p"].a * 9 ** got["p"].b, rel=1e-4) and band.band == pytest.approx(np.sqrt(j[8] @ cov @ j[8]), rel=1e-3)
+    bent = s.filter("series = 'q'").withColumn("y", F.when(F.col("x") > 12, 9.0).otherwise(F.col("y")))
+    assert T.growing_window(bent, model, bounds, 2.0).first()["last"] == 13.0
+
+
+def test_sources_refuse_what_they_do_not_know(spark):
+    graphs = spark.createDataFrame([(1, 3, "x", 0.5)], "graph_id long, n long, cls string, scalar double")
+    with pytest.raises(ValueError):
+        S.of_kind(graphs, "y", {"x": []})
+    with pytest.raises(ValueError):
+        S.observable("nothing")
+    with pytest.raises(Exception, match="finer than the bins"):
+        H.rekeyed(spark.createDataFrame([(1, 2.0, 1, 1.0)], "sample_id long, scalar double, bin int, weight double"), "scalar", 3).collect()
 
 
 def test_dominance_equals_pairs(spark):
