@@ -7,12 +7,15 @@ from __future__ import annotations
 
 import math
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 KEYS = ["graph_id", "src", "dst"]
+#: Bits of an atom's place in its block.
+BLOCK = 10
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -33,23 +36,66 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The rows, read back from a table in the shared folder, so later plans know its true size."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def number_atoms(points: DataFrame) -> DataFrame:
     """Atoms in the order of time u + v, then id, from 1."""
     return points.withColumn("atom", F.row_number().over(Window.partitionBy("graph_id").orderBy(F.col("u") + F.col("v"), "id")))
 
 
+def _blocks(n: str) -> Column:
+    """Numbers of the blocks of 1024 atoms up to n."""
+    return F.sequence(F.lit(0), F.shiftright(F.col(n).cast("int"), BLOCK))
+
+
 def relations_from_points(points: DataFrame) -> DataFrame:
-    """i before j when both light-cone coordinates of i are smaller."""
-    a = number_atoms(points).select("graph_id", F.col("atom").alias("src"), F.col("u").alias("u1"), F.col("v").alias("v1"))
-    b = number_atoms(points).select("graph_id", F.col("atom").alias("dst"), F.col("u").alias("u2"), F.col("v").alias("v2"))
-    return a.join(b, "graph_id").filter("u1 < u2 and v1 < v2").select(*KEYS)
+    """i before j when both light-cone coordinates of i are smaller.
+
+    Blocks of atoms meet, so a task holds 1024 atoms a side, not a graph; a
+    block meets only itself and those after it.
+    """
+    numbered = number_atoms(points).withColumn("_block", F.shiftright("atom", BLOCK))
+    numbered = numbered.withColumn("_last", F.max("atom").over(Window.partitionBy("graph_id")))
+    a = numbered.select("graph_id", F.explode(F.filter(_blocks("_last"), lambda b: b >= F.col("_block"))).alias("_later"), "_block", F.col("atom").alias("src"), F.col("u").alias("u1"), F.col("v").alias("v1"))
+    b = numbered.select("graph_id", F.col("_block").alias("_later"), F.explode(F.sequence(F.lit(0), F.col("_block"))).alias("_block"), F.col("atom").alias("dst"), F.col("u").alias("u2"), F.col("v").alias("v2"))
+    return a.join(b, ["graph_id", "_block", "_later"]).filter("u1 < u2 and v1 < v2").select(*KEYS)
+
+
+def atom_sets(edges: DataFrame, at: str, other: str) -> DataFrame:
+    """graph_id, atom, bits: the other ends of an atom's edges as bits of an array of longs."""
+    word, bit = F.shiftright(F.col(other), 6), F.expr(f"shiftleft(1L, cast({other} & 63 as int))")
+    words = edges.groupBy("graph_id", F.col(at).alias("atom"), word.cast("int").alias("k")).agg(F.bit_or(bit).alias("b"))
+    held = words.groupBy("graph_id", "atom").agg(F.map_from_entries(F.collect_list(F.struct("k", "b"))).alias("m"))
+    dense = F.transform(F.sequence(F.lit(0), F.array_max(F.map_keys("m"))), lambda k: F.coalesce(F.get(F.map_values(F.col("m")), F.array_position(F.map_keys("m"), k).cast("int") - 1), F.lit(0).cast("long")))
+    return held.select("graph_id", "atom", dense.alias("bits"))
+
+
+def intervals(relations: DataFrame) -> DataFrame:
+    """graph_id, src, dst, inside: how many atoms lie strictly between related ones.
+
+    The future of src and the past of dst are sets of bits, whose meet is
+    counted. Blocks of 1024 atoms meet where they hold a relation; no row is
+    made for an atom between.
+    """
+    blocks = F.sequence(F.lit(0), F.shiftright(F.size("bits") - 1, BLOCK - 6))
+    full = F.filter(blocks, lambda b: F.exists(F.slice("bits", F.shiftleft(b, BLOCK - 6) + 1, 1 << (BLOCK - 6)), lambda w: w != 0))
+    own = F.shiftright("atom", BLOCK).cast("int")
+    a = atom_sets(relations, "src", "dst").select("graph_id", own.alias("_i"), F.explode(full).alias("_j"), F.col("atom").alias("src"), F.col("bits").alias("future"))
+    b = atom_sets(relations, "dst", "src").select("graph_id", F.explode(full).alias("_i"), own.alias("_j"), F.col("atom").alias("dst"), F.col("bits").alias("past"))
+    related = F.expr("shiftright(get(future, cast(shiftright(dst, 6) as int)), cast(dst & 63 as int)) & 1L = 1L")
+    both = F.zip_with("future", "past", lambda x, y: F.coalesce(F.bit_count(x.bitwiseAND(y)), F.lit(0)))
+    return a.join(b, ["graph_id", "_i", "_j"]).filter(related).select(*KEYS, F.aggregate(both, F.lit(0), lambda n, k: n + k).alias("inside"))
 
 
 def transitive_reduction(relations: DataFrame) -> DataFrame:
     """Relations with no atom between their ends."""
-    first = relations.select("graph_id", "src", F.col("dst").alias("mid"))
-    second = relations.select("graph_id", F.col("src").alias("mid"), "dst")
-    return relations.join(first.join(second, ["graph_id", "mid"]).select(*KEYS), KEYS, "left_anti").select(*KEYS)
+    return intervals(relations).filter("inside = 0").select(*KEYS)
 
 
 def reverse(edges: DataFrame) -> DataFrame:
@@ -120,10 +166,7 @@ def source_heights(links: DataFrame, graphs: DataFrame) -> DataFrame:
 
 def cardinalities(relations: DataFrame, graphs: DataFrame) -> DataFrame:
     """graph_id, bin, weight: pairs whose interval, ends included, has so many atoms."""
-    first = relations.select("graph_id", "src", F.col("dst").alias("mid"))
-    second = relations.select("graph_id", F.col("src").alias("mid"), "dst")
-    between = first.join(second, ["graph_id", "mid"]).select(*KEYS, F.lit(1).alias("k"))
-    size = between.unionByName(relations.select(*KEYS, F.lit(0).alias("k"))).groupBy(*KEYS).agg((F.sum("k") + 2).alias("bin"))
+    size = intervals(relations).select("graph_id", (F.col("inside") + 2).cast("long").alias("bin"))
     return size.groupBy("graph_id", "bin").agg(F.count("*").alias("weight")).unionByName(graphs.select("graph_id", F.lit(1).cast("long").alias("bin"), F.col("n").alias("weight")))
 
 
@@ -165,15 +208,26 @@ def spectrum_summary(df: DataFrame, values: str, key: str, tolerance: float = 1e
     return zeros.join(summary(flat, "x", key), key)
 
 
-def weak_components(links: DataFrame) -> DataFrame:
-    """graph_id, num_components: components with an edge, by least labels."""
-    edges = cut_lineage(symmetrise(links))
-    label = cut_lineage(edges.select("graph_id", F.col("src").alias("atom")).distinct().withColumn("label", F.col("atom")))
+def component_labels(links: DataFrame) -> DataFrame:
+    """graph_id, atom, label: the least atom of the component, for atoms with an edge.
+
+    Each round takes the least label of the neighbours, then the label of the
+    atom which that label names, so rounds follow the logarithm of the diameter.
+    """
+    edges = written(symmetrise(links))
+    label = written(edges.select("graph_id", F.col("src").alias("atom")).distinct().withColumn("label", F.col("atom")))
     while True:
         near = edges.join(label.select("graph_id", F.col("atom").alias("dst"), "label"), ["graph_id", "dst"]).groupBy("graph_id", F.col("src").alias("atom")).agg(F.min("label").alias("near"))
-        label = cut_lineage(label.join(near, ["graph_id", "atom"]).select("graph_id", "atom", F.least("label", "near").alias("label"), (F.col("near") < F.col("label")).alias("moved")))
-        if label.filter("moved").isEmpty():
-            return label.groupBy("graph_id").agg(F.countDistinct("label").alias("num_components"))
+        least = written(label.join(near, ["graph_id", "atom"]).select("graph_id", "atom", F.least("label", "near").alias("label"), (F.col("near") < F.col("label")).alias("moved")))
+        if least.filter("moved").isEmpty():
+            return least.select("graph_id", "atom", "label")
+        named = least.select("graph_id", F.col("atom").alias("label"), F.col("label").alias("further"))
+        label = written(least.join(named, ["graph_id", "label"]).select("graph_id", "atom", F.col("further").alias("label")))
+
+
+def weak_components(links: DataFrame) -> DataFrame:
+    """graph_id, num_components: components with an edge."""
+    return component_labels(links).groupBy("graph_id").agg(F.countDistinct("label").alias("num_components"))
 
 
 def laplacian_weights(links: DataFrame, graphs: DataFrame) -> DataFrame:
@@ -189,27 +243,10 @@ def multiply(matrix: DataFrame, vector: DataFrame) -> DataFrame:
     return matrix.join(vector.select("graph_id", F.col("atom").alias("dst"), "x"), ["graph_id", "dst"]).groupBy("graph_id", F.col("src").alias("atom")).agg(F.sum(F.col("w") * F.col("x")).alias("x"))
 
 
-def start_vector(graphs: DataFrame) -> DataFrame:
-    return atoms_of(graphs).withColumn("x", F.sin(F.col("atom") * 1.7 + 0.3) + 1.1)
-
-
-def _normalised(v: DataFrame) -> DataFrame:
-    size = F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy("graph_id")))
-    return v.select("graph_id", "atom", F.when(size > 0, F.col("x") / size).otherwise(0.0).alias("x"))
-
-
-def largest_laplacian_eigenvalue(links: DataFrame, graphs: DataFrame, rounds: int = 40) -> DataFrame:
-    """graph_id, value, residual: power iteration on all graphs at once; n < 3 gives NaN."""
-    diagonal = atoms_of(graphs).select("graph_id", F.col("atom").alias("src"), F.col("atom").alias("dst"), F.lit(1.0).alias("w"))
-    w = cut_lineage(laplacian_weights(links, graphs).unionByName(diagonal))
-    v = cut_lineage(_normalised(start_vector(graphs)))
-    for _ in range(rounds // 10):
-        for _ in range(10):
-            v = multiply(w, v)
-        v = cut_lineage(_normalised(v))
-    both = v.join(multiply(w, v).withColumnRenamed("x", "y"), ["graph_id", "atom"])
-    value = both.groupBy("graph_id").agg(F.sum(F.col("x") * F.col("y")).alias("value"), F.sum(F.col("y") * F.col("y")).alias("yy"))
-    return graphs.join(value, "graph_id").select("graph_id", F.when(F.col("n") < 3, F.lit(math.nan)).otherwise(F.col("value")).alias("value"), F.sqrt(F.greatest(F.col("yy") - F.col("value") * F.col("value"), F.lit(0.0))).alias("residual"))
+def laplacian_times(links: DataFrame, graphs: DataFrame, vector: DataFrame) -> DataFrame:
+    """graph_id, atom, x of the normalised Laplacian times the vector; isolated atoms keep theirs."""
+    off = multiply(laplacian_weights(links, graphs), vector).withColumnRenamed("x", "_off")
+    return vector.join(off, ["graph_id", "atom"], "left").select("graph_id", "atom", (F.col("x") + F.coalesce("_off", F.lit(0.0))).alias("x"))
 
 
 def antisymmetric_entries(links: DataFrame, graphs: DataFrame, kind: str = "in") -> DataFrame:
@@ -222,17 +259,6 @@ def antisymmetric_entries(links: DataFrame, graphs: DataFrame, kind: str = "in")
     return e.select("graph_id", F.inline(rows))
 
 
-def lowest_antisymmetric_eigenvalue(links: DataFrame, graphs: DataFrame, rounds: int = 20) -> DataFrame:
-    """Spectra are symmetric about 0: minus the largest singular value."""
-    k = cut_lineage(antisymmetric_entries(links, graphs))
-    v = cut_lineage(_normalised(start_vector(graphs)))
-    for _ in range(rounds // 5):
-        for _ in range(5):
-            v = multiply(k, multiply(k, v)).withColumn("x", -F.col("x"))
-        v = cut_lineage(_normalised(v))
-    return multiply(k, v).groupBy("graph_id").agg((-F.sqrt(F.sum(F.col("x") * F.col("x")))).alias("value"))
-
-
 def spectral_moments(links: DataFrame, graphs: DataFrame) -> DataFrame:
     """Mean and second moment of both spectra, without solving for them."""
     d = degrees(links, graphs)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ordergraph.operators import graphs as G
 from ordergraph.operators import histograms as H
+from ordergraph.operators import spectra as P
 from ordergraph.sources import ensembles as S
 
 QUERIES, SQL = {}, {}
@@ -192,10 +193,25 @@ def g14_laplacian_weights(spark, sf):
     return rounded(longs(G.laplacian_weights(links, graphs), "src", "dst"), "w")
 
 
+@query("""SELECT a.graph_id, a.atom, round(a.degree - coalesce(s, 0), 6) AS x FROM deg a LEFT JOIN
+(SELECT e.graph_id, e.src, sum(y.degree / sqrt((x.degree * y.degree)::DOUBLE)) AS s FROM (SELECT graph_id, src, dst FROM lnk UNION ALL SELECT graph_id, dst, src FROM lnk) e
+ JOIN deg x ON x.graph_id = e.graph_id AND x.atom = e.src JOIN deg y ON y.graph_id = e.graph_id AND y.atom = e.dst GROUP BY 1, 2) t ON t.graph_id = a.graph_id AND t.src = a.atom""")
+def g14_laplacian_times_degrees(spark, sf):
+    _, links, graphs = tables(spark, sf)
+    vector = G.degrees(links, graphs).select("graph_id", "atom", F.col("degree").cast("double").alias("x"))
+    return rounded(longs(G.laplacian_times(links, graphs, vector), "atom"), "x")
+
+
 @query()
 def g15_largest_laplacian_eigenvalue(spark, sf):
     _, links, graphs = tables(spark, sf)
-    return G.largest_laplacian_eigenvalue(links, graphs)
+    return P.last_laplacian_eigenvalue(links, graphs)
+
+
+@query()
+def g15_first_nonzero_laplacian_eigenvalue(spark, sf):
+    _, links, graphs = tables(spark, sf)
+    return P.first_nonzero_laplacian_eigenvalue(links, graphs)
 
 
 ENTRIES = """SELECT graph_id, src, dst, CASE WHEN d > 0 THEN round({s} / d, 6) ELSE 0 END AS w FROM (SELECT l.graph_id, l.src, l.dst, {deg} AS d FROM lnk l JOIN deg ON deg.graph_id = l.graph_id AND deg.atom = l.dst)
@@ -217,7 +233,7 @@ def g16_antisymmetric_out(spark, sf):
 @query()
 def g17_lowest_antisymmetric_eigenvalue(spark, sf):
     _, links, graphs = tables(spark, sf)
-    return G.lowest_antisymmetric_eigenvalue(links, graphs)
+    return P.lowest_antisymmetric_eigenvalue(links, graphs)
 
 
 @query("""SELECT g.graph_id, round(1 + 2 * coalesce(a, 0) / n, 6) AS laplacian_2, round(coalesce(b, 0) / 2, 6) AS antisymmetric_2 FROM g LEFT JOIN
