@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, html_extract, language_id, line_dedup, lm_score, mixing, near_dedup, packing, quality_rules, url_filter
+from . import ann, html_extract, language_id, lexical, line_dedup, lm_score, mixing, near_dedup, packing, quality_rules, url_filter, whitening
 from .common import table
 
 RULES = [
@@ -66,8 +66,19 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_text(table(spark, sf_dir, "pages")).select("row.page_id", "row.url", "text", "n_chars", "n_deleted", "n_compared")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    values = F.posexplode(F.arrays_zip("whitened", "explained")).alias("at", "value")
+    out = out.select("row.vec_id", "n", F.col("deviation").try_cast("long").alias("deviation"), "identity_error", values)
+    return out.select("vec_id", (F.col("at") + 1).cast("int").alias("component"), "n", "deviation", "value.whitened", "value.explained", "identity_error")
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_packing, op2_url_filter, op3_mixing, op4_lm_score, op5_ann, op6_quality_rules, op7_language_id, op8_near_dedup, op9_line_dedup, op10_html_extract)
+    every = (op1_packing, op2_url_filter, op3_mixing, op4_lm_score, op5_ann, op6_quality_rules, op7_language_id, op8_near_dedup, op9_line_dedup, op10_html_extract, op11_whitening, op13_lexical_search)
     return {f.__name__: f for f in every}
 
 
@@ -149,5 +160,20 @@ FROM m GROUP BY doc_id
 """
 
 
+OP13_SQL = rf"""
+WITH t AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, {_ABC}), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, {_ABC}), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+d AS (SELECT doc_id, count(*) AS n FROM t GROUP BY doc_id),
+c AS (SELECT count(*) AS nn, sum(n)::BIGINT AS ll FROM d),
+m AS (SELECT doc_id, 100 - 50 + ((50 * n * nn) // ll) AS m FROM d, c),
+f AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY doc_id, term),
+w AS (SELECT term, floor(1000 * ln((2 * nn + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w FROM (SELECT term, count(*) AS df FROM f GROUP BY term), c),
+s AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score
+      FROM q JOIN f USING (term) JOIN w USING (term) JOIN m USING (doc_id) GROUP BY item_id, doc_id)
+SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INTEGER AS rank, doc_id, score
+FROM s WHERE score > 0 QUALIFY rank <= 50
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": OP2_SQL, "op6_quality_rules": OP6_SQL, "op8_near_dedup": OP8_SQL, "op9_line_dedup": OP9_SQL}
+    return {"op2_url_filter": OP2_SQL, "op6_quality_rules": OP6_SQL, "op8_near_dedup": OP8_SQL, "op9_line_dedup": OP9_SQL, "op13_lexical_search": OP13_SQL}
