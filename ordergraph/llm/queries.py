@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, html_extract, language_id, lexical, line_dedup, lm_score, mixing, near_dedup, packing, quality_rules, url_filter, whitening
+from . import ann, html_extract, language_id, lexical, line_dedup, lm_score, mixing, near_dedup, packing, quality_rules, suffix_dedup, url_filter, whitening
 from .common import table
 
 RULES = [
@@ -73,12 +73,17 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("vec_id", (F.col("at") + 1).cast("int").alias("component"), "n", "deviation", "value.whitened", "value.explained", "identity_error")
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select("row.doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_packing, op2_url_filter, op3_mixing, op4_lm_score, op5_ann, op6_quality_rules, op7_language_id, op8_near_dedup, op9_line_dedup, op10_html_extract, op11_whitening, op13_lexical_search)
+    every = (op1_packing, op2_url_filter, op3_mixing, op4_lm_score, op5_ann, op6_quality_rules, op7_language_id, op8_near_dedup, op9_line_dedup, op10_html_extract, op11_whitening, op12_suffix_dedup, op13_lexical_search)
     return {f.__name__: f for f in every}
 
 
