@@ -121,12 +121,14 @@ def sketched(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
                     sums = [int(mixed(s + np.uint64(c)).sum(dtype=np.uint64).view(np.int64)) for c in (1, 2)]
                     out.append((len(s), *sums, r.tobytes()))
                 frame = pd.DataFrame(out, columns=["n_shingles", "s1", "s2", "registers"])
-                frame.insert(0, "d", batch["d"].astype("Int64").to_numpy(dtype=object, na_value=None))
+                frame.insert(0, "d", np.where(batch["no_id"], None, batch["d"].astype(object)))
                 frame.insert(1, "th", batch["th"].to_numpy())
                 yield frame
 
     x = F.col(f"`{text}`")
-    return docs.select(F.col(f"`{doc_id}`").cast("long").alias("d"), F.xxhash64(x).alias("th"), x.alias("x")).mapInPandas(run, schema)
+    d = F.col(f"`{doc_id}`").cast("long")
+    # pandas has no 64-bit integers beside nulls, so an id goes with a mark of its own for null
+    return docs.select(F.coalesce(d, F.lit(0)).alias("d"), d.isNull().alias("no_id"), F.xxhash64(x).alias("th"), x.alias("x")).mapInPandas(run, schema)
 
 
 def _cell_pairs(cell: pd.DataFrame, percent: int) -> tuple[np.ndarray, np.ndarray]:

@@ -62,16 +62,17 @@ def pieces_of(docs: DataFrame, size: int = 2048, tokenizer: str = BPE, doc_id: s
         encoder = load_encoder(tokenizer, added)
         for batch in batches:
             out = []
-            for p, d, h, x in zip(batch["p"], batch["d"], batch["h"], batch["x"]):
+            for p, d, null, h, x in zip(batch["p"], batch["d"], batch["no_id"], batch["h"], batch["x"]):
                 ids = encoder.encode(x, allowed_special="all") if isinstance(x, str) else []
                 ids.append(EOD)
-                out += [(p, None if pd.isna(d) else int(d), h, s, n, c, len(ids)) for s, n, c in cut(ids, size)]
+                out += [(p, None if null else int(d), h, s, n, c, len(ids)) for s, n, c in cut(ids, size)]
             frame = pd.DataFrame(out, columns=["place", "doc_id", "row_hash", "start", "length", "ids_crc32", "doc_tokens"])
-            frame["doc_id"] = frame["doc_id"].astype("Int64")
+            frame["doc_id"] = pd.array([row[1] for row in out], dtype="Int64")
             yield frame
 
     d = F.col(f"`{doc_id}`").cast("long")
-    return docs.select((F.lit(0) if place is None else place).cast("long").alias("p"), d.alias("d"), F.xxhash64(d, F.col(f"`{text}`")).alias("h"), F.col(f"`{text}`").alias("x")).mapInPandas(run, schema)
+    # pandas has no 64-bit integers beside nulls, so an id goes with a mark of its own for null
+    return docs.select((F.lit(0) if place is None else place).cast("long").alias("p"), F.coalesce(d, F.lit(0)).alias("d"), d.isNull().alias("no_id"), F.xxhash64(d, F.col(f"`{text}`")).alias("h"), F.col(f"`{text}`").alias("x")).mapInPandas(run, schema)
 
 
 def _knapsack(values: np.ndarray, capacity: int) -> tuple[float, dict[int, int]]:

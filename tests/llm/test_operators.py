@@ -537,3 +537,21 @@ def test_pieces_hold_the_added_token(spark):
     ids = np.array([*Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode(x, add_special_tokens=False).ids, 1], dtype="<u4")
     (got,) = packing.pack(spark.createDataFrame([(1, x)], "doc_id long, text string")).collect()
     assert 50256 in ids and (got.doc_tokens, got.ids_crc32) == (len(ids), zlib.crc32(ids.tobytes()))
+
+
+FAR_IDS = [2**53 + 1, None, 2**53 + 3, -(2**63), 2**63 - 1, None, -(2**53) - 1]
+
+
+def test_far_ids_beside_nulls_come_back(spark, tmp_path):
+    import corpus_pipeline
+
+    rows = [(d, " ".join(f"{w}{k}{j}" for j, w in enumerate(WORDS * 6)), "en", f"s{k % 2}", 1, "x", "y", "z") for k, d in enumerate(FAR_IDS)]
+    df = spark.createDataFrame(rows, SCHEMA).coalesce(1)
+    want = sorted(map(str, FAR_IDS))
+    for out in (near_dedup.near_duplicates(df), line_dedup.dedup_lines(df), quality_rules.quality_rules(df), mixing.mix_sources(df)):
+        assert sorted(str(r[0]) for r in out.select("row.doc_id").collect()) == want
+    assert sorted(str(r[0]) for r in packing.pack(df).select("doc_id").distinct().collect()) == sorted(set(want))
+    df.write.parquet(str(tmp_path / "in"))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, spark.read.parquet(str(tmp_path / "in")), str(tmp_path))
+        assert {str(r[0]) for r in out.select("doc_id").collect()} == set(want), name
