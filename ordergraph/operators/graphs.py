@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ordergraph.operators import tiles
+
 KEYS = ["graph_id", "src", "dst"]
 #: Bits of an atom's place in its block.
 BLOCK = 10
@@ -67,35 +69,18 @@ def relations_from_points(points: DataFrame) -> DataFrame:
     return a.join(b, ["graph_id", "_block", "_later"]).filter("u1 < u2 and v1 < v2").select(*KEYS)
 
 
-def atom_sets(edges: DataFrame, at: str, other: str) -> DataFrame:
-    """graph_id, atom, bits: the other ends of an atom's edges as bits of an array of longs."""
-    word, bit = F.shiftright(F.col(other), 6), F.expr(f"shiftleft(1L, cast({other} & 63 as int))")
-    words = edges.groupBy("graph_id", F.col(at).alias("atom"), word.cast("int").alias("k")).agg(F.bit_or(bit).alias("b"))
-    held = words.groupBy("graph_id", "atom").agg(F.map_from_entries(F.collect_list(F.struct("k", "b"))).alias("m"))
-    dense = F.transform(F.sequence(F.lit(0), F.array_max(F.map_keys("m"))), lambda k: F.coalesce(F.get(F.map_values(F.col("m")), F.array_position(F.map_keys("m"), k).cast("int") - 1), F.lit(0).cast("long")))
-    return held.select("graph_id", "atom", dense.alias("bits"))
-
-
 def intervals(relations: DataFrame) -> DataFrame:
     """graph_id, src, dst, inside: how many atoms lie strictly between related ones.
 
-    The future of src and the past of dst are sets of bits, whose meet is
-    counted. Blocks of 1024 atoms meet where they hold a relation; no row is
-    made for an atom between.
+    Counted by products of packed tiles of 1024 x 1024 atoms; no row is made
+    for an atom between.
     """
-    blocks = F.sequence(F.lit(0), F.shiftright(F.size("bits") - 1, BLOCK - 6))
-    full = F.filter(blocks, lambda b: F.exists(F.slice("bits", F.shiftleft(b, BLOCK - 6) + 1, 1 << (BLOCK - 6)), lambda w: w != 0))
-    own = F.shiftright("atom", BLOCK).cast("int")
-    a = atom_sets(relations, "src", "dst").select("graph_id", own.alias("_i"), F.explode(full).alias("_j"), F.col("atom").alias("src"), F.col("bits").alias("future"))
-    b = atom_sets(relations, "dst", "src").select("graph_id", F.explode(full).alias("_i"), own.alias("_j"), F.col("atom").alias("dst"), F.col("bits").alias("past"))
-    related = F.expr("shiftright(get(future, cast(shiftright(dst, 6) as int)), cast(dst & 63 as int)) & 1L = 1L")
-    both = F.zip_with("future", "past", lambda x, y: F.coalesce(F.bit_count(x.bitwiseAND(y)), F.lit(0)))
-    return a.join(b, ["graph_id", "_i", "_j"]).filter(related).select(*KEYS, F.aggregate(both, F.lit(0), lambda n, k: n + k).alias("inside"))
+    return tiles.between(written(tiles.packed(relations)), "intervals", written)
 
 
 def transitive_reduction(relations: DataFrame) -> DataFrame:
     """Relations with no atom between their ends."""
-    return intervals(relations).filter("inside = 0").select(*KEYS)
+    return tiles.between(written(tiles.packed(relations)), "links", written)
 
 
 def reverse(edges: DataFrame) -> DataFrame:
@@ -137,12 +122,8 @@ def sources_sinks(links: DataFrame, graphs: DataFrame) -> DataFrame:
     return degrees(links, graphs).groupBy("graph_id").agg(count("in_degree").alias("num_sources"), count("out_degree").alias("num_sinks"))
 
 
-def height_profile(links: DataFrame, graphs: DataFrame) -> DataFrame:
-    """graph_id, atom, height: longest link path from a source, level by level.
-
-    A round lifts the atoms after those lifted last; rounds follow the longest
-    path, and each joins only the frontier.
-    """
+def _by_levels(links: DataFrame, graphs: DataFrame) -> DataFrame:
+    """Longest paths by lifting, in each round, the atoms after those lifted last; for atoms in any order."""
     links = cut_lineage(links)
     front = cut_lineage(atoms_of(graphs).withColumn("height", F.lit(0)))
     heights = front
@@ -154,9 +135,33 @@ def height_profile(links: DataFrame, graphs: DataFrame) -> DataFrame:
         heights = heights.unionByName(front)
 
 
+def _walkable(links: DataFrame) -> DataFrame | None:
+    """The links as tiles, if all go from smaller to larger atoms and no graph has more than tiles.WALK blocks."""
+    packed = written(tiles.packed(links))
+    most = packed.agg(F.max(F.greatest("bi", "bj")).alias("top"), F.min("ordered").alias("ordered")).first()
+    return packed if most["ordered"] is not False and (most["top"] or 0) < tiles.WALK else None
+
+
+def _with_all_atoms(values: DataFrame, graphs: DataFrame, name: str, zero) -> DataFrame:
+    every = values.unionByName(atoms_of(graphs).withColumn(name, zero))
+    return every.groupBy("graph_id", "atom").agg(F.max(name).alias(name))
+
+
+def height_profile(links: DataFrame, graphs: DataFrame) -> DataFrame:
+    """graph_id, atom, height: longest link path that ends at each atom.
+
+    A graph's tiles are walked through once, target block by target block, so
+    no round follows the length of a path. Links against the order of atoms,
+    and graphs of more than tiles.WALK blocks, are lifted level by level.
+    """
+    packed = _walkable(links)
+    return _by_levels(links, graphs) if packed is None else _with_all_atoms(tiles.longest_paths(packed, True), graphs, "height", F.lit(0).cast("long"))
+
+
 def heights(links: DataFrame, graphs: DataFrame) -> DataFrame:
     """Longest path that starts at each atom."""
-    return height_profile(reverse(links), graphs)
+    packed = _walkable(links)
+    return _by_levels(reverse(links), graphs) if packed is None else _with_all_atoms(tiles.longest_paths(packed, False), graphs, "height", F.lit(0).cast("long"))
 
 
 def source_heights(links: DataFrame, graphs: DataFrame) -> DataFrame:
@@ -166,12 +171,16 @@ def source_heights(links: DataFrame, graphs: DataFrame) -> DataFrame:
 
 def cardinalities(relations: DataFrame, graphs: DataFrame) -> DataFrame:
     """graph_id, bin, weight: pairs whose interval, ends included, has so many atoms."""
-    size = intervals(relations).select("graph_id", (F.col("inside") + 2).cast("long").alias("bin"))
-    return size.groupBy("graph_id", "bin").agg(F.count("*").alias("weight")).unionByName(graphs.select("graph_id", F.lit(1).cast("long").alias("bin"), F.col("n").alias("weight")))
+    sizes = tiles.between(written(tiles.packed(relations)), "sizes", written)
+    return sizes.groupBy("graph_id", (F.col("inside") + 2).alias("bin")).agg(F.sum("weight").alias("weight")).unionByName(graphs.select("graph_id", F.lit(1).cast("long").alias("bin"), F.col("n").alias("weight")))
 
 
 def communicability(links: DataFrame, graphs: DataFrame) -> DataFrame:
     """Row sums of exp(A): path counts by length over factorials."""
+    packed = _walkable(links)
+    if packed is not None and tiles.blocks_of(packed) <= 16:  # a walk holds a number for each atom and length
+        longer = _with_all_atoms(tiles.path_sums(packed), graphs, "c", F.lit(0.0))
+        return longer.select("graph_id", "atom", (F.col("c") + 1).alias("communicability"))
     links = cut_lineage(links)
     term = cut_lineage(atoms_of(graphs).withColumn("c", F.lit(1.0)))
     out, k = term, 0

@@ -1,6 +1,7 @@
 """Extreme eigenvalues of sparse symmetric matrices, for all graphs in one job.
 
-A matrix is a table (graph_id, src, dst, w) with its spectrum in [-1, 1], a
+Graphs of a few blocks of atoms are solved each by itself. For larger ones a
+matrix is a table (graph_id, src, dst, w) with its spectrum in [-1, 1], a
 vector a table (graph_id, atom, x). From a vector v a round makes the Chebyshev
 polynomials T_0 .. T_m of the matrix times v; the sums mu_k = v T_k v of a
 graph give the best vector among them (an eigenproblem of m rows), from which
@@ -11,11 +12,18 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ordergraph.operators import graphs as G
+from ordergraph.operators import tiles
+
+#: Graphs of at most so many blocks of 1024 atoms are solved each by itself.
+DENSE = 4
+#: Eigenvalues up to this are those of null vectors.
+NULL = 1e-9
 
 
 def start_vector(graphs: DataFrame) -> DataFrame:
@@ -101,46 +109,111 @@ def extreme_eigenvalue(matrix: DataFrame, vector: DataFrame, largest: bool = Tru
     return out.select("graph_id", "value", "residual")
 
 
-def _above_one(values: DataFrame, graphs: DataFrame) -> DataFrame:
-    nan = [F.coalesce(c, F.lit(float("nan"))).alias(n) for n, c in (("value", F.col("value") + 1), ("residual", F.col("residual")))]
-    return graphs.select("graph_id").join(values, "graph_id", "left").select("graph_id", *nan)
+def _matrix(mine) -> np.ndarray:
+    """A graph's tiles as one matrix of links."""
+    held = [(i << tiles.BITS, j << tiles.BITS, t) for i, j, t in mine]
+    side = max(max(i + t.shape[0], j + t.shape[1]) for i, j, t in held)
+    out = np.zeros((side, side))
+    for i, j, t in held:
+        out[i : i + t.shape[0], j : j + t.shape[1]] = t
+    return out
+
+
+def _normalised_laplacian(links: np.ndarray) -> np.ndarray:
+    """Of the undirected links, of the atoms that have one."""
+    a = np.maximum(links, links.T)
+    a = a[:, a.any(axis=0)][a.any(axis=0)]
+    root = np.sqrt(a.sum(axis=1))
+    return np.eye(len(a)) - a / np.outer(root, root)
+
+
+def _antisymmetric(links: np.ndarray, kind: str) -> np.ndarray:
+    """The hermitian matrix i K."""
+    d = links.sum(axis=0) if kind == "in" else links.sum(axis=1)
+    k = links * np.where(d > 0, (0.5 if kind == "in" else -0.5) / np.maximum(d, 1), 0.0)
+    return 1j * (k - k.T)
+
+
+def _each_graph(links: DataFrame, graphs: DataFrame, matrix, choose, iterate, dense: int) -> DataFrame:
+    """graph_id, used (atoms with a link), value, residual, of graphs with links.
+
+    A graph of at most ``dense`` blocks of atoms is solved by itself, from its
+    tiles, which meet in one exchange; larger ones go through ``iterate``.
+    """
+
+    def visit(g: int, mine) -> tuple[np.ndarray, ...]:
+        a = matrix(_matrix(mine))
+        values, vectors = np.linalg.eigh(a)
+        k = choose(values)
+        residual = np.linalg.norm(a @ vectors[:, k] - values[k] * vectors[:, k])
+        return np.array([g]), np.array([len(a)]), values[[k]], np.array([residual])
 
+    packed = G.written(tiles.packed(links))
+    columns = {"graph_id": pa.int64(), "used": pa.int64(), "value": pa.float64(), "residual": pa.float64()}
+    large = packed.filter(F.greatest("bi", "bj") >= dense).select("graph_id").distinct()
+    if large.isEmpty():
+        return tiles.walked(packed, visit, columns)
+    large = G.written(large)
+    rest = iterate(links.join(large, "graph_id", "left_semi"), graphs.join(large, "graph_id", "left_semi"))
+    return tiles.walked(packed.join(large, "graph_id", "left_anti"), visit, columns).unionByName(rest.select("graph_id", F.lit(None).cast("long").alias("used"), "value", "residual"))
 
-def last_laplacian_eigenvalue(links: DataFrame, graphs: DataFrame, **how) -> DataFrame:
-    """graph_id, value, residual: the largest eigenvalue of the normalised Laplacian of the undirected links; n < 3 gives NaN."""
-    return _above_one(extreme_eigenvalue(G.laplacian_weights(links, graphs), start_vector(graphs.filter("n >= 3")), True, **how), graphs)
 
+def _laplacian(found: DataFrame, graphs: DataFrame, isolated) -> DataFrame:
+    nan, few = F.lit(float("nan")), F.col("n") < 3
+    out = graphs.select("graph_id", "n").join(found, "graph_id", "left")
+    value = F.when(F.col("used") < F.col("n"), isolated(F.col("value"), F.lit(1.0))).otherwise(F.col("value"))
+    return out.select("graph_id", F.when(few, nan).otherwise(F.coalesce(value, F.lit(1.0))).alias("value"), F.when(few, nan).otherwise(F.coalesce("residual", F.lit(0.0))).alias("residual"))
 
-def first_nonzero_laplacian_eigenvalue(links: DataFrame, graphs: DataFrame, **how) -> DataFrame:
+
+def last_laplacian_eigenvalue(links: DataFrame, graphs: DataFrame, dense: int = DENSE, **how) -> DataFrame:
+    """graph_id, value, residual: the largest eigenvalue of the normalised Laplacian of the undirected links; n < 3 gives NaN.
+
+    Isolated atoms count with eigenvalue 1."""
+
+    def iterate(some: DataFrame, of: DataFrame) -> DataFrame:
+        return extreme_eigenvalue(G.laplacian_weights(some, of), start_vector(of.filter("n >= 3")), True, **how).withColumn("value", F.col("value") + 1)
+
+    return _laplacian(_each_graph(links, graphs, _normalised_laplacian, lambda v: len(v) - 1, iterate, dense), graphs, F.greatest)
+
+
+def first_nonzero_laplacian_eigenvalue(links: DataFrame, graphs: DataFrame, dense: int = DENSE, **how) -> DataFrame:
     """graph_id, value, residual: the least eigenvalue above 0; n < 3 gives NaN.
 
-    The null vectors (roots of degrees, one for each component with an edge)
-    are known and taken out. Isolated atoms count with eigenvalue 1.
+    Isolated atoms count with eigenvalue 1. In the iteration the null vectors
+    (roots of degrees, one for each component with an edge) are taken out.
     """
-    d = G.degrees(links, graphs).select("graph_id", "atom", F.sqrt("degree").alias("root"))
-    null = G.written(G.component_labels(links).join(d, ["graph_id", "atom"]))
 
-    def project(v: DataFrame) -> DataFrame:
-        part = Window.partitionBy("graph_id", "label")
-        known = v.join(null, ["graph_id", "atom"], "left")
-        away = F.sum(F.col("x") * F.col("root")).over(part) / F.sum(F.col("root") * F.col("root")).over(part)
-        return known.select("graph_id", "atom", (F.col("x") - F.coalesce(away * F.col("root"), F.lit(0.0))).alias("x"))
+    def iterate(some: DataFrame, of: DataFrame) -> DataFrame:
+        d = G.degrees(some, of).select("graph_id", "atom", F.sqrt("degree").alias("root"))
+        null = G.written(G.component_labels(some).join(d, ["graph_id", "atom"]))
+
+        def project(v: DataFrame) -> DataFrame:
+            part = Window.partitionBy("graph_id", "label")
+            known = v.join(null, ["graph_id", "atom"], "left")
+            away = F.sum(F.col("x") * F.col("root")).over(part) / F.sum(F.col("root") * F.col("root")).over(part)
+            return known.select("graph_id", "atom", (F.col("x") - F.coalesce(away * F.col("root"), F.lit(0.0))).alias("x"))
 
-    return _above_one(extreme_eigenvalue(G.laplacian_weights(links, graphs), start_vector(graphs.filter("n >= 3")), False, project, **how), graphs)
+        return extreme_eigenvalue(G.laplacian_weights(some, of), start_vector(of.filter("n >= 3")), False, project, **how).withColumn("value", F.col("value") + 1)
 
+    return _laplacian(_each_graph(links, graphs, _normalised_laplacian, lambda v: int(np.argmax(v > NULL)), iterate, dense), graphs, F.least)
 
-def lowest_antisymmetric_eigenvalue(links: DataFrame, graphs: DataFrame, kind: str = "in", **how) -> DataFrame:
-    """graph_id, value, residual: minus the largest singular value of the entries K.
 
-    The singular values are the eigenvalues of the symmetric (0, K; K', 0) of
-    twice the size, which is scaled by its largest row sum. No link gives 0.
+def lowest_antisymmetric_eigenvalue(links: DataFrame, graphs: DataFrame, kind: str = "in", dense: int = DENSE, **how) -> DataFrame:
+    """graph_id, value, residual: minus the largest singular value of the entries K; no link gives 0.
+
+    In the iteration the singular values are the eigenvalues of the symmetric
+    (0, K; K', 0) of twice the size, which is scaled by its largest row sum.
     """
-    k = G.antisymmetric_entries(links, graphs, kind)
-    left, right = (lambda c: F.col(c) * 2), (lambda c: F.col(c) * 2 + 1)
-    doubled = G.written(k.select("graph_id", left("src").alias("src"), right("dst").alias("dst"), "w").unionByName(k.select("graph_id", right("dst").alias("src"), left("src").alias("dst"), "w")))
-    scale = G.written(doubled.groupBy("graph_id", "src").agg(F.sum(F.abs("w")).alias("s")).groupBy("graph_id").agg(F.max("s").alias("scale")).filter("scale > 0"))
-    matrix = doubled.join(scale, "graph_id").select(*G.KEYS, (F.col("w") / F.col("scale")).alias("w"))
-    start = start_vector(graphs.join(scale, "graph_id", "left_semi"))
-    start = start.select("graph_id", left("atom").alias("atom"), "x").unionByName(start.select("graph_id", right("atom").alias("atom"), F.cos(F.col("atom") * 2.3).alias("x")))
-    out = extreme_eigenvalue(matrix, start, True, **how).join(scale, "graph_id").select("graph_id", (-F.col("value") * F.col("scale")).alias("value"), (F.col("residual") * F.col("scale")).alias("residual"))
+
+    def iterate(some: DataFrame, of: DataFrame) -> DataFrame:
+        k = G.antisymmetric_entries(some, of, kind)
+        left, right = (lambda c: F.col(c) * 2), (lambda c: F.col(c) * 2 + 1)
+        doubled = G.written(k.select("graph_id", left("src").alias("src"), right("dst").alias("dst"), "w").unionByName(k.select("graph_id", right("dst").alias("src"), left("src").alias("dst"), "w")))
+        scale = G.written(doubled.groupBy("graph_id", "src").agg(F.sum(F.abs("w")).alias("s")).groupBy("graph_id").agg(F.max("s").alias("scale")).filter("scale > 0"))
+        matrix = doubled.join(scale, "graph_id").select(*G.KEYS, (F.col("w") / F.col("scale")).alias("w"))
+        start = start_vector(of.join(scale, "graph_id", "left_semi"))
+        start = start.select("graph_id", left("atom").alias("atom"), "x").unionByName(start.select("graph_id", right("atom").alias("atom"), F.cos(F.col("atom") * 2.3).alias("x")))
+        return extreme_eigenvalue(matrix, start, True, **how).join(scale, "graph_id").select("graph_id", (-F.col("value") * F.col("scale")).alias("value"), (F.col("residual") * F.col("scale")).alias("residual"))
+
+    out = _each_graph(links, graphs, lambda a: _antisymmetric(a, kind), lambda v: 0, iterate, dense)
     return graphs.select("graph_id").join(out, "graph_id", "left").select("graph_id", F.coalesce("value", F.lit(0.0)).alias("value"), F.coalesce("residual", F.lit(0.0)).alias("residual"))
