@@ -69,6 +69,12 @@ def relations_from_points(points: DataFrame) -> DataFrame:
     return a.join(b, ["graph_id", "_block", "_later"]).filter("u1 < u2 and v1 < v2").select(*KEYS)
 
 
+def relation_tiles(points: DataFrame) -> DataFrame:
+    """The relations of points as packed tiles, which no table of edges precedes."""
+    numbered = number_atoms(points).sortWithinPartitions("graph_id", "atom")  # as the window leaves them
+    return written(tiles.packed_points(numbered, written))
+
+
 def intervals(relations: DataFrame) -> DataFrame:
     """graph_id, src, dst, inside: how many atoms lie strictly between related ones.
 
@@ -83,6 +89,11 @@ def transitive_reduction(relations: DataFrame) -> DataFrame:
     return tiles.between(written(tiles.packed(relations)), "links", written)
 
 
+def links_of_tiles(relations: DataFrame) -> DataFrame:
+    """The transitive reduction of relations that are packed tiles already."""
+    return tiles.between(relations, "links", written)
+
+
 def reverse(edges: DataFrame) -> DataFrame:
     return edges.select("graph_id", F.col("dst").alias("src"), F.col("src").alias("dst"))
 
@@ -171,8 +182,13 @@ def source_heights(links: DataFrame, graphs: DataFrame) -> DataFrame:
 
 def cardinalities(relations: DataFrame, graphs: DataFrame) -> DataFrame:
     """graph_id, bin, weight: pairs whose interval, ends included, has so many atoms."""
-    sizes = tiles.between(written(tiles.packed(relations)), "sizes", written)
-    return sizes.groupBy("graph_id", (F.col("inside") + 2).alias("bin")).agg(F.sum("weight").alias("weight")).unionByName(graphs.select("graph_id", F.lit(1).cast("long").alias("bin"), F.col("n").alias("weight")))
+    return cardinalities_of_tiles(written(tiles.packed(relations)), graphs)
+
+
+def cardinalities_of_tiles(relations: DataFrame, graphs: DataFrame) -> DataFrame:
+    sizes = tiles.between(relations, "sizes", written)
+    sizes = sizes.groupBy("graph_id", (F.col("inside") + 2).alias("bin")).agg(F.sum("weight").alias("weight"))
+    return sizes.unionByName(graphs.select("graph_id", F.lit(1).cast("long").alias("bin"), F.col("n").alias("weight")))
 
 
 def communicability(links: DataFrame, graphs: DataFrame) -> DataFrame:

@@ -48,22 +48,25 @@ EDGE = {"graph_id": pa.int64(), "src": pa.int64(), "dst": pa.int64()}
 
 def grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple[int, ...], list[np.ndarray]]]:
     """Key and other columns of each group of neighbouring rows that agree in the first ``keys`` columns."""
-    held: list[np.ndarray] | None = None
+    last, held = None, []
+    joined = lambda: [np.concatenate(c) for c in zip(*held)]
     for batch in batches:
         if not batch.num_rows:
             continue
         columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-        if held is not None:
-            columns = [np.concatenate(c) for c in zip(held, columns)]
-        edge = np.zeros(len(columns[0]) - 1, dtype=bool)
+        edge = np.zeros(batch.num_rows - 1, dtype=bool)
         for c in columns[:keys]:
             edge |= c[1:] != c[:-1]
-        begin = np.r_[0, np.flatnonzero(edge) + 1].tolist()
+        begin = [0, *(np.flatnonzero(edge) + 1).tolist(), batch.num_rows]
         for a, b in zip(begin, begin[1:]):
-            yield tuple(int(c[a]) for c in columns[:keys]), [c[a:b] for c in columns[keys:]]
-        held = [c[begin[-1] :] for c in columns]
-    if held is not None:
-        yield tuple(int(c[0]) for c in held[:keys]), held[keys:]
+            key = tuple(int(c[a]) for c in columns[:keys])
+            if last is not None and key != last:
+                yield last, joined()
+                held = []
+            last = key
+            held.append([c[a:b] for c in columns[keys:]])
+    if last is not None:
+        yield last, joined()
 
 
 def unpacked(bits: bytes, rows: int, cols: int) -> np.ndarray:
@@ -99,6 +102,62 @@ def packed(edges: DataFrame) -> DataFrame:
     return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(pack, SCHEMA)
 
 
+def packed_points(points: DataFrame, written) -> DataFrame:
+    """The tiles of the order of points (graph_id, atom, u, v): src before dst if both coordinates are smaller.
+
+    Points that come sorted by graph and atom become a row for each block of
+    atoms; blocks meet those at or after them, so no row is made for an edge.
+    """
+
+    def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = {"graph_id": pa.int64(), "b": pa.int32(), "first": pa.int32(), "u": pa.list_(pa.float64()), "v": pa.list_(pa.float64())}
+        out: list[tuple] = []
+        for (g, b), (atom, u, v) in grouped(batches, 2):
+            out.append((g, b, int(atom[0]) & ((1 << BITS) - 1), u, v))
+            if len(out) == 2000:
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out), kinds.values())], list(kinds))
+                out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out), kinds.values())], list(kinds))
+
+    rows = points.select(F.col("graph_id").cast("long").alias("graph_id"), F.shiftright("atom", BITS).cast("int").alias("b"), F.col("atom").cast("long").alias("atom"), F.col("u").cast("double").alias("u"), F.col("v").cast("double").alias("v"))
+    blocks = written(rows.mapInArrow(block, "graph_id long, b int, first int, u array<double>, v array<double>"))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = {"graph_id": pa.int64(), "bi": pa.int32(), "bj": pa.int32(), "rows": pa.int32(), "cols": pa.int32(), "ordered": pa.bool_(), "bits": pa.binary()}
+        out = Rows(kinds, 2000)
+        for batch in batches:
+            lists = [batch.column(c) for c in ("u", "v", "u_2", "v_2")]
+            flat, at = [c.flatten().to_numpy() for c in lists], [c.offsets.to_numpy() - c.offsets[0].as_py() for c in lists]
+            for k, (g, i, j, p, q) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("graph_id", "b", "b_2", "first", "first_2")))):
+                u, v, x, y = (f[a[k] : a[k + 1]] for f, a in zip(flat, at))
+                met = (u[:, None] < x) & (v[:, None] < y)
+                s, d = np.flatnonzero(met.any(axis=1)), np.flatnonzero(met.any(axis=0))
+                if len(s):
+                    tile = np.zeros((p + s[-1] + 1, q + d[-1] + 1), dtype=bool)
+                    tile[p:, q:] = met[: s[-1] + 1, : d[-1] + 1]
+                    # atoms are in the order of u + v, so an edge goes to a larger one
+                    yield from out.add(*(np.array([e], dtype=object) for e in (g, i, j, *tile.shape, True, np.packbits(tile, axis=1).tobytes())))
+        yield from out.rest()
+
+    other = blocks.select("graph_id", *[F.col(c).alias(f"{c}_2") for c in ("b", "first", "u", "v")])
+    return blocks.join(other, "graph_id").filter("b <= b_2").mapInArrow(meet, SCHEMA)
+
+
+def edges(tiles: DataFrame) -> DataFrame:
+    """The edges of the tiles."""
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = Rows(EDGE)
+        for batch in batches:
+            for g, i, j, rows, cols, bits in zip(*(c.to_pylist() for c in batch.columns)):
+                s, d = np.nonzero(unpacked(bits, rows, cols))
+                yield from out.add(np.full(len(s), g), s + (i << BITS), d + (j << BITS))
+        yield from out.rest()
+
+    return tiles.select("graph_id", "bi", "bj", "rows", "cols", "bits").mapInArrow(unpack, "graph_id long, src long, dst long")
+
+
 def parted(tiles: DataFrame, written) -> tuple[DataFrame, DataFrame | None]:
     """Tiles of graphs of one block, and of the others (None if there are none)."""
     wide = tiles.filter("bi > 0 or bj > 0").select("graph_id").distinct()

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import uuid
+from functools import cached_property
 
 from pyspark.sql import functions as F
 
 from ordergraph.operators import graphs as G
 from ordergraph.operators import histograms as H
 from ordergraph.operators import spectra as P
+from ordergraph.operators import tiles as T
 from ordergraph.sources import ensembles as S
 
 QUERIES, SQL = {}, {}
@@ -38,11 +40,27 @@ def query(sql: str | None = None, prefix: str = PREFIX):
     return add
 
 
-def tables(spark, sf):
-    """Relations, links and graphs of the ensemble."""
-    graphs = S.graph_table(spark, sf)
-    relations = G.relations_from_points(S.points(spark, sf))
-    return relations, G.transitive_reduction(relations), graphs
+class Ensemble:
+    """Relations, links and graphs of the ensemble, each made when it is asked for."""
+
+    def __init__(self, spark, sf):
+        self.spark, self.sf = spark, sf
+
+    @cached_property
+    def graphs(self):
+        return S.graph_table(self.spark, self.sf)
+
+    @cached_property
+    def tiles(self):
+        return G.relation_tiles(S.points(self.spark, self.sf))
+
+    @cached_property
+    def relations(self):
+        return T.edges(self.tiles)
+
+    @cached_property
+    def links(self):
+        return G.links_of_tiles(self.tiles)
 
 
 def edges(df):
@@ -59,44 +77,47 @@ def longs(df, *names):
 
 @query("SELECT graph_id, src, dst FROM rel")
 def i2_relations_from_points(spark, sf):
-    return edges(tables(spark, sf)[0])
+    return edges(G.relations_from_points(S.points(spark, sf)))
 
 
 @query("SELECT graph_id, src, dst FROM lnk")
 def i1_transitive_reduction(spark, sf):
-    return edges(tables(spark, sf)[1])
+    return edges(Ensemble(spark, sf).links)
 
 
 @query("SELECT graph_id, dst AS src, src AS dst FROM lnk")
 def i3_reverse_links(spark, sf):
-    return edges(G.reverse(tables(spark, sf)[1]))
+    return edges(G.reverse(Ensemble(spark, sf).links))
 
 
 @query("SELECT graph_id, src, dst FROM lnk")
 def i4_link_arrays_round_trip(spark, sf):
-    return edges(G.arrays_to_links(G.links_to_arrays(tables(spark, sf)[1])))
+    return edges(G.arrays_to_links(G.links_to_arrays(Ensemble(spark, sf).links)))
 
 
 @query("SELECT graph_id, src, dst FROM lnk UNION ALL SELECT graph_id, dst, src FROM lnk")
 def i5_symmetrised_links(spark, sf):
-    return edges(G.symmetrise(tables(spark, sf)[1]))
+    return edges(G.symmetrise(Ensemble(spark, sf).links))
 
 
 @query("SELECT graph_id, atom, in_degree, out_degree, degree FROM deg")
 def g1_link_degrees(spark, sf):
-    _, links, graphs = tables(spark, sf)
+    e = Ensemble(spark, sf)
+    links, graphs = e.links, e.graphs
     return longs(G.degrees(links, graphs), "atom", "in_degree", "out_degree", "degree")
 
 
 @query("SELECT g.graph_id, round(coalesce(c, 0) / (n * (n - 1) / 2), 6) AS connectivity FROM g LEFT JOIN (SELECT graph_id, count(*) AS c FROM rel GROUP BY 1) r USING (graph_id) WHERE n >= 2")
 def g2_connectivity(spark, sf):
-    relations, _, graphs = tables(spark, sf)
+    e = Ensemble(spark, sf)
+    relations, graphs = e.relations, e.graphs
     return rounded(G.connectivity(relations, graphs), "connectivity")
 
 
 @query("SELECT graph_id, count(*) FILTER (in_degree = 0) AS num_sources, count(*) FILTER (out_degree = 0) AS num_sinks FROM deg GROUP BY 1")
 def g3_sources_sinks(spark, sf):
-    _, links, graphs = tables(spark, sf)
+    e = Ensemble(spark, sf)
+    links, graphs = e.links, e.graphs
     return longs(G.sources_sinks(links, graphs), "num_sources", "num_sinks")
 
 
@@ -107,19 +128,22 @@ LEVELS = """, lev(graph_id, atom, h) AS (SELECT graph_id, atom, 0 FROM atoms UNI
 
 @query(LEVELS.format(to="dst", at="src") + "SELECT graph_id, atom, max(h)::BIGINT AS height FROM lev GROUP BY 1, 2")
 def g4_height_profile(spark, sf):
-    _, links, graphs = tables(spark, sf)
+    e = Ensemble(spark, sf)
+    links, graphs = e.links, e.graphs
     return longs(G.height_profile(links, graphs), "atom", "height")
 
 
 @query(LEVELS.format(to="src", at="dst") + "SELECT graph_id, atom, max(h)::BIGINT AS height FROM lev GROUP BY 1, 2")
 def g5_heights(spark, sf):
-    _, links, graphs = tables(spark, sf)
+    e = Ensemble(spark, sf)
+    links, graphs = e.links, e.graphs
     return longs(G.heights(links, graphs), "atom", "height")
 
 
 @query(LEVELS.format(to="src", at="dst") + "SELECT lev.graph_id, lev.atom, max(h)::BIGINT AS height FROM lev JOIN deg USING (graph_id, atom) WHERE in_degree = 0 GROUP BY 1, 2")
 def g6_source_heights(spark, sf):
-    _, links, graphs = tables(spark, sf)
+    e = Ensemble(spark, sf)
+    links, graphs = e.links, e.graphs
     return longs(G.source_heights(links, graphs), "atom", "height")
 
 
@@ -132,41 +156,45 @@ card AS (SELECT graph_id, bin, count(*) AS weight FROM iv GROUP BY 1, 2 UNION AL
 
 @query(CARD + "SELECT graph_id, bin, weight FROM card")
 def g7_cardinalities(spark, sf):
-    relations, _, graphs = tables(spark, sf)
-    return longs(G.cardinalities(relations, graphs), "bin", "weight")
+    e = Ensemble(spark, sf)
+    return longs(G.cardinalities_of_tiles(e.tiles, e.graphs), "bin", "weight")
 
 
 @query(""", w(graph_id, a, b, k, c) AS (SELECT graph_id, atom, atom, 0, 1.0::DOUBLE FROM atoms UNION ALL
   SELECT graph_id, a, b, k, sum(c)::DOUBLE FROM (SELECT w.graph_id, w.a, l.dst AS b, w.k + 1 AS k, w.c / (w.k + 1) AS c FROM w JOIN lnk l ON l.graph_id = w.graph_id AND l.src = w.b) GROUP BY 1, 2, 3, 4)
 SELECT graph_id, a AS atom, round(sum(c), 6) AS communicability FROM w GROUP BY 1, 2""")
 def g8_communicability(spark, sf):
-    _, links, graphs = tables(spark, sf)
+    e = Ensemble(spark, sf)
+    links, graphs = e.links, e.graphs
     return rounded(longs(G.communicability(links, graphs), "atom"), "communicability")
 
 
 @query("SELECT graph_id, degree AS bin, count(*) AS weight FROM deg GROUP BY 1, 2")
 def g9_degree_histogram(spark, sf):
-    _, links, graphs = tables(spark, sf)
+    e = Ensemble(spark, sf)
+    links, graphs = e.links, e.graphs
     return longs(G.countmap(G.degrees(links, graphs), "degree"), "bin")
 
 
 @query("SELECT graph_id, degree AS bin, count(*) AS weight FROM deg GROUP BY 1, 2 HAVING count(*) <> 0")
 def g10_sparse_histogram(spark, sf):
-    _, links, graphs = tables(spark, sf)
+    e = Ensemble(spark, sf)
+    links, graphs = e.links, e.graphs
     dense = G.countmap(G.degrees(links, graphs), "degree")
     return longs(G.sparse_hist(dense.unionByName(dense.select("graph_id", (F.col("bin") + 1000).alias("bin"), F.lit(0).cast("long").alias("weight")))), "bin")
 
 
 @query("SELECT graph_id, " + SEVEN.format(x="degree") + " FROM deg GROUP BY 1")
 def g11_degree_summary(spark, sf):
-    _, links, graphs = tables(spark, sf)
+    e = Ensemble(spark, sf)
+    links, graphs = e.links, e.graphs
     return rounded(G.summary(G.degrees(links, graphs), "degree"), "mean")
 
 
 @query(CARD + "SELECT graph_id, " + SEVEN.format(x="weight") + " FROM card GROUP BY 1")
 def g11_cardinality_summary(spark, sf):
-    relations, _, graphs = tables(spark, sf)
-    return rounded(G.summary(G.cardinalities(relations, graphs), "weight"), "mean")
+    e = Ensemble(spark, sf)
+    return rounded(G.summary(G.cardinalities_of_tiles(e.tiles, e.graphs), "weight"), "mean")
 
 
 @query("""SELECT vec_id, count(*) FILTER (abs(x) <= 1e-10) AS num_zero, min(abs(x)) FILTER (abs(x) > 1e-10) AS min_abs_nonzero, min(x) AS min, max(x) AS max,
@@ -182,14 +210,15 @@ lab(graph_id, atom, l) AS (SELECT graph_id, src, src FROM e UNION SELECT e.graph
 m AS (SELECT graph_id, atom, min(l) AS l FROM (SELECT * FROM lab UNION ALL SELECT graph_id, src, src FROM e) GROUP BY 1, 2)
 SELECT graph_id, count(DISTINCT l) AS num_components FROM m GROUP BY 1""")
 def g13_weak_components(spark, sf):
-    return G.weak_components(tables(spark, sf)[1])
+    return G.weak_components(Ensemble(spark, sf).links)
 
 
 @query("""SELECT e.graph_id, e.src, e.dst, round(-1 / sqrt(a.degree * b.degree), 6) AS w
 FROM (SELECT graph_id, src, dst FROM lnk UNION ALL SELECT graph_id, dst, src FROM lnk) e
 JOIN deg a ON a.graph_id = e.graph_id AND a.atom = e.src JOIN deg b ON b.graph_id = e.graph_id AND b.atom = e.dst""")
 def g14_laplacian_weights(spark, sf):
-    _, links, graphs = tables(spark, sf)
+    e = Ensemble(spark, sf)
+    links, graphs = e.links, e.graphs
     return rounded(longs(G.laplacian_weights(links, graphs), "src", "dst"), "w")
 
 
@@ -197,20 +226,23 @@ def g14_laplacian_weights(spark, sf):
 (SELECT e.graph_id, e.src, sum(y.degree / sqrt((x.degree * y.degree)::DOUBLE)) AS s FROM (SELECT graph_id, src, dst FROM lnk UNION ALL SELECT graph_id, dst, src FROM lnk) e
  JOIN deg x ON x.graph_id = e.graph_id AND x.atom = e.src JOIN deg y ON y.graph_id = e.graph_id AND y.atom = e.dst GROUP BY 1, 2) t ON t.graph_id = a.graph_id AND t.src = a.atom""")
 def g14_laplacian_times_degrees(spark, sf):
-    _, links, graphs = tables(spark, sf)
+    e = Ensemble(spark, sf)
+    links, graphs = e.links, e.graphs
     vector = G.degrees(links, graphs).select("graph_id", "atom", F.col("degree").cast("double").alias("x"))
     return rounded(longs(G.laplacian_times(links, graphs, vector), "atom"), "x")
 
 
 @query()
 def g15_largest_laplacian_eigenvalue(spark, sf):
-    _, links, graphs = tables(spark, sf)
+    e = Ensemble(spark, sf)
+    links, graphs = e.links, e.graphs
     return P.last_laplacian_eigenvalue(links, graphs)
 
 
 @query()
 def g15_first_nonzero_laplacian_eigenvalue(spark, sf):
-    _, links, graphs = tables(spark, sf)
+    e = Ensemble(spark, sf)
+    links, graphs = e.links, e.graphs
     return P.first_nonzero_laplacian_eigenvalue(links, graphs)
 
 
@@ -220,19 +252,22 @@ UNION ALL SELECT graph_id, dst, src, CASE WHEN d > 0 THEN round(-({s}) / d, 6) E
 
 @query(ENTRIES.format(s="0.5::DOUBLE", deg="in_degree"))
 def g16_antisymmetric_in(spark, sf):
-    _, links, graphs = tables(spark, sf)
+    e = Ensemble(spark, sf)
+    links, graphs = e.links, e.graphs
     return rounded(longs(G.antisymmetric_entries(links, graphs, "in"), "src", "dst"), "w")
 
 
 @query(ENTRIES.format(s="-0.5::DOUBLE", deg="out_degree"))
 def g16_antisymmetric_out(spark, sf):
-    _, links, graphs = tables(spark, sf)
+    e = Ensemble(spark, sf)
+    links, graphs = e.links, e.graphs
     return rounded(longs(G.antisymmetric_entries(links, graphs, "out"), "src", "dst"), "w").withColumn("w", F.col("w") + 0.0)
 
 
 @query()
 def g17_lowest_antisymmetric_eigenvalue(spark, sf):
-    _, links, graphs = tables(spark, sf)
+    e = Ensemble(spark, sf)
+    links, graphs = e.links, e.graphs
     return P.lowest_antisymmetric_eigenvalue(links, graphs)
 
 
@@ -240,13 +275,15 @@ def g17_lowest_antisymmetric_eigenvalue(spark, sf):
 (SELECT l.graph_id, sum(1.0::DOUBLE / (x.degree * y.degree)) AS a, sum(1.0::DOUBLE / (y.in_degree * y.in_degree)) AS b FROM lnk l JOIN deg x ON x.graph_id = l.graph_id AND x.atom = l.src
  JOIN deg y ON y.graph_id = l.graph_id AND y.atom = l.dst GROUP BY 1) s USING (graph_id)""")
 def g18_spectral_moments(spark, sf):
-    _, links, graphs = tables(spark, sf)
+    e = Ensemble(spark, sf)
+    links, graphs = e.links, e.graphs
     return rounded(G.spectral_moments(links, graphs), "laplacian_2", "antisymmetric_2")
 
 
 @query()
 def g19_relation_dimension(spark, sf):
-    relations, _, graphs = tables(spark, sf)
+    e = Ensemble(spark, sf)
+    relations, graphs = e.relations, e.graphs
     return G.relation_dimension(G.connectivity(relations, graphs))
 
 
@@ -256,14 +293,16 @@ FROM g JOIN customer ON c_custkey = g.graph_id LEFT JOIN (SELECT graph_id, count
 LEFT JOIN (SELECT graph_id, min(degree)::DOUBLE AS link_degree_min, max(degree)::DOUBLE AS link_degree_max, round(avg(degree), 6) AS link_degree_mean, quantile_cont(degree::DOUBLE, 0.25) AS link_degree_q25,
   quantile_cont(degree::DOUBLE, 0.75) AS link_degree_q75, quantile_cont(degree::DOUBLE, 0.5) AS link_degree_median FROM deg GROUP BY 1) s USING (graph_id)""")
 def g20_record(spark, sf):
-    relations, _, graphs = tables(spark, sf)
+    e = Ensemble(spark, sf)
+    relations, graphs = e.relations, e.graphs
     return rounded(G.record(relations, graphs), "connectivity", "link_degree_mean")
 
 
 @query("SELECT graph_id + 10000000 AS graph_id, src, dst FROM rel WHERE graph_id % 10 = 0 UNION ALL SELECT graph_id, dst, src FROM rel WHERE graph_id % 10 = 1 UNION ALL SELECT graph_id, src, dst + 1000 FROM rel WHERE graph_id % 10 = 2")
 def s13_inconsistent_edges(spark, sf):
     """Of whole relations and broken ones (no such graph, turned round, no such atom), the broken ones."""
-    r, _, graphs = tables(spark, sf)
+    e = Ensemble(spark, sf)
+    r, graphs = e.relations, e.graphs
     wrong = r.filter("graph_id % 10 = 0").withColumn("graph_id", F.col("graph_id") + 10_000_000)
     wrong = wrong.unionByName(G.reverse(r.filter("graph_id % 10 = 1"))).unionByName(r.filter("graph_id % 10 = 2").withColumn("dst", F.col("dst") + 1000))
     return edges(G.inconsistent(r.unionByName(wrong), graphs))
@@ -277,7 +316,8 @@ def s9_sizes(spark, sf):
 @query("SELECT g.graph_id, g.n, c_mktsegment AS cls, c_nationkey::DOUBLE AS scalar, round(CASE WHEN n >= 2 THEN coalesce(r.c, 0) / (n * (n - 1) / 2) END, 6) AS connectivity FROM g JOIN customer ON c_custkey = g.graph_id LEFT JOIN (SELECT graph_id, count(*) AS c FROM rel GROUP BY 1) r USING (graph_id)")
 def s11_pruned_record(spark, sf):
     """Only the requested group is computed and returned."""
-    relations, _, graphs = tables(spark, sf)
+    e = Ensemble(spark, sf)
+    relations, graphs = e.relations, e.graphs
     return rounded(G.record(relations, graphs, ("connectivity",)), "connectivity")
 
 
@@ -318,7 +358,8 @@ def s15_size_scan(spark, sf):
 @query("SELECT graph_id, bin, round(weight / sum(weight) OVER (PARTITION BY graph_id), 6) AS weight FROM (SELECT graph_id, degree AS bin, count(*) AS weight FROM deg GROUP BY 1, 2)")
 def s16_named_observable(spark, sf):
     """The histogram that the catalogue names for link degrees."""
-    _, links, graphs = tables(spark, sf)
+    e = Ensemble(spark, sf)
+    links, graphs = e.links, e.graphs
     field, _, mode = S.observable("link_degree")
     hist = G.countmap(G.degrees(links, graphs), field).withColumn("weight", F.col("weight").cast("double"))
     return rounded(longs(H.normalize(hist, mode, "graph_id"), "bin"), "weight")

@@ -110,3 +110,14 @@ def test_eigenvalues_of_tiles_and_of_iteration_agree(spark):
         d = link.sum(axis=1)
         k = np.where(link & (d > 0), -0.5 / np.maximum(d, 1), 0.0)
         assert out[g] == pytest.approx(-np.linalg.svd(k - k.T, compute_uv=False)[0], abs=1e-9)
+
+
+def test_tiles_of_points_hold_their_relations(spark):
+    rng = np.random.default_rng(6)
+    data = [(g, int(k), float(u), float(v)) for g, n in enumerate((1, 2, 40, 2100)) for k, (u, v) in enumerate(np.round(rng.random((n, 2)), 3))]  # with ties
+    points = spark.createDataFrame(data, "graph_id long, id long, u double, v double")
+    packed = G.relation_tiles(points)
+    assert rows(tiles.edges(packed)) == rows(G.relations_from_points(points))
+    assert packed.filter("not ordered").isEmpty() and packed.filter("graph_id = 3").count() == 6
+    assert rows(G.links_of_tiles(packed)) == rows(G.transitive_reduction(tiles.edges(packed)))
+    assert tiles.edges(G.relation_tiles(points.limit(0))).isEmpty()
