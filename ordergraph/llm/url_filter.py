@@ -45,11 +45,12 @@ class RuleTrie:
             node = self.root
             for label in reversed(host.split(".")):
                 node = node[0].setdefault(label, [{}, None])
-            node[1] = node[1] or [{}, {}]
+            node[1] = node[1] or [{}, {}, []]
             at, (*whole, last) = node[1], path.split("/")
             for segment in whole:
-                at = at[0].setdefault(segment, [{}, {}])
+                at = at[0].setdefault(segment, [{}, {}, []])
             held = at[1].setdefault(last, (f"{host}{path}", verdict))
+            at[2] = sorted({len(end) for end in at[1]})
             if held[1] != verdict:
                 raise ValueError(f"both allowed and blocked: {host}{path}")
 
@@ -65,8 +66,8 @@ class RuleTrie:
             for segment in segments if path.startswith("/") else ():
                 if at is None:
                     break
-                for k in range(len(segment) + 1) if at[1] else ():
-                    if (end := at[1].get(segment[:k])) and len(end[0]) > len(best[0] or ""):
+                for k in at[2]:  # only lengths that rules have, so a long segment is not tried at each of its places
+                    if k <= len(segment) and (end := at[1].get(segment[:k])) and len(end[0]) > len(best[0] or ""):
                         best = end
                 at = at[0].get(segment)
         return best
