@@ -6,7 +6,8 @@ ceil((j+1)P/q); earliest deadline first then serves each source with a
 deviation of less than one block from its weight.  The schedule of one round of
 P slots repeats, so its size follows the number of classes, not the data;
 documents find their slots by broadcasting it.  The largest sources are a
-class each, and all smaller ones together are one.  DataFrame functions only.
+class each; all smaller ones together are one, whose own slots they share in
+order of their deadlines.  DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -18,11 +19,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ordergraph.operators.ordered import sums_before
+
 from .common import before, checkpoint, packed
 
 #: So many of the largest sources are scheduled each by itself; this bounds the
-#: schedule.  Those beyond share a class of the sum of their weights, within
-#: which they are in the order of a hash, that is in proportion to their sizes.
+#: schedule.  Those beyond share a class of the sum of their weights, and are
+#: interleaved in it by deadlines: a document with which its source has n
+#: characters is due at n over the source's weight.
 CLASSES = 256
 
 
@@ -92,9 +96,10 @@ def mix_sources(
 ) -> DataFrame:
     """Columns row, source_key, block, slot, block_offset: every row, each once.
 
-    The mixed order is (slot, block_offset, doc_id).  Within a class (see
-    CLASSES), documents are in the order of a hash; block = characters before
-    the document, divided by ``block_chars``.  ``weights`` are by source and
+    The mixed order is (slot, block_offset, doc_id).  Within a source,
+    documents are in the order of a hash, and within the class of the smaller
+    sources (see CLASSES) in the order of deadlines; block = characters
+    before the document in its class, divided by ``block_chars``.  ``weights`` are by source and
     default to characters to the power ``temperature``; a source without a
     weight is an error.  When a class runs out, the others share its slots,
     so no row is dropped or repeated.
@@ -127,18 +132,28 @@ def mix_sources(
     plan = schedule({k: -(-n // block_chars) for k, (n, _) in every.items()}, {k: w for k, (_, w) in every.items()}, slots)
 
     classed = lambda df: df.join(F.broadcast(classes), F.col("s") == F.col("in_s"), "left").withColumn("nth", F.coalesce("nth", F.lit(CLASSES))).drop("in_s")
-    starts = before(classed(sums).groupBy("nth", "b").agg(F.sum("sum_chars").alias("sum_chars")), "nth", "b", "sum_chars")
-    starts = starts.select(F.col("nth").alias("at_nth"), F.col("b").alias("at_b"), F.col("before").alias("start"))
-    rows = classed(rows)
-    own = Window.partitionBy("nth", "b").orderBy("h", "d", "s").rowsBetween(Window.unboundedPreceding, -1)
+    starts = before(sums, "s", "b", "sum_chars").select(F.col("s").alias("at_s"), F.col("b").alias("at_b"), F.col("before").alias("start"))
+    own = Window.partitionBy("s", "b").orderBy("h", "d").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("within", F.coalesce(F.sum("chars").over(own), F.lit(0)))
-    at = F.col("start") + F.col("within")
-    rows = rows.join(starts, (F.col("nth") == F.col("at_nth")) & (F.col("b") == F.col("at_b"))).select("row", "s", "nth", F.floor(at / block_chars).alias("block"), (at % block_chars).alias("block_offset"))
+    rows = classed(rows.join(starts, (F.col("s") == F.col("at_s")) & (F.col("b") == F.col("at_b"))).withColumn("at", F.col("start") + F.col("within")))
+    placed = rows.select("row", "s", "nth", "at") if not rest["n"] else rows.filter(F.col("nth") < CLASSES).select("row", "s", "nth", "at").unionByName(_by_deadline(rows.filter(F.col("nth") == CLASSES), totals))
+    rows = placed.select("row", "s", "nth", F.floor(F.col("at") / block_chars).alias("block"), (F.col("at") % block_chars).alias("block_offset"))
     phases = _literal(spark, plan, "source:int,first:long,last:long,base:long,slots:array<int>,round:int")
     placed = rows.join(F.broadcast(phases), (F.col("nth") == F.col("source")) & (F.col("block") >= F.col("first")) & (F.col("block") < F.col("last")))
     return placed.select("row", F.col("s").alias("source_key"), "block", _slot().alias("slot"), "block_offset")
 
 
+def _by_deadline(rows: DataFrame, totals: DataFrame) -> DataFrame:
+    """Rows of the smaller sources, ``at`` counted over all of them in order of deadlines.
+
+    Rows are dealt by ranges of that order; the driver adds up one number a range.
+    """
+    due = rows.join(totals.select(F.col("s").alias("of_s"), "w"), F.col("s") == F.col("of_s"))
+    due = due.withColumn("due", F.struct(((F.col("at") + F.col("chars")) / F.col("w")).alias("t"), "s", "h", "d"))
+    summed = sums_before(due.select("row", "s", "nth", "due", "chars"), "due", "chars", "at")
+    return summed.select("row", "s", "nth", F.col("at").cast("long").alias("at"))
+
+
 def _literal(spark: SparkSession, rows: list[dict], fields: str) -> DataFrame:
     """A small table written into the plan."""
     return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{fields}>>")))
