@@ -16,11 +16,10 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_share, packed
+from .common import packed
 
 LETTER, OTHER = regex.compile(r"\p{L}"), regex.compile(r"[^\p{L}\p{M}]+")
 UNKNOWN = "und"
-MAX_LANGUAGES = 64
 
 
 def grams(text: str, dims: int) -> np.ndarray:
@@ -55,16 +54,25 @@ class Centroids:
         return self.names[k], float(min(max(cosines[k], 0.0), 1.0)), bool(cosines[k] < self.limits[k])
 
 
-def fit(texts: list[str], langs: list[str], dims: int, each: int, reject: float, seed: int = 7) -> Centroids:
-    counts = np.stack([np.log1p(grams(t, dims)) for t in texts])
-    idf = np.log((1 + len(texts)) / (1 + (counts > 0).sum(axis=0))) + 1
-    x = counts * idf
-    x /= np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-12)
+def fit_counts(held: list[tuple[np.ndarray, np.ndarray]], langs: list[str], dims: int, each: int, reject: float, seed: int = 7) -> Centroids:
+    """Of texts as (cells, counts of their grams); one language's rows are dense at a time."""
+    df = np.zeros(dims)
+    for cells, _ in held:
+        df[cells] += 1
+    idf = np.log((1 + len(held)) / (1 + df)) + 1
+
+    def vectors(some: np.ndarray) -> np.ndarray:
+        x = np.zeros((len(some), dims))
+        for row, k in zip(x, some):
+            row[held[k][0]] = np.log1p(held[k][1])
+        x *= idf
+        return x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-12)
+
     names, rows, limits = [], [], []
     rng = np.random.default_rng(seed)
     langs_of = np.array(langs)
     for lang in sorted(set(langs)):
-        mine = x[langs_of == lang]
+        mine = vectors(np.flatnonzero(langs_of == lang))
         c = mine[rng.choice(len(mine), size=min(each, len(mine)), replace=False)]
         for _ in range(8):
             near = (mine @ c.T).argmax(axis=1)
@@ -77,6 +85,16 @@ def fit(texts: list[str], langs: list[str], dims: int, each: int, reject: float,
     return Centroids(idf, names, np.concatenate(rows), np.array(limits))
 
 
+def fit(texts: list[str], langs: list[str], dims: int, each: int, reject: float, seed: int = 7) -> Centroids:
+    counts = [grams(t, dims) for t in texts]
+    return fit_counts([(np.flatnonzero(c), c[c > 0]) for c in counts], langs, dims, each, reject, seed)
+
+
+def _below(wanted: int, total: int) -> int:
+    """A bound on a uniform 64-bit hash that about ``wanted`` of ``total`` rows keep; all if there are no more."""
+    return 2**63 - 1 if wanted >= total else -(2**63) + int(2**64 * (wanted / total)) - 1
+
+
 def identify(
     docs: DataFrame,
     training: Column,
@@ -92,7 +110,8 @@ def identify(
 
     Fitted on about ``per_language`` rows of each language, those of least
     hash, among the rows where ``training`` holds and text and ``lang`` are not
-    null; at most 64 languages (else an error).  score: cosine with the nearest
+    null.  What is collected is one row of at most ``dims`` counts for each of
+    these, however long the texts.  score: cosine with the nearest
     centroid.  rejected: nearer to no centroid than all but a ``reject`` share
     of its language's training rows.
 
@@ -102,14 +121,21 @@ def identify(
     """
     labelled = docs.filter(training & F.col(f"`{lang}`").isNotNull() & F.col(f"`{text}`").rlike(r"\p{L}"))
     labelled = labelled.select(F.col(f"`{text}`").alias("x"), F.col(f"`{lang}`").alias("l"), F.xxhash64(F.col(f"`{doc_id}`"), F.col(f"`{text}`")).alias("h"))
-    sizes = {r["l"]: r["n"] for r in labelled.groupBy("l").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    low = F.lit(False)
-    for name, n in sizes.items():
-        low |= (F.col("l") == name) & hash_share("h", per_language, n)
-    drawn = sorted(labelled.filter(low).dropDuplicates(["h", "l"]).collect(), key=lambda r: (r["h"], r["l"])) if sizes else []  # about ``per_language`` rows of each
-    model = fit([r["x"] for r in drawn], [r["l"] for r in drawn], dims, centroids, reject) if drawn else None
+    sizes = {r["l"]: r["n"] for r in labelled.groupBy("l").agg(F.count("*").alias("n")).collect()}  # one row a language
+
+    @F.pandas_udf("cells array<int>, counts array<int>")
+    def counted(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [grams(x, dims) for x in batch]
+            yield pd.DataFrame({"cells": [np.flatnonzero(c).astype(np.int32) for c in found], "counts": [c[c > 0].astype(np.int32) for c in found]})
+
+    shares = F.create_map(*[F.lit(v) for name, n in sorted(sizes.items()) for v in (name, _below(per_language, n))]) if sizes else None
+    drawn = []
+    if sizes:  # about ``per_language`` rows of each language
+        low = labelled.filter(F.col("h") <= F.element_at(shares, F.col("l"))).dropDuplicates(["h", "l"])
+        drawn = sorted(low.select("h", "l", counted("x").alias("c")).collect(), key=lambda r: (r["h"], r["l"]))
+    held = [(np.array(r["c"]["cells"], dtype=np.int64), np.array(r["c"]["counts"], dtype=float)) for r in drawn]
+    model = fit_counts(held, [r["l"] for r in drawn], dims, centroids, reject) if drawn else None
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double, rejected boolean")
