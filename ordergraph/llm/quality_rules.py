@@ -34,7 +34,8 @@ def _repeat_words(words: Column) -> Column:
 
 def quality_rules(
     docs: DataFrame,
-    max_docs: int = 100,
+    max_docs: int = 5,
+    max_percent: int = 5,
     max_removed: float = 0.7,
     min_words: int = 50,
     max_repeat_percent: int = 50,
@@ -46,10 +47,12 @@ def quality_rules(
     base_failed, removed_chars, line_chars, kept.
 
     A line is removed when more than ``max_docs`` distinct documents of its
-    host hold it.  Documents are told apart by a hash of the whole normalised
-    text, so copies of a whole document count once and cannot make its lines
-    frequent, and a line counts once for a document however often it has it.
-    The smallest doc_id of the host keeps the line.  A document is rejected when base_failed, or when the removed lines hold more than
+    host hold it, and more than ``max_percent`` of a hundred of those of the
+    host that have a line.  Documents are told apart by a hash of the whole
+    normalised text, so copies of a whole document count once and cannot make
+    its lines frequent, and a line counts once for a document however often it
+    has it.  The smallest doc_id of the host keeps the line.  A document is
+    rejected when base_failed, or when the removed lines hold more than
     ``max_removed`` of its line characters.
 
     Null text: no words, base_failed.  Null host: a host of its own.  Null
@@ -61,21 +64,24 @@ def quality_rules(
         F.filter(F.transform(F.split("x", "\n", -1), line_key), lambda k: k != ""),
         lambda ks: F.struct(
             F.xxhash64(ks).alias("whole"),
-            F.transform(
-                ks,
-                lambda k, i: F.struct(
-                    F.xxhash64("host", k).alias("h1"),
-                    F.xxhash64(F.lit(1), "host", k).alias("h2"),
-                    F.length(k).alias("chars"),
-                    i.alias("pos"),
-                ),
+            F.concat(
+                F.transform(ks, lambda k, i: F.struct(F.xxhash64("host", k).alias("h1"), F.xxhash64(F.lit(1), "host", k).alias("h2"), F.length(k).alias("chars"), i.alias("pos"))),
+                # the host itself, as a line that each of its documents with a line has once
+                F.when(F.size(ks) > 0, F.array(F.struct(F.xxhash64("host").alias("h1"), F.xxhash64(F.lit(1), "host").alias("h2"), F.lit(0).alias("chars"), F.lit(-1).alias("pos")))).otherwise(F.array()),
             ).alias("ks"),
         ),
     )
-    lines = rows.filter(F.col("d").isNotNull()).select("d", "th", keys.alias("l")).select("d", "th", "l.whole", F.explode("l.ks").alias("k")).select("d", "th", "whole", "k.*")
-    held = lines.groupBy("h1", "h2", "whole").agg(F.min("d").alias("first_d"), F.count("*").alias("n"))
-    frequent = held.groupBy("h1", "h2").agg(F.min("first_d").alias("first_d"), F.sum("n").alias("n"), F.count("*").alias("n_docs")).filter(F.col("n_docs") > max_docs).drop("n_docs")
-    hits = join_counted(lines.drop("whole"), checkpoint(frequent), ["h1", "h2"], "n", F.xxhash64("d", "pos"))
+    lines = rows.filter(F.col("d").isNotNull()).select("d", "th", F.xxhash64("host").alias("in1"), F.xxhash64(F.lit(1), "host").alias("in2"), keys.alias("l"))
+    lines = lines.select("d", "th", "in1", "in2", "l.whole", F.explode("l.ks").alias("k")).select("d", "th", "in1", "in2", "whole", "k.*")
+    # most lines are too rare to need their documents told apart
+    often = lines.groupBy("h1", "h2").agg(F.count("*").alias("n")).filter(F.col("n") > max_docs)
+    hits = checkpoint(join_counted(lines, checkpoint(often), ["h1", "h2"], "n", F.xxhash64("d", "pos")))
+    held = hits.groupBy("h1", "h2", "whole").agg(F.min("d").alias("first_d"), F.count("*").alias("n"), F.min("in1").alias("in1"), F.min("in2").alias("in2"), F.min("pos").alias("pos"))
+    counts = checkpoint(held.groupBy("h1", "h2").agg(F.min("first_d").alias("first_d"), F.sum("n").alias("n"), F.count("*").alias("n_docs"), F.min("in1").alias("in1"), F.min("in2").alias("in2"), F.min("pos").alias("pos")))
+    hosts = counts.filter("pos < 0").select(F.col("h1").alias("in1"), F.col("h2").alias("in2"), F.col("n_docs").alias("host_docs"))
+    frequent = counts.filter((F.col("pos") >= 0) & (F.col("n_docs") > max_docs)).join(hosts, ["in1", "in2"])
+    frequent = frequent.filter(100 * F.col("n_docs") > max_percent * F.col("host_docs")).select("h1", "h2", "first_d", "n")
+    hits = join_counted(hits.filter("pos >= 0").select("d", "th", "h1", "h2", "chars", "pos"), checkpoint(frequent), ["h1", "h2"], "n", F.xxhash64("d", "pos"))
     # repeated rows have each position once
     removed = hits.filter("d > first_d").dropDuplicates(["d", "th", "pos"]).groupBy(F.col("d").alias("cut_d"), F.col("th").alias("cut_th")).agg(F.sum("chars").alias("removed"))
 

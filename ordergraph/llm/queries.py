@@ -124,7 +124,9 @@ dl AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM l WHER
 k AS (SELECT doc_id, source, i, translate(trim(line, {_STRIP}), {_ABC}) AS key FROM l),
 h AS (SELECT doc_id, string_agg(key, chr(10) ORDER BY i) AS whole FROM k WHERE key <> '' GROUP BY doc_id),
 a AS (SELECT k.*, whole FROM k JOIN h ON k.doc_id = h.doc_id WHERE key <> ''),
-f AS (SELECT source, key, min(doc_id) AS first_d FROM a GROUP BY source, key HAVING count(DISTINCT whole) > 100),
+hd AS (SELECT source, count(DISTINCT whole) AS host_docs FROM a GROUP BY source),
+f AS (SELECT a.source, key, min(doc_id) AS first_d FROM a JOIN hd ON a.source IS NOT DISTINCT FROM hd.source
+      GROUP BY a.source, key, host_docs HAVING count(DISTINCT whole) > 5 AND 100 * count(DISTINCT whole) > 5 * host_docs),
 x AS (SELECT a.doc_id, sum(length(a.key)) AS removed FROM a JOIN f ON a.key = f.key AND a.source IS NOT DISTINCT FROM f.source
       WHERE a.doc_id > f.first_d GROUP BY a.doc_id),
 c AS (SELECT doc_id, sum(length(key)) AS chars FROM k GROUP BY doc_id),

@@ -141,7 +141,7 @@ def test_mixing_keeps_every_row_once(docs, none):
 
 
 def test_mixing_against_brute_force(spark, monkeypatch):
-    """Slot by slot over all blocks, with the sources beyond the third in one class."""
+    """Slot by slot over all blocks, with the sources beyond the third in one class, by deadlines."""
     monkeypatch.setattr(mixing, "CLASSES", 3)
     rng = random.Random(14)
     rows = [(k, "x" * rng.randrange(1, 300), rng.choice("aaaaabbbccdef"), "c") for k in range(400)] + [(None, None, None, "c")]
@@ -170,9 +170,14 @@ def test_mixing_against_brute_force(spark, monkeypatch):
                     slot_of[c, done[c]] = base + now
                     done[c], left[c] = done[c] + 1, left[c] - 1
             base += 16
+    due, at = {}, dict.fromkeys(size, 0)
+    for r in sorted(rows, key=lambda r: hashes[r[0]]):
+        s = r[2] or ""
+        at[s] += max(1, len(r[1] or ""))
+        due[r[0]] = (at[s] / size[s] ** 0.5, s, hashes[r[0]])
     for c in chars:
         at = 0
-        for r in sorted((r for r in rows if class_of[r[2] or ""] == c), key=lambda r: hashes[r[0]]):
+        for r in sorted((r for r in rows if class_of[r[2] or ""] == c), key=lambda r: due[r[0]]):
             want[r[0]] = (r[2] or "", at // 500, slot_of[c, at // 500], at % 500)
             at += max(1, len(r[1] or ""))
     assert {d: tuple(rest) for d, *rest in got} == want and len(got) == len(rows)
@@ -555,3 +560,43 @@ def test_far_ids_beside_nulls_come_back(spark, tmp_path):
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, spark.read.parquet(str(tmp_path / "in")), str(tmp_path))
         assert {str(r[0]) for r in out.select("doc_id").collect()} == set(want), name
+
+
+def test_small_sources_keep_their_weights(spark):
+    """Of 1000 sources, beyond the 256 largest, one weighs much and one twice the others."""
+    rows = [(10 * k + j, "x" * (50 + k % 7), f"s{k:03d}") for k in range(1000) for j in range(6)]
+    weights = {f"s{k:03d}": 1.0 for k in range(1000)} | {"s994": 500.0, "s987": 2.0}  # both of the smallest
+    out = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string"), weights=weights, block_chars=100)
+    place = {}
+    for n, r in enumerate(out.select("slot", "block_offset", "source_key").orderBy("slot", "block_offset").collect()):
+        place.setdefault(r["source_key"], []).append(n)
+    mean = {s: sum(v) / len(v) for s, v in place.items()}
+    assert sum(map(len, place.values())) == len(rows) and len(place) == 1000
+    assert mean["s994"] < 20 and abs(mean["s987"] - mean["s980"] / 2) < 700
+
+
+def test_a_very_long_path_segment_takes_linear_time():
+    import time
+
+    trie = url_filter.RuleTrie([("block", "net", "/es/"), ("allow", "net", "/x"), ("block", "net", "/xyz")])
+    start = time.perf_counter()
+    assert trie.match("a.net", "/xyz" + "y" * 1_000_000) == ("net/xyz", "block")
+    assert trie.match("a.net", "/x" + "é" * 1_000_000 + "/es/") == ("net/x", "allow")
+    assert time.perf_counter() - start < 1
+
+
+def test_language_id_of_a_hundred_languages(spark):
+    rng = random.Random(9)
+    words = {f"l{k:02d}": [f"{chr(0x4E00 + 40 * k + j)}{chr(0x4E00 + 40 * k + j + 1)}" for j in range(12)] for k in range(100)}
+    rows = [(10 * k + j, " ".join(rng.choice(w) for _ in range(15)), name) for k, (name, w) in enumerate(words.items()) for j in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = language_id.identify(df, F.col("doc_id") % 10 < 4, dims=4096).select("row.lang", "lang_pred").collect()
+    assert sum(r["lang"] == r["lang_pred"] for r in got) >= 0.98 * len(got)
+
+
+def test_frequent_lines_are_those_of_a_share_of_the_host(spark):
+    body = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    rows = [(k, ("a line of the small host \n" if k < 7 else "") + body(k), "small") for k in range(20)]
+    rows += [(1000 + k, ("a line of the large host \n" if k < 7 else "and one more of it\n" if k < 60 else "") + body(1000 + k), "large") for k in range(300)]
+    out = by_id(quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")), "removed_chars")
+    assert sorted(k for k, v in out.items() if v[0]) == [*range(1, 7), *range(1008, 1060)]  # 7 of 300 are no share of 5 %
