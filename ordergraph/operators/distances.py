@@ -15,8 +15,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .graphs import cut_lineage
+from .ordered import ranked, sums_before
 
 BLOCK = 1024
 
@@ -63,6 +65,7 @@ class Cell(NamedTuple):
     x2: np.ndarray
     d: np.ndarray
     same: bool
+    todo: np.ndarray | None = None
 
 
 def blocks(vectors: DataFrame, size: int = BLOCK, seed: int = 0) -> tuple[DataFrame, dict]:
@@ -80,20 +83,42 @@ def blocks(vectors: DataFrame, size: int = BLOCK, seed: int = 0) -> tuple[DataFr
 
     dealt = vectors.select(F.col("sample_id").cast("long").alias("sample_id"), "vec", "k", F.pmod(F.xxhash64("sample_id", F.lit(seed)), F.lit(parts)).alias("part"))
     packed = cut_lineage(dealt.groupBy("k", "part").applyInPandas(pack, f"k {kind}, part long, n int, ids binary, data binary"))
+    each = packed.select("k", "part", F.col("n").cast("long").alias("n"))
+    named, sizes = _numbered(each) if parts > LISTED else _listed(each, kind)
+    if not sizes:
+        return packed.select(F.lit(0).alias("no"), "k", F.lit(0).cast("long").alias("start"), "n", "ids", "data"), sizes
+    return packed.join(named, (F.col("k") == F.col("name")) & (F.col("part") == F.col("at"))).select("no", "k", "start", "n", "ids", "data"), sizes
+
+
+#: Blocks of a class that the driver may list; more are numbered by a job.
+LISTED = 20_000
+
+
+def _listed(each: DataFrame, kind: str) -> tuple[DataFrame, dict]:
+    """no, name, at, start of each block in the order of classes, and the classes' sizes."""
     names, sizes = [], {}
-    for no, r in enumerate(packed.select("k", "part", "n").orderBy("k", "part").collect()):  # one row a block
+    for no, r in enumerate(each.orderBy("k", "part").collect()):
         names.append((no, r["k"], r["part"], sizes.get(r["k"], 0)))
         sizes[r["k"]] = sizes.get(r["k"], 0) + r["n"]
-    if not names:
-        return packed.select(F.lit(0).alias("no"), "k", F.lit(0).cast("long").alias("start"), "n", "ids", "data"), sizes
-    named = vectors.sparkSession.createDataFrame(names, f"no int, name {kind}, at long, start long")
-    return packed.join(F.broadcast(named), (F.col("k") == F.col("name")) & (F.col("part") == F.col("at"))).select("no", "k", "start", "n", "ids", "data"), sizes
+    return each.sparkSession.createDataFrame(names, f"no int, name {kind}, at long, start long"), sizes
+
 
+def _numbered(each: DataFrame) -> tuple[DataFrame, dict]:
+    """The same, without a list on the driver."""
+    numbered = cut_lineage(ranked(each, ["k", "part"], "no"))
+    before = sums_before(numbered, "no", "n", "all_before")
+    before = cut_lineage(before.select((F.col("no") - 1).cast("int").alias("no"), F.col("k").alias("name"), F.col("part").alias("at"), "all_before", F.col("n").alias("size")))
+    of_class = before.groupBy("name").agg(F.sum("size").alias("size"), F.min("all_before").alias("first")).select(F.col("name").alias("of"), "size", "first")
+    sizes = {r["of"]: r["size"] for r in of_class.collect()}  # one row a class
+    named = before.drop("size").join(of_class.drop("size"), F.col("name") == F.col("of")).select("no", "name", "at", (F.col("all_before") - F.col("first")).alias("start"))
+    return named, sizes
 
-def cells(vectors: DataFrame, metric: Callable, reduce: Callable[[Cell], pd.DataFrame | None], schema: str, pairs: str = "all", beside: int = 0, packed: tuple | None = None) -> DataFrame:
+
+def cells(vectors: DataFrame, metric: Callable, reduce: Callable[[Cell], pd.DataFrame | None], schema: str, pairs: str = "all", beside: int = 0, packed: tuple | None = None, todo: DataFrame | None = None) -> DataFrame:
     """What ``reduce`` gives for each cell.  ``pairs``: "all", "within" a class or "cross".
 
     The last ``beside`` components of vectors are values beside them, which the metric does not see.
+    ``todo`` (k1, k2, todo): an array for the cells of each pair of classes; cells of other pairs are left out.
     """
     table, sizes = packed or blocks(vectors)
     number = table.agg(F.max("no")).first()[0]
@@ -112,12 +137,16 @@ def cells(vectors: DataFrame, metric: Callable, reduce: Callable[[Cell], pd.Data
                 x1, x2 = (np.frombuffer(d, dtype=np.float64).reshape(n, -1) for d, n in ((r.data1, r.n1), (r.data2, r.n2)))
                 width = x1.shape[1] - beside
                 ids1, ids2 = (np.frombuffer(i, dtype=np.int64) for i in (r.ids1, r.ids2))
-                cell = Cell(r.k1, r.k2, ids1, ids2, r.start1 + np.arange(r.n1), r.start2 + np.arange(r.n2), x1[:, width:], x2[:, width:], metric(x1[:, :width], x2[:, :width]), r.i == r.j)
+                cell = Cell(r.k1, r.k2, ids1, ids2, r.start1 + np.arange(r.n1), r.start2 + np.arange(r.n2), x1[:, width:], x2[:, width:], metric(x1[:, :width], x2[:, :width]), r.i == r.j, getattr(r, "todo", None))
                 out = reduce(cell)
                 if out is not None and len(out):
                     yield out
 
-    return one.join(two.hint("merge"), ["i", "j"]).mapInPandas(run, schema)
+    met = one.join(two.hint("merge"), ["i", "j"])
+    if todo is not None:  # by numbers of blocks, so that matrices are not dealt again
+        of = lambda n, c: table.select(F.col("no").alias(n), F.col("k").alias(c))
+        met = met.join(todo.join(of("i", "k1"), "k1").join(of("j", "k2"), "k2").select("i", "j", "todo").hint("merge"), ["i", "j"])
+    return met.mapInPandas(run, schema)
 
 
 def _of_pairs(c: Cell) -> np.ndarray:
@@ -169,108 +198,73 @@ def energy(vectors: DataFrame, metric: Callable, key: str = "cls", reference=Non
     return out.select("k1", "k2", e.alias("energy"), F.when(F.col("m") == 0, 0.0).otherwise(e / (2 * F.col("m"))).alias("distinguishability"))
 
 
-#: Bins of one round of the search for quantiles, and values that may be collected at its end.
-BINS, FEW = 512, 20_000
+#: Bits of a distance that each round of the search for ranks settles, highest first.
+DIGITS = (13, 13, 13, 13, 12)
+
+
+def _bits(d: np.ndarray) -> np.ndarray:
+    """Distances as whole numbers of the same order."""
+    return (np.ascontiguousarray(d) + 0.0).view(np.int64)
 
 
-def quantiles(vectors: DataFrame, metric: Callable, shares: list[float], key: str = "cls", pairs: str = "within") -> dict[tuple, dict]:
-    """By pair of classes: n, mean, std and the quantiles of the distances, linear between order statistics.
+def order_statistics(vectors: DataFrame, metric: Callable, ranks: DataFrame, key: str = "cls", pairs: str = "within", packed: tuple | None = None) -> DataFrame:
+    """k1, k2, rank, d: for each of the ``ranks`` (k1, k2, rank from 0), the distance of that rank among the pair's.
 
-    Exact without sorting pairs: each round counts distances in BINS bins and
-    goes on in those that hold the wanted ranks, until few values are left.
+    A selection by digits: each round counts, in tasks, the next bits of the
+    distances that begin with a wanted prefix; running sums of these counts
+    give each rank its longer prefix.  Nothing goes through the driver, and
+    what a round holds are counts, at most 8192 for each prefix.
     """
     v = keyed(vectors, key)
-    packed = blocks(v)
+    packed = packed or blocks(v)
     kinds = f"k1 {kind_of(v)}, k2 {kind_of(v)}"
-    out, todo = {}, {}
-    for r in pair_sums(vectors, metric, key, pairs).collect():  # one row a pair of classes
-        mean = r["s"] / r["n"]
-        var = max(r["ss"] - r["s"] * mean, 0.0) / (r["n"] - 1) if r["n"] > 1 else float("nan")
-        out[r["k1"], r["k2"]] = {"n": r["n"], "mean": mean, "std": var**0.5, "values": {}}
-        ranks = {int(np.floor(q * (r["n"] - 1) + e)) for q in shares for e in (0, 1)}
-        todo[r["k1"], r["k2"]] = {rank: (0.0, float(np.nextafter(r["top"], np.inf)), 0, r["n"]) for rank in ranks if rank < r["n"]}
-
-    def spans() -> dict[tuple, list[tuple[float, float]]]:
-        return {p: sorted({(lo, hi) for lo, hi, _, n in t.values() if n > FEW and hi - lo > 1e-15}) for p, t in todo.items()}
-
-    while any(wanted := spans().values()):
-        wanted = spans()
-
-        def count(c: Cell, wanted: dict = wanted) -> pd.DataFrame | None:
-            d, rows = _of_pairs(c), []
-            for s, (lo, hi) in enumerate(wanted.get((c.k1, c.k2), ())):
-                x = d[(d >= lo) & (d < hi)]
-                n = np.bincount(np.minimum(((x - lo) / (hi - lo) * BINS).astype(int), BINS - 1), minlength=BINS)
-                rows += [(c.k1, c.k2, lo, hi, int(b), int(n[b])) for b in np.flatnonzero(n)]
-            return pd.DataFrame(rows, columns=["k1", "k2", "lo", "hi", "bin", "n"])
-
-        got: dict[tuple, np.ndarray] = {}
-        for r in cells(v, metric, count, f"{kinds}, lo double, hi double, bin int, n long", pairs, packed=packed).groupBy("k1", "k2", "lo", "hi", "bin").agg(F.sum("n").alias("n")).collect():
-            got.setdefault((r["k1"], r["k2"], r["lo"], r["hi"]), np.zeros(BINS, dtype=np.int64))[r["bin"]] = r["n"]
-        for p, t in todo.items():
-            for rank, (lo, hi, below, n) in t.items():
-                if (lo, hi) in wanted[p]:
-                    counts = got[(*p, lo, hi)]
-                    b = int(np.searchsorted(np.cumsum(counts) + below, rank, side="right"))
-                    edge = lambda x, lo=lo, hi=hi: lo + (hi - lo) * x / BINS
-                    # one more bin at either side: a value at an edge may be counted in either
-                    first, last = max(b - 1, 0), min(b + 1, BINS - 1)
-                    inside = int(counts[first : last + 1].sum())
-                    t[rank] = (edge(first) if first else lo, edge(last + 1) if last < BINS - 1 else hi, None, inside)
-        # exact numbers below the new spans
-        for p, t in todo.items():
-            for rank, (lo, hi, below, n) in list(t.items()):
-                if below is None:
-                    t[rank] = (lo, hi, -1, n)
-        below_of = _below(v, metric, {p: sorted({x for lo, hi, b, _ in t.values() if b == -1 for x in (lo, hi)}) for p, t in todo.items()}, kinds, pairs, packed)
-        for p, t in todo.items():
-            for rank, (lo, hi, b, n) in list(t.items()):
-                if b == -1:
-                    t[rank] = (lo, hi, below_of[p, lo], below_of[p, hi] - below_of[p, lo])
-    wanted = {p: sorted({(lo, hi) for lo, hi, _, _ in t.values()}) for p, t in todo.items()}
-
-    def values(c: Cell) -> pd.DataFrame | None:
-        d, rows = _of_pairs(c), []
-        for lo, hi in wanted.get((c.k1, c.k2), ()):
-            x, n = np.unique(d[(d >= lo) & (d < hi)], return_counts=True)
-            rows.append(pd.DataFrame({"k1": [c.k1] * len(x), "k2": [c.k2] * len(x), "lo": lo, "hi": hi, "d": x, "n": n}))
-        return pd.concat(rows) if rows else None
-
-    held: dict[tuple, list] = {}
-    for r in cells(v, metric, values, f"{kinds}, lo double, hi double, d double, n long", pairs, packed=packed).groupBy("k1", "k2", "lo", "hi", "d").agg(F.sum("n").alias("n")).orderBy("d").collect():
-        held.setdefault((r["k1"], r["k2"], r["lo"], r["hi"]), []).append((r["d"], r["n"]))
-    for p, t in todo.items():
-        at = {}
-        for rank, (lo, hi, below, _) in t.items():
-            seen = below
-            for d, n in held[(*p, lo, hi)]:
-                seen += n
-                if rank < seen:
-                    at[rank] = d
-                    break
-        for q in shares:
-            place = q * (out[p]["n"] - 1)
-            low = int(np.floor(place))
-            out[p]["values"][q] = at[low] + (place - low) * (at.get(low + 1, at[low]) - at[low])
-    return out
-
-
-def _below(v: DataFrame, metric: Callable, edges: dict[tuple, list[float]], kinds: str, pairs: str, packed: tuple) -> dict:
-    """By pair of classes and edge: how many distances are smaller."""
-
-    def count(c: Cell) -> pd.DataFrame | None:
-        d = np.sort(_of_pairs(c))
-        e = edges.get((c.k1, c.k2), [])
-        return pd.DataFrame({"k1": [c.k1] * len(e), "k2": [c.k2] * len(e), "edge": e, "n": np.searchsorted(d, e, side="left")}) if e else None
-
-    rows = cells(v, metric, count, f"{kinds}, edge double, n long", pairs, packed=packed).groupBy("k1", "k2", "edge").agg(F.sum("n").alias("n")).collect()
-    return {((r["k1"], r["k2"]), r["edge"]): r["n"] for r in rows}
+    state, rest = cut_lineage(ranks.select("k1", "k2", "rank", F.lit(0).cast("long").alias("prefix"), F.col("rank").alias("left"))), 64
+    for width in DIGITS:
+        rest -= width
+
+        def count(c: Cell, rest: int = rest, width: int = width) -> pd.DataFrame | None:
+            bits, out = _bits(_of_pairs(c)) >> rest, []
+            for prefix in c.todo:
+                digit, n = np.unique(bits[bits >> width == prefix] & ((1 << width) - 1), return_counts=True)
+                out.append(pd.DataFrame({"k1": [c.k1] * len(n), "k2": [c.k2] * len(n), "prefix": prefix, "digit": digit, "n": n}))
+            return pd.concat(out) if out else None
+
+        wanted = state.groupBy("k1", "k2").agg(F.collect_set("prefix").alias("todo"))
+        n = cells(v, metric, count, f"{kinds}, prefix long, digit long, n long", pairs, packed=packed, todo=wanted).groupBy("k1", "k2", "prefix", "digit").agg(F.sum("n").alias("n"))
+        upto = F.sum("n").over(Window.partitionBy("k1", "k2", "rank").orderBy("digit"))
+        step = state.join(n, ["k1", "k2", "prefix"]).withColumn("upto", upto).filter((F.col("left") < F.col("upto")) & (F.col("left") >= F.col("upto") - F.col("n")))
+        longer = F.shiftleft("prefix", width).bitwiseOR(F.col("digit"))
+        state = cut_lineage(step.select("k1", "k2", "rank", longer.alias("prefix"), (F.col("left") - F.col("upto") + F.col("n")).alias("left")))
+    @F.pandas_udf("double")
+    def from_bits(bits: pd.Series) -> pd.Series:
+        return pd.Series(bits.to_numpy(dtype=np.int64).view(np.float64))
+
+    return state.select("k1", "k2", "rank", from_bits("prefix").alias("d"))
+
+
+def quantiles(vectors: DataFrame, metric: Callable, shares: list[float], key: str = "cls", pairs: str = "within") -> DataFrame:
+    """k1, k2, n, mean, std, values (a quantile for each share) of the distances of each pair of classes.
+
+    Quantiles are exact, linear between order statistics; pairs are not sorted.
+    """
+    packed = blocks(keyed(vectors, key))
+    sums = cut_lineage(pair_sums(vectors, metric, key, pairs))
+    places = F.inline(F.array(*[F.struct(F.lit(k).alias("nth"), (F.lit(float(q)) * (F.col("n") - 1)).alias("place")) for k, q in enumerate(shares)]))
+    places = sums.select("k1", "k2", "n", places).withColumn("rank", F.floor("place"))
+    above = places.select("k1", "k2", F.least(F.col("rank") + 1, F.col("n") - 1).alias("rank"))
+    found = cut_lineage(order_statistics(vectors, metric, places.select("k1", "k2", "rank").unionByName(above).distinct(), key, pairs, packed))
+    at = lambda c, name: found.select("k1", "k2", F.col("rank").alias(c), F.col("d").alias(name))
+    both = places.withColumn("next", F.least(F.col("rank") + 1, F.col("n") - 1)).join(at("rank", "low"), ["k1", "k2", "rank"]).join(at("next", "high"), ["k1", "k2", "next"])
+    value = F.col("low") + (F.col("place") - F.col("rank")) * (F.col("high") - F.col("low"))
+    values = both.groupBy("k1", "k2").agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", value.alias("v")))), lambda x: x["v"]).alias("values"))
+    mean = F.col("s") / F.col("n")
+    std = F.when(F.col("n") > 1, F.sqrt(F.greatest(F.col("ss") - F.col("s") * mean, F.lit(0.0)) / (F.col("n") - 1))).otherwise(float("nan"))
+    return sums.select("k1", "k2", "n", mean.alias("mean"), std.alias("std")).join(values, ["k1", "k2"])
 
 
 def within_percentile(vectors: DataFrame, metric: Callable, q: float, key: str = "cls") -> DataFrame:
     """k, threshold: the percentile of the distances of each class's pairs."""
-    found = quantiles(vectors, metric, [q], key)
-    return vectors.sparkSession.createDataFrame([(k, r["values"][q]) for (k, _), r in found.items()], f"k {kind_of(keyed(vectors, key))}, threshold double")
+    return quantiles(vectors, metric, [q], key).select(F.col("k1").alias("k"), F.col("values")[0].alias("threshold"))
 
 
 def exceedance(vectors: DataFrame, metric: Callable, q: float = 0.95, key: str = "cls", reference=None) -> DataFrame:
@@ -279,19 +273,20 @@ def exceedance(vectors: DataFrame, metric: Callable, q: float = 0.95, key: str =
     All pairs of classes k1 < k2, or those with the reference, whose percentile counts then.
     """
     v = keyed(vectors, key)
-    limits = {k: r["values"][q] for (k, _), r in quantiles(vectors, metric, [q], key).items()}
-    of = lambda k1, k2: limits.get(k1 if reference is None else reference, float("inf"))
+    rest = cut_lineage(quantiles(vectors, metric, [0.16, 0.84], key, "cross"))
+    limits = cut_lineage(within_percentile(vectors, metric, q, key))
+    classes = rest.select("k1", "k2")
+    if reference is not None:
+        classes = classes.filter((F.col("k1") == reference) | (F.col("k2") == reference))
+    own = F.col("k1") if reference is None else F.lit(reference)
+    limited = classes.join(limits, own == F.col("k"), "left").select("k1", "k2", F.array(F.coalesce("threshold", F.lit(float("inf")))).alias("todo"))
 
     def farther(c: Cell) -> pd.DataFrame:
-        return pd.DataFrame({"k1": [c.k1], "k2": [c.k2], "far": [int((c.d > of(c.k1, c.k2)).sum())]})
+        return pd.DataFrame({"k1": [c.k1], "k2": [c.k2], "far": [int((c.d > c.todo[0]).sum())]})
 
-    far = cells(v, metric, farther, f"k1 {kind_of(v)}, k2 {kind_of(v)}, far long", "cross").groupBy("k1", "k2").agg(F.sum("far").alias("far"))
-    if reference is not None:
-        far = far.filter((F.col("k1") == reference) | (F.col("k2") == reference))
-    rest = quantiles(vectors, metric, [0.16, 0.84], key, "cross")
-    rows = [(*p, r["n"], r["mean"], r["std"], r["mean"] - r["values"][0.16], r["values"][0.84] - r["mean"]) for p, r in rest.items()]
-    named = vectors.sparkSession.createDataFrame(rows, f"k1 {kind_of(v)}, k2 {kind_of(v)}, n long, mean double, std double, low double, high double")
-    return far.join(F.broadcast(named), ["k1", "k2"]).select("k1", "k2", (F.col("far") / F.col("n")).alias("distinguishability"), "mean", "std", "low", "high")
+    far = cells(v, metric, farther, f"k1 {kind_of(v)}, k2 {kind_of(v)}, far long", "cross", todo=limited).groupBy("k1", "k2").agg(F.sum("far").alias("far"))
+    low, high = F.col("mean") - F.col("values")[0], F.col("values")[1] - F.col("mean")
+    return far.join(rest, ["k1", "k2"]).select("k1", "k2", (F.col("far") / F.col("n")).alias("distinguishability"), "mean", "std", low.alias("low"), high.alias("high"))
 
 
 def relative_change(a: Column, b: Column) -> Column:

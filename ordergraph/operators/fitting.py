@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .graphs import cut_lineage
+from .ordered import running_sums
 
 Model = Callable[[Column, dict[str, Column]], Column]
 
@@ -118,6 +119,44 @@ def growing_window(series: DataFrame, model: Model, bounds: dict[str, tuple[floa
     return found.groupBy(F.col(f"own.{key}").alias(key)).agg(F.min(F.when((free > 0) & (F.col("loss") / free > 1), F.col("own.end"))).alias("last"))
 
 
+def linear_windows(series: DataFrame, terms: list[Callable[[Column], Column]], first: float, key: str = "series") -> DataFrame:
+    """key, end, points, chi_squared: the weighted least squares of y by a constant and ``terms`` of x over the window from ``first`` to each end.
+
+    Normal equations are running sums in the order of x: no window copies its
+    rows.  y counts from its value at the window's first x, so that little is
+    lost where it is far from 0; terms that hardly differ over a short window
+    cost digits, as normal equations square their condition.
+    """
+    inside = series.filter(F.col("x") >= first)
+    about = inside.groupBy(key).agg(F.min_by("y", "x").alias("_y0"))
+    w, t, y = 1 / (F.col("std") * F.col("std")), [F.lit(1.0), *[f(F.col("x")) for f in terms]], F.col("y") - F.col("_y0")
+    p = len(t)
+    pairs = [(i, j) for i in range(p) for j in range(i, p)]
+    products = {f"_a{i}_{j}": w * t[i] * t[j] for i, j in pairs} | {f"_b{i}": w * t[i] * y for i in range(p)} | {"_yy": w * y * y, "_n": F.lit(1.0)}
+    rows = inside.join(about, key).select(key, "x", *[v.cast("double").alias(k) for k, v in products.items()])
+    sums = running_sums(rows, key, "x", list(products))
+
+    @F.pandas_udf("double")
+    def loss(a: pd.Series, b: pd.Series, yy: pd.Series) -> pd.Series:
+        if a.empty:
+            return pd.Series([], dtype=float)
+        m, g = np.zeros((len(a), p, p)), np.stack(b.to_numpy())
+        for (i, j), v in zip(pairs, np.stack(a.to_numpy()).T):
+            m[:, i, j] = m[:, j, i] = v
+        scale = np.sqrt(np.maximum(m[:, range(p), range(p)], 1e-300))
+        beta = (np.linalg.pinv(m / scale[:, :, None] / scale[:, None, :], rcond=1e-13, hermitian=True) @ (g / scale)[:, :, None])[:, :, 0]
+        return pd.Series(np.maximum(yy.to_numpy() - (beta * (g / scale)).sum(axis=1), 0.0))
+
+    chi = loss(F.array(*[f"_a{i}_{j}" for i, j in pairs]), F.array(*[f"_b{i}" for i in range(p)]), "_yy")
+    return sums.select(key, F.col("x").alias("end"), F.col("_n").cast("long").alias("points"), chi.alias("chi_squared"))
+
+
+def first_bad_window(windows: DataFrame, parameters: int, key: str = "series") -> DataFrame:
+    """key, last: the first end whose window has a reduced chi squared above 1 (null if none)."""
+    free = F.col("points") - parameters
+    return windows.groupBy(key).agg(F.min(F.when((free > 0) & (F.col("chi_squared") / free > 1), F.col("end"))).alias("last"))
+
+
 def power_trend(table: DataFrame, key: str = "series") -> DataFrame:
     """key, x, trend, band: y = a x^b with the propagated error of its parameters at each x."""
     model = lambda x, p: p["a"] * F.pow(x, p["b"])

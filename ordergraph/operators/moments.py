@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .ordered import ranked, sums_before
+from .ordered import ranked_values, sums_before
 
 NAN = float("nan")
 
@@ -57,15 +57,18 @@ def dominance(values: DataFrame, value: str, cls: str = "cls") -> DataFrame:
 def running(dense: DataFrame, batch: int, order: str = "sample_id") -> DataFrame:
     """bin, n, mean, std (population) over the first n = batch, 2 batch, .. samples.
 
-    Samples are ranked once; sums of batches leave the tasks, and only they
-    are added up in order.
+    Samples are ranked once; count, mean and centred squares of batches leave
+    the tasks, and only they are merged in order.
     """
-    place = ranked(dense.select(order).distinct(), [order], "place")
-    sums = dense.join(place, order).groupBy("bin", F.ceil(F.col("place") / batch).alias("nth")).agg(F.count("*").alias("c"), F.sum("weight").alias("s"), F.sum(F.col("weight") * F.col("weight")).alias("ss"))
+    placed = ranked_values(dense, order, "place")
+    each = placed.groupBy("bin", F.ceil(F.col("place") / batch).alias("nth")).agg(F.count("*").alias("c"), F.avg("weight").alias("m"), F.var_pop("weight").alias("v"))
     w = Window.partitionBy("bin").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
-    run = sums.select("bin", "c", (F.col("nth") * batch).alias("n"), F.sum("s").over(w).alias("s"), F.sum("ss").over(w).alias("ss")).filter(F.col("c") == batch)
+    # batches' moments add up about the first batch's mean, so no square of a large mean is taken away
+    d = F.col("m") - F.first("m").over(w)
+    each = each.select("bin", "c", "nth", (F.col("m") - d).alias("about"), (F.col("c") * d).alias("s"), (F.col("c") * (F.col("v") + d * d)).alias("ss"))
+    run = each.select("bin", "c", "about", (F.col("nth") * batch).alias("n"), F.sum("s").over(w).alias("s"), F.sum("ss").over(w).alias("ss")).filter(F.col("c") == batch)
     mean = F.col("s") / F.col("n")
-    return run.select("bin", "n", mean.alias("mean"), F.sqrt(F.greatest(F.col("ss") / F.col("n") - mean * mean, F.lit(0.0))).alias("std"))
+    return run.select("bin", "n", (F.col("about") + mean).alias("mean"), F.sqrt(F.greatest(F.col("ss") / F.col("n") - mean * mean, F.lit(0.0))).alias("std"))
 
 
 def bin_average(dense: DataFrame, k: int) -> DataFrame:

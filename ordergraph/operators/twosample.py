@@ -8,6 +8,7 @@ of the places 0 .. n - 1 tells each task the labels of its own samples.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from statistics import NormalDist
 
@@ -271,13 +272,137 @@ def neighbour_information(vectors: DataFrame, k: int = 5, projected: bool = True
     return m.agg(F.greatest(F.least(mi / F.lit(float(entropy)), F.lit(1.0)), F.lit(0.0)).alias("information"))
 
 
-def bootstrap_information(vectors: DataFrame, draws: int, k: int = 5, most: int | None = None, mode: str = "cutoff", dim: int = 32, share: float = 0.99, seed: int = 1) -> DataFrame:
-    """information, std over resamples with replacement within each class, of vectors projected once."""
-    if draws < 1 or most is not None and most < 2:
-        raise ValueError("draws must be positive and classes hold two samples")
+def poisson_weights(ids: np.ndarray, draws: int, seed: int) -> np.ndarray:
+    """How often each sample is in each resample: Poisson numbers of mean 1, by a hash of id, draw and seed."""
+    with np.errstate(over="ignore"):
+        x = ids.astype(np.int64).view(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15) + np.arange(1, draws + 1, dtype=np.uint64)[None, :] * np.uint64(0xD1B54A32D192ED03) + np.uint64(seed)
+        for shift, odd in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ (x >> np.uint64(shift))) * np.uint64(odd)
+    u = ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) / 2.0**53
+    below = np.cumsum(np.exp(-1.0) / np.array([float(math.factorial(k)) for k in range(18)]))
+    return np.searchsorted(below, u, side="right")
+
+
+def _digammas(x: np.ndarray) -> np.ndarray:
+    y = np.asarray(x, dtype=np.float64) + 10.0
+    series = np.log(y) - 1 / (2 * y) - 1 / (12 * y**2) + 1 / (120 * y**4) - 1 / (252 * y**6)
+    return series - sum(1 / (y - 10.0 + i) for i in range(10))
+
+
+def _enough_neighbours(k: int, samples: int, draws: int) -> int:
+    """So many neighbours that their weights hardly ever add up to less than k in any resample."""
+    m = k
+    while samples * draws * sum(math.exp(-m + i * math.log(m) - math.lgamma(i + 1)) for i in range(k)) > 1e-3:
+        m += 1
+    return m
+
+
+def weighted_information(vectors: DataFrame, draws: int, k: int = 5, seed: int = 1) -> DataFrame:
+    """draw, information: of resamples that hold a sample as often as its Poisson weight says.
+
+    Nothing is drawn or copied: weights follow from ids wherever a cell needs
+    them.  Each sample keeps its nearest neighbours of the class, as many as
+    every resample needs for its k-th; a radius for each resample comes from
+    these, and one more pass over the cells adds up the weights inside.
+    """
+    v = keyed(vectors, "cls")
+    packed = blocks(v)
+    n = packed[1]
+    if min(n.get("a", 0), n.get("b", 0)) < 2:
+        raise ValueError("two samples of each class are needed")
+    few = min(k, n["a"] - 1, n["b"] - 1)
+    first = lambda c: n["a"] if c == "b" else 0
+
+    def both(c: Cell) -> tuple[np.ndarray, np.ndarray]:
+        zero = c.d == 0
+        one = np.where(zero, 1e-12 * (c.at2 + first(c.k2) + 1)[None, :], c.d)
+        return one, np.where(zero, 1e-12 * (c.at1 + first(c.k1) + 1)[:, None], c.d).T
+
+    @F.pandas_udf("array<double>")
+    def radii(sample: pd.Series, near: pd.Series) -> pd.Series:
+        """For each resample: where the weights of the neighbours, without one of the sample itself, reach k; NaN where they don't."""
+        out = []
+        for s, rows in zip(sample, near):
+            d, ids = np.array([r["d"] for r in rows]), np.array([r["id"] for r in rows], dtype=np.int64)
+            w = poisson_weights(ids, draws, seed)
+            w[ids == s] = np.maximum(w[ids == s] - 1, 0)
+            held = np.cumsum(w, axis=0)
+            at = (held < few).sum(axis=0)
+            r = np.where(at < len(d), d[np.minimum(at, len(d) - 1)], np.nan)
+            out.append(np.where(held[-1] > 0, r, d[-1]) if len(d) >= most else r)
+        return pd.Series(out)
+
+    size, most = _enough_neighbours(few, n["a"] + n["b"], draws), max(n.values())
+    while True:
+        size = min(size, most)
+
+        def nearest(c: Cell, size: int = size) -> pd.DataFrame:
+            out = []
+            for ids, others, d in ((c.ids1, c.ids2, both(c)[0]), (c.ids2, c.ids1, both(c)[1]))[: 1 if c.same else 2]:
+                m = min(size, d.shape[1])
+                best = np.argpartition(d, m - 1, axis=1)[:, :m]
+                out.append(pd.DataFrame({"sample_id": np.repeat(ids, m), "id": others[best].ravel(), "d": np.take_along_axis(d, best, axis=1).ravel()}))
+            return pd.concat(out)
+
+        near = cells(v, squared, nearest, "sample_id long, id long, d double", "within", packed=packed)
+        # at most ``size`` rows a sample and block
+        near = near.groupBy("sample_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "id"))), 1, size).alias("near"))
+        found = cut_lineage(near.select("sample_id", radii("sample_id", "near").alias("radius")))
+        short = found.filter(F.exists("radius", lambda r: F.isnan(r)))
+        if size == most or short.isEmpty():
+            break
+        size *= 2
+    # where a class's weights do not reach k, all of it is inside
+    known = found.select("sample_id", F.transform("radius", lambda r: F.when(F.isnan(r), float("inf")).otherwise(r + 1e-14)).alias("radius"))
+    with_radius = cut_lineage(v.join(known, "sample_id").select("sample_id", "k", F.concat("vec", "radius").alias("vec")))
+
+    def count(c: Cell) -> pd.DataFrame:
+        out = []
+        for ids, others, d, r in ((c.ids1, c.ids2, both(c)[0], c.x1), (c.ids2, c.ids1, both(c)[1], c.x2))[: 1 if c.same else 2]:
+            w = poisson_weights(others, draws, seed).astype(np.float64)
+            order = np.argsort(d, axis=1)
+            d = np.take_along_axis(d, order, axis=1)
+            upto = np.zeros((len(ids), draws), dtype=np.int64)
+            for row in range(len(ids)):
+                inside = np.searchsorted(d[row], r[row], side="right")
+                held = np.vstack([np.zeros((1, draws)), np.cumsum(w[order[row]], axis=0)])
+                upto[row] = held[inside, np.arange(draws)]
+            if c.same:
+                upto -= (poisson_weights(ids, draws, seed) > 0).astype(np.int64)  # the sample itself, once
+            out.append(pd.DataFrame({"sample_id": ids, "cls": c.k1 if others is c.ids2 else c.k2, "m": list(upto)}))
+        return pd.concat(out)
+
+    m = cells(with_radius, squared, count, "sample_id long, cls string, m array<long>", "all", beside=draws).groupBy("sample_id", "cls").agg(F.array(*[F.sum(F.col("m")[r]) for r in range(draws)]).alias("m"))
+
+    def sums(batches):
+        for batch in batches:
+            if len(batch):
+                w = poisson_weights(batch["sample_id"].to_numpy(np.int64), draws, seed)
+                of = np.stack(batch["m"].to_numpy())
+                psi = (w * _digammas(np.maximum(of, 1))).sum(axis=0)
+                a = (batch["cls"] == "a").to_numpy()
+                yield pd.DataFrame({"draw": np.arange(draws), "psi": psi, "a": w[a].sum(axis=0), "b": w[~a].sum(axis=0)})
+
+    each = m.mapInPandas(sums, "draw long, psi double, a long, b long").groupBy("draw").agg(*[F.sum(c).alias(c) for c in ("psi", "a", "b")]).filter("a > 0 and b > 0")
+    size_, of = F.col("a") + F.col("b"), lambda c: F.col(c) / (F.col("a") + F.col("b"))
+    entropy = -(of("a") * F.log(of("a")) + of("b") * F.log(of("b")))
+    mi = digamma(size_.cast("double")) - of("a") * digamma(F.col("a").cast("double")) - of("b") * digamma(F.col("b").cast("double")) + digamma(F.lit(float(few))) - F.col("psi") / size_
+    return each.select("draw", F.greatest(F.least(mi / entropy, F.lit(1.0)), F.lit(0.0)).alias("information"))
+
+
+def bootstrap_information(vectors: DataFrame, draws: int, k: int = 5, most: int | None = None, mode: str = "cutoff", dim: int = 32, share: float = 0.99, seed: int = 1, form: str = "weights") -> DataFrame:
+    """information, std over resamples of vectors projected once.
+
+    ``form``: "weights" (Poisson weights, all draws in one pass) or "copies"
+    (each resample drawn with replacement within each class, a pass for each).
+    """
+    if draws < 1 or most is not None and most < 2 or form not in ("weights", "copies"):
+        raise ValueError("draws must be positive, classes hold two samples, and the form be weights or copies")
     v = project(vectors)
     v = v if most is None else subsample(v, most, seed)
     v = v if mode == "cutoff" else principal(v, mode, dim, share)
+    if form == "weights":
+        return weighted_information(cut_lineage(v), draws, k, seed).agg(F.avg("information").alias("information"), F.stddev_samp("information").alias("std"))
     rows, n = numbered(v, seed)
     rows = cut_lineage(rows)
     every = None

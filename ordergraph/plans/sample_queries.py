@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -10,6 +11,7 @@ from pyspark.sql.window import Window
 from ordergraph.operators import binning as B
 from ordergraph.operators import distances as D
 from ordergraph.operators import fitting as T
+from ordergraph.operators import graphs as G
 from ordergraph.operators import histograms as H
 from ordergraph.operators import moments as M
 from ordergraph.operators import twosample as W
@@ -435,9 +437,11 @@ def f7_fit_window(spark, sf):
     return rounded(T.fit_curve(_series(spark, sf).filter("x between 3 and 12"), _line, LINE).select("series", "a", "b"), "a", "b", digits=5)
 
 
-@query()
+@query(f"""SELECT series, min(x) FILTER (n > 2 AND (syy - sxy * sxy / sxx) / 4 / (n - 2) > 1) AS last FROM (SELECT series, x, count(*) OVER w AS n, regr_syy(y, x) OVER w AS syy, regr_sxy(y, x) OVER w AS sxy, regr_sxx(y, x) OVER w AS sxx
+  FROM {SERIES} WHERE x >= 2 WINDOW w AS (PARTITION BY series ORDER BY x ROWS UNBOUNDED PRECEDING)) GROUP BY 1""", "")
 def f8_growing_window(spark, sf):
-    return T.growing_window(_series(spark, sf).withColumn("std", F.lit(2.0)), _line, LINE, 2.0)
+    windows = T.linear_windows(_series(spark, sf).withColumn("std", F.lit(2.0)), [lambda x: x], 2.0)
+    return T.first_bad_window(windows, 2)
 
 
 @query()
@@ -506,7 +510,7 @@ def d9_neighbour_information(spark, sf):
 
 @query()
 def d10_bootstrap_information(spark, sf):
-    return W.bootstrap_information(units(spark, sf), 3)
+    return W.bootstrap_information(units(spark, sf), 200)
 
 
 @query()
@@ -703,6 +707,8 @@ def a2_exact_abundance(spark, sf):
 
 @query("SELECT event_type, count(value) AS n, round(avg(value), 6) AS mean, round(coalesce(stddev_samp(value), 0), 6) AS std FROM events GROUP BY 1", "")
 def t1_streamed_moments(spark, sf):
-    schema = S.table(spark, sf, "events").schema
-    moments = R.running_moments(R.read_records(spark, sf, schema, "events.parquet"), "value", ["event_type"])
-    return rounded(R.to_memory(moments, "streamed_moments"), "mean", "std")
+    """All arriving files merged batch by batch into a table in the shared folder."""
+    folder = f"{G.shared_folder(spark)}/moments-{uuid.uuid4().hex}"
+    records = R.read_records(spark, sf, S.table(spark, sf, "events").schema, "events.parquet")
+    R.keep_moments(records, "value", ["event_type"], folder).trigger(availableNow=True).start().awaitTermination()
+    return rounded(R.kept_moments(spark, folder, ["event_type"]), "mean", "std")

@@ -42,8 +42,8 @@ def test_energy_and_quantiles_over_blocks(vectors, sample, monkeypatch):
     assert got.energy == pytest.approx(e, abs=1e-6) and got.distinguishability == pytest.approx(e / 2 / m(a, b), abs=1e-6)
     inside = {"a": D.hellinger(a, a)[np.triu_indices(70, 1)], "b": D.hellinger(b, b)[np.triu_indices(50, 1)]}
     assert D.within(vectors, D.hellinger).groupBy("k").count().collect().__len__() == 2
-    for few in (20_000, 10):
-        monkeypatch.setattr(D, "FEW", few)
+    for digits in ((13, 13, 13, 13, 12), (32, 20, 12)):
+        monkeypatch.setattr(D, "DIGITS", digits)
         got = {r.k: r.threshold for r in D.within_percentile(vectors, D.hellinger, 0.95).collect()}
         assert got == pytest.approx({k: np.quantile(x, 0.95) for k, x in inside.items()}, abs=1e-7)
     cross = D.hellinger(a, b).ravel()
@@ -123,3 +123,97 @@ def test_mahalanobis_gap(vectors, sample):
     far = vectors.withColumn("vec", F.when(F.col("cls") == "a", F.transform("vec", lambda x, i: x + F.when(i == 0, 9.0).otherwise(0.0))).otherwise(F.col("vec")))
     (apart,) = W.mahalanobis_gap(far, 50, symmetric=True).collect()
     assert apart.distinguishable and apart.D > 0.999 and apart.observed_min == min(apart.observed, apart.observed_sym)
+
+
+def _brute_pairs(rows, metric):
+    """Distances of the unordered pairs of samples, by pair of classes."""
+    out = {}
+    for n, (_, v, k) in enumerate(rows):
+        for _, w, m in rows[n + 1 :]:
+            out.setdefault((min(k, m), max(k, m)), []).append(float(metric(np.array([v]), np.array([w]))[0, 0]))
+    return out
+
+
+@pytest.mark.parametrize("block,listed,classes", [(1024, 20_000, 60), (20, 2, 4)])
+def test_quantiles_of_many_classes_against_sorting(spark, monkeypatch, block, listed, classes):
+    monkeypatch.setattr(D, "LISTED", listed)
+    monkeypatch.setattr(D.blocks, "__defaults__", (block, 0))
+    rng = np.random.default_rng(11)
+    rows = [(n, [float(x) for x in np.round(rng.random(3), 1)], int(k)) for n, k in enumerate(rng.integers(0, classes, size=5 * classes))]  # with ties
+    rows += [(1000, [0.5, 0.5, 0.5], 77)]  # a class without pairs
+    df = spark.createDataFrame(rows, "sample_id long, vec array<double>, cls int")
+    want = _brute_pairs(rows, D.total_variation)
+    shares = [0.0, 0.16, 0.5, 1.0]
+    for pairs in ("within", "cross"):
+        got = {(r["k1"], r["k2"]): r for r in D.quantiles(df, D.total_variation, shares, pairs=pairs).collect()}
+        mine = {p: d for p, d in want.items() if (p[0] == p[1]) == (pairs == "within")}
+        assert set(got) == set(mine)
+        for p, d in mine.items():
+            assert got[p]["n"] == len(d) and got[p]["values"] == pytest.approx(list(np.quantile(d, shares)), abs=1e-12)
+            assert got[p]["mean"] == pytest.approx(np.mean(d)) and (len(d) == 1 or got[p]["std"] == pytest.approx(np.std(d, ddof=1), abs=1e-7))
+
+
+def test_exceedance_against_brute_force(spark):
+    rng = np.random.default_rng(12)
+    rows = [(n, [float(x) for x in rng.random(4) + k / 4], "abc"[k]) for n, k in enumerate(rng.integers(0, 3, size=90))]
+    df = spark.createDataFrame(rows, "sample_id long, vec array<double>, cls string")
+    d = _brute_pairs(rows, D.total_variation)
+    for reference in (None, "b"):
+        got = {(r["k1"], r["k2"]): r for r in D.exceedance(df, D.total_variation, 0.9, reference=reference).collect()}
+        assert set(got) == {p for p in d if p[0] != p[1] and (reference is None or reference in p)}
+        for p, r in got.items():
+            own = reference or p[0]
+            x = np.array(d[p])
+            assert r["distinguishability"] == pytest.approx((x > np.quantile(d[own, own], 0.9)).mean())
+            assert (r["mean"], r["low"], r["high"]) == pytest.approx((x.mean(), x.mean() - np.quantile(x, 0.16), np.quantile(x, 0.84) - x.mean()))
+
+
+def test_poisson_weights_are_poisson():
+    w = W.poisson_weights(np.arange(5000), 40, 3)
+    assert abs(w.mean() - 1) < 0.01 and abs(w.var() - 1) < 0.02 and abs(np.corrcoef(w[:, 0], w[:, 1])[0, 1]) < 0.06
+    assert (W.poisson_weights(np.array([7]), 40, 3) == w[7]).all() and (W.poisson_weights(np.arange(50), 40, 4) != w[:50]).any()
+
+
+def _information(x, labels, weights, k):
+    """Of samples that stand as often as their weights say, by all distances."""
+    d = ((x[:, None] - x[None]) ** 2).sum(axis=2)
+    d = np.where(d == 0, 1e-12 * (np.arange(len(x)) + 1)[None, :], d)
+    total, psi = weights.sum(), 0.0
+    for i in np.flatnonzero(weights):
+        w = weights.astype(float).copy()
+        w[i] -= 1
+        mine = np.flatnonzero(labels == labels[i])
+        order = mine[np.argsort(d[i, mine])]
+        at = int(np.argmax(np.cumsum(w[order]) >= k))
+        psi += weights[i] * W._digammas(np.array([w[d[i] <= d[i, order[at]] + 1e-14].sum()]))[0]
+    share = [weights[labels == c].sum() / total for c in (0, 1)]
+    mi = W._digammas(np.array([float(total)]))[0] - sum(s * W._digammas(np.array([s * total]))[0] for s in share) + W._digammas(np.array([float(k)]))[0] - psi / total
+    return min(max(mi / -sum(s * np.log(s) for s in share), 0.0), 1.0)
+
+
+@pytest.mark.parametrize("block", [1024, 16])
+def test_weighted_information_against_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(D.blocks, "__defaults__", (block, 0))
+    rng = np.random.default_rng(21)
+    x, labels = rng.normal(size=(70, 3)), (np.arange(70) >= 40).astype(int)
+    x[labels == 1] += 0.8
+    rows = [(n, [float(e) for e in v], "ab"[c]) for n, (v, c) in enumerate(zip(x, labels))]
+    got = {r["draw"]: r["information"] for r in W.weighted_information(spark.createDataFrame(rows, "sample_id long, vec array<double>, cls string"), 12, 3).collect()}
+    weights = W.poisson_weights(np.arange(70), 12, 1)
+    for draw in range(12):
+        assert got[draw] == pytest.approx(_information(x, labels, weights[:, draw], 3), abs=1e-9)
+
+
+def test_weights_deviate_as_copies_do(spark):
+    rng = np.random.default_rng(22)
+    rows = [(n, [float(e) for e in rng.normal(size=3) + (n % 2) * 0.9], "ab"[n % 2]) for n in range(120)]
+    df = spark.createDataFrame(rows, "sample_id long, vec array<double>, cls string")
+    one = W.weighted_information(df, 400).toPandas()["information"]
+    x, labels = np.array([r[1] for r in rows]), np.array([n % 2 for n in range(120)])
+    two = []
+    for _ in range(400):
+        w = np.zeros(120, dtype=int)
+        for c in (0, 1):
+            np.add.at(w, rng.choice(np.flatnonzero(labels == c), size=60), 1)
+        two.append(_information(x, labels, w, 5))
+    assert one.std() == pytest.approx(np.std(two), rel=0.1) and one.mean() == pytest.approx(np.mean(two), abs=0.03)
