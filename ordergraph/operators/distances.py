@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .graphs import cut_lineage
+from .graphs import cut_lineage, written
 from .ordered import ranked, sums_before
 
 BLOCK = 1024
@@ -199,7 +199,7 @@ def energy(vectors: DataFrame, metric: Callable, key: str = "cls", reference=Non
 
 
 #: Bits of a distance that each round of the search for ranks settles, highest first.
-DIGITS = (13, 13, 13, 13, 12)
+DIGITS = (16, 16, 16, 16)
 
 
 def _bits(d: np.ndarray) -> np.ndarray:
@@ -213,12 +213,12 @@ def order_statistics(vectors: DataFrame, metric: Callable, ranks: DataFrame, key
     A selection by digits: each round counts, in tasks, the next bits of the
     distances that begin with a wanted prefix; running sums of these counts
     give each rank its longer prefix.  Nothing goes through the driver, and
-    what a round holds are counts, at most 8192 for each prefix.
+    what a round holds are counts, at most 65,536 for each prefix.
     """
     v = keyed(vectors, key)
     packed = packed or blocks(v)
     kinds = f"k1 {kind_of(v)}, k2 {kind_of(v)}"
-    state, rest = cut_lineage(ranks.select("k1", "k2", "rank", F.lit(0).cast("long").alias("prefix"), F.col("rank").alias("left"))), 64
+    state, rest = written(ranks.select("k1", "k2", "rank", F.lit(0).cast("long").alias("prefix"), F.col("rank").alias("left"))), 64
     for width in DIGITS:
         rest -= width
 
@@ -234,7 +234,7 @@ def order_statistics(vectors: DataFrame, metric: Callable, ranks: DataFrame, key
         upto = F.sum("n").over(Window.partitionBy("k1", "k2", "rank").orderBy("digit"))
         step = state.join(n, ["k1", "k2", "prefix"]).withColumn("upto", upto).filter((F.col("left") < F.col("upto")) & (F.col("left") >= F.col("upto") - F.col("n")))
         longer = F.shiftleft("prefix", width).bitwiseOR(F.col("digit"))
-        state = cut_lineage(step.select("k1", "k2", "rank", longer.alias("prefix"), (F.col("left") - F.col("upto") + F.col("n")).alias("left")))
+        state = written(step.select("k1", "k2", "rank", longer.alias("prefix"), (F.col("left") - F.col("upto") + F.col("n")).alias("left")))
     @F.pandas_udf("double")
     def from_bits(bits: pd.Series) -> pd.Series:
         return pd.Series(bits.to_numpy(dtype=np.int64).view(np.float64))
@@ -248,11 +248,11 @@ def quantiles(vectors: DataFrame, metric: Callable, shares: list[float], key: st
     Quantiles are exact, linear between order statistics; pairs are not sorted.
     """
     packed = blocks(keyed(vectors, key))
-    sums = cut_lineage(pair_sums(vectors, metric, key, pairs))
+    sums = written(pair_sums(vectors, metric, key, pairs))
     places = F.inline(F.array(*[F.struct(F.lit(k).alias("nth"), (F.lit(float(q)) * (F.col("n") - 1)).alias("place")) for k, q in enumerate(shares)]))
     places = sums.select("k1", "k2", "n", places).withColumn("rank", F.floor("place"))
     above = places.select("k1", "k2", F.least(F.col("rank") + 1, F.col("n") - 1).alias("rank"))
-    found = cut_lineage(order_statistics(vectors, metric, places.select("k1", "k2", "rank").unionByName(above).distinct(), key, pairs, packed))
+    found = written(order_statistics(vectors, metric, places.select("k1", "k2", "rank").unionByName(above).distinct(), key, pairs, packed))
     at = lambda c, name: found.select("k1", "k2", F.col("rank").alias(c), F.col("d").alias(name))
     both = places.withColumn("next", F.least(F.col("rank") + 1, F.col("n") - 1)).join(at("rank", "low"), ["k1", "k2", "rank"]).join(at("next", "high"), ["k1", "k2", "next"])
     value = F.col("low") + (F.col("place") - F.col("rank")) * (F.col("high") - F.col("low"))
@@ -273,8 +273,8 @@ def exceedance(vectors: DataFrame, metric: Callable, q: float = 0.95, key: str =
     All pairs of classes k1 < k2, or those with the reference, whose percentile counts then.
     """
     v = keyed(vectors, key)
-    rest = cut_lineage(quantiles(vectors, metric, [0.16, 0.84], key, "cross"))
-    limits = cut_lineage(within_percentile(vectors, metric, q, key))
+    rest = written(quantiles(vectors, metric, [0.16, 0.84], key, "cross"))
+    limits = written(within_percentile(vectors, metric, q, key))
     classes = rest.select("k1", "k2")
     if reference is not None:
         classes = classes.filter((F.col("k1") == reference) | (F.col("k2") == reference))

@@ -42,7 +42,7 @@ def test_energy_and_quantiles_over_blocks(vectors, sample, monkeypatch):
     assert got.energy == pytest.approx(e, abs=1e-6) and got.distinguishability == pytest.approx(e / 2 / m(a, b), abs=1e-6)
     inside = {"a": D.hellinger(a, a)[np.triu_indices(70, 1)], "b": D.hellinger(b, b)[np.triu_indices(50, 1)]}
     assert D.within(vectors, D.hellinger).groupBy("k").count().collect().__len__() == 2
-    for digits in ((13, 13, 13, 13, 12), (32, 20, 12)):
+    for digits in ((16, 16, 16, 16), (32, 20, 12)):
         monkeypatch.setattr(D, "DIGITS", digits)
         got = {r.k: r.threshold for r in D.within_percentile(vectors, D.hellinger, 0.95).collect()}
         assert got == pytest.approx({k: np.quantile(x, 0.95) for k, x in inside.items()}, abs=1e-7)
