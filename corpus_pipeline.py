@@ -18,9 +18,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which no line is left have an empty text and stay."""
+    """Documents of which no line with a word is left, as others hold them all, go;
+    those that had none before stay."""
+    worded = lambda c: F.length(F.btrim(F.coalesce(c, F.lit("")), F.lit(common.WS + "\n"))) > 0
     own = [F.col("kept_text").alias("text") if c == "text" else F.length("kept_text").cast("long").alias("n_chars") if c == "n_chars" else F.col(f"row.{c}") for c in docs.columns]
-    return line_dedup.dedup_lines(docs).select(*own)
+    out = line_dedup.dedup_lines(docs)
+    return out.filter(worded(F.col("kept_text")) | ~worded(F.col("row.text"))).select(*own)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,10 +51,15 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in turn; what each returns is written to the shared folder,
-    read by the next, and removed once that has written its own."""
+    read by the next, and removed once that has written its own, or if the run fails."""
     scratch = common.Scratch(spark, "pipeline")
     docs = common.table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = scratch.save(stage(spark, docs, sf_dir), f"{k}-{name}")
-        scratch.clear(keep=(f"{k}-{name}",))
+    done = ()
+    try:
+        for k, (name, stage) in enumerate(STAGES):
+            docs = scratch.save(stage(spark, docs, sf_dir), f"{k}-{name}")
+            scratch.clear(keep=(f"{k}-{name}",))
+        done = (f"{len(STAGES) - 1}-{STAGES[-1][0]}",)
+    finally:  # a failed run leaves no stage behind
+        scratch.clear(keep=done)
     return docs
