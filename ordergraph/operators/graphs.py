@@ -110,7 +110,16 @@ def links_to_arrays(links: DataFrame) -> DataFrame:
     return links.groupBy("graph_id", "src").agg(F.array_sort(F.collect_list("dst")).alias("future"))
 
 
-def arrays_to_links(arrays: DataFrame) -> DataFrame:
+def arrays_to_links(arrays: DataFrame, graphs: DataFrame | None = None) -> DataFrame:
+    """The links of arrays of futures; with ``graphs`` (graph_id, n) a row fails that is of no graph, or has a null
+    or an end outside 1 .. n, or the same end twice."""
+    if graphs is not None:
+        known = arrays.join(graphs.select("graph_id", "n"), "graph_id", "left")
+        inside = lambda j: j.isNotNull() & (j >= 1) & (j <= F.col("n"))
+        sound = F.col("n").isNotNull() & inside(F.col("src")) & F.col("future").isNotNull() & F.forall("future", inside) & (F.size(F.array_distinct("future")) == F.size("future"))
+        wrong = F.raise_error(F.concat(F.lit("not an array of links: graph "), F.col("graph_id").cast("string"), F.lit(", atom "), F.coalesce(F.col("src").cast("string"), F.lit("null"))))
+        # the checked array itself is what is read on, so the check cannot be planned away
+        arrays = known.withColumn("future", F.when(F.coalesce(sound, F.lit(False)), F.col("future")).otherwise(wrong))
     return arrays.select("graph_id", "src", F.explode("future").alias("dst"))
 
 

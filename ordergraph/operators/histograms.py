@@ -53,6 +53,11 @@ def trim(vectors: DataFrame, vec: str = "vec") -> DataFrame:
 
 
 def concatenate(first: DataFrame, second: DataFrame, key: str = "sample_id") -> DataFrame:
+    """Each sample's two vectors as one; an error if a sample is in one table only, or more often in one than in the other."""
+    n = lambda df, c: df.groupBy(key).agg(F.count("*").alias(c))
+    uneven = n(first, "n1").join(n(second, "n2"), key, "full").filter("not n1 <=> n2 or n1 > 1").limit(3).collect()
+    if uneven:
+        raise ValueError(f"not one vector in each table for samples {sorted(str(r[key]) for r in uneven)}")
     return first.join(second.select(key, F.col("vec").alias("other")), key).withColumn("vec", F.concat("vec", "other")).drop("other")
 
 

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .distances import Cell, blocks, cells, energy, hellinger, keyed, squared, unit
+from .distances import Cell, blocks, cells, energy, hellinger, keyed, kind_of, squared, unit
 from .graphs import cut_lineage
 from .histograms import concatenate
 
@@ -472,13 +472,14 @@ def _labels(at: np.ndarray, cls: object, half: int, permutations: int, seed: int
     return out
 
 
-def _tested(sums: DataFrame, permutations: int) -> DataFrame:
+def _tested(sums: DataFrame, permutations: int, by: tuple[str, ...] = ()) -> DataFrame:
     """observed, p, z_emp, z_coll, null_mean, null_std from sums by permutation (perm, aa, ab, bb, n_aa, n_ab, n_bb)."""
-    s = sums.groupBy("perm").agg(*[F.sum(c).alias(c) for c in ("aa", "ab", "bb", "n_aa", "n_ab", "n_bb")])
+    s = sums.groupBy(*by, "perm").agg(*[F.sum(c).alias(c) for c in ("aa", "ab", "bb", "n_aa", "n_ab", "n_bb")])
     mean = {k: F.when(F.col(f"n_{k}") > 0, F.col(k) / F.col(f"n_{k}")).otherwise(0.0) for k in ("aa", "ab", "bb")}
-    stat = cut_lineage(s.select("perm", F.when(mean["ab"] == 0, 0.0).otherwise((2 * mean["ab"] - mean["aa"] - mean["bb"]) / (2 * mean["ab"])).alias("D")))
-    seen = stat.filter("perm = 0").select(F.col("D").alias("observed"))
-    out = stat.filter("perm > 0").join(F.broadcast(seen)).groupBy("observed").agg(
+    stat = cut_lineage(s.select(*by, "perm", F.when(mean["ab"] == 0, 0.0).otherwise((2 * mean["ab"] - mean["aa"] - mean["bb"]) / (2 * mean["ab"])).alias("D")))
+    seen = stat.filter("perm = 0").select(*by, F.col("D").alias("observed"))
+    both = stat.filter("perm > 0").join(seen, list(by)) if by else stat.filter("perm > 0").join(F.broadcast(seen))  # one row
+    out = both.groupBy(*by, "observed").agg(
         # rounding alone must not tell equal statistics apart
         ((F.sum(F.when(F.col("D") >= F.col("observed") - 1e-12, 1).otherwise(0)) + 1) / F.lit(permutations + 1.0)).alias("p"),
         F.avg("D").alias("null_mean"),
@@ -491,31 +492,44 @@ def _tested(sums: DataFrame, permutations: int) -> DataFrame:
         return p.map(lambda x: NormalDist().inv_cdf(1 - min(max(x, eps), 1 - eps)))
 
     z = (F.col("observed") - F.col("null_mean")) / (F.col("null_std") + float(np.finfo(float).eps))
-    return out.select("observed", "p", z.alias("z_emp"), upper("p").alias("z_coll"), "null_mean", "null_std")
+    return out.select(*by, "observed", "p", z.alias("z_emp"), upper("p").alias("z_coll"), "null_mean", "null_std")
 
 
 PERMUTED = "perm int, aa double, ab double, bb double, n_aa double, n_ab double, n_bb double"
 
 
-def permutation_test(vectors: DataFrame, metric: Callable, permutations: int = 1000, seed: int = 1) -> DataFrame:
-    """Energy with U-statistic means against relabelled samples; classes are cut to one size at random.
+def permutation_tests(vectors: DataFrame, metric: Callable, permutations: int = 1000, key: str = "cls", reference=None, seed: int = 1) -> DataFrame:
+    """k1, k2, and the permutation test of k1 (first side) against k2, for every pair of classes k1 < k2, or each class against the reference.
 
-    A cell turns its distances into sums for all permutations by two matrix
-    products; no row is made for a pair or a label.
+    Energy with U-statistic means against relabelled samples; the classes of a
+    pair are cut to one size at random.  All pairs are one job: a cell of one
+    class serves every pair that has the class.  A cell turns its distances
+    into sums for all permutations by two matrix products; no row is made for
+    a pair of samples or a label.
     """
-    v = keyed(vectors, "cls")
-    sizes = {r["k"]: r["n"] for r in v.groupBy("k").agg(F.count("*").alias("n")).collect()}  # two rows
-    half = min(sizes["a"], sizes["b"])
+    v = keyed(vectors, key)
     packed = blocks(v, seed=seed)
-
-    def reduce(c: Cell) -> pd.DataFrame | None:
+    sizes = packed[1]
+    names = sorted(sizes)
+    if reference is not None and reference not in sizes:
+        raise ValueError(f"no class {reference}")
+    pairs = [(x, y) for n, x in enumerate(names) for y in names[n + 1 :]] if reference is None else [(x, reference) for x in names if x != reference]
+    of: dict[tuple, list[tuple]] = {}
+    for one, two in pairs:
+        for cell in {(one, one), (two, two), (min(one, two), max(one, two))}:
+            of.setdefault(cell, []).append((one, two))
+
+    def sums(c: Cell, pair: tuple) -> pd.DataFrame | None:
+        half = min(sizes[k] for k in pair)
         in1, in2 = c.at1 < half, c.at2 < half
         d = c.d[np.ix_(in1, in2)]
         if not d.size:
             return None
         if c.same:
             d = np.triu(d, 1)
-        one, two = _labels(c.at1[in1], c.k1, half, permutations, seed), _labels(c.at2[in2], c.k2, half, permutations, seed)
+        side = lambda k: "a" if k == pair[0] else "b"
+        one = _labels(c.at1[in1], side(c.k1), half, permutations, seed)
+        two = one if c.same else _labels(c.at2[in2], side(c.k2), half, permutations, seed)
         aa, row, column, every = ((d @ two) * one).sum(axis=0), (d.sum(axis=1) @ one), (d.sum(axis=0) @ two), d.sum()
         if c.same:
             n1, m = one.sum(axis=0), float(len(d))
@@ -524,9 +538,19 @@ def permutation_test(vectors: DataFrame, metric: Callable, permutations: int = 1
             n1, n2 = one.sum(axis=0), two.sum(axis=0)
             n_aa, n_bb, n = n1 * n2, (len(one) - n1) * (len(two) - n2), float(len(one) * len(two))
         bb = every - row - column + aa
-        return pd.DataFrame({"perm": np.arange(permutations + 1, dtype=np.int32), "aa": aa, "ab": every - aa - bb, "bb": bb, "n_aa": n_aa, "n_ab": n - n_aa - n_bb, "n_bb": n_bb})
+        return pd.DataFrame({"k1": [pair[0]] * len(aa), "k2": [pair[1]] * len(aa), "perm": np.arange(permutations + 1, dtype=np.int32), "aa": aa, "ab": every - aa - bb, "bb": bb, "n_aa": n_aa, "n_ab": n - n_aa - n_bb, "n_bb": n_bb})
 
-    return _tested(cells(v, metric, reduce, PERMUTED, "all", packed=packed), permutations)
+    def reduce(c: Cell) -> pd.DataFrame | None:
+        found = [x for x in (sums(c, pair) for pair in of.get((c.k1, c.k2), ())) if x is not None]
+        return pd.concat(found) if found else None
+
+    kinds = f"k1 {kind_of(v)}, k2 {kind_of(v)}, "
+    return _tested(cells(v, metric, reduce, kinds + PERMUTED, "all", packed=packed), permutations, ("k1", "k2"))
+
+
+def permutation_test(vectors: DataFrame, metric: Callable, permutations: int = 1000, seed: int = 1) -> DataFrame:
+    """The permutation test of class a against class b."""
+    return permutation_tests(vectors, metric, permutations, seed=seed).drop("k1", "k2")
 
 
 def mc_permutation_test(vectors: DataFrame, metric: Callable, draws: int, permutations: int = 1000, seed: int = 1) -> DataFrame:

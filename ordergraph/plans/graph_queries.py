@@ -92,7 +92,8 @@ def i3_reverse_links(spark, sf):
 
 @query("SELECT graph_id, src, dst FROM lnk")
 def i4_link_arrays_round_trip(spark, sf):
-    return edges(G.arrays_to_links(G.links_to_arrays(Ensemble(spark, sf).links)))
+    e = Ensemble(spark, sf)
+    return edges(G.arrays_to_links(G.links_to_arrays(e.links), e.graphs))
 
 
 @query("SELECT graph_id, src, dst FROM lnk UNION ALL SELECT graph_id, dst, src FROM lnk")
@@ -280,11 +281,13 @@ def g18_spectral_moments(spark, sf):
     return rounded(G.spectral_moments(links, graphs), "laplacian_2", "antisymmetric_2")
 
 
-@query()
+@query(""", f AS (SELECT d / 10.0::DOUBLE AS d, exp(lgamma(d / 10.0::DOUBLE + 1) + lgamma(d / 20.0::DOUBLE) - lgamma(3 * d / 20.0::DOUBLE)) / 2 AS f FROM range(10, 61) t(d)),
+steps AS (SELECT d AS d1, f AS f1, lead(d) OVER (ORDER BY d) AS d2, lead(f) OVER (ORDER BY d) AS f2 FROM f),
+con AS (SELECT g.graph_id, coalesce(c, 0) / (n * (n - 1) / 2) AS c FROM g LEFT JOIN (SELECT graph_id, count(*) AS c FROM rel GROUP BY 1) r USING (graph_id) WHERE n >= 2)
+SELECT graph_id, round(c, 6) AS connectivity, round(d1 + (f1 - c) / (f1 - f2) * (d2 - d1), 6) AS dimension FROM con LEFT JOIN steps ON c <= f1 AND c > f2""")
 def g19_relation_dimension(spark, sf):
     e = Ensemble(spark, sf)
-    relations, graphs = e.relations, e.graphs
-    return G.relation_dimension(G.connectivity(relations, graphs))
+    return rounded(G.relation_dimension(G.connectivity(e.relations, e.graphs)), "connectivity", "dimension")
 
 
 @query("""SELECT g.graph_id, g.n, c_mktsegment AS cls, c_nationkey::DOUBLE AS scalar, round(CASE WHEN n >= 2 THEN coalesce(r.c, 0) / (n * (n - 1) / 2) END, 6) AS connectivity,
@@ -298,6 +301,24 @@ def g20_record(spark, sf):
     return rounded(G.record(relations, graphs), "connectivity", "link_degree_mean")
 
 
+_PARTS = {"degree": ("rdeg", "degree"), "link_degree": ("deg", "degree"), "height_profile": ("hts", "height"), "cardinalities": ("card", "weight")}
+
+
+@query(
+    LEVELS.format(to="dst", at="src") + CARD + """, rdeg AS (SELECT a.graph_id, a.atom, coalesce(i.c, 0) + coalesce(o.c, 0) AS degree FROM atoms a
+  LEFT JOIN (SELECT graph_id, dst, count(*) AS c FROM rel GROUP BY 1, 2) i ON i.graph_id = a.graph_id AND i.dst = a.atom
+  LEFT JOIN (SELECT graph_id, src, count(*) AS c FROM rel GROUP BY 1, 2) o ON o.graph_id = a.graph_id AND o.src = a.atom),
+hts AS (SELECT graph_id, atom, max(h) AS height FROM lev GROUP BY 1, 2)
+SELECT g.graph_id, g.n, c_mktsegment AS cls, c_nationkey::DOUBLE AS scalar, round(CASE WHEN n >= 2 THEN coalesce(r.c, 0) / (n * (n - 1) / 2) END, 6) AS connectivity, """
+    + ", ".join(f"{p}.{c} AS {p}_{c}" for p in _PARTS for c in ("min", "max", "mean", "q25", "q75", "median"))
+    + " FROM g JOIN customer ON c_custkey = g.graph_id LEFT JOIN (SELECT graph_id, count(*) AS c FROM rel GROUP BY 1) r USING (graph_id)"
+    + "".join(f" LEFT JOIN (SELECT graph_id, {SEVEN.format(x=x)} FROM {t} GROUP BY 1) {p} USING (graph_id)" for p, (t, x) in _PARTS.items())
+)
+def g20_record_of_all_groups(spark, sf):
+    e = Ensemble(spark, sf)
+    return rounded(G.record(e.relations, e.graphs, G.GROUPS), "connectivity", *[f"{p}_mean" for p in _PARTS])
+
+
 @query("SELECT graph_id + 10000000 AS graph_id, src, dst FROM rel WHERE graph_id % 10 = 0 UNION ALL SELECT graph_id, dst, src FROM rel WHERE graph_id % 10 = 1 UNION ALL SELECT graph_id, src, dst + 1000 FROM rel WHERE graph_id % 10 = 2")
 def s13_inconsistent_edges(spark, sf):
     """Of whole relations and broken ones (no such graph, turned round, no such atom), the broken ones."""

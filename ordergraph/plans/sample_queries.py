@@ -68,6 +68,13 @@ def s3_fields_with_scalar(spark, sf):
     return o.select("o_orderkey", "o_totalprice", S.numeric(o, "o_custkey").alias("scalar"))
 
 
+@query("SELECT o_custkey::DOUBLE AS field FROM orders", "")
+def s4_one_field(spark, sf):
+    """One field of the records, as numbers."""
+    o = S.table(spark, sf, "orders")
+    return o.select(S.numeric(o, "o_custkey").alias("field"))
+
+
 @query("SELECT sample_id, bin, weight, scalar FROM hist")
 def s5_histograms_with_scalar(spark, sf):
     m = S.histograms(spark, sf).groupBy("sample_id", "scalar").agg(F.map_from_entries(F.collect_list(F.struct("bin", "weight"))).alias("hist"))
@@ -600,18 +607,20 @@ def d23_energy_of_reference(spark, sf):
     return rounded(D.energy(units(spark, sf), D.hellinger, "scalar", reference=0.0), "energy", "distinguishability")
 
 
-def _few(spark, sf):
-    return units(spark, sf).filter("scalar < 3")
+@query()
+def d24_permutation_by_scalar(spark, sf):
+    """Every class against class 0."""
+    return W.permutation_tests(units(spark, sf), D.hellinger, 1000, "scalar", 0.0)
 
 
 @query()
-def d24_permutation_by_scalar(spark, sf):
-    return W.by_reference(_few(spark, sf), lambda v: W.permutation_test(v, D.hellinger, 200), "scalar", 0.0)
+def d24_permutation_of_pairs(spark, sf):
+    return W.permutation_tests(units(spark, sf), D.hellinger, 200, "scalar")
 
 
 @query()
 def d25_mahalanobis_by_scalar(spark, sf):
-    return W.by_reference(_few(spark, sf), lambda v: W.mahalanobis_gap(v, 200).drop("D"), "scalar", 0.0)
+    return W.by_reference(units(spark, sf), lambda v: W.mahalanobis_gap(v, 200).drop("D"), "scalar", 0.0)
 
 
 @query()

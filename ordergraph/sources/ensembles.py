@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import json
+import uuid
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ordergraph.operators.ordered import ranked_within
 
@@ -74,15 +79,58 @@ def of_kind(graphs: DataFrame, kind: str, kinds: dict[str, list[str]]) -> DataFr
     return graphs.filter(F.col("cls") == kind).select("graph_id", "n", *kinds[kind])
 
 
-def write_statistics(records: DataFrame, path: str, kind: str, meta: dict[str, float]) -> None:
-    """Records in a folder for each kind, and a table of one row about the run."""
-    records.write.mode("overwrite").partitionBy(kind).parquet(f"{path}/records")
-    records.sparkSession.createDataFrame([tuple(map(float, meta.values()))], [*meta]).write.mode("overwrite").parquet(f"{path}/run")
-
+def write_statistics(records: DataFrame, path: str, kind: str, meta: dict[str, float]) -> int:
+    """Records in a folder for each kind, published as the next version of the dataset; returns its number.
 
-def read_statistics(spark: SparkSession, path: str) -> DataFrame:
-    """Records with the run's numbers beside them."""
-    return spark.read.parquet(f"{path}/records").join(F.broadcast(spark.read.parquet(f"{path}/run")))
+    Records go to a folder of their own first.  Then one manifest is added: the
+    version, that folder, the run's numbers and how many records of each kind it
+    holds.  Its file appears by one rename, so a reader sees the old version or
+    the whole new one, and a write that is killed before leaves the old one.
+    """
+    spark = records.sparkSession
+    folder = f"records-{uuid.uuid4().hex}"
+    records.write.partitionBy(kind).parquet(f"{path}/{folder}")
+    of = spark.read.parquet(f"{path}/{folder}") if not records.limit(1).isEmpty() else None
+    counts = {str(r[kind]): r["n"] for r in of.groupBy(kind).agg(F.count("*").alias("n")).collect()} if of is not None else {}  # a row a kind
+    version = max((m["version"] for m in manifests(spark, path)), default=0) + 1
+    row = (version, folder, kind, counts, {k: float(v) for k, v in meta.items()}, records.schema.json())
+    spark.createDataFrame([row], MANIFEST).coalesce(1).write.mode("append").json(f"{path}/manifests")
+    return version
+
+
+MANIFEST = "version long, folder string, kind string, counts map<string,long>, meta map<string,double>, schema string"
+
+
+def manifests(spark: SparkSession, path: str) -> list:
+    """The published versions, oldest first (a row each)."""
+    try:
+        found = spark.read.schema(MANIFEST).json(f"{path}/manifests")
+    except AnalysisException:  # nothing was published yet
+        return []
+    return sorted(found.filter("version is not null").collect(), key=lambda m: (m["version"], m["folder"]))
+
+
+def _published(spark: SparkSession, path: str, version: int | None) -> Row:
+    every = [m for m in manifests(spark, path) if version is None or m["version"] == version]
+    if not every:
+        raise ValueError(f"no published version under {path}" if version is None else f"no version {version} under {path}")
+    return every[-1]
+
+
+def read_statistics(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """Records of the last published version, or the one named, with the run's numbers beside them."""
+    m = _published(spark, path, version)
+    records = spark.read.schema(StructType.fromJson(json.loads(m["schema"]))).parquet(f"{path}/{m['folder']}")
+    return records.select("*", *[F.lit(v).alias(k) for k, v in sorted(m["meta"].items())])
+
+
+def miscounted(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """kind, written, found: the kinds of a version that don't hold as many records as its manifest says."""
+    m = _published(spark, path, version)
+    found = read_statistics(spark, path, m["version"]).groupBy(F.coalesce(F.col(m["kind"]).cast("string"), F.lit("None")).alias("kind")).agg(F.count("*").alias("found"))
+    written = spark.createDataFrame(list(m["counts"].items()), "kind string, written long")
+    both = written.join(found, written["kind"].eqNullSafe(found["kind"]), "full")
+    return both.select(F.coalesce(written["kind"], found["kind"]).alias("kind"), F.coalesce("written", F.lit(0)).alias("written"), F.coalesce("found", F.lit(0)).alias("found")).filter("written <> found")
 
 
 def write_rows(rows: DataFrame, path: str) -> None:

@@ -118,3 +118,17 @@ def test_eigenvalues_against_dense_matrices(spark):
             assert (first, last) == pytest.approx((values[values > 1e-9][0], values[-1]), abs=1e-7)
         k = np.where(link, 0.5 / np.maximum(link.sum(0), 1), 0.0)
         assert lowest == pytest.approx(-np.linalg.svd(k - k.T, compute_uv=False)[0], abs=1e-7)
+
+
+def test_arrays_that_are_no_links_fail(spark):
+    graphs = spark.createDataFrame([(1, 3)], "graph_id long, n long")
+    arrays = lambda *rows: spark.createDataFrame(rows, "graph_id long, src int, future array<int>")
+    assert rows(G.arrays_to_links(arrays((1, 1, [2, 3]), (1, 3, [])), graphs)) == [(1, 1, 2), (1, 1, 3)]
+    for bad in ((1, 1, [4]), (1, 1, [0]), (1, 0, [1]), (1, 4, [1]), (1, 1, [2, 2]), (1, 1, [None]), (1, None, [1]), (1, 1, None), (2, 1, [2])):
+        with pytest.raises(Exception, match="not an array of links"):
+            G.arrays_to_links(arrays((1, 1, [2]), bad), graphs).collect()
+
+
+def test_record_of_all_groups(ensemble):
+    got = {r["graph_id"]: r for r in G.record(ensemble[0], ensemble[2], G.GROUPS).collect()}
+    assert got[2]["height_profile_max"] == 2 and got[2]["degree_mean"] == 2.5 and got[2]["cardinalities_max"] == 4 and got[3]["connectivity"] == 0

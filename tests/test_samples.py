@@ -227,3 +227,41 @@ def test_streamed_moments_survive_a_stop_between_files(spark, tmp_path):
         assert got[b]["n"] == len(v) and got[b]["mean"] == pytest.approx(np.mean(v), abs=1e-6)
         assert got[b]["std"] == pytest.approx(np.std(v, ddof=1) if len(v) > 1 else 0.0, rel=1e-6)
     assert len(R._versions(spark, f"{folder}/state")) == 2
+
+
+def test_datasets_are_published_whole(spark, tmp_path):
+    path = str(tmp_path / "set")
+    with pytest.raises(ValueError, match="no published version"):
+        S.read_statistics(spark, path)
+    one = spark.createDataFrame([(1, "a", 2.0), (2, "b", 3.0), (3, None, 4.0)], "id long, kind string, x double")
+    assert S.write_statistics(one, path, "kind", {"batchsize": 10}) == 1
+    want = [(1, "a", 2.0, 10.0), (2, "b", 3.0, 10.0), (3, None, 4.0, 10.0)]
+    read = lambda **k: sorted(map(tuple, S.read_statistics(spark, path, **k).select("id", "kind", "x", "batchsize").collect()))
+    assert read() == want and S.miscounted(spark, path).collect() == []
+
+    def broken(x):
+        raise RuntimeError("killed")
+
+    bad = F.udf(broken, "double")
+    with pytest.raises(Exception, match="killed"):  # a write that stops half way
+        S.write_statistics(one.withColumn("x", F.when(F.col("id") == 3, bad("x")).otherwise(F.col("x"))), path, "kind", {"batchsize": 20})
+    one.limit(1).write.parquet(f"{path}/records-not-published")  # or before its manifest
+    assert read() == want
+    two = one.filter("id = 2").withColumn("x", F.lit(9.0))
+    assert S.write_statistics(two, path, "kind", {"batchsize": 30, "seed": 4}) == 2
+    assert read() == [(2, "b", 9.0, 30.0)] and read(version=1) == want
+    assert S.write_statistics(one.limit(0), path, "kind", {}) == 3 and S.read_statistics(spark, path).count() == 0
+    import glob
+    import os
+
+    (lost,) = glob.glob(f"{path}/{S.manifests(spark, path)[0]['folder']}/kind=a/*.parquet")
+    os.remove(lost)
+    assert [tuple(r) for r in S.miscounted(spark, path, 1).collect()] == [("a", 1, 0)]
+
+
+def test_concatenation_of_unequal_samples_fails(spark):
+    v = lambda *ids: spark.createDataFrame([(i, [float(i)]) for i in ids], "sample_id long, vec array<double>")
+    assert sorted(map(tuple, H.concatenate(v(1, 2), v(2, 1)).collect())) == [(1, [1.0, 1.0]), (2, [2.0, 2.0])]
+    for one, two in (((1, 2), (1,)), ((1,), (1, 2)), ((1, 1), (1, 1))):
+        with pytest.raises(ValueError, match="not one vector"):
+            H.concatenate(v(*one), v(*two))

@@ -217,3 +217,21 @@ def test_weights_deviate_as_copies_do(spark):
             np.add.at(w, rng.choice(np.flatnonzero(labels == c), size=60), 1)
         two.append(_information(x, labels, w, 5))
     assert one.std() == pytest.approx(np.std(two), rel=0.1) and one.mean() == pytest.approx(np.mean(two), abs=0.03)
+
+
+def test_permutation_tests_of_pairs_equal_those_of_two(spark):
+    rng = np.random.default_rng(31)
+    rows = [(n, [float(x) for x in rng.dirichlet(np.ones(4) + k)], int(k)) for n, k in enumerate(rng.permutation(np.arange(120) % 4))]
+    df = spark.createDataFrame(rows, "sample_id long, vec array<double>, scalar int")
+    every = {(r["k1"], r["k2"]): r for r in W.permutation_tests(df, D.hellinger, 99, "scalar").collect()}
+    assert set(every) == {(a, b) for a in range(4) for b in range(a + 1, 4)}
+    against = {(r["k1"], r["k2"]): r for r in W.permutation_tests(df, D.hellinger, 99, "scalar", 2).collect()}
+    assert set(against) == {(k, 2) for k in (0, 1, 3)}
+    for (a, b), found in [((0, 3), every[0, 3]), ((1, 2), against[1, 2]), ((3, 2), against[3, 2])]:
+        two = df.filter(F.col("scalar").isin([a, b])).withColumn("cls", F.when(F.col("scalar") == a, "a").otherwise("b"))
+        (alone,) = W.permutation_test(two, D.hellinger, 99).collect()
+        assert found["observed"] == pytest.approx(alone["observed"]) and found["p"] == pytest.approx(alone["p"], abs=0.12)
+        x, y = (np.array([v for _, v, k in sorted(rows) if k == c]) for c in (a, b))
+        mean = lambda p, q, same: D.hellinger(p, q)[np.triu_indices(30, 1)].mean() if same else D.hellinger(p, q).mean()
+        e = 2 * mean(x, y, False) - mean(x, x, True) - mean(y, y, True)
+        assert found["observed"] == pytest.approx(e / (2 * mean(x, y, False)))
