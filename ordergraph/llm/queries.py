@@ -167,6 +167,19 @@ FROM m GROUP BY doc_id
 """
 
 
+OP12_SQL = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT doc_id, i, md5_number(substr(h, 2 * i + 1, 400)) AS s FROM (SELECT doc_id, h, unnest(range(0, n - 199)) AS i FROM d WHERE n >= 200)),
+x AS (SELECT doc_id, i FROM w JOIN (SELECT s FROM w GROUP BY s HAVING count(*) > 1) USING (s)),
+e AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 200 THEN 0 ELSE 1 END AS fresh FROM x),
+r AS (SELECT doc_id, min(i) AS a, max(i) + 200 AS b FROM (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM e) GROUP BY doc_id, run),
+p AS (SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS f, a AS t FROM r UNION ALL SELECT d.doc_id, coalesce(max(b), 0), n FROM d LEFT JOIN r ON r.doc_id = d.doc_id GROUP BY d.doc_id, n),
+k AS (SELECT p.doc_id, string_agg(substr(h, 2 * f + 1, 2 * (t - f)), '' ORDER BY f) AS kept FROM p JOIN d ON d.doc_id = p.doc_id GROUP BY p.doc_id),
+c AS (SELECT doc_id, count(*) AS n_spans, sum(b - a)::BIGINT AS n_removed FROM r GROUP BY doc_id)
+SELECT d.doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(kept)) AS kept_sha256
+FROM d JOIN k ON k.doc_id = d.doc_id LEFT JOIN c ON c.doc_id = d.doc_id
+"""
+
 OP13_SQL = rf"""
 WITH t AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, {_ABC}), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
 q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, {_ABC}), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
@@ -183,4 +196,4 @@ FROM s WHERE score > 0 QUALIFY rank <= 50
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": OP2_SQL, "op6_quality_rules": OP6_SQL, "op8_near_dedup": OP8_SQL, "op9_line_dedup": OP9_SQL, "op13_lexical_search": OP13_SQL}
+    return {"op2_url_filter": OP2_SQL, "op6_quality_rules": OP6_SQL, "op8_near_dedup": OP8_SQL, "op9_line_dedup": OP9_SQL, "op12_suffix_dedup": OP12_SQL, "op13_lexical_search": OP13_SQL}

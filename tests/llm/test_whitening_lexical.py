@@ -137,3 +137,19 @@ def test_search_stops_early_and_only_strictly_below():
     ties = lexical.Block(np.zeros(100, np.int64), np.arange(100), np.full(100, 7), np.arange(101))
     best, _, looked = ties.search(np.array([0]), 5, np.zeros(1, np.int32))
     assert best.tolist() == [0, 1, 2, 3, 4] and looked == 100  # equal scores: the bound is never strictly below
+
+
+def test_blocks_of_the_index_are_bounded_and_whole(monkeypatch):
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    sizes = [rng.choice([0, 1, 3, 50]) for _ in range(200)]
+    rows = [(k, 9, list(range(n)), [1] * n) for k, n in enumerate(sizes)]
+    batches = [pa.RecordBatch.from_pylist([dict(zip(("d", "n", "terms", "tfs"), r)) for r in rows[a : a + 37]], pa.schema([("d", pa.int64()), ("n", pa.int64()), ("terms", pa.list_(pa.int32())), ("tfs", pa.list_(pa.int64()))])) for a in range(0, 200, 37)]
+    for docs, postings in ((16384, 2_000_000), (7, 40), (1, 1), (50, 60)):
+        monkeypatch.setattr(lexical, "BLOCK_DOCS", docs)
+        monkeypatch.setattr(lexical, "BLOCK_POSTINGS", postings)
+        out = [b.to_pylist() for b in lexical.blocks(iter(batches))]
+        assert [r["d"] for b in out for r in b] == list(range(200))
+        assert [r["terms"] for b in out for r in b] == [r[2] for r in rows]
+        assert all(len(b) <= docs and (len(b) == 1 or sum(len(r["terms"]) for r in b) <= postings) for b in out)
