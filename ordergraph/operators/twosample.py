@@ -18,8 +18,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .distances import Cell, blocks, cells, energy, hellinger, keyed, kind_of, squared, unit
-from .graphs import cut_lineage
+from .graphs import cut_lineage, written
 from .histograms import concatenate
+from .neighbours import Balls, balls, nearest, within_radius
 
 SUMS = "r int, c int, v double"
 
@@ -220,19 +221,57 @@ def digamma(x: Column) -> Column:
     return series - sum((1 / (x + float(i)) for i in range(10)), F.lit(0.0))
 
 
-def neighbour_information(vectors: DataFrame, k: int = 5, projected: bool = True, tolerance: float = 1e-6) -> DataFrame:
+def neighbour_information(vectors: DataFrame, k: int = 5, projected: bool = True, tolerance: float = 1e-6, search: str = "balls") -> DataFrame:
     """information: mutual information of vector and label from the k-th neighbours
     of the own class, over the label's entropy, in [0, 1].
 
     A distance of 0 counts as 1e-12 times the other sample's place, so that
-    equal samples are not all at one distance.
+    equal samples are not all at one distance.  ``search``: "balls" (shells
+    that can hold no neighbour are skipped) or "cells" (all pairs of blocks).
     """
+    if search not in ("balls", "cells"):
+        raise ValueError(f"not a search: {search}")
     v = keyed(project(vectors, tolerance) if projected else vectors, "cls")
     packed = blocks(v)
     n = packed[1]
     if min(n.get("a", 0), n.get("b", 0)) < 2:
         raise ValueError("two samples of each class are needed")
     few = min(k, n["a"] - 1, n["b"] - 1)
+    if search == "balls":
+        m = neighbour_counts(balls(v, packed), few)
+    else:
+        m = _counts_by_cells(v, packed, few)
+    size = n["a"] + n["b"]
+    entropy = -sum(x / size * np.log(x / size) for x in (n["a"], n["b"]))
+    of_n = sum((F.lit(x / size) * digamma(F.lit(float(x))) for x in (n["a"], n["b"])), F.lit(0.0))
+    mi = digamma(F.lit(float(size))) - of_n + digamma(F.lit(float(few))) - F.avg(digamma(F.col("m").cast("double")))
+    return m.agg(F.greatest(F.least(mi / F.lit(float(entropy)), F.lit(1.0)), F.lit(0.0)).alias("information"))
+
+
+def _found(b: Balls, few: int) -> tuple[DataFrame, dict]:
+    first = {c: b.sizes["a"] if c == "b" else 0 for c in b.sizes}
+    radius = (F.col("best")[few - 1] + 1e-14).alias("radius")
+    return written(nearest(b, few, first).select("sample_id", "k", radius, F.col("compared").alias("searched"))), first
+
+
+def neighbour_counts(b: Balls, few: int) -> DataFrame:
+    """sample_id, m: samples of both classes within the distance of the ``few``-th neighbour of the own class."""
+    found, first = _found(b, few)
+    return within_radius(b, found, first).select("sample_id", "m")
+
+
+def neighbour_work(vectors: DataFrame, k: int = 5) -> DataFrame:
+    """searched, counted: the shares of all distances that finding neighbours and counting within their radius compute."""
+    b = balls(keyed(vectors, "cls"))
+    found, first = _found(b, min(k, min(b.sizes.values()) - 1))
+    own, every = float(sum(x * x for x in b.sizes.values())), float(sum(b.sizes.values()) ** 2)
+    counted = within_radius(b, found, first).agg((F.sum("compared") / every).alias("counted"))
+    return found.agg((F.sum("searched") / own).alias("searched")).join(F.broadcast(counted))  # one row each
+
+
+def _counts_by_cells(v: DataFrame, packed: tuple, few: int) -> DataFrame:
+    """sample_id, m: the same counts from all pairs of blocks."""
+    n = packed[1]
     first = lambda c: n["a"] if c == "b" else 0
 
     def both(c: Cell) -> tuple[np.ndarray, np.ndarray]:
@@ -264,12 +303,7 @@ def neighbour_information(vectors: DataFrame, k: int = 5, projected: bool = True
             out.append(pd.DataFrame({"sample_id": c.ids2, "m": (two <= c.x2[:, :1]).sum(axis=1)}))
         return pd.concat(out)
 
-    m = cells(with_radius, squared, count, "sample_id long, m long", "all", beside=1).groupBy("sample_id").agg(F.sum("m").alias("m"))
-    size = n["a"] + n["b"]
-    entropy = -sum(x / size * np.log(x / size) for x in (n["a"], n["b"]))
-    of_n = sum((F.lit(x / size) * digamma(F.lit(float(x))) for x in (n["a"], n["b"])), F.lit(0.0))
-    mi = digamma(F.lit(float(size))) - of_n + digamma(F.lit(float(few))) - F.avg(digamma(F.col("m").cast("double")))
-    return m.agg(F.greatest(F.least(mi / F.lit(float(entropy)), F.lit(1.0)), F.lit(0.0)).alias("information"))
+    return cells(with_radius, squared, count, "sample_id long, m long", "all", beside=1).groupBy("sample_id").agg(F.sum("m").alias("m"))
 
 
 def poisson_weights(ids: np.ndarray, draws: int, seed: int) -> np.ndarray:

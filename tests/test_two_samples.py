@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ordergraph.operators import distances as D
+from ordergraph.operators import neighbours as N
 from ordergraph.operators import twosample as W
 
 
@@ -235,3 +236,58 @@ def test_permutation_tests_of_pairs_equal_those_of_two(spark):
         mean = lambda p, q, same: D.hellinger(p, q)[np.triu_indices(30, 1)].mean() if same else D.hellinger(p, q).mean()
         e = 2 * mean(x, y, False) - mean(x, x, True) - mean(y, y, True)
         assert found["observed"] == pytest.approx(e / (2 * mean(x, y, False)))
+
+
+def _cloud(spark, a, b):
+    rows = [(k, [float(x) for x in v], c) for c, part, base in (("a", a, 0), ("b", b, 10_000)) for k, v in enumerate(part, base)]
+    return spark.createDataFrame(rows, "sample_id long, vec array<double>, cls string")
+
+
+def _brute_counts(a, b, few):
+    """Samples within the few-th neighbour's squared distance, zeros by places that the caller has none of."""
+    every = np.concatenate([a, b])
+    d = ((every[:, None, :] - every[None, :, :]) ** 2).sum(axis=2)
+    np.fill_diagonal(d, np.inf)
+    side = np.arange(len(every)) < len(a)
+    return [int((row <= np.sort(row[side == own])[few - 1] + 1e-14).sum()) for row, own in zip(d, side)]
+
+
+@pytest.fixture
+def small_balls(monkeypatch):
+    monkeypatch.setattr(N, "BALL", 16)
+    monkeypatch.setattr(N, "SHELL", 20)
+
+
+def test_balls_find_all_neighbours(spark, small_balls):
+    rng = np.random.default_rng(11)
+    centres = rng.uniform(-100, 100, (8, 5))
+    a, b = (centres[rng.integers(0, 8, n)] + rng.normal(0, 1, (n, 5)) for n in (230, 170))
+    v = _cloud(spark, a, b)
+    balls = N.balls(D.keyed(v, "cls"))
+    assert balls.shells.agg(F.sum("n")).first()[0] == 400 and balls.shells.agg(F.max("n")).first()[0] < 80
+    got = [r.m for r in W.neighbour_counts(balls, 5).orderBy("sample_id").collect()]
+    assert got == _brute_counts(a, b, 5)
+    work = W.neighbour_work(v).first()
+    assert 0 < work.searched < 0.4 and 0 < work.counted < 0.4
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e6])
+def test_balls_equal_cells_with_hot_copies(spark, small_balls, scale):
+    """A third of a class is one vector, and lies in one ball, which a hash cuts."""
+    rng = np.random.default_rng(12)
+    a, b = rng.normal(0, scale, (150, 4)), rng.normal(0.5 * scale, scale, (90, 4))
+    a[:50], b[:5] = a[0], a[0]
+    v = _cloud(spark, a, b)
+    one, two = (W.neighbour_information(v, projected=False, search=s).first().information for s in ("balls", "cells"))
+    assert one == pytest.approx(two, abs=1e-12)
+    assert N.balls(D.keyed(v, "cls")).shells.agg(F.max("n")).first()[0] < 60
+
+
+def test_balls_of_few_samples(spark, small_balls):
+    v = _cloud(spark, np.array([[0.0, 1.0], [1.0, 0.0]]), np.array([[5.0, 5.0], [6.0, 5.0], [5.0, 5.0]]))
+    one, two = (W.neighbour_information(v, projected=False, search=s).first().information for s in ("balls", "cells"))
+    assert one == pytest.approx(two, abs=1e-12)
+    with pytest.raises(ValueError):
+        W.neighbour_information(v.filter("cls = 'a'"))
+    with pytest.raises(ValueError):
+        W.neighbour_information(v, search="trees")
