@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .distances import Cell, blocks, cells, energy, hellinger, keyed, kind_of, squared, unit
+from .draws import distinct_pairs, drawn_pairs, permuted
 from .graphs import cut_lineage, written
 from .histograms import concatenate
 from .neighbours import Balls, balls, nearest, within_radius
@@ -25,32 +26,6 @@ from .neighbours import Balls, balls, nearest, within_radius
 SUMS = "r int, c int, v double"
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(32))
-
-
-def permuted(places: np.ndarray, n: int, key: int) -> np.ndarray:
-    """Where a permutation of 0 .. n - 1, chosen by ``key``, sends the places.
-
-    A Feistel network of six rounds over the next even number of bits, walked
-    on until the result is below n.
-    """
-    half = max(1, -(-max(n - 1, 1).bit_length() // 2))
-    mask, shift = np.uint64((1 << half) - 1), np.uint64(half)
-    x = np.asarray(places, dtype=np.uint64).copy()
-    todo = np.ones(x.shape, dtype=bool)
-    while todo.any():
-        y = x[todo]
-        for r in range(6):
-            low = y & mask
-            y = (low << shift) | (((y >> shift) ^ mixed(low + mixed(np.array([key * 8 + r + 1], dtype=np.uint64)))) & mask)
-        x[todo] = y
-        todo = x >= np.uint64(n)
-    return x.astype(np.int64)
-
-
 def _matrix(batch: pd.DataFrame) -> np.ndarray:
     return np.stack([np.asarray(v, dtype=np.float64) for v in batch["vec"]])
 
@@ -181,37 +156,28 @@ def subsample(vectors: DataFrame, most: int, seed: int = 1) -> DataFrame:
     return numbered(vectors, seed)[0].filter(F.col("at") < most).drop("at")
 
 
-def _paired(rows: DataFrame, draws: DataFrame, left: tuple[str, str], right: tuple[str, str]) -> DataFrame:
-    """The vectors x, y of drawn places, by class and place."""
-    a = rows.select(F.col("cls").alias(left[0]), F.col("at").alias(left[1]), F.col("vec").alias("x"))
-    b = rows.select(F.col("cls").alias(right[0]), F.col("at").alias(right[1]), F.col("vec").alias("y"))
-    return draws.join(a, list(left)).join(b, list(right))
-
-
 def mc_apply(vectors: DataFrame, metric: Callable, draws: int, seed: int = 1) -> DataFrame:
     """draw, kind, d: distances of pairs drawn with replacement, of kinds ab, aa and bb."""
-    rows, n = numbered(vectors)
-    place = lambda c, side: F.pmod(F.xxhash64("draw", "kind", F.lit(seed), F.lit(side)), F.when(c == "a", F.lit(n["a"])).otherwise(F.lit(n["b"]))).cast("long")
-    kinds = F.explode(F.array(*[F.lit(k) for k in ("ab", "aa", "bb")]))
-    drawn = vectors.sparkSession.range(draws).select(F.col("id").alias("draw"), kinds.alias("kind")).withColumn("c1", F.substring("kind", 1, 1)).withColumn("c2", F.substring("kind", 2, 1))
-    drawn = drawn.withColumn("i", place(F.col("c1"), 1)).withColumn("j", place(F.col("c2"), 2))
-
-    @F.pandas_udf("double")
-    def d(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([float(metric(np.asarray(p)[None, :], np.asarray(q)[None, :])[0, 0]) for p, q in zip(x, y)])
-
-    return _paired(rows, drawn, ("c1", "i"), ("c2", "j")).select("draw", "kind", d("x", "y").alias("d"))
+    return drawn_pairs(vectors, metric, draws, seed).drop("grp")
 
 
 def mc_energy(vectors: DataFrame, metric: Callable, draws: int, seed: int = 1) -> DataFrame:
-    """energy, distinguishability and its deviation (delta method) from drawn pairs."""
-    d = mc_apply(vectors, metric, draws, seed)
-    of = lambda k: F.when(F.col("kind") == k, F.col("d"))
-    m = d.agg(*[f(of(k)).alias(f"{n}_{k}") for k in ("ab", "aa", "bb") for n, f in (("m", F.avg), ("v", F.var_samp))])
-    v = {k: F.col(f"v_{k}") / draws for k in ("ab", "aa", "bb")}
-    e, den = 2 * F.col("m_ab") - F.col("m_aa") - F.col("m_bb"), 2 * F.col("m_ab")
+    """energy, distinguishability and its deviation (delta method) from drawn pairs.
+
+    Draws of one group share their blocks, so the variance of a mean is that of the groups' means.
+    """
+    each = drawn_pairs(vectors, metric, draws, seed).groupBy("kind", "grp").agg(F.sum("d").alias("s"), F.count("*").alias("n"))
+    of = lambda k, c: F.sum(F.when(F.col("kind") == k, c))
+    x, n = F.col("s"), F.col("n").cast("double")
+    sums = {f"{name}_{k}": of(k, c) for k in ("ab", "aa", "bb") for name, c in (("s", x), ("n", n), ("g", F.lit(1.0)), ("ss", x * x), ("sn", x * n), ("nn", n * n))}
+    t = each.agg(*[c.alias(name) for name, c in sums.items()])
+    c = lambda name, k: F.col(f"{name}_{k}")
+    mean = {k: c("s", k) / c("n", k) for k in ("ab", "aa", "bb")}
+    spread = lambda k: c("ss", k) - 2 * mean[k] * c("sn", k) + mean[k] ** 2 * c("nn", k)
+    v = {k: F.when(c("g", k) > 1, F.greatest(spread(k), F.lit(0.0)) * c("g", k) / (c("g", k) - 1) / c("n", k) ** 2) for k in mean}
+    e, den = 2 * mean["ab"] - mean["aa"] - mean["bb"], 2 * mean["ab"]
     var = (4 * v["ab"] + v["aa"] + v["bb"]) / den**2 + e * e * 4 * v["ab"] / den**4 - 2 * e * 4 * v["ab"] / den**3
-    return m.select(e.alias("energy"), F.when(den == 0, 0.0).otherwise(e / den).alias("distinguishability"), F.when(den == 0, 0.0).otherwise(F.sqrt(F.greatest(var, F.lit(0.0)))).alias("std"))
+    return t.select(e.alias("energy"), F.when(den == 0, 0.0).otherwise(e / den).alias("distinguishability"), F.when(den == 0, 0.0).otherwise(F.sqrt(F.greatest(var, F.lit(0.0)))).alias("std"))
 
 
 def digamma(x: Column) -> Column:
@@ -588,42 +554,29 @@ def permutation_test(vectors: DataFrame, metric: Callable, permutations: int = 1
 
 
 def mc_permutation_test(vectors: DataFrame, metric: Callable, draws: int, permutations: int = 1000, seed: int = 1) -> DataFrame:
-    """The permutation test on ``draws`` distinct pairs of samples, drawn once."""
+    """The permutation test on about ``draws`` distinct pairs of samples, drawn once, by cells of blocks that mix both classes."""
     rows, sizes = numbered(vectors, seed)
     half = min(sizes["a"], sizes["b"])
-    every = half * (2 * half - 1)
-    if not 0 < draws <= every:
-        raise ValueError("more draws than pairs, or none")
-    rows = rows.filter(F.col("at") < half).select("vec", (F.col("at") + F.when(F.col("cls") == "b", half).otherwise(0)).alias("place"))
+    rows = rows.filter(F.col("at") < half).select("sample_id", "vec", (F.col("at") + F.when(F.col("cls") == "b", half).otherwise(0)).alias("place"))
 
-    @F.pandas_udf("i long, j long")
-    def pair(draw: pd.Series) -> pd.DataFrame:
-        t = permuted(draw.to_numpy(), every, seed * 7919)
-        j = ((1 + np.sqrt(1 + 8 * t.astype(np.float64))) / 2).astype(np.int64)  # pairs i < j in the order of j
-        j = np.where(j * (j - 1) // 2 > t, j - 1, np.where((j + 1) * j // 2 <= t, j + 1, j))
-        return pd.DataFrame({"i": t - j * (j - 1) // 2, "j": j})
-
-    drawn = vectors.sparkSession.range(draws).select(pair("id").alias("p")).select("p.*")
-    both = drawn.join(rows.select(F.col("place").alias("i"), F.col("vec").alias("x")), "i").join(rows.select(F.col("place").alias("j"), F.col("vec").alias("y")), "j")
+    def labels(place: np.ndarray) -> np.ndarray:
+        out = np.empty((len(place), permutations + 1))
+        out[:, 0] = place < half
+        for p in range(permutations):
+            out[:, p + 1] = permuted(place, 2 * half, seed * 1_000_003 + p) < half
+        return out
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if not len(b):
-                continue
-            d = np.array([metric(np.asarray(p)[None, :], np.asarray(q)[None, :])[0, 0] for p, q in zip(b["x"], b["y"])])
-            sides = []
-            for places in (b["i"].to_numpy(), b["j"].to_numpy()):
-                side = np.empty((len(places), permutations + 1), dtype=bool)
-                side[:, 0] = places < half
-                for p in range(permutations):
-                    side[:, p + 1] = permuted(places, 2 * half, seed * 1_000_003 + p) < half
-                sides.append(side)
-            aa, bb = sides[0] & sides[1], ~sides[0] & ~sides[1]
-            n_aa, n_bb = aa.sum(axis=0), bb.sum(axis=0)
-            s_aa, s_bb = d @ aa, d @ bb
-            yield pd.DataFrame({"perm": np.arange(permutations + 1, dtype=np.int32), "aa": s_aa, "ab": d.sum() - s_aa - s_bb, "bb": s_bb, "n_aa": n_aa.astype(float), "n_ab": (len(d) - n_aa - n_bb).astype(float), "n_bb": n_bb.astype(float)})
-
-    return _tested(both.mapInPandas(run, PERMUTED), permutations)
+    def sums(d: np.ndarray, i: np.ndarray, j: np.ndarray, place1: np.ndarray, place2: np.ndarray) -> pd.DataFrame:
+        one, two, found = labels(place1), labels(place2), {}
+        for name, value in (("", d), ("n_", np.ones(len(d)))):
+            m = np.zeros((len(place1), len(place2)))
+            m[i, j] = value
+            aa, every = ((m @ two) * one).sum(axis=0), m.sum()
+            bb = every - m.sum(axis=1) @ one - m.sum(axis=0) @ two + aa
+            found |= {f"{name}aa": aa, f"{name}ab": every - aa - bb, f"{name}bb": bb}
+        return pd.DataFrame({"perm": np.arange(permutations + 1, dtype=np.int32), **{c: found[c] for c in ("aa", "ab", "bb")}, **{c: np.rint(found[c]) for c in ("n_aa", "n_ab", "n_bb")}})
+
+    return _tested(distinct_pairs(rows, metric, draws, sums, PERMUTED, seed=seed), permutations)
 
 
 def _gap(own: DataFrame, other: DataFrame, splits: int, q: float, alpha: float, tolerance: float, regularize: float, seed: int) -> dict[str, float]:

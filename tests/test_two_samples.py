@@ -1,8 +1,10 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from ordergraph.operators import distances as D
+from ordergraph.operators import draws as R
 from ordergraph.operators import neighbours as N
 from ordergraph.operators import twosample as W
 
@@ -271,8 +273,7 @@ def test_balls_find_all_neighbours(spark, small_balls):
     assert 0 < work.searched < 0.4 and 0 < work.counted < 0.4
 
 
-@pytest.mark.parametrize("scale", [1.0, 1e6])
-def test_balls_equal_cells_with_hot_copies(spark, small_balls, scale):
+def test_balls_equal_cells_with_hot_copies(spark, small_balls, scale=1e6):
     """A third of a class is one vector, and lies in one ball, which a hash cuts."""
     rng = np.random.default_rng(12)
     a, b = rng.normal(0, scale, (150, 4)), rng.normal(0.5 * scale, scale, (90, 4))
@@ -291,3 +292,52 @@ def test_balls_of_few_samples(spark, small_balls):
         W.neighbour_information(v.filter("cls = 'a'"))
     with pytest.raises(ValueError):
         W.neighbour_information(v, search="trees")
+
+
+def test_drawn_pairs_are_unbiased_and_know_their_deviation(spark):
+    """Means of many seeds against all pairs, from few cells of many blocks."""
+    rng = np.random.default_rng(5)
+    a, b = rng.normal(0, 1, (160, 3)), rng.normal(0.5, 1, (120, 3))
+    v = D.keyed(_cloud(spark, a, b), "cls")
+    packed = D.blocks(v, 25)
+    table = packed[0].cache()
+    metric = lambda x, y: np.sqrt(D.squared(x, y))
+    every = {k: metric({"a": a, "b": b}[k[0]], {"a": a, "b": b}[k[1]]).mean() for k in R.KINDS}
+    seeds, means = 12, {k: [] for k in R.KINDS}
+    frames = [R.drawn_pairs(v, metric, 1024, s, packed=(table, packed[1])).groupBy("kind").agg(F.avg("d").alias("m"), F.count("*").alias("n")) for s in range(seeds)]
+    for f in frames:
+        for r in f.collect():
+            assert r.n == 1024
+            means[r.kind].append(r.m)
+    for k, m in means.items():
+        assert abs(np.mean(m) - every[k]) < 5 * np.std(m, ddof=1) / np.sqrt(seeds)
+    assert np.std(means["ab"]) < 0.1
+
+
+def test_what_draws_move_does_not_follow_their_number(spark, vectors):
+    """Whatever the draws, a kind has at most GROUPS groups, and each pair of blocks meets once."""
+    few, many = (R.drawn_pairs(vectors, D.hellinger, n, 3) for n in (500, 5000))
+    of = lambda df: df.groupBy("kind").agg(F.countDistinct("grp").alias("g"), F.count("*").alias("n"), F.countDistinct("draw").alias("m")).collect()
+    assert {(r.g, r.n, r.m) for r in of(few)} == {(256, 500, 500)} and {(r.g, r.n, r.m) for r in of(many)} == {(256, 5000, 5000)}
+    with pytest.raises(ValueError):
+        R.drawn_pairs(vectors, D.hellinger, 0)
+    with pytest.raises(ValueError):
+        R.drawn_pairs(vectors.filter("cls = 'a'"), D.hellinger, 10)
+
+
+def test_distinct_pairs(spark, vectors):
+    """Each pair at most once, with the distance of its places; all of them if as many are asked for."""
+    rows = W.numbered(vectors)[0].filter("at < 50").select("sample_id", "vec", (F.col("at") + F.when(F.col("cls") == "b", 50).otherwise(0)).alias("place"))
+    of = {r.place: np.array(r.vec) for r in rows.collect()}
+
+    def give(d, i, j, p, q):
+        return pd.DataFrame({"p": np.minimum(p[i], q[j]), "q": np.maximum(p[i], q[j]), "d": d})
+
+    for draws, groups in ((4950, 256), (900, 256), (200, 3)):
+        got = R.distinct_pairs(rows, D.hellinger, draws, give, "p long, q long, d double", groups).collect()
+        assert len({(r.p, r.q) for r in got}) == len(got) and all(r.p < r.q for r in got)
+        assert len(got) == draws if draws == 4950 else 0.6 * draws < len(got) < 1.6 * draws
+        for r in got[:50]:
+            assert r.d == pytest.approx(D.hellinger(of[r.p][None], of[r.q][None])[0, 0], abs=1e-7)
+    with pytest.raises(ValueError):
+        R.distinct_pairs(rows, D.hellinger, 4951, give, "p long, q long, d double")
