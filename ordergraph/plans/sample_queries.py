@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 import uuid
 
@@ -234,35 +235,62 @@ def _runs(spark, sf):
     return M.running(H.densify(S.histograms(spark, sf)), 5)
 
 
-@query()
+def decay_sql(series: str, value: str, free: str | None = None, rounds: int = 4, steps: int = 40) -> str:
+    """CTEs up to ``fitted`` (bin, alpha, amplitude, lim, loss): the best of a grid of alphas and limits that is narrowed each round."""
+    about = {None: "0", "half": "abs(last) / 2", "whole": "CASE WHEN last = 0 THEN 1 ELSE abs(last) END"}[free]
+    cuts = 0 if free is None else steps // 2
+    out = f"""data AS (SELECT bin, n, {value}::DOUBLE AS y FROM {series} WHERE {value} IS NOT NULL),
+box0 AS (SELECT bin, points, 1e-3::DOUBLE AS lo, 5.0::DOUBLE AS hi, last - {about} AS l_lo, last + {about} AS l_hi FROM (SELECT bin, count(*) AS points, arg_max(y, n) AS last FROM data GROUP BY 1))"""
+    for r in range(rounds):
+        out += f""",
+grid{r} AS (SELECT *, lo + (hi - lo) * k / {steps} AS alpha, l_lo + (l_hi - l_lo) * c / {max(cuts, 1)} AS lim FROM box{r}, range({steps + 1}) t(k), range({cuts + 1}) u(c)),
+sums{r} AS (SELECT bin, points, lo, hi, l_lo, l_hi, alpha, lim, sum(pow(n, -alpha) * abs(y - lim)) / sum(pow(n, -alpha) * pow(n, -alpha)) AS amplitude, sum(abs(y - lim) ** 2) - sum(pow(n, -alpha) * abs(y - lim)) * amplitude AS loss
+  FROM grid{r} JOIN data USING (bin) GROUP BY ALL),
+best{r} AS (SELECT * FROM sums{r} QUALIFY row_number() OVER (PARTITION BY bin ORDER BY loss, alpha, lim) = 1),
+box{r + 1} AS (SELECT bin, points, greatest(alpha - (hi - lo) / {steps}, 1e-3) AS lo, least(alpha + (hi - lo) / {steps}, 5.0) AS hi, lim - (l_hi - l_lo) / {max(cuts, 1)} AS l_lo, lim + (l_hi - l_lo) / {max(cuts, 1)} AS l_hi FROM best{r})"""
+    named = ", ".join(f"CASE WHEN points >= 3 THEN {c} END AS {c}" for c in ("alpha", "amplitude", "lim", "loss"))
+    return out + f""",
+fitted AS (SELECT bin, {named} FROM best{rounds - 1})
+"""
+
+
+FITTED = 'SELECT bin, round(alpha, 5) AS alpha, round(amplitude, 5) AS amplitude, round(lim, 5) AS "limit", round(loss, 5) AS loss FROM fitted'
+FIT = ("alpha", "amplitude", "limit", "loss")
+HISTORY = HIST + RUN + ", "
+
+
+@query(decay_sql("evo", "std") + FITTED, HISTORY)
 def c4_fit_std_decay(spark, sf):
-    return M.fit_decay(_runs(spark, sf), "std")
+    return rounded(M.fit_decay(_runs(spark, sf), "std"), *FIT, digits=5)
 
 
-@query()
+@query(decay_sql("evo", "std", "half") + FITTED, HISTORY)
 def c4_fit_std_decay_free(spark, sf):
-    return M.fit_decay(_runs(spark, sf), "std", free="half")
+    return rounded(M.fit_decay(_runs(spark, sf), "std", free="half"), *FIT, digits=5)
 
 
-@query()
+@query(decay_sql("evo", "mean") + FITTED, HISTORY)
 def c5_fit_mean_decay(spark, sf):
-    return M.fit_decay(_runs(spark, sf), "mean")
+    return rounded(M.fit_decay(_runs(spark, sf), "mean"), *FIT, digits=5)
 
 
-@query()
+@query(decay_sql("evo", "mean", "whole") + FITTED, HISTORY)
 def c5_fit_mean_decay_free(spark, sf):
-    return M.fit_decay(_runs(spark, sf), "mean", free="whole")
+    return rounded(M.fit_decay(_runs(spark, sf), "mean", free="whole"), *FIT, digits=5)
 
 
-@query()
+@query(decay_sql("(SELECT bin, n, std FROM evo UNION ALL SELECT -1, n, avg(std) FROM evo GROUP BY n)", "std") + FITTED, HISTORY)
 def c6_fit_with_mean(spark, sf):
-    return M.fit_decay(M.with_bin_mean(_runs(spark, sf), "std"), "std")
+    return rounded(M.fit_decay(M.with_bin_mean(_runs(spark, sf), "std"), "std"), *FIT, digits=5)
 
 
-@query()
+@query(decay_sql("evo", "std") + """SELECT bin, zero_share, points, round(end_amplitude, 5) AS end_amplitude, round(rmse, 5) AS rmse FROM
+(SELECT bin, round(avg(CASE WHEN std = 0 THEN 1.0 ELSE 0.0 END), 5) AS zero_share FROM evo WHERE n >= 20 GROUP BY 1) LEFT JOIN
+(SELECT bin, count(*) AS points, arg_max(abs(term) / abs(std), n) AS end_amplitude, sqrt(avg((abs(std - lim) - term) ** 2)) / avg(abs(std)) AS rmse
+  FROM (SELECT bin, n, std, lim, amplitude * pow(n, -alpha) AS term FROM evo JOIN fitted USING (bin) WHERE n >= 20 AND std <> 0) GROUP BY 1) USING (bin)""", HISTORY)
 def c7_fit_diagnostics(spark, sf):
     run = _runs(spark, sf)
-    return M.decay_diagnostics(run, M.fit_decay(run, "std"), "std", 20)
+    return rounded(M.decay_diagnostics(run, M.fit_decay(run, "std"), "std", 20), "zero_share", "end_amplitude", "rmse", digits=5)
 
 
 BINS = "(SELECT min({x})::DOUBLE AS lo, max({x})::DOUBLE AS hi FROM {t})"
@@ -625,11 +653,21 @@ def d25_mahalanobis_by_scalar(spark, sf):
 
 @query()
 def d26_series_against_reference(spark, sf):
-    """Information and total variation of logarithmic bins of the label against the first."""
-    v = B.equal_width(S.vectors(spark, sf).withColumn("size", F.col("scalar") + 1), "size", 3, log=True)
+    """Five measures of logarithmic bins of the label against the first: information, total variation, energy, permutations, Mahalanobis."""
+    v = B.equal_width(units(spark, sf).withColumn("size", F.col("scalar") + 1), "size", 3, log=True)
     first = v.agg(F.min("bin_key")).first()[0]
-    both = lambda x: W.neighbour_information(x).join(F.broadcast(W.state_variation(x, 1)))
-    return W.by_reference(v, both, "bin_key", first)
+
+    def measures(x):
+        parts = [
+            W.neighbour_information(x).select("information"),
+            W.state_variation(x, 1).select(F.col("distinguishability").alias("total_variation"), "accuracy"),
+            D.energy(x, D.hellinger).select(F.col("distinguishability").alias("energy")),
+            W.permutation_test(x, D.hellinger).select(F.col("p").alias("permutation_p"), F.col("z_emp").alias("permutation_z")),
+            W.mahalanobis_gap(x, 200).select(F.col("D").alias("mahalanobis"), "distinguishable"),
+        ]
+        return functools.reduce(lambda one, two: one.join(F.broadcast(two)), parts)  # one row each
+
+    return W.by_reference(v, measures, "bin_key", first)
 
 
 @query("SELECT o_orderkey, round(abs(o_totalprice - o_custkey - 1) / (o_totalprice + o_custkey + 1), 6) AS change FROM orders", "")
@@ -682,19 +720,28 @@ def x1_truncated_deviations(spark, sf):
     return rounded(longs(M.deviations(p), "j", "end"), "d")
 
 
-@query()
+PEAKS = """, q AS (SELECT series, k, n, n / k AS period, sqrt(re * re + im * im) AS a FROM s WHERE k <= n // 2 AND k / n >= 1.0::DOUBLE / 13 AND sqrt(re * re + im * im) > 1e-12),
+kept AS (SELECT series, 1 AS nth, period, a, n, [period] AS periods FROM (SELECT *, row_number() OVER (PARTITION BY series ORDER BY a DESC, k) AS r FROM q) WHERE r = 1 UNION ALL
+  SELECT series, nth + 1, period, a, n, list_append(periods, period) FROM (SELECT q.*, nth, periods, row_number() OVER (PARTITION BY series ORDER BY q.a DESC, q.k) AS r FROM (SELECT series, nth, periods FROM kept WHERE nth < 5) JOIN q USING (series)
+    WHERE len(list_filter(periods, lambda y: abs(y - q.period) <= 0.02)) = 0) WHERE r = 1)
+"""
+RECURSIVE = SPEC.replace("WITH", "WITH RECURSIVE", 1) + PEAKS
+PEAK_LIST = "SELECT series, nth, round(period, 6) AS period, round(2 * a / n, 6) AS peak_amplitude FROM kept"
+
+
+@query(PEAK_LIST, RECURSIVE)
 def x3_peak_list(spark, sf):
-    return M.peak_list(M.spectrum(_pairs(spark, sf)))
+    return rounded(M.peak_list(M.spectrum(_pairs(spark, sf))), "period", "peak_amplitude")
 
 
-@query()
+@query(PEAK_LIST, RECURSIVE)
 def x4_deviation_report(spark, sf):
-    return M.deviation_report(_pairs(spark, sf))
+    return rounded(M.deviation_report(_pairs(spark, sf)), "period", "peak_amplitude")
 
 
-@query()
+@query("SELECT series, round(1 / period, 6) AS frequency, round(period, 6) AS period, round(2 * a / n, 6) AS peak_amplitude FROM kept WHERE nth = 1", RECURSIVE)
 def x3_spectrum_peaks(spark, sf):
-    return M.peaks(M.spectrum(_pairs(spark, sf)), 1 / 13)
+    return rounded(M.peaks(M.spectrum(_pairs(spark, sf)), 1 / 13), "frequency", "period", "peak_amplitude")
 
 
 def _grid(spark, sf):
@@ -709,9 +756,10 @@ def a1_large_n_abundance(spark, sf):
     return rounded(longs(M.large_n_abundance(_grid(spark, sf)), "n", "m"), "abundance")
 
 
-@query()
+@query("""SELECT n, m, round(n * n * sum(exp(-n * v + (m - 2) * ln(n * v) - lgamma(m - 1)) * (-(1 + v) * ln(v) - 2 * (1 - v)) * dv), 6) AS abundance
+FROM w, (SELECT pow((i + 0.5::DOUBLE) / 4000, 3) AS v, 3 * pow((i + 0.5::DOUBLE) / 4000, 2) / 4000 AS dv FROM range(4000) t(i)) WHERE m >= 2 GROUP BY 1, 2""", "WITH w AS (SELECT DISTINCT n, m FROM (SELECT count(*) AS n FROM orders GROUP BY o_custkey), range(1, 6) t(m) WHERE n >= 5)")
 def a2_exact_abundance(spark, sf):
-    return M.exact_abundance(_grid(spark, sf))
+    return rounded(longs(M.exact_abundance(_grid(spark, sf)), "n", "m"), "abundance")
 
 
 @query("SELECT event_type, count(value) AS n, round(avg(value), 6) AS mean, round(coalesce(stddev_samp(value), 0), 6) AS std FROM events GROUP BY 1", "")
