@@ -341,3 +341,47 @@ def test_distinct_pairs(spark, vectors):
             assert r.d == pytest.approx(D.hellinger(of[r.p][None], of[r.q][None])[0, 0], abs=1e-7)
     with pytest.raises(ValueError):
         R.distinct_pairs(rows, D.hellinger, 4951, give, "p long, q long, d double")
+
+
+def _by_place(vectors, seed):
+    return {(r.cls, r["at"]): np.array(r.vec) for r in W.numbered(vectors, seed)[0].collect()}
+
+
+def test_null_of_permutations_against_explicit_labels(vectors):
+    """Every relabelling by itself, with means over the pairs of each side."""
+    at, n = _by_place(vectors, 1), 50
+    x = np.stack([at[c, k] for c in ("a", "b") for k in range(n)])
+    d, place, found = D.hellinger(x, x), np.arange(2 * n), []
+    for p in range(-1, 40):
+        first = place < n if p < 0 else W.permuted(place, 2 * n, 1_000_003 + p) < n
+        inside = lambda s: d[np.ix_(s, s)][np.triu_indices(n, 1)].mean()
+        ab = d[np.ix_(first, ~first)].mean()
+        found.append((2 * ab - inside(first) - inside(~first)) / (2 * ab))
+    seen, null = found[0], np.array(found[1:])
+    got = W.permutation_test(vectors, D.hellinger, 40).first()
+    assert got.observed == pytest.approx(seen, abs=1e-9) and got.p == pytest.approx(((null >= seen - 1e-12).sum() + 1) / 41)
+    assert got.null_mean == pytest.approx(null.mean(), abs=1e-9) and got.null_std == pytest.approx(null.std(ddof=1), abs=1e-9)
+    assert got.z_emp == pytest.approx((seen - null.mean()) / null.std(ddof=1), rel=1e-6)
+
+
+def test_threshold_of_the_gap_against_explicit_halves(vectors, sample):
+    """The threshold, the raised variances and the z value, from halves that are taken one by one."""
+    a, b = sample
+    splits, pooled = 30, np.concatenate([a, b])
+    values, axes = W.eigen(np.cov(pooled.T))
+    keep = axes[:, W.kept_axes(values, 1e-6)]
+    at = _by_place(vectors.filter("cls = 'b'").withColumn("cls", F.lit("r")), 1)
+    z = np.stack([at["r", k] for k in range(len(b))]) @ keep
+    own, turn = W.eigen(np.cov(z.T))
+    y, half = (z - z.mean(axis=0)) @ turn, len(b) // 2
+    halves = []
+    for s in range(splits):
+        place = W.permuted(np.arange(len(b)), len(b), 100_003 + s)
+        halves.append((y[place < half], y[(place >= half) & (place < 2 * half)]))
+    small = np.median([h.var(axis=0, ddof=1) for pair in halves for h in pair], axis=0)
+    weight = np.maximum(np.maximum(own, np.where(own < 0.01 * np.median(own), small, 0)), 1e-6 * np.median(own))
+    base = [np.sqrt(((one - two.mean(axis=0)) ** 2 / weight).sum(axis=1)).min() for one, two in halves]
+    seen = np.sqrt((((a @ keep - z.mean(axis=0)) @ turn) ** 2 / weight).sum(axis=1)).min()
+    got = W.mahalanobis_gap(vectors, splits).first()
+    assert got.observed == pytest.approx(seen, rel=1e-6) and got.threshold == pytest.approx(np.quantile(base, 0.95), rel=1e-6)
+    assert got.z_emp == pytest.approx((seen - np.mean(base)) / np.std(base, ddof=1), rel=1e-5) and got.distinguishable == (got.observed > got.threshold)
