@@ -187,13 +187,13 @@ def digamma(x: Column) -> Column:
     return series - sum((1 / (x + float(i)) for i in range(10)), F.lit(0.0))
 
 
-def neighbour_information(vectors: DataFrame, k: int = 5, projected: bool = True, tolerance: float = 1e-6, search: str = "balls") -> DataFrame:
+def neighbour_information(vectors: DataFrame, k: int = 5, projected: bool = True, tolerance: float = 1e-6, search: str = "cells") -> DataFrame:
     """information: mutual information of vector and label from the k-th neighbours
     of the own class, over the label's entropy, in [0, 1].
 
     A distance of 0 counts as 1e-12 times the other sample's place, so that
-    equal samples are not all at one distance.  ``search``: "balls" (shells
-    that can hold no neighbour are skipped) or "cells" (all pairs of blocks).
+    equal samples are not all at one distance.  ``search``: "cells" (all pairs
+    of blocks) or "balls" (shells that can hold no neighbour are skipped), with equal results.
     """
     if search not in ("balls", "cells"):
         raise ValueError(f"not a search: {search}")

@@ -543,6 +543,12 @@ def d9_neighbour_information(spark, sf):
     return W.neighbour_information(units(spark, sf))
 
 
+@query()
+def d9_neighbour_information_by_balls(spark, sf):
+    """The same, without the shells that can hold no neighbour."""
+    return W.neighbour_information(units(spark, sf), search="balls")
+
+
 @query()
 def d10_bootstrap_information(spark, sf):
     return W.bootstrap_information(units(spark, sf), 200)
