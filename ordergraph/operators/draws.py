@@ -37,17 +37,28 @@ def permuted(places: np.ndarray, n: int, key: int) -> np.ndarray:
     A Feistel network of six rounds over the next even number of bits, walked
     on until the result is below n.
     """
+    return permuted_by(places, n, np.array([key]))[..., 0]
+
+
+def permuted_by(places: np.ndarray, n: int, keys: np.ndarray) -> np.ndarray:
+    """The same for several permutations; the last axis is that of the keys."""
     half = max(1, -(-max(n - 1, 1).bit_length() // 2))
     mask, shift = np.uint64((1 << half) - 1), np.uint64(half)
-    x = np.asarray(places, dtype=np.uint64).copy()
-    todo = np.ones(x.shape, dtype=bool)
-    while todo.any():
-        y = x[todo]
-        for r in range(6):
+    salts = [mixed(np.asarray(keys, dtype=np.uint64) * np.uint64(8) + np.uint64(r + 1)) for r in range(6)]
+
+    def sent(y: np.ndarray, key: np.ndarray) -> np.ndarray:
+        for salt in salts:
             low = y & mask
-            y = (low << shift) | (((y >> shift) ^ mixed(low + mixed(np.array([key * 8 + r + 1], dtype=np.uint64)))) & mask)
-        x[todo] = y
-        todo = x >= np.uint64(n)
+            y = (low << shift) | (((y >> shift) ^ mixed(low + salt[key])) & mask)
+        return y
+
+    every = np.arange(len(salts[0]))
+    x = sent(np.asarray(places, dtype=np.uint64)[..., None], every)
+    flat = x.reshape(-1)
+    todo = np.flatnonzero(flat >= np.uint64(n))
+    while len(todo):
+        flat[todo] = y = sent(flat[todo], todo % len(every))
+        todo = todo[y >= np.uint64(n)]
     return x.astype(np.int64)
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .distances import Cell, blocks, cells, energy, hellinger, keyed, kind_of, squared, unit
-from .draws import distinct_pairs, drawn_pairs, permuted
+from .draws import distinct_pairs, drawn_pairs, permuted, permuted_by
 from .graphs import cut_lineage, written
 from .histograms import concatenate
 from .neighbours import Balls, balls, nearest, within_radius
@@ -235,6 +235,15 @@ def neighbour_work(vectors: DataFrame, k: int = 5) -> DataFrame:
     return found.agg((F.sum("searched") / own).alias("searched")).join(F.broadcast(counted))  # one row each
 
 
+def _first_of_each(ids: np.ndarray, d: np.ndarray, few: int, ties: np.ndarray | None = None) -> np.ndarray:
+    """Where the ``few`` smallest distances of each id are."""
+    order = np.lexsort((d, ids) if ties is None else (ties, d, ids))
+    of = ids[order]
+    starts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]]) if len(of) else np.zeros(0, dtype=np.int64)
+    nth = np.arange(len(of)) - np.repeat(starts, np.diff(np.r_[starts, len(of)]))
+    return order[nth < few]
+
+
 def _counts_by_cells(v: DataFrame, packed: tuple, few: int) -> DataFrame:
     """sample_id, m: the same counts from all pairs of blocks."""
     n = packed[1]
@@ -257,8 +266,11 @@ def _counts_by_cells(v: DataFrame, packed: tuple, few: int) -> DataFrame:
             out.append(pd.DataFrame({"sample_id": np.repeat(ids, m), "d": best.ravel()}))
         return pd.concat(out)
 
-    near = cells(v, squared, nearest, "sample_id long, d double", "within", packed=packed)
-    # at most ``few`` rows a sample and block
+    def fewest(f: pd.DataFrame) -> pd.DataFrame:
+        return f.iloc[_first_of_each(f["sample_id"].to_numpy(), f["d"].to_numpy(), few)]
+
+    near = cells(v, squared, nearest, "sample_id long, d double", "within", packed=packed, merge=fewest)
+    # at most ``few`` rows a sample and meeting of groups
     radius = near.groupBy("sample_id").agg((F.sort_array(F.collect_list("d"))[few - 1] + 1e-14).alias("radius"))
     with_radius = cut_lineage(v.join(radius, "sample_id").select("sample_id", "k", F.concat("vec", F.array("radius")).alias("vec")))
 
@@ -269,7 +281,8 @@ def _counts_by_cells(v: DataFrame, packed: tuple, few: int) -> DataFrame:
             out.append(pd.DataFrame({"sample_id": c.ids2, "m": (two <= c.x2[:, :1]).sum(axis=1)}))
         return pd.concat(out)
 
-    return cells(with_radius, squared, count, "sample_id long, m long", "all", beside=1).groupBy("sample_id").agg(F.sum("m").alias("m"))
+    added = lambda f: f.groupby("sample_id", as_index=False)["m"].sum()
+    return cells(with_radius, squared, count, "sample_id long, m long", "all", beside=1, merge=added).groupBy("sample_id").agg(F.sum("m").alias("m"))
 
 
 def poisson_weights(ids: np.ndarray, draws: int, seed: int) -> np.ndarray:
@@ -344,8 +357,11 @@ def weighted_information(vectors: DataFrame, draws: int, k: int = 5, seed: int =
                 out.append(pd.DataFrame({"sample_id": np.repeat(ids, m), "id": others[best].ravel(), "d": np.take_along_axis(d, best, axis=1).ravel()}))
             return pd.concat(out)
 
-        near = cells(v, squared, nearest, "sample_id long, id long, d double", "within", packed=packed)
-        # at most ``size`` rows a sample and block
+        def fewest(f: pd.DataFrame, size: int = size) -> pd.DataFrame:
+            return f.iloc[_first_of_each(f["sample_id"].to_numpy(), f["d"].to_numpy(), size, f["id"].to_numpy())]
+
+        near = cells(v, squared, nearest, "sample_id long, id long, d double", "within", packed=packed, merge=fewest)
+        # at most ``size`` rows a sample and meeting of groups
         near = near.groupBy("sample_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "id"))), 1, size).alias("near"))
         found = cut_lineage(near.select("sample_id", radii("sample_id", "near").alias("radius")))
         short = found.filter(F.exists("radius", lambda r: F.isnan(r)))
@@ -359,20 +375,26 @@ def weighted_information(vectors: DataFrame, draws: int, k: int = 5, seed: int =
     def count(c: Cell) -> pd.DataFrame:
         out = []
         for ids, others, d, r in ((c.ids1, c.ids2, both(c)[0], c.x1), (c.ids2, c.ids1, both(c)[1], c.x2))[: 1 if c.same else 2]:
-            w = poisson_weights(others, draws, seed).astype(np.float64)
-            order = np.argsort(d, axis=1)
-            d = np.take_along_axis(d, order, axis=1)
+            w = poisson_weights(others, draws, seed)
             upto = np.zeros((len(ids), draws), dtype=np.int64)
-            for row in range(len(ids)):
-                inside = np.searchsorted(d[row], r[row], side="right")
-                held = np.vstack([np.zeros((1, draws)), np.cumsum(w[order[row]], axis=0)])
-                upto[row] = held[inside, np.arange(draws)]
+            i, j = np.nonzero(d <= r.max(axis=1)[:, None])  # few, unless a class's weights do not reach k
+            for start in range(0, len(i), 16_384):
+                a, b = i[start : start + 16_384], j[start : start + 16_384]
+                inside = np.where(d[a, b][:, None] <= r[a], w[b], 0)
+                first_of = np.flatnonzero(np.r_[True, a[1:] != a[:-1]])
+                upto[a[first_of]] += np.add.reduceat(inside, first_of, axis=0)
             if c.same:
                 upto -= (poisson_weights(ids, draws, seed) > 0).astype(np.int64)  # the sample itself, once
             out.append(pd.DataFrame({"sample_id": ids, "cls": c.k1 if others is c.ids2 else c.k2, "m": list(upto)}))
         return pd.concat(out)
 
-    m = cells(with_radius, squared, count, "sample_id long, cls string, m array<long>", "all", beside=draws).groupBy("sample_id", "cls").agg(F.array(*[F.sum(F.col("m")[r]) for r in range(draws)]).alias("m"))
+    def added(f: pd.DataFrame) -> pd.DataFrame:
+        ids, at, of = np.unique(f["sample_id"].to_numpy(), return_index=True, return_inverse=True)
+        m = np.zeros((len(ids), draws), dtype=np.int64)
+        np.add.at(m, of, np.stack(f["m"].to_numpy()))
+        return pd.DataFrame({"sample_id": ids, "cls": f["cls"].to_numpy()[at], "m": list(m)})
+
+    m = cells(with_radius, squared, count, "sample_id long, cls string, m array<long>", "all", beside=draws, merge=added, most=max(1, (1 << 22) // draws)).groupBy("sample_id", "cls").agg(F.array(*[F.sum(F.col("m")[r]) for r in range(draws)]).alias("m"))
 
     def sums(batches):
         for batch in batches:
@@ -462,16 +484,25 @@ def state_bias(vectors: DataFrame, digits: int, splits: int = 20, seed: int = 1)
     return out.select("distinguishability", ((1 + F.col("distinguishability")) / 2).alias("accuracy"), "bias_mean", "bias_std", "debiased", ((1 + F.col("debiased")) / 2).alias("debiased_accuracy"))
 
 
-def _labels(at: np.ndarray, cls: object, half: int, permutations: int, seed: int) -> np.ndarray:
-    """1 for the first side, by sample and permutation; column 0 has the classes themselves."""
-    place = at + (half if cls == "b" else 0)
-    out = np.empty((len(at), permutations + 1))
-    out[:, 0] = cls == "a"
-    for p in range(permutations):
-        out[:, p + 1] = permuted(place, 2 * half, seed * 1_000_003 + p) < half
+def _first_halves(place: np.ndarray, half: int, permutations: int, seed: int) -> np.ndarray:
+    """Whether each permutation sends the places, of twice ``half``, to the first half; column 0: without any."""
+    out = np.empty((len(place), permutations + 1), dtype=bool)
+    out[:, 0] = place < half
+    for p in range(0, permutations, 64):
+        keys = seed * 1_000_003 + np.arange(p, min(permutations, p + 64))
+        out[:, 1 + p : 1 + p + len(keys)] = permuted_by(place, 2 * half, keys) < half
     return out
 
 
+def _labels(at: np.ndarray, cls: object, half: int, permutations: int, seed: int) -> np.ndarray:
+    """True for the first side, by sample and permutation; column 0 has the classes themselves."""
+    return _first_halves(at + (half if cls == "b" else 0), half, permutations, seed)
+
+
+#: Bytes of labels that a task keeps.
+LABELS = 64 << 20
+
+
 def _tested(sums: DataFrame, permutations: int, by: tuple[str, ...] = ()) -> DataFrame:
     """observed, p, z_emp, z_coll, null_mean, null_std from sums by permutation (perm, aa, ab, bb, n_aa, n_ab, n_bb)."""
     s = sums.groupBy(*by, "perm").agg(*[F.sum(c).alias(c) for c in ("aa", "ab", "bb", "n_aa", "n_ab", "n_bb")])
@@ -519,6 +550,17 @@ def permutation_tests(vectors: DataFrame, metric: Callable, permutations: int =
         for cell in {(one, one), (two, two), (min(one, two), max(one, two))}:
             of.setdefault(cell, []).append((one, two))
 
+    kept: dict[tuple, np.ndarray] = {}  # of one task: the labels of its blocks, as bits
+
+    def labels(k: object, at: np.ndarray, pair: tuple, half: int) -> np.ndarray:
+        name = (k, at[0], len(at), pair)
+        if name not in kept:
+            found = np.packbits(_labels(at, "a" if k == pair[0] else "b", half, permutations, seed), axis=1)
+            while kept and (len(kept) + 1) * found.nbytes > LABELS:
+                kept.pop(next(iter(kept)))
+            kept[name] = found
+        return np.unpackbits(kept[name], axis=1, count=permutations + 1).astype(np.float64)
+
     def sums(c: Cell, pair: tuple) -> pd.DataFrame | None:
         half = min(sizes[k] for k in pair)
         in1, in2 = c.at1 < half, c.at2 < half
@@ -527,9 +569,8 @@ def permutation_tests(vectors: DataFrame, metric: Callable, permutations: int =
             return None
         if c.same:
             d = np.triu(d, 1)
-        side = lambda k: "a" if k == pair[0] else "b"
-        one = _labels(c.at1[in1], side(c.k1), half, permutations, seed)
-        two = one if c.same else _labels(c.at2[in2], side(c.k2), half, permutations, seed)
+        one = labels(c.k1, c.at1[in1], pair, half)
+        two = one if c.same else labels(c.k2, c.at2[in2], pair, half)
         aa, row, column, every = ((d @ two) * one).sum(axis=0), (d.sum(axis=1) @ one), (d.sum(axis=0) @ two), d.sum()
         if c.same:
             n1, m = one.sum(axis=0), float(len(d))
@@ -544,8 +585,12 @@ def permutation_tests(vectors: DataFrame, metric: Callable, permutations: int =
         found = [x for x in (sums(c, pair) for pair in of.get((c.k1, c.k2), ())) if x is not None]
         return pd.concat(found) if found else None
 
+    def added(f: pd.DataFrame) -> pd.DataFrame:
+        return f.groupby(["k1", "k2", "perm"], as_index=False).sum()
+
     kinds = f"k1 {kind_of(v)}, k2 {kind_of(v)}, "
-    return _tested(cells(v, metric, reduce, kinds + PERMUTED, "all", packed=packed), permutations, ("k1", "k2"))
+    tested = v.sparkSession.createDataFrame([(*c, 0) for c in of], f"k1 {kind_of(v)}, k2 {kind_of(v)}, todo int") if of else None
+    return _tested(cells(v, metric, reduce, kinds + PERMUTED, "all", packed=packed, todo=tested, merge=added), permutations, ("k1", "k2"))
 
 
 def permutation_test(vectors: DataFrame, metric: Callable, permutations: int = 1000, seed: int = 1) -> DataFrame:
@@ -560,11 +605,7 @@ def mc_permutation_test(vectors: DataFrame, metric: Callable, draws: int, permut
     rows = rows.filter(F.col("at") < half).select("sample_id", "vec", (F.col("at") + F.when(F.col("cls") == "b", half).otherwise(0)).alias("place"))
 
     def labels(place: np.ndarray) -> np.ndarray:
-        out = np.empty((len(place), permutations + 1))
-        out[:, 0] = place < half
-        for p in range(permutations):
-            out[:, p + 1] = permuted(place, 2 * half, seed * 1_000_003 + p) < half
-        return out
+        return _first_halves(place, half, permutations, seed).astype(np.float64)
 
     def sums(d: np.ndarray, i: np.ndarray, j: np.ndarray, place1: np.ndarray, place2: np.ndarray) -> pd.DataFrame:
         one, two, found = labels(place1), labels(place2), {}
