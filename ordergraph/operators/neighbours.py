@@ -1,10 +1,10 @@
 """Exact nearest neighbours and counts within a radius, by balls around pivots.
 
 Vectors are dealt to the nearest of a bounded number of pivots; a ball's rows
-are packed by shells of their distance to the pivot.  A row's distance to a
-shell is at least what the triangle inequality says, so a row asks only those
-shells that can hold a neighbour, and only rows that ask are sent.  Nothing is
-approximate: a shell is skipped when its bound is above the distance in question
+are packed by shells of their distance to the pivot.  Shells meet by groups, as
+blocks do, so what is sent does not follow how many rows ask.  A row's distance
+to a shell is at least what the triangle inequality says, so a row is compared
+only with those shells that can hold a neighbour.  Nothing is approximate: a shell is skipped when its bound is above the distance in question
 by more than rounding can explain.
 """
 
@@ -18,8 +18,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .distances import blocks, kind_of, squared
-from .graphs import written
+from .distances import blocks, gathered, kind_of, meetings, squared
+from .graphs import cut_lineage, written
+from .ordered import ranked
 
 #: Rows of a ball that are aimed at, and of a shell at most (but for hashing).
 BALL, SHELL = 256, 1024
@@ -30,12 +31,10 @@ KEY = ["k", "pivot", "shell", "part"]
 
 
 class Balls(NamedTuple):
-    """Packed shells (k, pivot, shell, part, lo, hi, n, ids, at, data), the pivots, bounds of
-    the balls (k, pivot, lo, hi) and the classes' sizes."""
+    """Packed shells (k, pivot, shell, part, lo, hi, n, ids, at, data, no), the pivots and the classes' sizes."""
 
     shells: DataFrame
     pivots: np.ndarray
-    bounds: pd.DataFrame
     sizes: dict
 
 
@@ -78,8 +77,8 @@ def balls(vectors: DataFrame, packed: tuple | None = None) -> Balls:
 
     shells = dealt.groupBy(*KEY).applyInPandas(pack, f"k {kind}, pivot int, shell int, part int, lo double, hi double, n int, ids binary, at binary, data binary")
     kept = written(shells)
-    bounds = kept.groupBy("k", "pivot").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).toPandas()  # a row for each pivot and class
-    return Balls(kept, pivots, bounds, sizes)
+    order = cut_lineage(ranked(kept.select(*KEY), KEY, "nth")).select(*KEY, (F.col("nth") - 1).cast("int").alias("no"))
+    return Balls(written(kept.join(order, KEY)), pivots, sizes)
 
 
 def _rows(data: bytes, n: int) -> np.ndarray:
@@ -119,48 +118,33 @@ def _least(d: np.ndarray, few: int) -> np.ndarray:
     return np.sort(np.partition(d, m - 1, axis=1)[:, :m], axis=1)
 
 
-def _asked(b: Balls, limited: DataFrame, own_class: bool) -> DataFrame:
-    """Rows sent to the shells that they cannot rule out.
+def _met(b: Balls, limited: DataFrame, answer, merge, schema: str, own_class: bool) -> DataFrame:
+    """What ``answer`` gives for the rows of each shell and the other shells that they cannot rule out.
 
-    ``limited``: shells with ``limit``, a squared distance for each row.  Gives
-    the asking rows (ids, data, limit, far: distances to the pivot) beside the
-    shell they ask.  A row's own shell is left out: it was looked at before.
+    ``limited``: shells with ``limit``, a squared distance for each row.  A
+    row's own shell is left out: it was looked at before.
     """
-    pivots, bounds, kind = b.pivots, b.bounds, b.shells.schema["k"].dataType.simpleString()
-    classes = {k: (g["pivot"].to_numpy(), g["lo"].to_numpy(), g["hi"].to_numpy()) for k, g in bounds.groupby("k")}
-
-    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for r in batch.itertuples():
-                x, limit, ids = _rows(r.data, r.n), np.frombuffer(r.limit, dtype=np.float64), _long(r.ids)
-                reach, away, out = _reach(limit, x, pivots), np.sqrt(squared(x, pivots)), []
-                for k in [r.k] if own_class else classes:
-                    for pivot, lo, hi in zip(*classes[k]):
-                        far = away[:, pivot]
-                        i = np.flatnonzero((far - hi <= reach) & (lo - far <= reach))
+    pivots = b.pivots
+
+    def run(one: list, two: list) -> Iterator[pd.DataFrame]:
+        read = {r.no: (_rows(r.data, r.n), np.frombuffer(r.limit, dtype=np.float64), _long(r.ids)) for r in [*one, *two]}
+        reach = {no: _reach(limit, x, pivots) for no, (x, limit, _) in read.items()}
+
+        def asked() -> Iterator[pd.DataFrame]:
+            for r in one:
+                for s in two:
+                    if s.no <= r.no or own_class and r.k != s.k:
+                        continue
+                    for asks, other in ((r, s), (s, r)):
+                        x, limit, ids = read[asks.no]
+                        far = np.sqrt(squared(x, pivots[other.pivot : other.pivot + 1]))[:, 0]
+                        i = np.flatnonzero((far - other.hi <= reach[asks.no]) & (other.lo - far <= reach[asks.no]))
                         if len(i):
-                            out.append((r.k, r.pivot, r.shell, r.part, k, pivot, len(i), ids[i].tobytes(), x[i].tobytes(), limit[i].tobytes(), far[i].tobytes(), reach[i].tobytes(), (far[i] - reach[i]).min(), (far[i] + reach[i]).max()))
-                if out:
-                    yield pd.DataFrame(out, columns=["k0", "pivot0", "shell0", "part0", "k", "pivot", "m", "ids0", "data0", "limit", "far", "reach", "inner", "outer"])
+                            yield answer(other, i, x[i], ids[i], limit[i])
 
-    asks = limited.mapInPandas(ask, f"k0 {kind}, pivot0 int, shell0 int, part0 int, k {kind}, pivot int, m int, ids0 binary, data0 binary, limit binary, far binary, reach binary, inner double, outer double")
-    known = b.shells.select(*KEY, "lo", "hi")
-    same = (F.col("k0") == F.col("k")) & (F.col("pivot0") == F.col("pivot")) & (F.col("shell0") == F.col("shell")) & (F.col("part0") == F.col("part"))
-    return asks.join(known, ["k", "pivot"]).filter((F.col("inner") <= F.col("hi")) & (F.col("outer") >= F.col("lo")) & ~same).drop("inner", "outer", "lo", "hi", "pivot0", "shell0", "part0").join(b.shells.hint("merge"), KEY)
+        yield from gathered(asked(), merge)
 
-
-def _met(asked: DataFrame, answer, schema: str) -> DataFrame:
-    """What ``answer`` gives for the rows of each request that the shell's own bounds leave over."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for r in batch.itertuples():
-                far, reach = (np.frombuffer(c, dtype=np.float64) for c in (r.far, r.reach))
-                i = np.flatnonzero((far - r.hi <= reach) & (r.lo - far <= reach))
-                if len(i):
-                    yield answer(r, i, _rows(r.data0, r.m)[i], _long(r.ids0)[i], np.frombuffer(r.limit, dtype=np.float64)[i])
-
-    return asked.mapInPandas(run, schema)
+    return meetings(limited, run, schema, "within" if own_class else "all")
 
 
 def nearest(b: Balls, few: int, first: dict) -> DataFrame:
@@ -202,9 +186,21 @@ def nearest(b: Balls, few: int, first: dict) -> DataFrame:
             for r in batch.itertuples():
                 yield pd.DataFrame({"sample_id": _long(r.ids), "k": [r.k] * r.n, "best": list(np.frombuffer(r.best, dtype=np.float64).reshape(r.n, few)), "compared": r.n})
 
+    def fewest(f: pd.DataFrame) -> pd.DataFrame:
+        best = np.stack([np.r_[v, np.full(few - len(v), np.inf)] for v in f["best"]])
+        order = np.argsort(f["sample_id"].to_numpy(), kind="stable")
+        ids = f["sample_id"].to_numpy()[order]
+        start = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+        of = np.repeat(np.arange(len(start)), np.diff(np.r_[start, len(ids)]) * few)
+        d = best[order].ravel()
+        held = np.lexsort((d, of))
+        nth = np.arange(len(d)) - np.repeat(start * few, np.diff(np.r_[start, len(ids)]) * few)
+        compared = np.add.reduceat(f["compared"].to_numpy()[order], start)
+        return pd.DataFrame({"sample_id": ids[start], "k": f["k"].to_numpy()[order][start], "best": list(d[held][nth < few].reshape(len(start), few)), "compared": compared})
+
     schema = f"sample_id long, k {kind}, best array<double>, compared long"
-    every = begun.mapInPandas(known, schema).unionByName(_met(_asked(b, begun, True), answer, schema))
-    # at most ``few`` numbers a row and shell that it asked
+    every = begun.mapInPandas(known, schema).unionByName(_met(b, begun, answer, fewest, schema, True))
+    # at most ``few`` numbers a row and meeting of groups
     return every.groupBy("sample_id", "k").agg(F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, few).alias("best"), F.sum("compared").alias("compared"))
 
 
@@ -214,6 +210,7 @@ def within_radius(b: Balls, radius: DataFrame, first: dict) -> DataFrame:
     ``radius``: sample_id, k, radius.
     """
     packed = b.shells.select(*KEY, "ids")
+    added = lambda f: f.groupby("sample_id", as_index=False)[["m", "compared"]].sum()
 
     def ids_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -249,5 +246,5 @@ def within_radius(b: Balls, radius: DataFrame, first: dict) -> DataFrame:
         return pd.DataFrame({"sample_id": ids, "m": inside(x, _rows(r.data, r.n), _long(r.at) + first[r.k], limit).sum(axis=1), "compared": r.n})
 
     schema = "sample_id long, m long, compared long"
-    every = limited.mapInPandas(own, schema).unionByName(_met(_asked(b, limited, False), answer, schema))
+    every = limited.mapInPandas(own, schema).unionByName(_met(b, limited, answer, added, schema, False))
     return every.groupBy("sample_id").agg(F.sum("m").alias("m"), F.sum("compared").alias("compared"))
