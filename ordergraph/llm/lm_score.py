@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, hash_share, packed
+from .common import Scratch, packed
 from .shingles import MIX, ODD, WordHashes, mixed
 
 START = np.uint64(0x5851F42D4C957F2D)
@@ -47,7 +47,7 @@ def chunks_of(docs: DataFrame, target: DataFrame, doc_id: str, text: str) -> Dat
     """chunk, n_docs, n_tokens, size, words (compressed), ids (two hashes a document), flags (is target)."""
     d, x = F.col(f"`{doc_id}`"), F.col(f"`{text}`")
     rows = docs.select(d.alias("d"), x.alias("x"), *_identity(d, x))
-    marked = rows.join(F.broadcast(target), F.col("d") == F.col("t"), "left").select("x", "i", "j", F.col("t").isNotNull().alias("is_target"))
+    marked = rows.join(target, F.col("d") == F.col("t"), "left").select("x", "i", "j", F.col("t").isNotNull().alias("is_target"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         first = TaskContext.get().partitionId() << 32
@@ -148,15 +148,15 @@ def score_documents(
     bits: int = 21,
     weight: float = 0.5,
     alpha: float = 0.1,
-    target_docs: int = 1 << 19,
+    broadcast_docs: int = 1 << 19,
     doc_id: str = "doc_id",
     text: str = "text",
 ) -> DataFrame:
     """Columns row, n_tokens, target_loss, background_loss, score.
 
     ``target`` has the ids of target documents in column t.  The target model
-    is made from about ``target_docs`` of them, those of least hash (all, if
-    fewer), which are broadcast; the background model is that of the whole
+    is made from all of them; their ids are broadcast if there are at most
+    ``broadcast_docs``, else joined by a shuffle; the background model is that of the whole
     corpus.  A part of the table is asked for about 2**``bits`` n-grams,
     whatever the input; ``weight`` is the bigram's share and ``alpha`` the
     unigram's smoothing over the words of the corpus, the vocabulary that both
@@ -169,7 +169,7 @@ def score_documents(
     """
     scratch = Scratch(docs.sparkSession, "lm")
     ids = scratch.save(target.select(F.col("t").cast("long").alias("t")).filter("t is not null").distinct())
-    ids = ids.filter(hash_share(F.xxhash64("t"), target_docs, ids.count()))
+    ids = F.broadcast(ids) if ids.count() <= broadcast_docs else ids.hint("merge")
     chunks = scratch.save(chunks_of(docs, ids, doc_id, text))
     tokens = chunks.agg(F.sum("n_tokens")).first()[0] or 0
     answers = scratch.save(_answers(_requests(chunks, 1 + (tokens >> bits))))
