@@ -140,8 +140,12 @@ def packed_points(points: DataFrame, written) -> DataFrame:
                     yield from out.add(*(np.array([e], dtype=object) for e in (g, i, j, *tile.shape, True, np.packbits(tile, axis=1).tobytes())))
         yield from out.rest()
 
-    other = blocks.select("graph_id", *[F.col(c).alias(f"{c}_2") for c in ("b", "first", "u", "v")])
-    return blocks.join(other, "graph_id").filter("b <= b_2").mapInArrow(meet, SCHEMA)
+    named = [F.col(c).alias(f"{c}_2") for c in ("b", "first", "u", "v")]
+    small, wide = parted(blocks, written, "b > 0")
+    met = small.select("*", *named)
+    if wide is not None:
+        met = met.unionByName(wide.join(wide.select("graph_id", *named), "graph_id").filter("b <= b_2"))
+    return met.mapInArrow(meet, SCHEMA)
 
 
 def edges(tiles: DataFrame) -> DataFrame:
@@ -158,9 +162,9 @@ def edges(tiles: DataFrame) -> DataFrame:
     return tiles.select("graph_id", "bi", "bj", "rows", "cols", "bits").mapInArrow(unpack, "graph_id long, src long, dst long")
 
 
-def parted(tiles: DataFrame, written) -> tuple[DataFrame, DataFrame | None]:
+def parted(tiles: DataFrame, written, further: str = "bi > 0 or bj > 0") -> tuple[DataFrame, DataFrame | None]:
     """Tiles of graphs of one block, and of the others (None if there are none)."""
-    wide = tiles.filter("bi > 0 or bj > 0").select("graph_id").distinct()
+    wide = tiles.filter(further).select("graph_id").distinct()
     if wide.isEmpty():
         return tiles, None
     wide = written(wide)
@@ -363,3 +367,130 @@ def path_sums(tiles: DataFrame) -> DataFrame:
         return _values(g, {b: v[:, 1:].sum(axis=1) for b, v in terms.items()})
 
     return walked(tiles, visit, {"graph_id": pa.int64(), "atom": pa.int64(), "c": pa.float64()}, False)
+
+
+def joined(label: np.ndarray, s: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Labels (of each atom, the least of its component) after the edges from s to d came to them."""
+    while True:
+        one, two = label[s], label[d]
+        if (one == two).all():
+            return label
+        label = label.copy()
+        np.minimum.at(label, np.maximum(one, two), np.minimum(one, two))
+        further = label[label]
+        while (further != label).any():
+            label, further = further, further[further]
+
+
+def components(tiles: DataFrame, written) -> DataFrame:
+    """graph_id, atom, label (the least atom of its component), for atoms with an edge, whatever its direction.
+
+    Graphs of one block stay where they are; of the others a task walks
+    through the tiles and holds a number for each atom.
+    """
+    columns = {"graph_id": pa.int64(), "atom": pa.int64(), "label": pa.int64()}
+    small, wide = parted(tiles, written)
+
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = Rows(columns)
+        for batch in batches:
+            first, edges, graphs = 0, [], []
+            for g, rows, cols, bits in zip(*(c.to_pylist() for c in batch.columns)):
+                s, d = np.nonzero(unpacked(bits, rows, cols))
+                edges.append((s + first, d + first))
+                graphs.append((g, first))
+                first += max(rows, cols)
+                if first >= out.size:
+                    yield from out.add(*of_batch(graphs, edges, first))
+                    first, edges, graphs = 0, [], []
+            if graphs:
+                yield from out.add(*of_batch(graphs, edges, first))
+        yield from out.rest()
+
+    def of_batch(graphs: list, edges: list, side: int) -> tuple[np.ndarray, ...]:
+        """All graphs side by side, as if they were one."""
+        s, d = (np.concatenate(e) for e in zip(*edges))
+        label, atoms = joined(np.arange(side), s, d), np.unique(np.concatenate([s, d]))
+        g, start = (np.array(c) for c in zip(*graphs))
+        of = np.searchsorted(start, atoms, side="right") - 1
+        return g[of], atoms - start[of], label[atoms] - start[of]
+
+    found = small.select("graph_id", "rows", "cols", "bits").mapInArrow(alone, "graph_id long, atom long, label long")
+    if wide is None:
+        return found
+
+    def visit(g: int, mine) -> tuple[np.ndarray, ...]:
+        label, seen = np.arange(0), np.zeros(0, dtype=bool)
+        for i, j, tile in mine:
+            s, d = np.nonzero(tile)
+            s, d = s + (i << BITS), d + (j << BITS)
+            side = max(len(label), s.max(initial=-1) + 1, d.max(initial=-1) + 1)
+            label, seen = np.r_[label, np.arange(len(label), side)], np.r_[seen, np.zeros(side - len(seen), dtype=bool)]
+            seen[s] = seen[d] = True
+            label = joined(label, s, d)
+        atoms = np.flatnonzero(seen)
+        return np.full(len(atoms), g), atoms, label[atoms]
+
+    return found.unionByName(walked(wide, visit, columns))
+
+
+OBSERVED = ("degree", "link_degree", "height_profile", "cardinalities")
+
+
+def _heights(a: np.ndarray) -> np.ndarray:
+    """Edges of the longest path that ends at each atom of an ordered tile."""
+    h = np.zeros(len(a), dtype=np.int64)
+    if len(a) <= 64:
+        while True:
+            longer = (a * (h + 1)[:, None]).max(axis=0)
+            if (longer == h).all():
+                return h
+            h = longer
+    for t in range(len(a)):
+        before = np.flatnonzero(a[:, t])
+        if len(before):
+            h[t] = h[before].max() + 1
+    return h
+
+
+def observed(tiles: DataFrame, groups: tuple[str, ...]) -> DataFrame:
+    """graph_id, relations, and arrays of the asked observables, a row for each graph of one (ordered) block of relations.
+
+    Degrees and heights are those of atoms 1 to the last with an edge; cardinalities, of intervals of two atoms and more.
+    """
+    names = [g for g in OBSERVED if g in groups]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        size = 0
+
+        def given() -> pa.RecordBatch:
+            g, n, *lists = zip(*held)
+            arrays = [pa.ListArray.from_arrays(np.r_[0, np.cumsum([len(x) for x in c])].astype(np.int32), np.concatenate(c).astype(np.int64)) for c in lists]
+            return pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array(n, pa.int64()), *arrays], ["graph_id", "relations", *names])
+
+        for batch in batches:
+            for g, rows, cols, bits in zip(*(c.to_pylist() for c in batch.columns)):
+                a = square(unpacked(bits, rows, cols))
+                found = {"degree": (a.sum(axis=0, dtype=np.int64) + a.sum(axis=1, dtype=np.int64))[1:]}
+                relations = int(found["degree"].sum()) // 2
+                if len(names) > int("degree" in names):
+                    dense = a.astype(np.float32)
+                    inside = dense @ dense
+                    if "cardinalities" in names:
+                        n = np.bincount(inside[a.astype(bool)].astype(np.int64))
+                        found["cardinalities"] = n[n > 0]
+                    link = a * (inside == 0)
+                    found["link_degree"] = (link.sum(axis=0, dtype=np.int64) + link.sum(axis=1, dtype=np.int64))[1:]
+                    if "height_profile" in names:
+                        found["height_profile"] = _heights(link)[1:]
+                held.append((g, relations, *(found[c] for c in names)))
+                size += len(a)
+                if size >= 100_000:
+                    yield given()
+                    held, size = [], 0
+        if held:
+            yield given()
+
+    sql = "".join(f", {c} array<long>" for c in names)
+    return tiles.select("graph_id", "rows", "cols", "bits").mapInArrow(run, f"graph_id long, relations long{sql}")

@@ -211,7 +211,7 @@ lab(graph_id, atom, l) AS (SELECT graph_id, src, src FROM e UNION SELECT e.graph
 m AS (SELECT graph_id, atom, min(l) AS l FROM (SELECT * FROM lab UNION ALL SELECT graph_id, src, src FROM e) GROUP BY 1, 2)
 SELECT graph_id, count(DISTINCT l) AS num_components FROM m GROUP BY 1""")
 def g13_weak_components(spark, sf):
-    return G.weak_components(Ensemble(spark, sf).links)
+    return G.weak_components_of_tiles(Ensemble(spark, sf).tiles)
 
 
 @query("""SELECT e.graph_id, e.src, e.dst, round(-1 / sqrt(a.degree * b.degree), 6) AS w
