@@ -297,8 +297,7 @@ LEFT JOIN (SELECT graph_id, min(degree)::DOUBLE AS link_degree_min, max(degree):
   quantile_cont(degree::DOUBLE, 0.75) AS link_degree_q75, quantile_cont(degree::DOUBLE, 0.5) AS link_degree_median FROM deg GROUP BY 1) s USING (graph_id)""")
 def g20_record(spark, sf):
     e = Ensemble(spark, sf)
-    relations, graphs = e.relations, e.graphs
-    return rounded(G.record(relations, graphs), "connectivity", "link_degree_mean")
+    return rounded(G.record_of_tiles(e.tiles, e.graphs), "connectivity", "link_degree_mean")
 
 
 _PARTS = {"degree": ("rdeg", "degree"), "link_degree": ("deg", "degree"), "height_profile": ("hts", "height"), "cardinalities": ("card", "weight")}
@@ -316,7 +315,7 @@ SELECT g.graph_id, g.n, c_mktsegment AS cls, c_nationkey::DOUBLE AS scalar, roun
 )
 def g20_record_of_all_groups(spark, sf):
     e = Ensemble(spark, sf)
-    return rounded(G.record(e.relations, e.graphs, G.GROUPS), "connectivity", *[f"{p}_mean" for p in _PARTS])
+    return rounded(G.record_of_tiles(e.tiles, e.graphs, G.GROUPS), "connectivity", *[f"{p}_mean" for p in _PARTS])
 
 
 @query("SELECT graph_id + 10000000 AS graph_id, src, dst FROM rel WHERE graph_id % 10 = 0 UNION ALL SELECT graph_id, dst, src FROM rel WHERE graph_id % 10 = 1 UNION ALL SELECT graph_id, src, dst + 1000 FROM rel WHERE graph_id % 10 = 2")
