@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .distances import Cell, blocks, cells, energy, hellinger, keyed, kind_of, squared, unit
-from .draws import distinct_pairs, drawn_pairs, permuted, permuted_by
+from .draws import KINDS, distinct_pairs, drawn_pairs, permuted, permuted_by
 from .graphs import cut_lineage, written
 from .histograms import concatenate
 from .neighbours import Balls, balls, nearest, within_radius
@@ -156,9 +156,9 @@ def subsample(vectors: DataFrame, most: int, seed: int = 1) -> DataFrame:
     return numbered(vectors, seed)[0].filter(F.col("at") < most).drop("at")
 
 
-def mc_apply(vectors: DataFrame, metric: Callable, draws: int, seed: int = 1) -> DataFrame:
-    """draw, kind, d: distances of pairs drawn with replacement, of kinds ab, aa and bb."""
-    return drawn_pairs(vectors, metric, draws, seed).drop("grp")
+def mc_apply(vectors: DataFrame, metric: Callable, draws: int, seed: int = 1, kinds: tuple[str, ...] = KINDS) -> DataFrame:
+    """draw, kind, d: distances of pairs drawn with replacement, of the ``kinds`` (ab, aa and bb)."""
+    return drawn_pairs(vectors, metric, draws, seed, kinds).drop("grp")
 
 
 def mc_energy(vectors: DataFrame, metric: Callable, draws: int, seed: int = 1) -> DataFrame:

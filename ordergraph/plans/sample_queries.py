@@ -683,7 +683,7 @@ def d27_relative_change(spark, sf):
 
 @query()
 def d28_mc_pairwise(spark, sf):
-    return W.mc_apply(units(spark, sf), D.hellinger, 10 * S.table(spark, sf, "embeddings").count()).filter("kind = 'ab'").select("draw", "d")
+    return W.mc_apply(units(spark, sf), D.hellinger, 10 * S.table(spark, sf, "embeddings").count(), kinds=("ab",)).select("draw", "d")
 
 
 @query()
