@@ -251,6 +251,96 @@ def pair_sums(vectors: DataFrame, metric: Callable, key: str = "cls", pairs: str
     return each.groupBy("k1", "k2").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss"), F.max("top").alias("top"))
 
 
+#: Entries of one component in a range of values, about; more entries have more ranges.
+RANGE = 1 << 16
+
+
+def _apart(n: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """By classes j, k: what entries of k lie above those of j in earlier rows; n: how many a row has of each class, w: their sum."""
+    before = lambda x: np.cumsum(x, axis=0) - x
+    return before(n).T @ w - before(w).T @ n
+
+
+def _no_number(x: Column) -> Column:
+    return x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
+
+
+def variation_sums(vectors: DataFrame, key: str = "cls", only: DataFrame | None = None) -> DataFrame:
+    """k1, k2, n, s: number and sum of the total variations of unordered pairs of two samples, without any pair.
+
+    A class that holds what is no finite number has no sums (NaN).
+    The sum over pairs is one over components, and in order of values the
+    differences of a component add up from running numbers and sums of each
+    class.  Ranges of values go to tasks of their own; what is between ranges
+    follows from a number and a sum for each class and range.
+    """
+    v = keyed(vectors, key).filter(F.col("k").isNotNull())
+    rows = v.groupBy("k").agg(F.count("*").alias("n"), F.min(F.size("vec")).alias("least"), F.max(F.size("vec")).alias("most"), F.max(F.exists("vec", _no_number)).alias("bad")).collect()  # a row a class
+    sizes = {r["k"]: r["n"] for r in sorted(rows, key=lambda r: r["k"])}
+    names, kind, total = list(sizes), kind_of(v), sum(sizes.values())
+    if len({r[c] for r in rows for c in ("least", "most")}) > 1:
+        raise ValueError("vectors of unequal length")
+    ranges = max(1, total // RANGE)
+    # where ranges are cut only shares out the work: from the vectors of least hash, 16 for each range
+    drawn = [r["vec"] for r in v.orderBy(F.xxhash64("sample_id"), "sample_id").limit(16 * ranges).collect()] if ranges > 1 else []
+    cuts = np.quantile(np.array(drawn, dtype=np.float64), np.arange(1, ranges) / ranges, axis=0).T if drawn else None
+
+    def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            x = np.stack([np.asarray(r, dtype=np.float64) for r in batch["vec"]])
+            of = pd.Index(names).get_indexer(batch["k"]).astype(np.int32)
+            out = []
+            for c in range(x.shape[1]):
+                order = np.lexsort((of, x[:, c]))
+                value, k = x[order, c], of[order]
+                start = np.flatnonzero(np.r_[True, (value[1:] != value[:-1]) | (k[1:] != k[:-1])])
+                value, k, n = value[start], k[start], np.diff(np.r_[start, len(order)])
+                nth = np.searchsorted(cuts[c], value, side="right") if cuts is not None else np.zeros(len(value), dtype=np.int64)
+                for r in np.unique(nth):
+                    here = nth == r
+                    out.append((c, int(r), value[here].tobytes(), k[here].tobytes(), n[here].astype(np.int32).tobytes()))
+            yield pd.DataFrame(out, columns=["c", "r", "x", "of", "n"])
+
+    def inside(f: pd.DataFrame) -> pd.DataFrame:
+        """For each class: how many entries the range has, their sum, and how far they lie above those of each class."""
+        x, of, n = (np.frombuffer(b"".join(f[name]), dtype=t) for name, t in (("x", np.float64), ("of", np.int32), ("n", np.int32)))
+        value, row = np.unique(x, return_inverse=True)
+        numbers, sums, above = np.zeros(len(names)), np.zeros(len(names)), np.zeros((len(names),) * 2)
+        order = np.argsort(row, kind="stable")
+        step = max(1, (1 << 22) // len(names))
+        for start in range(0, len(value), step):  # values at a time, so that tables of all classes stay small
+            here = order[np.searchsorted(row[order], start) : np.searchsorted(row[order], start + step)]
+            m = np.zeros((min(step, len(value) - start), len(names)))
+            np.add.at(m, (row[here] - start, of[here]), n[here])
+            w = np.where(m > 0, m * value[start : start + step, None], 0.0)  # what is no number stays with its class
+            above += _apart(m, w) + np.outer(numbers, w.sum(axis=0)) - np.outer(sums, m.sum(axis=0))
+            numbers, sums = numbers + m.sum(axis=0), sums + w.sum(axis=0)
+        return pd.DataFrame({"c": f["c"].iat[0], "r": f["r"].iat[0], "k": np.arange(len(names), dtype=np.int32), "n": numbers, "w": sums, "above": list(above.T)})
+
+    ranged = written(v.mapInPandas(pieces, "c int, r int, x binary, of binary, n binary").groupBy("c", "r").applyInPandas(inside, "c int, r int, k int, n double, w double, above array<double>"))
+
+    def across(f: pd.DataFrame) -> pd.DataFrame:
+        shape = (f["r"].nunique(), len(names))
+        f = f.sort_values(["r", "k"])
+        above = _apart(f["n"].to_numpy().reshape(shape), f["w"].to_numpy().reshape(shape))
+        return pd.DataFrame({"c": f["c"].iat[0], "k": np.arange(len(names), dtype=np.int32), "above": list(above.T)})
+
+    between = ranged.select("c", "r", "k", "n", "w").groupBy("c").applyInPandas(across, "c int, k int, above array<double>")
+    each = ranged.select("k", "above").unionByName(between.select("k", "above")).select("k", F.posexplode("above").alias("j", "above"))
+    low, high = F.least("j", "k").alias("i1"), F.greatest("j", "k").alias("i2")
+    added = each.groupBy(low, high).agg((F.sum("above") / 2).alias("s"))
+    listed = v.sparkSession.createDataFrame(list(enumerate(names)), f"i int, k {kind}")
+    size = v.groupBy("k").agg(F.count("*").alias("size"))
+    of = lambda i: listed.join(size, "k").select(F.col("i").alias(f"i{i}"), F.col("k").alias(f"k{i}"), F.col("size").alias(f"n{i}"))
+    n = F.when(F.col("i1") == F.col("i2"), F.col("n1") * (F.col("n1") - 1) / 2).otherwise(F.col("n1") * F.col("n2")).cast("long")
+    out = added.join(of(1), "i1").join(of(2), "i2").select("k1", "k2", n.alias("n"), "s").filter("n > 0")
+    bad = [r["k"] for r in rows if r["bad"]]
+    out = out.withColumn("s", F.when(F.col("k1").isin(bad) | F.col("k2").isin(bad), float("nan")).otherwise(F.col("s"))) if bad else out
+    return out if only is None else out.join(only.select("k1", "k2"), ["k1", "k2"])
+
+
 def class_pairs(classes: DataFrame, reference=None) -> DataFrame:
     """k1 <= k2 of the classes (k); with a reference, each with itself and the reference."""
     both = classes.select(F.col("k").alias("k1")).join(classes.select(F.col("k").alias("k2")), F.col("k1") <= F.col("k2"))
@@ -265,7 +355,8 @@ def energy(vectors: DataFrame, metric: Callable, key: str = "cls", reference=Non
     Means include each sample with itself (V-statistic); no distance: 0.
     """
     n = vectors.groupBy(F.col(key).alias("k")).agg(F.count("*").alias("size"))
-    s = cut_lineage(pair_sums(vectors, metric, key, only=None if reference is None else class_pairs(n, reference)))
+    only = None if reference is None else class_pairs(n, reference)
+    s = cut_lineage(variation_sums(vectors, key, only) if metric is total_variation else pair_sums(vectors, metric, key, only=only))
     own = n.join(s.filter("k1 = k2").select(F.col("k1").alias("k"), "s"), "k", "left").select("k", "size", (2 * F.coalesce("s", F.lit(0.0)) / (F.col("size") * F.col("size"))).alias("m"))
     x = s.filter("k1 < k2").select("k1", "k2", (F.col("s") / F.col("n")).alias("m"))
     if reference is not None:

@@ -496,7 +496,7 @@ def d3_pairwise_hellinger(spark, sf):
 @query(f"SELECT least(a.scalar, b.scalar) AS k1, greatest(a.scalar, b.scalar) AS k2, count(*) AS n, round(sum({TV}), 5) AS total FROM unit a JOIN unit b ON a.sample_id < b.sample_id GROUP BY 1, 2", VEC)
 def d4_total_variation_sums(spark, sf):
     """Within and across classes."""
-    return rounded(D.pair_sums(units(spark, sf), D.total_variation, "scalar").select("k1", "k2", "n", F.col("s").alias("total")), "total", digits=5)
+    return rounded(D.variation_sums(units(spark, sf), "scalar").select("k1", "k2", "n", F.col("s").alias("total")), "total", digits=5)
 
 
 @query()
