@@ -550,6 +550,8 @@ def permutation_tests(vectors: DataFrame, metric: Callable, permutations: int =
         for cell in {(one, one), (two, two), (min(one, two), max(one, two))}:
             of.setdefault(cell, []).append((one, two))
 
+#: Groups of blocks at least: a cell of a reference serves every class, and its labels cost more than its distances.
+PERMUTED_GROUPS = 24
     kept: dict[tuple, np.ndarray] = {}  # of one task: the labels of its blocks, as bits
 
     def labels(k: object, at: np.ndarray, pair: tuple, half: int) -> np.ndarray:
@@ -574,6 +576,11 @@ def permutation_tests(vectors: DataFrame, metric: Callable, permutations: int =
         aa, row, column, every = ((d @ two) * one).sum(axis=0), (d.sum(axis=1) @ one), (d.sum(axis=0) @ two), d.sum()
         if c.same:
             n1, m = one.sum(axis=0), float(len(d))
+    # samples beyond the size of a class's partners are in no test, so their blocks don't meet
+    upto = {k: max((min(sizes[x], sizes[y]) for x, y in pairs if k in (x, y)), default=0) for k in names}
+    limits = v.sparkSession.createDataFrame(list(upto.items()), f"of {kind_of(v)}, upto long")
+    packed = (packed[0].join(F.broadcast(limits), F.col("k") == F.col("of")).filter("start < upto").drop("of", "upto"), sizes) if upto else packed
+
             n_aa, n_bb, n = n1 * (n1 - 1) / 2, (m - n1) * (m - n1 - 1) / 2, m * (m - 1) / 2
         else:
             n1, n2 = one.sum(axis=0), two.sum(axis=0)
@@ -590,7 +597,7 @@ def permutation_tests(vectors: DataFrame, metric: Callable, permutations: int =
 
     kinds = f"k1 {kind_of(v)}, k2 {kind_of(v)}, "
     tested = v.sparkSession.createDataFrame([(*c, 0) for c in of], f"k1 {kind_of(v)}, k2 {kind_of(v)}, todo int") if of else None
-    return _tested(cells(v, metric, reduce, kinds + PERMUTED, "all", packed=packed, todo=tested, merge=added), permutations, ("k1", "k2"))
+    return _tested(cells(v, metric, reduce, kinds + PERMUTED, "all", packed=packed, todo=tested, merge=added, groups=PERMUTED_GROUPS), permutations, ("k1", "k2"))
 
 
 def permutation_test(vectors: DataFrame, metric: Callable, permutations: int = 1000, seed: int = 1) -> DataFrame:
