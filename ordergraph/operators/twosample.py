@@ -331,18 +331,18 @@ def weighted_information(vectors: DataFrame, draws: int, k: int = 5, seed: int =
         one = np.where(zero, 1e-12 * (c.at2 + first(c.k2) + 1)[None, :], c.d)
         return one, np.where(zero, 1e-12 * (c.at1 + first(c.k1) + 1)[:, None], c.d).T
 
-    @F.pandas_udf("array<double>")
-    def radii(sample: pd.Series, near: pd.Series) -> pd.Series:
-        """For each resample: where the weights of the neighbours, without one of the sample itself, reach k; NaN where they don't."""
+    @F.pandas_udf("array<int>")
+    def picks(sample: pd.Series, near: pd.Series) -> pd.Series:
+        """For each resample: the neighbour at which the weights, without one of the sample itself, reach k; -1 where they don't."""
         out = []
         for s, rows in zip(sample, near):
-            d, ids = np.array([r["d"] for r in rows]), np.array([r["id"] for r in rows], dtype=np.int64)
+            ids = np.array([r["id"] for r in rows], dtype=np.int64)
             w = poisson_weights(ids, draws, seed)
             w[ids == s] = np.maximum(w[ids == s] - 1, 0)
             held = np.cumsum(w, axis=0)
             at = (held < few).sum(axis=0)
-            r = np.where(at < len(d), d[np.minimum(at, len(d) - 1)], np.nan)
-            out.append(np.where(held[-1] > 0, r, d[-1]) if len(d) >= most else r)
+            at = np.where(at < len(ids), at, -1)
+            out.append(np.where(held[-1] > 0, at, len(ids) - 1) if len(ids) >= most else at)
         return pd.Series(out)
 
     size, most = _enough_neighbours(few, n["a"] + n["b"], draws), max(n.values())
@@ -363,18 +363,42 @@ def weighted_information(vectors: DataFrame, draws: int, k: int = 5, seed: int =
         near = cells(v, squared, nearest, "sample_id long, id long, d double", "within", packed=packed, merge=fewest)
         # at most ``size`` rows a sample and meeting of groups
         near = near.groupBy("sample_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "id"))), 1, size).alias("near"))
-        found = cut_lineage(near.select("sample_id", radii("sample_id", "near").alias("radius")))
-        short = found.filter(F.exists("radius", lambda r: F.isnan(r)))
+        found = cut_lineage(near.select("sample_id", F.transform("near", lambda r: r["d"]).alias("d"), picks("sample_id", "near").alias("picks")))
+        short = found.filter(F.array_contains("picks", -1))
         if size == most or short.isEmpty():
             break
         size *= 2
-    # where a class's weights do not reach k, all of it is inside
-    known = found.select("sample_id", F.transform("radius", lambda r: F.when(F.isnan(r), float("inf")).otherwise(r + 1e-14)).alias("radius"))
+    # radii lie beside vectors as the neighbours' distances and the place of each resample's radius among them,
+    # several places in one whole number
+    bits = size.bit_length()
+    fit = 52 // bits
+    beside = size - (-draws // fit)
+    direct = beside >= draws  # few resamples, or many neighbours
+    beside = draws if direct else beside
+
+    @F.pandas_udf("array<double>")
+    def packed_radii(d: pd.Series, picks: pd.Series) -> pd.Series:
+        near = np.stack([np.r_[x, np.full(size - len(x), np.inf)] for x in d]) + 1e-14
+        at = np.stack(picks.to_numpy()).astype(np.int64)
+        at[at < 0] = size  # where a class's weights do not reach k, all of it is inside
+        if direct:
+            return pd.Series(list(np.take_along_axis(np.c_[near, np.full(len(d), np.inf)], at, axis=1)))
+        at = np.pad(at, ((0, 0), (0, (beside - size) * fit - draws)))
+        places = (at.reshape(len(d), -1, fit) << (bits * np.arange(fit))).sum(axis=2)
+        return pd.Series(list(np.concatenate([near, places.astype(np.float64)], axis=1)))
+
+    def radii(x: np.ndarray) -> np.ndarray:
+        if direct:
+            return x
+        places = x[:, size:].astype(np.int64)[:, :, None] >> (bits * np.arange(fit)) & ((1 << bits) - 1)
+        return np.take_along_axis(np.c_[x[:, :size], np.full(len(x), np.inf)], places.reshape(len(x), -1)[:, :draws], axis=1)
+
+    known = found.select("sample_id", packed_radii("d", "picks").alias("radius"))
     with_radius = cut_lineage(v.join(known, "sample_id").select("sample_id", "k", F.concat("vec", "radius").alias("vec")))
 
     def count(c: Cell) -> pd.DataFrame:
         out = []
-        for ids, others, d, r in ((c.ids1, c.ids2, both(c)[0], c.x1), (c.ids2, c.ids1, both(c)[1], c.x2))[: 1 if c.same else 2]:
+        for ids, others, d, r in ((c.ids1, c.ids2, both(c)[0], radii(c.x1)), (c.ids2, c.ids1, both(c)[1], radii(c.x2)))[: 1 if c.same else 2]:
             w = poisson_weights(others, draws, seed)
             upto = np.zeros((len(ids), draws), dtype=np.int64)
             i, j = np.nonzero(d <= r.max(axis=1)[:, None])  # few, unless a class's weights do not reach k
@@ -394,7 +418,7 @@ def weighted_information(vectors: DataFrame, draws: int, k: int = 5, seed: int =
         np.add.at(m, of, np.stack(f["m"].to_numpy()))
         return pd.DataFrame({"sample_id": ids, "cls": f["cls"].to_numpy()[at], "m": list(m)})
 
-    m = cells(with_radius, squared, count, "sample_id long, cls string, m array<long>", "all", beside=draws, merge=added, most=max(1, (1 << 22) // draws)).groupBy("sample_id", "cls").agg(F.array(*[F.sum(F.col("m")[r]) for r in range(draws)]).alias("m"))
+    m = cells(with_radius, squared, count, "sample_id long, cls string, m array<long>", "all", beside=beside, merge=added, most=max(1, (1 << 22) // draws)).groupBy("sample_id", "cls").agg(F.array(*[F.sum(F.col("m")[r]) for r in range(draws)]).alias("m"))
 
     def sums(batches):
         for batch in batches:
@@ -526,6 +550,8 @@ def _tested(sums: DataFrame, permutations: int, by: tuple[str, ...] = ()) -> Dat
     return out.select(*by, "observed", "p", z.alias("z_emp"), upper("p").alias("z_coll"), "null_mean", "null_std")
 
 
+#: Groups of blocks at least: a cell of a reference serves every class, and its labels cost more than its distances.
+PERMUTED_GROUPS = 24
 PERMUTED = "perm int, aa double, ab double, bb double, n_aa double, n_ab double, n_bb double"
 
 
@@ -550,8 +576,11 @@ def permutation_tests(vectors: DataFrame, metric: Callable, permutations: int =
         for cell in {(one, one), (two, two), (min(one, two), max(one, two))}:
             of.setdefault(cell, []).append((one, two))
 
-#: Groups of blocks at least: a cell of a reference serves every class, and its labels cost more than its distances.
-PERMUTED_GROUPS = 24
+    # samples beyond the size of a class's partners are in no test, so their blocks don't meet
+    upto = {k: max((min(sizes[x], sizes[y]) for x, y in pairs if k in (x, y)), default=0) for k in names}
+    limits = v.sparkSession.createDataFrame(list(upto.items()), f"of {kind_of(v)}, upto long")
+    packed = (packed[0].join(F.broadcast(limits), F.col("k") == F.col("of")).filter("start < upto").drop("of", "upto"), sizes) if upto else packed
+
     kept: dict[tuple, np.ndarray] = {}  # of one task: the labels of its blocks, as bits
 
     def labels(k: object, at: np.ndarray, pair: tuple, half: int) -> np.ndarray:
@@ -576,11 +605,6 @@ PERMUTED_GROUPS = 24
         aa, row, column, every = ((d @ two) * one).sum(axis=0), (d.sum(axis=1) @ one), (d.sum(axis=0) @ two), d.sum()
         if c.same:
             n1, m = one.sum(axis=0), float(len(d))
-    # samples beyond the size of a class's partners are in no test, so their blocks don't meet
-    upto = {k: max((min(sizes[x], sizes[y]) for x, y in pairs if k in (x, y)), default=0) for k in names}
-    limits = v.sparkSession.createDataFrame(list(upto.items()), f"of {kind_of(v)}, upto long")
-    packed = (packed[0].join(F.broadcast(limits), F.col("k") == F.col("of")).filter("start < upto").drop("of", "upto"), sizes) if upto else packed
-
             n_aa, n_bb, n = n1 * (n1 - 1) / 2, (m - n1) * (m - n1 - 1) / 2, m * (m - 1) / 2
         else:
             n1, n2 = one.sum(axis=0), two.sum(axis=0)
