@@ -1,8 +1,8 @@
 """Distances of vectors of classes, by matrix blocks.
 
 Vectors (sample_id, vec, k) are dealt by a hash to blocks of one class, each
-packed as one matrix.  Blocks lie in groups, and a task has two groups, so a
-block is sent once for each group, not for each block.  There every two blocks
+packed as one matrix.  Blocks lie in groups, and a task has a few groups, so a
+block is sent a few times, not once for each block.  There every two blocks
 meet in a cell, which is one matrix product and gives off sums, counts or
 smallest values, never its pairs, unless pairs are the result.
 """
@@ -93,7 +93,9 @@ def blocks(vectors: DataFrame, size: int = BLOCK, seed: int = 0) -> tuple[DataFr
     dealt = vectors.join(F.broadcast(parts), F.col("k").eqNullSafe(F.col("of"))).select(F.col("sample_id").cast("long").alias("sample_id"), "vec", "k", F.pmod(F.xxhash64("sample_id", F.lit(seed)), F.col("parts")).alias("part"))
     packed = cut_lineage(dealt.groupBy("k", "part").applyInPandas(pack, f"k {kind}, part long, n int, ids binary, data binary"))
     each = packed.select("k", "part", F.col("n").cast("long").alias("n"))
-    named, sizes = _numbered(each) if each.count() > LISTED else _listed(each, kind)
+    many = each.count() > LISTED
+    named, sizes = _numbered(each) if many else _listed(each, kind)
+    named = named if many else F.broadcast(named)
     if not sizes:
         return packed.select(F.lit(0).alias("no"), "k", F.lit(0).cast("long").alias("start"), "n", "ids", "data"), sizes
     return packed.join(named, (F.col("k") == F.col("name")) & (F.col("part") == F.col("at"))).select("no", "k", "start", "n", "ids", "data"), sizes
@@ -123,41 +125,80 @@ def _numbered(each: DataFrame) -> tuple[DataFrame, dict]:
     return named, sizes
 
 
-#: Groups of blocks (of one class, where only classes meet themselves) at least, if there are as many blocks.
+#: Groups of blocks at least where they meet in pairs, if there are as many blocks.
 GROUPS = 8
 #: Bytes of a group's blocks that are aimed at, at most; more data have more groups.
 GROUP_BYTES = 64 << 20
+#: Tasks at least where groups meet by lines of a plane, and bytes of a task's groups that are aimed at, at most.
+LINES, LINE_BYTES = 24, 192 << 20
 #: Rows that a task gathers before it gives them off.
 GATHERED = 1 << 17
 
 
-def meetings(table: DataFrame, run: Callable[[list, list], Iterator[pd.DataFrame]], schema: str, pairs: str = "all", wanted: set | None = None, groups: int | None = None) -> DataFrame:
-    """What ``run`` gives for every two groups of packed rows (no, k, data and more), and each group with itself.
+def plane(q: int) -> list[list[int]]:
+    """The lines of the projective plane over a prime q: q * q + q + 1 sets of q + 1 of as many points, and every two points are in one."""
+    lines = [[x * q + (m * x + b) % q for x in range(q)] + [q * q + m] for m in range(q) for b in range(q)]
+    lines += [[x * q + y for y in range(q)] + [q * q + q] for x in range(q)]
+    return [*lines, list(range(q * q, q * q + q + 1))]
+
+
+def order_of_plane(lines: float, size: int) -> int:
+    """The least prime whose plane has so many lines, each with at most LINE_BYTES of ``size``."""
+    q = 2
+    while q * q + q + 1 < lines or size * (q + 1) > LINE_BYTES * (q * q + q + 1) or any(q % x == 0 for x in range(2, q)):
+        q += 1
+    return q
+
+
+def _by_lines(first: int, q: int, held: set) -> list[dict[int, bool]]:
+    """For each line its groups of those that are ``held``, which are numbered from ``first``, and whether a group meets itself there."""
+    met = [{first + p: False for p in line if first + p in held} for line in plane(q)]
+    for g in sorted(held):  # where the fewest do
+        min((m for m in met if g in m), key=lambda m: sum(m.values()))[g] = True
+    return [m for m in met if len(m) > 1 or any(m.values())]
 
-    Rows are numbered from 0 in the order of k.  Groups are bounded in bytes;
-    a row is sent once for each pair that its group is in, and each pair is a
-    partition of its own.  Pairs of groups without classes to meet are left out,
-    and with ``wanted`` (pairs of classes) those without one of these.
-    ``groups``: at least so many, where a few cells are most of the work.
+
+def meetings(table: DataFrame, run: Callable[[list, list], Iterator[pd.DataFrame]], schema: str, pairs: str = "all", wanted: set | None = None, groups: int | None = None) -> DataFrame:
+    """What ``run`` gives for the packed rows (no, k, data and more) of two groups, or all rows of a task twice; every two groups meet in one task.
+
+    A row also has its group, ``grp``, and ``own``, whether the group meets itself in the task.
+    Rows are numbered from 0 in the order of k.  All groups, or those of one
+    class where only classes meet themselves, are the points of a projective
+    plane and each of its lines is a task, which so has q + 1 groups, and a row
+    is sent q + 1 times: 6 for 31 tasks, 4 for 13 tasks of each of two classes.
+    The order q grows only where a line would hold more than LINE_BYTES.
+    With ``wanted`` (pairs of classes), or many classes that only meet
+    themselves, groups meet in pairs instead, and those without a pair of
+    classes to meet don't; so too with ``groups``, at least so many, where a few
+    cells are most of the work.
     """
     held = table.filter(F.col("k").isNotNull())
-    last, size, classes = held.agg(F.max("no"), F.sum(F.length("data")), F.count_distinct("k")).first()
-    number = 0 if last is None else last + 1
-    least = GROUPS * min(classes, 8) if pairs == "within" else groups or GROUPS
-    groups = max(1, min(number, max(least, -(-(size or 0) // GROUP_BYTES))))
-    grouped = held.withColumn("grp", F.floor(F.col("no") * F.lit(groups) / F.lit(max(number, 1))).cast("int"))
-    spans = grouped.groupBy("grp").agg(F.min("k").alias("low"), F.max("k").alias("high")).orderBy("grp").collect()  # a row a group
-    met = []
-    for i, one in enumerate(spans):
-        for two in spans[i:]:
-            if pairs == "within" and two["low"] > one["high"]:
-                break
-            alike = pairs == "cross" and one["low"] == one["high"] == two["low"] == two["high"]
-            if not alike and (wanted is None or any(one["low"] <= a <= one["high"] and two["low"] <= b <= two["high"] for a, b in wanted)):
-                met.append((one["grp"], two["grp"]))
-    met.sort(key=lambda m: m[0] == m[1])  # the smaller ones last
-    deal = [(g, n) for n, m in enumerate(met) for g in sorted(set(m))]
-    dealt = grouped.join(F.broadcast(table.sparkSession.createDataFrame(deal, "grp int, meeting int")), "grp").repartitionById(max(1, len(met)), F.col("meeting"))
+    of_class = held.groupBy("k").agg(F.min("no").alias("low"), F.max("no").alias("high"), F.sum(F.length("data")).alias("size")).collect()  # a row a class
+    number, size = max((r["high"] + 1 for r in of_class), default=0), sum(r["size"] for r in of_class)
+    if pairs == "within" and len(of_class) <= GROUPS:
+        work = float(sum((r["high"] - r["low"] + 1) ** 2 for r in of_class))
+        spans = [(r["low"], r["high"] + 1, order_of_plane(LINES * (r["high"] - r["low"] + 1) ** 2 / work, r["size"])) for r in of_class if wanted is None or (r["k"], r["k"]) in wanted]
+    elif wanted is None and groups is None and pairs == "all":
+        spans = [(0, number, order_of_plane(LINES if number > 7 else 1, size))] if number else []
+    else:
+        spans = None
+    if spans is not None:
+        met, first, starts = [], 0, []
+        for low, high, q in spans:
+            points = q * q + q + 1
+            met += _by_lines(first, q, {first + (no - low) * points // (high - low) for no in range(low, high)})
+            starts.append((low, high, points, first))
+            first += points
+        dealt_to = table.sparkSession.createDataFrame(starts, "low int, high int, points long, first long")
+        at = (F.col("first") + F.floor((F.col("no") - F.col("low")) * F.col("points") / (F.col("high") - F.col("low")))).cast("int")
+        grouped = held.join(F.broadcast(dealt_to), (F.col("no") >= F.col("low")) & (F.col("no") < F.col("high"))).withColumn("grp", at).drop("low", "high", "points", "first")
+    else:
+        least = GROUPS * GROUPS if pairs == "within" else groups or GROUPS
+        groups = max(1, min(number, max(least, -(-size // GROUP_BYTES))))
+        grouped = held.withColumn("grp", F.floor(F.col("no") * F.lit(groups) / F.lit(max(number, 1))).cast("int"))
+        met = [{one: one == two, two: one == two} for one, two in _in_pairs(grouped, pairs, wanted)]
+    deal = [(g, n, own) for n, m in enumerate(met) for g, own in m.items()]
+    dealt = grouped.join(F.broadcast(table.sparkSession.createDataFrame(deal, "grp int, meeting int, own boolean")), "grp").repartitionById(max(1, len(met)), F.col("meeting"))
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found: dict[int, list] = {}
@@ -166,12 +207,26 @@ def meetings(table: DataFrame, run: Callable[[list, list], Iterator[pd.DataFrame
                 found.setdefault(r.meeting, []).append(r)
         for meeting, rows in found.items():
             rows.sort(key=lambda r: r.no)
-            one, two = met[meeting]
-            yield from run(*([r for r in rows if r.grp == g] for g in (one, two)))
+            sides = (min(met[meeting]), max(met[meeting])) if spans is None else ()
+            yield from run(*[[r for r in rows if r.grp == g] for g in sides]) if sides else run(rows, rows)
 
     return dealt.mapInPandas(task, schema)
 
 
+def _in_pairs(grouped: DataFrame, pairs: str, wanted: set | None) -> list[tuple[int, int]]:
+    """The pairs of groups that have classes to meet."""
+    spans = grouped.groupBy("grp").agg(F.min("k").alias("low"), F.max("k").alias("high")).orderBy("grp").collect()  # a row a group
+    met = []
+    for i, one in enumerate(spans):
+        for two in spans[i:]:
+            if pairs == "within" and two["low"] > one["high"]:
+                break
+            alike = pairs == "cross" and one["low"] == one["high"] == two["low"] == two["high"]
+            if not alike and (wanted is None or any(one["low"] <= a <= one["high"] and two["low"] <= b <= two["high"] for a, b in wanted)):
+                met.append((one["grp"], two["grp"]))
+    return sorted(met, key=lambda m: m[0] == m[1])  # the smaller ones last
+
+
 def gathered(frames: Iterator[pd.DataFrame], merge: Callable[[pd.DataFrame], pd.DataFrame] | None = None, most: int | None = None) -> Iterator[pd.DataFrame]:
     """The rows in larger frames; with ``merge`` all of a task in one, merged whenever more than ``most`` rows are new."""
     most, held, rows, old = most or GATHERED, [], 0, 0
@@ -208,7 +263,7 @@ def cells(vectors: DataFrame, metric: Callable, reduce: Callable[[Cell], pd.Data
             ids1, x1 = matrices(r)
             width = x1.shape[1] - beside
             for s in two:
-                if s.no < r.no or pairs == "within" and r.k != s.k or pairs == "cross" and r.k == s.k or wanted is not None and (r.k, s.k) not in wanted:
+                if s.no < r.no or r.grp == s.grp and not r.own or pairs == "within" and r.k != s.k or pairs == "cross" and r.k == s.k or wanted is not None and (r.k, s.k) not in wanted:
                     continue
                 ids2, x2 = matrices(s)
                 out = reduce(Cell(r.k, s.k, ids1, ids2, r.start + np.arange(r.n), s.start + np.arange(s.n), x1[:, width:], x2[:, width:], metric(x1[:, :width], x2[:, :width]), r.no == s.no, wanted and wanted[r.k, s.k]))
@@ -218,6 +273,27 @@ def cells(vectors: DataFrame, metric: Callable, reduce: Callable[[Cell], pd.Data
     return meetings(table, lambda one, two: gathered(reduced(one, two), merge, most), schema, pairs, None if wanted is None else set(wanted), groups)
 
 
+def beside(table: DataFrame, values: DataFrame, name: str) -> DataFrame:
+    """Blocks with the value ``name`` of each row (sample_id, ``name``) behind its vector; every row must have one."""
+
+    def ids_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for r in batch.itertuples():
+                yield pd.DataFrame({"no": np.int32(r.no), "nth": np.arange(r.n), "sample_id": np.frombuffer(r.ids, dtype=np.int64)})
+
+    named = table.select("no", "n", "ids").mapInPandas(ids_of, "no int, nth int, sample_id long").join(values, "sample_id")
+    # a block's rows, read back so that few are broadcast
+    of = written(named.groupBy("no").agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", name))), lambda x: x[name]).alias("beside")))
+
+    def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            data = [np.column_stack([np.frombuffer(r.data, dtype=np.float64).reshape(r.n, -1), r.beside]).tobytes() for r in batch.itertuples()]
+            yield batch.assign(data=data).drop(columns="beside")
+
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in table.schema)
+    return cut_lineage(table.join(of, "no").select(*table.columns, "beside").mapInPandas(put, fields))
+
+
 def _of_pairs(c: Cell) -> np.ndarray:
     """Distances of the cell's unordered pairs of two samples."""
     return c.d[np.triu_indices(len(c.d), 1)] if c.same else c.d.ravel()
@@ -352,14 +428,19 @@ def class_pairs(classes: DataFrame, reference=None) -> DataFrame:
     return both.filter((F.col("k1") == F.col("k2")) | (F.col("k1") == reference) | (F.col("k2") == reference))
 
 
-def energy(vectors: DataFrame, metric: Callable, key: str = "cls", reference=None) -> DataFrame:
+def energy(vectors: DataFrame, metric: Callable, key: str = "cls", reference=None, packed: tuple | None = None) -> DataFrame:
     """k1, k2, energy, distinguishability of each pair of classes, or of each class with the reference.
 
     Means include each sample with itself (V-statistic); no distance: 0.
     """
-    n = vectors.groupBy(F.col(key).alias("k")).agg(F.count("*").alias("size"))
+    v = keyed(vectors, key)
+    if metric is total_variation:
+        n = v.groupBy("k").agg(F.count("*").alias("size"))
+    else:  # sizes come with the blocks, so the vectors are not made again
+        packed = packed or blocks(v)
+        n = v.sparkSession.createDataFrame(list(packed[1].items()), f"k {kind_of(v)}, size long")
     only = None if reference is None else class_pairs(n, reference)
-    s = cut_lineage(variation_sums(vectors, key, only) if metric is total_variation else pair_sums(vectors, metric, key, only=only))
+    s = cut_lineage(variation_sums(vectors, key, only) if metric is total_variation else pair_sums(vectors, metric, key, packed=packed, only=only))
     own = n.join(s.filter("k1 = k2").select(F.col("k1").alias("k"), "s"), "k", "left").select("k", "size", (2 * F.coalesce("s", F.lit(0.0)) / (F.col("size") * F.col("size"))).alias("m"))
     x = s.filter("k1 < k2").select("k1", "k2", (F.col("s") / F.col("n")).alias("m"))
     if reference is not None:

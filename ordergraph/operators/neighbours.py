@@ -133,7 +133,7 @@ def _met(b: Balls, limited: DataFrame, answer, merge, schema: str, own_class: bo
         def asked() -> Iterator[pd.DataFrame]:
             for r in one:
                 for s in two:
-                    if s.no <= r.no or own_class and r.k != s.k:
+                    if s.no <= r.no or r.grp == s.grp and not r.own or own_class and r.k != s.k:
                         continue
                     for asks, other in ((r, s), (s, r)):
                         x, limit, ids = read[asks.no]

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .distances import Cell, blocks, cells, energy, hellinger, keyed, kind_of, squared, unit
+from .distances import Cell, beside, blocks, cells, energy, hellinger, keyed, kind_of, squared, unit
 from .draws import KINDS, distinct_pairs, drawn_pairs, permuted, permuted_by
 from .graphs import cut_lineage, written
 from .histograms import concatenate
@@ -131,7 +131,7 @@ def principal(vectors: DataFrame, mode: str = "cutoff", dim: int = 32, share: fl
 
 def total(first: DataFrame, second: DataFrame) -> DataFrame:
     """Samples of several observables at once: their vectors one after another."""
-    return concatenate(first, second)
+    return cut_lineage(concatenate(first, second))  # read by several passes, joined once
 
 
 def projected_energy(vectors: DataFrame, metric: Callable = hellinger, key: str = "cls", tolerance: float = 1e-6) -> DataFrame:
@@ -187,7 +187,7 @@ def digamma(x: Column) -> Column:
     return series - sum((1 / (x + float(i)) for i in range(10)), F.lit(0.0))
 
 
-def neighbour_information(vectors: DataFrame, k: int = 5, projected: bool = True, tolerance: float = 1e-6, search: str = "cells") -> DataFrame:
+def neighbour_information(vectors: DataFrame, k: int = 5, projected: bool = True, tolerance: float = 1e-6, search: str = "cells", packed: tuple | None = None) -> DataFrame:
     """information: mutual information of vector and label from the k-th neighbours
     of the own class, over the label's entropy, in [0, 1].
 
@@ -198,7 +198,7 @@ def neighbour_information(vectors: DataFrame, k: int = 5, projected: bool = True
     if search not in ("balls", "cells"):
         raise ValueError(f"not a search: {search}")
     v = keyed(project(vectors, tolerance) if projected else vectors, "cls")
-    packed = blocks(v)
+    packed = packed or blocks(v)
     n = packed[1]
     if min(n.get("a", 0), n.get("b", 0)) < 2:
         raise ValueError("two samples of each class are needed")
@@ -272,7 +272,7 @@ def _counts_by_cells(v: DataFrame, packed: tuple, few: int) -> DataFrame:
     near = cells(v, squared, nearest, "sample_id long, d double", "within", packed=packed, merge=fewest)
     # at most ``few`` rows a sample and meeting of groups
     radius = near.groupBy("sample_id").agg((F.sort_array(F.collect_list("d"))[few - 1] + 1e-14).alias("radius"))
-    with_radius = cut_lineage(v.join(radius, "sample_id").select("sample_id", "k", F.concat("vec", F.array("radius")).alias("vec")))
+    with_radius = (beside(packed[0], radius, "radius"), n)
 
     def count(c: Cell) -> pd.DataFrame:
         one, two = both(c)
@@ -282,7 +282,7 @@ def _counts_by_cells(v: DataFrame, packed: tuple, few: int) -> DataFrame:
         return pd.concat(out)
 
     added = lambda f: f.groupby("sample_id", as_index=False)["m"].sum()
-    return cells(with_radius, squared, count, "sample_id long, m long", "all", beside=1, merge=added).groupBy("sample_id").agg(F.sum("m").alias("m"))
+    return cells(v, squared, count, "sample_id long, m long", "all", beside=1, packed=with_radius, merge=added).groupBy("sample_id").agg(F.sum("m").alias("m"))
 
 
 def poisson_weights(ids: np.ndarray, draws: int, seed: int) -> np.ndarray:
@@ -742,7 +742,9 @@ def report(observables: dict[str, DataFrame], metric: Callable = hellinger, k: i
     """observable, measure, value: energy and information, and with ``splits`` the Mahalanobis gap, of each observable."""
     out = None
     for name, vectors in observables.items():
-        rows = [energy(project(vectors), metric).select(F.lit("energy").alias("measure"), F.col("distinguishability").alias("value")), neighbour_information(vectors, k).select(F.lit("information").alias("measure"), F.col("information").alias("value"))]
+        moved = project(vectors)
+        packed = blocks(keyed(moved, "cls"))  # projected and packed once for both measures
+        rows = [energy(moved, metric, packed=packed).select(F.lit("energy").alias("measure"), F.col("distinguishability").alias("value")), neighbour_information(moved, k, projected=False, packed=packed).select(F.lit("information").alias("measure"), F.col("information").alias("value"))]
         if splits:
             rows.append(mahalanobis_gap(vectors, splits).select(F.lit("mahalanobis").alias("measure"), F.col("D").alias("value")))
         for r in rows:
