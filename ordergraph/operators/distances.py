@@ -158,6 +158,32 @@ def _by_lines(first: int, q: int, held: set) -> list[dict[int, bool]]:
     return [m for m in met if len(m) > 1 or any(m.values())]
 
 
+def _in_one_plane(low: int, high: int, size: int) -> tuple[int, int, int]:
+    return low, high, order_of_plane(LINES if high - low > 7 else 1, size)
+
+
+def _dealt_to(held: DataFrame, spans: list[tuple[int, int, int]]) -> tuple[DataFrame, list[dict[int, bool]]]:
+    """The rows with their group, ``grp``, and for each meeting its groups and whether a group meets itself there.
+
+    ``spans``: numbers from and up to which blocks share a plane, and its order.
+    """
+    met, first, starts = [], 0, []
+    for low, high, q in spans:
+        points = q * q + q + 1
+        met += _by_lines(first, q, {first + (no - low) * points // (high - low) for no in range(low, high)})
+        starts.append((low, high, points, first))
+        first += points
+    dealt_to = held.sparkSession.createDataFrame(starts, "low int, high int, points long, first long")
+    at = (F.col("first") + F.floor((F.col("no") - F.col("low")) * F.col("points") / (F.col("high") - F.col("low")))).cast("int")
+    return held.join(F.broadcast(dealt_to), (F.col("no") >= F.col("low")) & (F.col("no") < F.col("high"))).withColumn("grp", at).drop("low", "high", "points", "first"), met
+
+
+def in_lines(table: DataFrame) -> tuple[DataFrame, list[dict[int, bool]]]:
+    """The same for blocks that all meet, in one plane."""
+    r = table.agg(F.min("no").alias("low"), F.max("no").alias("high"), F.sum(F.length("data")).alias("size")).first()
+    return _dealt_to(table, [_in_one_plane(r["low"], r["high"] + 1, r["size"])])
+
+
 def meetings(table: DataFrame, run: Callable[[list, list], Iterator[pd.DataFrame]], schema: str, pairs: str = "all", wanted: set | None = None, groups: int | None = None) -> DataFrame:
     """What ``run`` gives for the packed rows (no, k, data and more) of two groups, or all rows of a task twice; every two groups meet in one task.
 
@@ -179,19 +205,11 @@ def meetings(table: DataFrame, run: Callable[[list, list], Iterator[pd.DataFrame
         work = float(sum((r["high"] - r["low"] + 1) ** 2 for r in of_class))
         spans = [(r["low"], r["high"] + 1, order_of_plane(LINES * (r["high"] - r["low"] + 1) ** 2 / work, r["size"])) for r in of_class if wanted is None or (r["k"], r["k"]) in wanted]
     elif wanted is None and groups is None and pairs == "all":
-        spans = [(0, number, order_of_plane(LINES if number > 7 else 1, size))] if number else []
+        spans = [_in_one_plane(0, number, size)] if number else []
     else:
         spans = None
     if spans is not None:
-        met, first, starts = [], 0, []
-        for low, high, q in spans:
-            points = q * q + q + 1
-            met += _by_lines(first, q, {first + (no - low) * points // (high - low) for no in range(low, high)})
-            starts.append((low, high, points, first))
-            first += points
-        dealt_to = table.sparkSession.createDataFrame(starts, "low int, high int, points long, first long")
-        at = (F.col("first") + F.floor((F.col("no") - F.col("low")) * F.col("points") / (F.col("high") - F.col("low")))).cast("int")
-        grouped = held.join(F.broadcast(dealt_to), (F.col("no") >= F.col("low")) & (F.col("no") < F.col("high"))).withColumn("grp", at).drop("low", "high", "points", "first")
+        grouped, met = _dealt_to(held, spans)
     else:
         least = GROUPS * GROUPS if pairs == "within" else groups or GROUPS
         groups = max(1, min(number, max(least, -(-size // GROUP_BYTES))))

@@ -1,11 +1,10 @@
-"""Drawn pairs of samples, by block pairs first and by pairs inside them.
+"""Drawn pairs of samples.
 
 A draw that fetches its two vectors by itself moves draws x width numbers.
-Here a bounded number of cells (pairs of blocks) is drawn, each cell's blocks
-are sent once, and all pairs of the cell are drawn where they lie, so what is
-moved follows the cells, not the draws.  Every pair of samples has the same
-chance, so means need no weights; draws of one cell are not independent, so
-deviations come from the means of the cells' groups.
+Here draws go as numbers to the tasks where groups of blocks meet, and a block
+is sent a few times whatever the draws.  Distinct pairs are drawn by cells
+(pairs of blocks) first and by pairs inside them, so draws of one cell are not
+independent.
 """
 
 from __future__ import annotations
@@ -17,11 +16,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .distances import blocks, keyed
-from .graphs import written
+from .distances import blocks, in_lines, keyed
 
-#: Groups of draws of a kind, each in one cell.
+#: Groups of draws of a kind; distinct pairs have each in one cell.
 GROUPS = 256
+#: Draws of a task, about, and rows of the small matrices that give their distances.
+DRAWN, SQUARE = 1 << 22, 64
 KINDS = ("ab", "aa", "bb")
 
 
@@ -89,11 +89,36 @@ def _of(metric: Callable, x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.nda
     return metric(x[a], y[b])[i, j]
 
 
+def _row_by_row(metric: Callable, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Distances of each row of x and the same row of y, from small matrices of always one size."""
+    out = np.empty(len(x))
+    for start in range(0, len(x), SQUARE):
+        at = np.minimum(np.arange(start, start + SQUARE), len(x) - 1)
+        out[start : start + SQUARE] = metric(x[at], y[at]).diagonal()[: len(x) - start]
+    return out
+
+
+class _Side:
+    """The rows of one class that a task has, by their places."""
+
+    def __init__(self, rows: list) -> None:
+        rows = sorted(rows, key=lambda r: r.start)
+        n = np.array([r.n for r in rows], dtype=np.int64)
+        self.start, self.first = np.array([r.start for r in rows], dtype=np.int64), np.cumsum(n) - n
+        self.x = np.concatenate([np.frombuffer(r.data, dtype=np.float64).reshape(int(r.n), -1) for r in rows])
+
+    def at(self, places: np.ndarray) -> np.ndarray:
+        of = np.searchsorted(self.start, places, side="right") - 1
+        return self.x[self.first[of] + places - self.start[of]]
+
+
 def drawn_pairs(vectors: DataFrame, metric: Callable, draws: int, seed: int = 1, kinds: tuple[str, ...] = KINDS, packed: tuple | None = None) -> DataFrame:
-    """draw, kind, grp, d: ``draws`` distances of each kind, of pairs drawn with replacement (a sample may meet itself).
+    """draw, kind, grp, d: ``draws`` distances of each kind, of pairs drawn one by one with replacement (a sample may meet itself).
 
-    A group holds the draws that are equal modulo the number of groups; the
-    places of one pair choose its cell, so a cell is as likely as it has pairs.
+    Both places of a draw follow from its number, kind and ``seed`` alone, so
+    every pair of samples is as likely in every draw.  A draw goes as two
+    numbers to the task where the groups of its samples meet.  A group (grp)
+    holds the draws that are equal modulo the number of groups.
     """
     if draws < 1:
         raise ValueError("draws must be positive")
@@ -101,36 +126,46 @@ def drawn_pairs(vectors: DataFrame, metric: Callable, draws: int, seed: int = 1,
     if any(n.get(c, 0) < 1 for k in kinds for c in k):
         raise ValueError("a sample of each class is needed")
     groups = min(GROUPS, draws)
-
-    def chosen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    spark, asked = table.sparkSession, [no for no, k in enumerate(KINDS) if k in kinds]
+    held, met = in_lines(table.filter(F.col("k").isin(sorted({c for k in kinds for c in k}))))
+    first: dict[str, list] = {}  # of a class: groups and the places from which they are
+    for r in held.groupBy("k", "grp").agg(F.min("start").alias("start")).orderBy("start").collect():  # a row a class and group
+        first.setdefault(r["k"], []).append((r["start"], r["grp"]))
+    where = {(g, h): no for no, m in enumerate(met) for g in m for h in m if g < h or g == h and m[g]}
+    pairs = np.array(sorted(where), dtype=np.int64).reshape(-1, 2) @ np.array([1 << 32, 1])
+    meeting = np.array([where[p] for p in sorted(where)], dtype=np.int64)
+    parts = -(-draws * len(asked) // (len(met) * DRAWN))  # tasks of a meeting
+
+    def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for r in batch.itertuples():
-                for no, kind in enumerate(KINDS):
-                    for side, cls in enumerate(kind):
-                        if kind in kinds and cls == r.k:
-                            place = below(np.arange(groups), n[cls], seed, no, side)
-                            grp = np.flatnonzero((place >= r.start) & (place < r.start + r.n))
-                            yield pd.DataFrame({"kind": kind, "side": np.int32(side), "grp": grp.astype(np.int32), "no": np.int32(r.no)})
-
-    sides = written(table.select("no", "k", "start", "n").mapInPandas(chosen, "kind string, side int, grp int, no int"))
-    side = lambda s, name: sides.filter(F.col("side") == s).select("kind", "grp", F.col("no").alias(name))
-    # at most GROUPS numbers a cell
-    cells = side(0, "i").join(side(1, "j"), ["kind", "grp"]).groupBy("kind", "i", "j").agg(F.collect_list("grp").alias("grps"))
-    block = lambda name, c: table.select(F.col("no").alias(name), F.col("n").alias(f"n{c}"), F.col("data").alias(f"data{c}"))
-    met = cells.join(block("i", 1), "i").join(block("j", 2), "j")
+            draw = batch["id"].to_numpy()
+            for no in asked:
+                i, j = (below(draw, n[c], seed, no, side) for side, c in enumerate(KINDS[no]))
+                g, h = (np.array([x[1] for x in first[c]])[np.searchsorted([x[0] for x in first[c]], z, side="right") - 1] for c, z in zip(KINDS[no], (i, j)))
+                of = meeting[np.searchsorted(pairs, (np.minimum(g, h) << 32) + np.maximum(g, h))]
+                yield pd.DataFrame({"task": (of * parts + draw % parts).astype(np.int32), "kind": np.int32(no), "draw": draw, "i": i, "j": j})
+
+    drawn = spark.range(draws).mapInPandas(placed, "task int, kind int, draw long, i long, j long")
+    sent = spark.createDataFrame([(g, no * parts + part) for no, m in enumerate(met) for g in m for part in range(parts)], "grp int, task int")
+    dealt = held.join(F.broadcast(sent), "grp").select("task", F.lit(-1).alias("kind"), "k", "start", "n", "data")
+    both = dealt.unionByName(drawn, allowMissingColumns=True).repartitionById(len(met) * parts, F.col("task")).sortWithinPartitions("task", "kind", "draw")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Of a task: its blocks first, then draws as they come."""
+        now, rows, sides = None, [], {}
         for batch in batches:
-            for r in batch.itertuples():
-                x, y = (np.frombuffer(d, dtype=np.float64).reshape(m, -1) for d, m in ((r.data1, r.n1), (r.data2, r.n2)))
-                no = KINDS.index(r.kind)
-                for grp in sorted(r.grps):
-                    for start in range(grp, draws, groups << 16):
-                        draw = np.arange(start, min(draws, start + (groups << 16)), groups)
-                        i, j = (below(draw, len(z), seed, no, s, 11) for s, z in enumerate((x, y)))
-                        yield pd.DataFrame({"draw": draw, "kind": r.kind, "grp": np.int32(grp), "d": _of(metric, x, y, i, j)})
-
-    return met.mapInPandas(run, "draw long, kind string, grp int, d double")
+            for (task, no), f in batch.groupby(["task", "kind"]):
+                if task != now:
+                    now, rows, sides = task, [], {}
+                if no < 0:
+                    rows += list(f.itertuples())
+                    continue
+                sides = sides or {k: _Side([r for r in rows if r.k == k]) for k in {r.k for r in rows}}
+                draw = f["draw"].to_numpy(np.int64)
+                x, y = (sides[c].at(f[name].to_numpy(np.int64)) for c, name in zip(KINDS[no], "ij"))
+                yield pd.DataFrame({"draw": draw, "kind": KINDS[no], "grp": (draw % groups).astype(np.int32), "d": _row_by_row(metric, x, y)})
+
+    return both.mapInPandas(run, "draw long, kind string, grp int, d double")
 
 
 def distinct_pairs(vectors: DataFrame, metric: Callable, draws: int, reduce: Callable, schema: str, groups: int = GROUPS, seed: int = 1) -> DataFrame:

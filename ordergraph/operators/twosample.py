@@ -164,7 +164,7 @@ def mc_apply(vectors: DataFrame, metric: Callable, draws: int, seed: int = 1, ki
 def mc_energy(vectors: DataFrame, metric: Callable, draws: int, seed: int = 1) -> DataFrame:
     """energy, distinguishability and its deviation (delta method) from drawn pairs.
 
-    Draws of one group share their blocks, so the variance of a mean is that of the groups' means.
+    The variance of a mean is that of the means of groups of draws.
     """
     each = drawn_pairs(vectors, metric, draws, seed).groupBy("kind", "grp").agg(F.sum("d").alias("s"), F.count("*").alias("n"))
     of = lambda k, c: F.sum(F.when(F.col("kind") == k, c))
