@@ -263,16 +263,21 @@ def gathered(frames: Iterator[pd.DataFrame], merge: Callable[[pd.DataFrame], pd.
         yield merge(pd.concat(held)) if merge else pd.concat(held)
 
 
-def cells(vectors: DataFrame, metric: Callable, reduce: Callable[[Cell], pd.DataFrame | None], schema: str, pairs: str = "all", beside: int = 0, packed: tuple | None = None, todo: DataFrame | None = None, merge: Callable | None = None, most: int | None = None, groups: int | None = None) -> DataFrame:
+def cells(vectors: DataFrame, metric: Callable | None, reduce: Callable, schema: str, pairs: str = "all", beside: int = 0, packed: tuple | None = None, todo: DataFrame | None = None, merge: Callable | None = None, most: int | None = None, groups: int | None = None) -> DataFrame:
     """What ``reduce`` gives for each cell.  ``pairs``: "all", "within" a class or "cross".
 
     The last ``beside`` components of vectors are values beside them, which the metric does not see.
     ``todo`` (k1, k2, todo): an array for the cells of each pair of classes; cells of other pairs are left out.
     ``merge``: what makes fewer rows of those that the cells of a task give, whenever there are ``most``.
+    Without a metric ``reduce`` gets a task's packed rows, and two by two those that meet, and measures itself.
     """
     table, _ = packed or blocks(vectors)
     wanted = None if todo is None else {(r["k1"], r["k2"]): r["todo"] for r in todo.select("k1", "k2", "todo").collect()}  # one row a pair of classes
 
+    def apart(r, s) -> bool:
+        """Whether two packed rows don't meet here."""
+        return s.no < r.no or r.grp == s.grp and not r.own or pairs == "within" and r.k != s.k or pairs == "cross" and r.k == s.k or wanted is not None and (r.k, s.k) not in wanted
+
     def matrices(r) -> tuple[np.ndarray, np.ndarray]:
         return np.frombuffer(r.ids, dtype=np.int64), np.frombuffer(r.data, dtype=np.float64).reshape(r.n, -1)
 
@@ -281,14 +286,19 @@ def cells(vectors: DataFrame, metric: Callable, reduce: Callable[[Cell], pd.Data
             ids1, x1 = matrices(r)
             width = x1.shape[1] - beside
             for s in two:
-                if s.no < r.no or r.grp == s.grp and not r.own or pairs == "within" and r.k != s.k or pairs == "cross" and r.k == s.k or wanted is not None and (r.k, s.k) not in wanted:
+                if apart(r, s):
                     continue
                 ids2, x2 = matrices(s)
                 out = reduce(Cell(r.k, s.k, ids1, ids2, r.start + np.arange(r.n), s.start + np.arange(s.n), x1[:, width:], x2[:, width:], metric(x1[:, :width], x2[:, :width]), r.no == s.no, wanted and wanted[r.k, s.k]))
                 if out is not None and len(out):
                     yield out
 
-    return meetings(table, lambda one, two: gathered(reduced(one, two), merge, most), schema, pairs, None if wanted is None else set(wanted), groups)
+    def run(one: list, two: list) -> Iterator[pd.DataFrame]:
+        if metric is None:
+            return reduce(list({r.no: r for r in [*one, *two]}.values()), ((r, s) for r in one for s in two if not apart(r, s)))
+        return gathered(reduced(one, two), merge, most)
+
+    return meetings(table, run, schema, pairs, None if wanted is None else set(wanted), groups)
 
 
 def beside(table: DataFrame, values: DataFrame, name: str) -> DataFrame:

@@ -89,27 +89,125 @@ def _long(data: bytes) -> np.ndarray:
     return np.frombuffer(data, dtype=np.int64)
 
 
-def _measured(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Squared distances, equal ones by the places of y; and how far rounding may take them."""
-    d = squared(x, y)
-    wrong = 1e-13 * ((x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1)[None, :])
-    return np.where(d == 0, 1e-12 * (at + 1)[None, :], d), wrong
-
-
-def _again(d: np.ndarray, x: np.ndarray, y: np.ndarray, which: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The distances ``which``, added up one by one, so that they don't depend on the product they came from."""
-    i, j = np.nonzero(which)
-    for s in range(0, len(i), 65_536):
-        a, b = i[s : s + 65_536], j[s : s + 65_536]
-        one = ((x[a] - y[b]) ** 2).sum(axis=1)
-        d[a, b] = np.where(one == 0, 1e-12 * (at[b] + 1), one)
-    return d
-
+class Near:
+    """A packed block or shell of a task: vectors, what stands for a distance of 0 to each row, and each row's limit."""
+
+    def __init__(self, r, first: int, few: int = 0, beside: int = 0, at: np.ndarray | None = None) -> None:
+        both = _rows(r.data, r.n)
+        width = both.shape[1] - beside
+        self.x, self.beside, self.ids, self.n = np.ascontiguousarray(both[:, :width]), both[:, width:], _long(r.ids), r.n
+        self.zero = 1e-12 * ((r.start + np.arange(r.n) if at is None else at) + first + 1)
+        self.limit = np.full(r.n, np.inf)
+        self.best, self.who = np.full((r.n, few), np.inf), np.full((r.n, few), np.iinfo(np.int64).max)
+
+    def found(self, i: np.ndarray, d: np.ndarray, ids: np.ndarray) -> None:
+        """Keeps the smallest of what each row has and the distances ``d`` of rows ``i`` to ``ids``."""
+        few = self.best.shape[1]
+        rows, of = np.unique(i, return_inverse=True)
+        of = np.concatenate([np.repeat(np.arange(len(rows)), few), of])
+        d, ids = np.concatenate([self.best[rows].ravel(), d]), np.concatenate([self.who[rows].ravel(), ids])
+        order = np.lexsort((ids, d, of))
+        nth = np.arange(len(of)) - np.searchsorted(of[order], np.arange(len(rows)))[of[order]]
+        order = order[nth < few]
+        self.best[rows], self.who[rows] = d[order].reshape(-1, few), ids[order].reshape(-1, few)
+        self.limit[rows] = np.minimum(self.limit[rows], self.best[rows, -1])
+
+
+class Screen:
+    """Which pairs of rows of a task can lie within their limits, by products in single precision.
+
+    These give a lower bound of a squared distance, by more than rounding can
+    explain; only the pairs that it lets through are measured, one by one and
+    in double precision, so that a pair's distance is the same wherever it is met.
+    """
 
-def _reach(limit: np.ndarray, x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    """How far rows look: the root of their limit, and a bit for rounding."""
-    scale = np.sqrt((x * x).sum(axis=1)) + (np.sqrt((pivots * pivots).sum(axis=1)).max() if len(pivots) else 0.0)
-    return np.sqrt(limit) + 1e-6 * scale
+    def __init__(self, near: dict[int, Near]) -> None:
+        self.near = near
+        centre = next(iter(near.values())).x.mean(axis=0)
+        top = max(float(np.abs(p.x - centre).max(initial=0.0)) for p in near.values())
+        self.scale = 2.0 ** -float(np.clip(np.ceil(np.log2(top)), -500, 500)) if 0 < top < np.inf else 1.0
+        self.right = {}
+        for no, p in near.items():
+            z = ((p.x - centre) * self.scale).astype(np.float32)
+            size = np.einsum("ij,ij->i", z, z, dtype=np.float64) * (1 - (z.shape[1] + 16) * 2.0**-22)
+            self.right[no] = np.ascontiguousarray(np.column_stack([z, np.ones(len(z)), size]).T, dtype=np.float32)
+        self.of, self.left, self.place = None, None, np.empty(0, dtype=np.float32)
+
+    def _low(self, r: int, s: int) -> np.ndarray:
+        if self.of != r:
+            z = self.right[r]
+            self.of, self.left = r, np.ascontiguousarray(np.vstack([-2 * z[:-2], z[-1], z[-2]]).T)
+        shape = len(self.left), self.right[s].shape[1]
+        if self.place.size < shape[0] * shape[1]:
+            self.place = np.empty(shape[0] * shape[1], dtype=np.float32)
+        return np.matmul(self.left, self.right[s], out=self.place[: shape[0] * shape[1]].reshape(shape))
+
+    def _limit(self, limit: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return np.nextafter((limit * self.scale**2 + 1e-30).astype(np.float32), np.float32(np.inf))
+
+    def _let_through(self, r: int, s: int, limits: tuple) -> list[tuple] | None:
+        """For both sides, rows and columns of the pairs whose lower bound is within the limit of that side's row; None where they are many."""
+        if any(x is not None and np.isposinf(x).any() for x in limits):
+            return None
+        low, out = self._low(r, s), []
+        for side, limit in enumerate(limits):
+            at = np.zeros(0, dtype=np.int64) if limit is None else np.flatnonzero(low <= (self._limit(limit)[:, None] if side == 0 else self._limit(limit)))
+            if len(at) > low.size // 64 + 4096:
+                return None
+            out.append(np.divmod(at, low.shape[1]))
+        return out
+
+    def pairs(self, r: int, s: int, limits: tuple, few: int = 0, counted: bool = False) -> Iterator[tuple]:
+        """For both sides (r's rows, s's rows): asking rows, rows that they ask, and squared distances, of all pairs within the limits, or a bit beyond.
+
+        ``limits``: of r's and of s's rows, or None.  With ``few`` only the smallest of each row are wanted.
+        With ``counted`` pairs that are surely inside may be added to ``m`` and left out.
+        """
+        p, q = self.near[r], self.near[s]
+        through = self._let_through(r, s, limits)
+        d, wrong = _measured(p.x, q.x) if through is None else (None, None)
+        for side, limit in enumerate(limits):
+            if limit is None:
+                continue
+            a, b = (p, q) if side == 0 else (q, p)
+            if through is None:
+                one, error = (d, 2 * wrong) if side == 0 else (d.T, 2 * wrong.T)
+                one = np.where(one == 0, b.zero[None, :], one)
+                if r == s:
+                    np.fill_diagonal(one, np.inf)
+                if few and np.isposinf(limit).any():
+                    limit = np.minimum(limit, _least(one, min(few, one.shape[1]))[:, -1] + error.max(axis=1))
+                inside = one <= limit[:, None] + error
+                if counted:
+                    sure = one < limit[:, None] - error
+                    a.m += sure.sum(axis=1)
+                    inside &= ~sure
+                i, j = np.nonzero(inside)
+            else:
+                i, j = through[side][:: 1 if side == 0 else -1]
+            if r == s:
+                i, j = i[i != j], j[i != j]
+            if len(i):
+                yield a, b, i, j, one_by_one(a.x, b.x, i, j, b.zero)
+
+
+def one_by_one(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray, zero: np.ndarray) -> np.ndarray:
+    """Squared distances of rows i of x and j of y; ``zero`` stands for 0."""
+    d = np.empty(len(i))
+    for s in range(0, len(i), 16_384):
+        d[s : s + 16_384] = ((x[i[s : s + 16_384]] - y[j[s : s + 16_384]]) ** 2).sum(axis=1)
+    return np.where(d == 0, zero[j], d)
+
+
+def _measured(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Squared distances, and how far rounding may take them."""
+    return squared(x, y), 1e-13 * ((x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1)[None, :])
+
+
+def _blur(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """How much farther than the root of their limit rows look, for rounding."""
+    return 1e-6 * (np.sqrt((x * x).sum(axis=1)) + (np.sqrt((pivots * pivots).sum(axis=1)).max() if len(pivots) else 0.0))
 
 
 def _least(d: np.ndarray, few: int) -> np.ndarray:
@@ -118,31 +216,38 @@ def _least(d: np.ndarray, few: int) -> np.ndarray:
     return np.sort(np.partition(d, m - 1, axis=1)[:, :m], axis=1)
 
 
-def _met(b: Balls, limited: DataFrame, answer, merge, schema: str, own_class: bool) -> DataFrame:
-    """What ``answer`` gives for the rows of each shell and the other shells that they cannot rule out.
+def _met(b: Balls, limited: DataFrame, begin, answer, give, schema: str, own_class: bool, counted: bool = False) -> DataFrame:
+    """What ``give`` makes of the shells of a task after ``answer`` had the pairs of rows that cannot be ruled out.
 
     ``limited``: shells with ``limit``, a squared distance for each row.  A
-    row's own shell is left out: it was looked at before.
+    shell does not meet itself: it was looked at before.
     """
     pivots = b.pivots
 
     def run(one: list, two: list) -> Iterator[pd.DataFrame]:
-        read = {r.no: (_rows(r.data, r.n), np.frombuffer(r.limit, dtype=np.float64), _long(r.ids)) for r in [*one, *two]}
-        reach = {no: _reach(limit, x, pivots) for no, (x, limit, _) in read.items()}
-
-        def asked() -> Iterator[pd.DataFrame]:
-            for r in one:
-                for s in two:
-                    if s.no <= r.no or r.grp == s.grp and not r.own or own_class and r.k != s.k:
-                        continue
-                    for asks, other in ((r, s), (s, r)):
-                        x, limit, ids = read[asks.no]
-                        far = np.sqrt(squared(x, pivots[other.pivot : other.pivot + 1]))[:, 0]
-                        i = np.flatnonzero((far - other.hi <= reach[asks.no]) & (other.lo - far <= reach[asks.no]))
-                        if len(i):
-                            yield answer(other, i, x[i], ids[i], limit[i])
-
-        yield from gathered(asked(), merge)
+        read = {r.no: r for r in [*one, *two]}
+        near = {no: begin(r) for no, r in read.items()}
+        screen = Screen(near) if near else None
+        compared = {no: np.zeros(r.n, dtype=np.int64) for no, r in read.items()}
+        blur = {no: _blur(p.x, pivots) for no, p in near.items()}
+
+        def asking(asks, other) -> np.ndarray:
+            """Limits of the rows; below all distances where the shell is ruled out."""
+            p = near[asks.no]
+            far, reach = np.sqrt(((p.x - pivots[other.pivot]) ** 2).sum(axis=1)), np.sqrt(p.limit) + blur[asks.no]
+            ask = (far - other.hi <= reach) & (other.lo - far <= reach)
+            compared[asks.no][ask] += other.n
+            return np.where(ask, p.limit, -np.inf) if ask.any() else None
+
+        for r in one:
+            for s in two:
+                if s.no <= r.no or r.grp == s.grp and not r.own or own_class and r.k != s.k:
+                    continue
+                limits = asking(r, s), asking(s, r)
+                if any(x is not None for x in limits):
+                    answer(screen.pairs(r.no, s.no, limits, counted=counted))
+        for no, r in read.items():
+            yield give(r, near[no], compared[no])
 
     return meetings(limited, run, schema, "within" if own_class else "all")
 
@@ -155,51 +260,40 @@ def nearest(b: Balls, few: int, first: dict) -> DataFrame:
     """
     kind = b.shells.schema["k"].dataType.simpleString()
 
+    def begin(r) -> Near:
+        return Near(r, first[r.k], few, at=_long(r.at))
+
     def own(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for r in batch.itertuples():
-                x, at = _rows(r.data, r.n), _long(r.at) + first[r.k]
-                d, wrong = _measured(x, x, at)
-                np.fill_diagonal(d, np.inf)
-                best = np.full((r.n, few), np.inf)
-                m = min(few, r.n - 1)
-                if m:
-                    d = _again(d, x, x, (d <= _least(d, m)[:, -1:] + 2 * wrong) & np.isfinite(d), at)
-                    best[:, :m] = _least(d, m)
-                out.append((best[:, -1], best))
-            yield batch.assign(limit=[o[0].tobytes() for o in out], best=[o[1].tobytes() for o in out])
+                p = begin(r)
+                note(Screen({0: p}).pairs(0, 0, (p.limit, None), few))
+                out.append((p.best[:, -1].tobytes(), p.best.tobytes()))
+            yield batch.assign(limit=[o[0] for o in out], best=[o[1] for o in out])
+
+    def note(found: Iterator[tuple]) -> None:
+        for p, q, i, j, d in found:
+            p.found(i, d, q.ids[j])
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in b.shells.schema)
     begun = written(b.shells.mapInPandas(own, f"{fields}, limit binary, best binary"))
 
-    def answer(r, i, x, ids, limit) -> pd.DataFrame:
-        y, at = _rows(r.data, r.n), _long(r.at) + first[r.k]
-        d, wrong = _measured(x, y, at)
-        m = min(few, r.n)
-        top = np.minimum(_least(d, m)[:, -1:], limit[:, None])
-        d = _again(d, x, y, d <= top + 2 * wrong, at)
-        return pd.DataFrame({"sample_id": ids, "k": [r.k] * len(i), "best": list(_least(d, m)), "compared": r.n})
+    def limited(r) -> Near:
+        p = begin(r)
+        p.limit = np.frombuffer(r.limit, dtype=np.float64).copy()
+        return p
+
+    def give(r, p: Near, compared: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({"sample_id": p.ids, "k": [r.k] * r.n, "best": list(p.best), "compared": compared})
 
     def known(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for r in batch.itertuples():
                 yield pd.DataFrame({"sample_id": _long(r.ids), "k": [r.k] * r.n, "best": list(np.frombuffer(r.best, dtype=np.float64).reshape(r.n, few)), "compared": r.n})
 
-    def fewest(f: pd.DataFrame) -> pd.DataFrame:
-        best = np.stack([np.r_[v, np.full(few - len(v), np.inf)] for v in f["best"]])
-        order = np.argsort(f["sample_id"].to_numpy(), kind="stable")
-        ids = f["sample_id"].to_numpy()[order]
-        start = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
-        of = np.repeat(np.arange(len(start)), np.diff(np.r_[start, len(ids)]) * few)
-        d = best[order].ravel()
-        held = np.lexsort((d, of))
-        nth = np.arange(len(d)) - np.repeat(start * few, np.diff(np.r_[start, len(ids)]) * few)
-        compared = np.add.reduceat(f["compared"].to_numpy()[order], start)
-        return pd.DataFrame({"sample_id": ids[start], "k": f["k"].to_numpy()[order][start], "best": list(d[held][nth < few].reshape(len(start), few)), "compared": compared})
-
     schema = f"sample_id long, k {kind}, best array<double>, compared long"
-    every = begun.mapInPandas(known, schema).unionByName(_met(b, begun, answer, fewest, schema, True))
+    every = begun.mapInPandas(known, schema).unionByName(_met(b, begun, limited, note, give, schema, True))
     # at most ``few`` numbers a row and meeting of groups
     return every.groupBy("sample_id", "k").agg(F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, few).alias("best"), F.sum("compared").alias("compared"))
 
@@ -210,7 +304,6 @@ def within_radius(b: Balls, radius: DataFrame, first: dict) -> DataFrame:
     ``radius``: sample_id, k, radius.
     """
     packed = b.shells.select(*KEY, "ids")
-    added = lambda f: f.groupby("sample_id", as_index=False)[["m", "compared"]].sum()
 
     def ids_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -230,21 +323,27 @@ def within_radius(b: Balls, radius: DataFrame, first: dict) -> DataFrame:
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in b.shells.schema)
     limited = written(limited.mapInPandas(bytes_of, f"{fields}, limit binary"))
 
-    def inside(x: np.ndarray, y: np.ndarray, at: np.ndarray, limit: np.ndarray) -> np.ndarray:
-        d, wrong = _measured(x, y, at)
-        return _again(d, x, y, np.abs(d - limit[:, None]) <= 2 * wrong, at) <= limit[:, None]
+    def begin(r) -> Near:
+        p = Near(r, first[r.k], at=_long(r.at))
+        p.limit, p.m = np.frombuffer(r.limit, dtype=np.float64), np.zeros(r.n, dtype=np.int64)
+        return p
 
     def own(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for r in batch.itertuples():
-                x = _rows(r.data, r.n)
-                held = inside(x, x, _long(r.at) + first[r.k], np.frombuffer(r.limit, dtype=np.float64))
-                np.fill_diagonal(held, False)
-                yield pd.DataFrame({"sample_id": _long(r.ids), "m": held.sum(axis=1), "compared": r.n})
+                p = begin(r)
+                add_inside(Screen({0: p}).pairs(0, 0, (p.limit, None), counted=True))
+                yield give(r, p, np.full(r.n, r.n))
 
-    def answer(r, i, x, ids, limit) -> pd.DataFrame:
-        return pd.DataFrame({"sample_id": ids, "m": inside(x, _rows(r.data, r.n), _long(r.at) + first[r.k], limit).sum(axis=1), "compared": r.n})
+    def give(r, p: Near, compared: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({"sample_id": p.ids, "m": p.m, "compared": compared})
 
     schema = "sample_id long, m long, compared long"
-    every = limited.mapInPandas(own, schema).unionByName(_met(b, limited, answer, added, schema, False))
+    every = limited.mapInPandas(own, schema).unionByName(_met(b, limited, begin, add_inside, give, schema, False, True))
     return every.groupBy("sample_id").agg(F.sum("m").alias("m"), F.sum("compared").alias("compared"))
+
+
+def add_inside(found: Iterator[tuple]) -> None:
+    """Adds to each row's ``m`` the pairs within its limit."""
+    for p, _, i, _, d in found:
+        p.m += np.bincount(i[d <= p.limit[i]], minlength=p.n)

@@ -21,7 +21,7 @@ from .distances import Cell, beside, blocks, cells, energy, hellinger, keyed, ki
 from .draws import KINDS, distinct_pairs, drawn_pairs, permuted, permuted_by
 from .graphs import cut_lineage, written
 from .histograms import concatenate
-from .neighbours import Balls, balls, nearest, within_radius
+from .neighbours import Balls, Near, Screen, add_inside, balls, nearest, within_radius
 
 SUMS = "r int, c int, v double"
 
@@ -249,40 +249,34 @@ def _counts_by_cells(v: DataFrame, packed: tuple, few: int) -> DataFrame:
     n = packed[1]
     first = lambda c: n["a"] if c == "b" else 0
 
-    def both(c: Cell) -> tuple[np.ndarray, np.ndarray]:
-        """Distances as seen from the rows and from the columns."""
-        zero = c.d == 0
-        one = np.where(zero, 1e-12 * (c.at2 + first(c.k2) + 1)[None, :], c.d)
-        two = np.where(zero, 1e-12 * (c.at1 + first(c.k1) + 1)[:, None], c.d).T
-        if c.same:
-            np.fill_diagonal(one, np.inf)
-        return one, two
+    def nearest(rows: list, pairs: Iterator) -> Iterator[pd.DataFrame]:
+        near = {r.no: Near(r, first(r.k), few) for r in rows}
+        for p, q, i, j, d in _screened(near, pairs, few):
+            p.found(i, d, q.ids[j])
+        for p in near.values():
+            yield pd.DataFrame({"sample_id": p.ids, "best": list(p.best)})
 
-    def nearest(c: Cell) -> pd.DataFrame | None:
-        out = []
-        for ids, d in zip((c.ids1,) if c.same else (c.ids1, c.ids2), both(c)):
-            m = min(few, d.shape[1])
-            best = np.partition(d, m - 1, axis=1)[:, :m]
-            out.append(pd.DataFrame({"sample_id": np.repeat(ids, m), "d": best.ravel()}))
-        return pd.concat(out)
+    near = cells(v, None, nearest, "sample_id long, best array<double>", "within", packed=packed)
+    # at most ``few`` numbers a sample and meeting of groups
+    radius = near.groupBy("sample_id").agg((F.array_sort(F.flatten(F.collect_list("best")))[few - 1] + 1e-14).alias("radius"))
+    with_radius = (beside(packed[0], radius, "radius"), n)
 
-    def fewest(f: pd.DataFrame) -> pd.DataFrame:
-        return f.iloc[_first_of_each(f["sample_id"].to_numpy(), f["d"].to_numpy(), few)]
+    def count(rows: list, pairs: Iterator) -> Iterator[pd.DataFrame]:
+        near = {r.no: Near(r, first(r.k), beside=1) for r in rows}
+        for p in near.values():
+            p.limit, p.m = p.beside[:, 0], np.zeros(p.n, dtype=np.int64)
+        add_inside(_screened(near, pairs, counted=True))
+        for p in near.values():
+            yield pd.DataFrame({"sample_id": p.ids, "m": p.m})
 
-    near = cells(v, squared, nearest, "sample_id long, d double", "within", packed=packed, merge=fewest)
-    # at most ``few`` rows a sample and meeting of groups
-    radius = near.groupBy("sample_id").agg((F.sort_array(F.collect_list("d"))[few - 1] + 1e-14).alias("radius"))
-    with_radius = (beside(packed[0], radius, "radius"), n)
+    return cells(v, None, count, "sample_id long, m long", "all", beside=1, packed=with_radius).groupBy("sample_id").agg(F.sum("m").alias("m"))
 
-    def count(c: Cell) -> pd.DataFrame:
-        one, two = both(c)
-        out = [pd.DataFrame({"sample_id": c.ids1, "m": (one <= c.x1[:, :1]).sum(axis=1)})]
-        if not c.same:
-            out.append(pd.DataFrame({"sample_id": c.ids2, "m": (two <= c.x2[:, :1]).sum(axis=1)}))
-        return pd.concat(out)
 
-    added = lambda f: f.groupby("sample_id", as_index=False)["m"].sum()
-    return cells(v, squared, count, "sample_id long, m long", "all", beside=1, packed=with_radius, merge=added).groupBy("sample_id").agg(F.sum("m").alias("m"))
+def _screened(near: dict[int, Near], pairs: Iterator, few: int = 0, counted: bool = False) -> Iterator[tuple]:
+    """Asking block, other block, rows of both and distances, of all pairs of rows within the asking rows' limits."""
+    screen = Screen(near) if near else None
+    for r, s in pairs:
+        yield from screen.pairs(r.no, s.no, (near[r.no].limit, None if r.no == s.no else near[s.no].limit), few, counted)
 
 
 def poisson_weights(ids: np.ndarray, draws: int, seed: int) -> np.ndarray:
