@@ -235,15 +235,6 @@ def neighbour_work(vectors: DataFrame, k: int = 5) -> DataFrame:
     return found.agg((F.sum("searched") / own).alias("searched")).join(F.broadcast(counted))  # one row each
 
 
-def _first_of_each(ids: np.ndarray, d: np.ndarray, few: int, ties: np.ndarray | None = None) -> np.ndarray:
-    """Where the ``few`` smallest distances of each id are."""
-    order = np.lexsort((d, ids) if ties is None else (ties, d, ids))
-    of = ids[order]
-    starts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]]) if len(of) else np.zeros(0, dtype=np.int64)
-    nth = np.arange(len(of)) - np.repeat(starts, np.diff(np.r_[starts, len(of)]))
-    return order[nth < few]
-
-
 def _counts_by_cells(v: DataFrame, packed: tuple, few: int) -> DataFrame:
     """sample_id, m: the same counts from all pairs of blocks."""
     n = packed[1]
@@ -320,11 +311,6 @@ def weighted_information(vectors: DataFrame, draws: int, k: int = 5, seed: int =
     few = min(k, n["a"] - 1, n["b"] - 1)
     first = lambda c: n["a"] if c == "b" else 0
 
-    def both(c: Cell) -> tuple[np.ndarray, np.ndarray]:
-        zero = c.d == 0
-        one = np.where(zero, 1e-12 * (c.at2 + first(c.k2) + 1)[None, :], c.d)
-        return one, np.where(zero, 1e-12 * (c.at1 + first(c.k1) + 1)[:, None], c.d).T
-
     @F.pandas_udf("array<int>")
     def picks(sample: pd.Series, near: pd.Series) -> pd.Series:
         """For each resample: the neighbour at which the weights, without one of the sample itself, reach k; -1 where they don't."""
@@ -343,20 +329,24 @@ def weighted_information(vectors: DataFrame, draws: int, k: int = 5, seed: int =
     while True:
         size = min(size, most)
 
-        def nearest(c: Cell, size: int = size) -> pd.DataFrame:
-            out = []
-            for ids, others, d in ((c.ids1, c.ids2, both(c)[0]), (c.ids2, c.ids1, both(c)[1]))[: 1 if c.same else 2]:
-                m = min(size, d.shape[1])
-                best = np.argpartition(d, m - 1, axis=1)[:, :m]
-                out.append(pd.DataFrame({"sample_id": np.repeat(ids, m), "id": others[best].ravel(), "d": np.take_along_axis(d, best, axis=1).ravel()}))
-            return pd.concat(out)
-
-        def fewest(f: pd.DataFrame, size: int = size) -> pd.DataFrame:
-            return f.iloc[_first_of_each(f["sample_id"].to_numpy(), f["d"].to_numpy(), size, f["id"].to_numpy())]
-
-        near = cells(v, squared, nearest, "sample_id long, id long, d double", "within", packed=packed, merge=fewest)
-        # at most ``size`` rows a sample and meeting of groups
-        near = near.groupBy("sample_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "id"))), 1, size).alias("near"))
+        def nearest(rows: list, pairs: Iterator, size: int = size) -> Iterator[pd.DataFrame]:
+            near, pairs = {r.no: Near(r, first(r.k), size) for r in rows}, list(pairs)
+            for p in (near[r.no] for r, s in pairs if r.no == s.no):
+                p.found(np.arange(p.n), p.zero, p.ids)  # a sample may be in a resample more than once
+            for p, q, i, j, d in _screened(near, pairs, size):
+                p.found(i, d, q.ids[j])
+            for p in near.values():
+                row, nth = np.nonzero(np.isfinite(p.best))
+                start = np.searchsorted(row, np.arange(p.n + 1))
+                d, ids = p.best[row, nth], p.who[row, nth]
+                for n in range(0, p.n, 1024):
+                    each = range(n, min(n + 1024, p.n))
+                    yield pd.DataFrame({"sample_id": p.ids[n : n + 1024], "d": [d[start[m] : start[m + 1]] for m in each], "id": [ids[start[m] : start[m + 1]] for m in each]})
+
+        near = cells(v, None, nearest, "sample_id long, d array<double>, id array<long>", "within", packed=packed)
+        near = near.select("sample_id", F.arrays_zip("d", "id").alias("near"))
+        # at most ``size`` numbers a sample and meeting of groups
+        near = near.groupBy("sample_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, size).alias("near"))
         found = cut_lineage(near.select("sample_id", F.transform("near", lambda r: r["d"]).alias("d"), picks("sample_id", "near").alias("picks")))
         short = found.filter(F.array_contains("picks", -1))
         if size == most or short.isEmpty():
@@ -390,29 +380,31 @@ def weighted_information(vectors: DataFrame, draws: int, k: int = 5, seed: int =
     known = found.select("sample_id", packed_radii("d", "picks").alias("radius"))
     with_radius = cut_lineage(v.join(known, "sample_id").select("sample_id", "k", F.concat("vec", "radius").alias("vec")))
 
-    def count(c: Cell) -> pd.DataFrame:
-        out = []
-        for ids, others, d, r in ((c.ids1, c.ids2, both(c)[0], radii(c.x1)), (c.ids2, c.ids1, both(c)[1], radii(c.x2)))[: 1 if c.same else 2]:
-            w = poisson_weights(others, draws, seed)
-            upto = np.zeros((len(ids), draws), dtype=np.int64)
-            i, j = np.nonzero(d <= r.max(axis=1)[:, None])  # few, unless a class's weights do not reach k
+    def count(rows: list, pairs: Iterator) -> Iterator[pd.DataFrame]:
+        near, pairs = {r.no: Near(r, first(r.k), beside=beside) for r in rows}, list(pairs)
+        for p in near.values():
+            p.limit, p.m = np.empty(p.n), np.zeros((p.n, draws), dtype=np.int32)
+            for n in range(0, p.n, 1024):
+                p.limit[n : n + 1024] = radii(p.beside[n : n + 1024]).max(axis=1)
+            p.weight = poisson_weights(p.ids, draws, seed).astype(np.uint8)  # at most 18
+        for p, q, i, j, d in _screened(near, pairs):
+            order = np.argsort(i, kind="stable")
+            i, j, d = i[order], j[order], d[order]
             for start in range(0, len(i), 16_384):
-                a, b = i[start : start + 16_384], j[start : start + 16_384]
-                inside = np.where(d[a, b][:, None] <= r[a], w[b], 0)
+                a, b, c = (x[start : start + 16_384] for x in (i, j, d))
                 first_of = np.flatnonzero(np.r_[True, a[1:] != a[:-1]])
-                upto[a[first_of]] += np.add.reduceat(inside, first_of, axis=0)
-            if c.same:
-                upto -= (poisson_weights(ids, draws, seed) > 0).astype(np.int64)  # the sample itself, once
-            out.append(pd.DataFrame({"sample_id": ids, "cls": c.k1 if others is c.ids2 else c.k2, "m": list(upto)}))
-        return pd.concat(out)
-
-    def added(f: pd.DataFrame) -> pd.DataFrame:
-        ids, at, of = np.unique(f["sample_id"].to_numpy(), return_index=True, return_inverse=True)
-        m = np.zeros((len(ids), draws), dtype=np.int64)
-        np.add.at(m, of, np.stack(f["m"].to_numpy()))
-        return pd.DataFrame({"sample_id": ids, "cls": f["cls"].to_numpy()[at], "m": list(m)})
+                r = np.repeat(radii(p.beside[a[first_of]]), np.diff(np.r_[first_of, len(a)]), axis=0)
+                p.m[a[first_of]] += np.add.reduceat(np.where(c[:, None] <= r, q.weight[b], 0), first_of, axis=0, dtype=np.int32)
+        for p in (near[r.no] for r, s in pairs if r.no == s.no):
+            for n in range(0, p.n, 1024):
+                w, inside = p.weight[n : n + 1024], p.zero[n : n + 1024, None] <= radii(p.beside[n : n + 1024])
+                p.m[n : n + 1024] += np.where(inside, w, 0).astype(np.int32) - (w > 0)  # the sample itself, once
+        for r in rows:
+            p = near[r.no]
+            for n in range(0, p.n, 1024):
+                yield pd.DataFrame({"sample_id": p.ids[n : n + 1024], "cls": r.k, "m": list(p.m[n : n + 1024])})
 
-    m = cells(with_radius, squared, count, "sample_id long, cls string, m array<long>", "all", beside=beside, merge=added, most=max(1, (1 << 22) // draws)).groupBy("sample_id", "cls").agg(F.array(*[F.sum(F.col("m")[r]) for r in range(draws)]).alias("m"))
+    m = cells(with_radius, None, count, "sample_id long, cls string, m array<int>", "all", beside=beside).groupBy("sample_id", "cls").agg(F.array(*[F.sum(F.col("m")[r]) for r in range(draws)]).alias("m"))
 
     def sums(batches):
         for batch in batches:
