@@ -343,6 +343,41 @@ def within(vectors: DataFrame, metric: Callable, key: str = "cls") -> DataFrame:
     return cells(v, metric, reduce, f"k {kind_of(v)}, id1 long, id2 long, d double", "within")
 
 
+#: Rows of one side of a matrix of distances that lie in a core's cache.
+TILE = 128
+
+
+def _hellinger_sums(rows: list, pairs: Iterator) -> Iterator[pd.DataFrame]:
+    """k1, k2, n, s, ss, top of a task's blocks two by two: halves of squared distances are one product, tile by tile."""
+    right, size, added, of, left = {}, {}, {}, None, None
+    for r in rows:
+        x = np.frombuffer(r.data, dtype=np.float64).reshape(r.n, -1)
+        root, half, one = np.sqrt(x), x.sum(axis=1) / 2, np.ones(r.n)
+        right[r.no] = np.ascontiguousarray(np.column_stack([-root, one, half]).T)
+        size[r.no] = max(1.0, float(np.abs(x).sum(axis=1).max()))
+    for r, s in pairs:
+        if of != r.no:
+            *root, one, half = right[r.no]
+            of, left = r.no, np.ascontiguousarray(np.vstack([-np.array(root), half, one]).T)
+        n, total, squares, top = 0, 0.0, 0.0, 0.0
+        for start in range(0, r.n, TILE):
+            h = left[start : start + TILE] @ (right[s.no][:, start:] if r.no == s.no else right[s.no])
+            if r.no == s.no:  # what lies after each row
+                h = h[np.triu_indices(h.shape[0], 1, h.shape[1])]
+            if not h.size:
+                continue
+            if h.min() < -1e-9 * size[r.no]:
+                raise ValueError("negative under the root")
+            np.maximum(h, 0.0, out=h)
+            n, squares, top = n + h.size, squares + h.sum(), max(top, h.max())
+            total += np.sqrt(h, out=h).sum()
+        if n:
+            old = added.get((r.k, s.k), (0, 0.0, 0.0, 0.0))
+            added[r.k, s.k] = (old[0] + n, old[1] + total, old[2] + squares, max(old[3], np.sqrt(top)))
+    if added:
+        yield pd.DataFrame([(*k, *v) for k, v in added.items()], columns=["k1", "k2", "n", "s", "ss", "top"])
+
+
 def pair_sums(vectors: DataFrame, metric: Callable, key: str = "cls", pairs: str = "all", packed: tuple | None = None, only: DataFrame | None = None) -> DataFrame:
     """k1, k2, n, s, ss, top: number, sums, sums of squares and largest of the distances of unordered pairs of two samples.
 
@@ -354,7 +389,8 @@ def pair_sums(vectors: DataFrame, metric: Callable, key: str = "cls", pairs: str
         d = _of_pairs(c)
         return pd.DataFrame({"k1": [c.k1], "k2": [c.k2], "n": [d.size], "s": [d.sum()], "ss": [(d * d).sum()], "top": [d.max()]}) if d.size else None
 
-    each = cells(v, metric, reduce, f"k1 {kind_of(v)}, k2 {kind_of(v)}, n long, s double, ss double, top double", pairs, packed=packed, todo=only and only.withColumn("todo", F.lit(0)))
+    by_tiles = metric is hellinger
+    each = cells(v, None if by_tiles else metric, _hellinger_sums if by_tiles else reduce, f"k1 {kind_of(v)}, k2 {kind_of(v)}, n long, s double, ss double, top double", pairs, packed=packed, todo=only and only.withColumn("todo", F.lit(0)))
     return each.groupBy("k1", "k2").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss"), F.max("top").alias("top"))
 
 
